@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
+from newsloom.llm import exact_topk
+from newsloom.llm.decontamination import op6_decontamination
+from newsloom.llm.exact_topk import op9_exact_topk
 from newsloom.llm.substring_dedup import op1_substring_dedup
+from newsloom.llm.suffix_dedup import op3_suffix_dedup
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op3_suffix_dedup": op3_suffix_dedup,
+    "op6_decontamination": op6_decontamination,
+    "op9_exact_topk": op9_exact_topk,
+}
+SQL: dict[str, str] = {
+    "op9_exact_topk": exact_topk.SQL,
 }
-SQL: dict[str, str] = {}
