@@ -21,7 +21,6 @@ of documents, of any name, travel in the struct column `rest`.
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -29,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.exchange import framed, loose
+from newsloom.llm.exchange import framed, loose, settled
 from newsloom.llm.substring_dedup import member
 from newsloom.llm.tokens import LETTER_DIGIT, LOWER, U64, Words, marked, runs, sliding, slices, text_buffers
 
@@ -188,9 +187,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, k: int
             return docs
         n += 1
         if n % 4 == 0:
-            if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-                spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", os.path.join(os.getcwd(), "spark-checkpoints")))
-            docs = docs.checkpoint()
+            docs = settled(docs)
         block, following = following, next(rows, None)
 
 

@@ -9,6 +9,8 @@ the input, so no task's memory grows with the corpus.
 
 from __future__ import annotations
 
+import os
+import tempfile
 from collections.abc import Callable
 
 import numpy as np
@@ -76,3 +78,11 @@ def framed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     """doc_id, text, and all other columns in the struct `rest`, so that no name can clash."""
     rest = [F.col(f"`{c}`") for c in docs.columns if c not in (text, doc_id)]
     return docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), (F.struct(*rest) if rest else F.struct(F.lit(None).cast("int").alias("none"))).alias("rest"))
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df computed once and kept in the shared folder of spark.checkpoint.dir, where a lost executor can't take it."""
+    spark = df.sparkSession
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", os.path.join(tempfile.gettempdir(), "newsloom-checkpoints")))
+    return df.checkpoint()
