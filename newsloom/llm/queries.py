@@ -5,12 +5,16 @@ from __future__ import annotations
 from newsloom.llm import exact_topk
 from newsloom.llm.decontamination import op6_decontamination
 from newsloom.llm.exact_topk import op9_exact_topk
+from newsloom.llm.packing import op5_packing
+from newsloom.llm.sharding import op4_sharding
 from newsloom.llm.substring_dedup import op1_substring_dedup
 from newsloom.llm.suffix_dedup import op3_suffix_dedup
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op3_suffix_dedup": op3_suffix_dedup,
+    "op4_sharding": op4_sharding,
+    "op5_packing": op5_packing,
     "op6_decontamination": op6_decontamination,
     "op9_exact_topk": op9_exact_topk,
 }
