@@ -5,6 +5,7 @@ from __future__ import annotations
 from newsloom.llm import exact_topk
 from newsloom.llm.decontamination import op6_decontamination
 from newsloom.llm.exact_topk import op9_exact_topk
+from newsloom.llm.jaccard_join import op10_jaccard_join
 from newsloom.llm.packing import op5_packing
 from newsloom.llm.sharding import op4_sharding
 from newsloom.llm.substring_dedup import op1_substring_dedup
@@ -17,6 +18,7 @@ QUERIES = {
     "op5_packing": op5_packing,
     "op6_decontamination": op6_decontamination,
     "op9_exact_topk": op9_exact_topk,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 SQL: dict[str, str] = {
     "op9_exact_topk": exact_topk.SQL,
