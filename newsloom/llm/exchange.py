@@ -29,13 +29,13 @@ def size_of(df: DataFrame) -> int:
 def dealt(docs: DataFrame) -> tuple[DataFrame, int, int]:
     """docs with `chunk`, and the numbers of chunks and buckets for its size.
 
-    A chunk is 4 to 128 MB of input and a bucket answers for 8 to 256 MB of it; both grow with the
-    root of the input between these bounds, so that rows between them stay in proportion to it.
+    A chunk is 4 to 128 MB of input and a bucket answers for 4 to 256 MB of it; both grow with the
+    input between these bounds, so that the rows between them stay few.
     """
     size = min(size_of(docs), 1 << 50)
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     chunks = max(tasks, int(size / min(max(size / 300, 4 * MB), 128 * MB)) + 1)
-    buckets = max(tasks // 2, int(size / min(max(size / 150, 8 * MB), 256 * MB)) + 1)
+    buckets = max(tasks // 2, int(size / min(max(size / 300, 4 * MB), 256 * MB)) + 1)
     return docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int")), chunks, buckets
 
 

@@ -138,7 +138,7 @@ def substring_dedup_bytes(docs: DataFrame, width: int = 50, k: int = 16, text: s
     def each(table: pa.Table):
         raw, offsets = text_buffers(table["text"])
         ids = _ids(table)
-        for i, j in slices(offsets, 1 << 19):
+        for i, j in slices(offsets, 1 << 17):
             part, own = raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
             yield i, j, part, own, ids[i:j], Triggers(part, own, width, k)
 
@@ -215,17 +215,21 @@ def substring_dedup_bytes(docs: DataFrame, width: int = 50, k: int = 16, text: s
         """Which strings of each phrase stand in a phrase of a smaller document, as bits by place."""
         phrase, doc = _gather(table, "phrase"), _gather(table, "doc", np.int64)
         body, span = _gather(table, "body", np.uint8).reshape(-1, reach), _gather(table, "span", np.int8).reshape(-1, 2)
-        item = np.concatenate([np.flatnonzero((span[:, 0] <= o) & (o <= span[:, 1])) for o in range(t)])
-        place = np.repeat(np.arange(t), [int(((span[:, 0] <= o) & (o <= span[:, 1])).sum()) for o in range(t)])
-        wide = -(-width // 8) * 8
-        string = np.zeros((len(item), wide), np.uint8)
-        string[:, :width] = body[item[:, None], place[:, None] + np.arange(width)] if len(item) else 0
-        columns = string.view(">u8").astype(np.uint64)
-        order, new = _distinct((doc[item], *columns.T[::-1]))
+        picked = [np.flatnonzero((span[:, 0] <= o) & (o <= span[:, 1])) for o in range(t)]
+        item, place = np.concatenate(picked), np.repeat(np.arange(t, dtype=np.uint8), [len(x) for x in picked])
+        string = np.zeros((len(item), -(-width // 8) * 8), np.uint8)
+        begin = 0
+        for o, x in enumerate(picked):
+            string[begin : begin + len(x), :width] = body[x, o : o + width]
+            begin += len(x)
+        columns = [c.astype(np.uint64) for c in string.view(">u8").T]
+        del string, picked
+        order, new = _distinct((doc[item], *columns[::-1]))
+        del columns
         size = np.diff(np.append(new, len(item)))
         gone = doc[item][order] > np.repeat(doc[item][order][new], size)
         bits = np.zeros(len(phrase), U64)
-        np.bitwise_or.at(bits, item[order][gone], U64(1) << place[order][gone].astype(U64))
+        np.bitwise_or.at(bits, item[order][gone], U64(1) << place[order][gone].astype(np.uint64))
         ends = np.cumsum([len(x) // 8 for x in table["phrase"].to_pylist()])
         cut = lambda x: pa.array([pack(p) for p in np.split(x, ends[:-1])], pa.binary())
         return pa.table({"chunk": table["chunk"], "keys": cut(phrase), "bits": cut(bits)})
