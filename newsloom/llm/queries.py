@@ -7,16 +7,20 @@ from newsloom.llm.decontamination import op6_decontamination
 from newsloom.llm.exact_topk import op9_exact_topk
 from newsloom.llm.jaccard_join import op10_jaccard_join
 from newsloom.llm.packing import op5_packing
+from newsloom.llm.quality import op2_quality_classifier
 from newsloom.llm.sharding import op4_sharding
 from newsloom.llm.substring_dedup import op1_substring_dedup
 from newsloom.llm.suffix_dedup import op3_suffix_dedup
+from newsloom.llm.toxicity import op8_toxicity
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_quality_classifier": op2_quality_classifier,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_sharding": op4_sharding,
     "op5_packing": op5_packing,
     "op6_decontamination": op6_decontamination,
+    "op8_toxicity": op8_toxicity,
     "op9_exact_topk": op9_exact_topk,
     "op10_jaccard_join": op10_jaccard_join,
 }

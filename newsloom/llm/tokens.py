@@ -93,10 +93,11 @@ class Words:
     """Words of documents: byte ranges, hashes and the first word of every document.
 
     raw, offsets: as from `text_buffers`; kind: which bytes belong to words.
-    start, end: byte ranges of words; first[d]:first[d+1]: words of document d; h: 64-bit hash of each word.
+    start, end: byte ranges of words; first[d]:first[d+1]: words of document d; h: 64-bit hash of each
+    word, or of its first `stem` bytes.
     """
 
-    def __init__(self, raw: np.ndarray, offsets: np.ndarray, kind: np.ndarray = NOT_SPACE) -> None:
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, kind: np.ndarray = NOT_SPACE, stem: int | None = None) -> None:
         inside = kind[raw]
         before, after = np.zeros(len(raw), bool), np.zeros(len(raw), bool)
         before[1:], after[:-1] = inside[:-1], inside[1:]
@@ -106,7 +107,7 @@ class Words:
         self.start = np.flatnonzero(inside & ~before)
         self.end = np.flatnonzero(inside & ~after) + 1
         self.first = np.searchsorted(self.start, offsets)
-        self.h = range_hash(prefix_hash(raw), self.start, self.end)
+        self.h = range_hash(prefix_hash(raw), self.start, self.end if stem is None else np.minimum(self.end, self.start + stem))
         up, _ = WORD_POWERS.get(len(self.h) + 1)
         self.sums = np.zeros(len(self.h) + 1, U64)
         np.cumsum(self.h * up[:-1], out=self.sums[1:])
