@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -80,9 +81,22 @@ def framed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     return docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), (F.struct(*rest) if rest else F.struct(F.lit(None).cast("int").alias("none"))).alias("rest"))
 
 
+def shared_folder(spark) -> str:
+    """The folder that spark.checkpoint.dir names; where it is unset, as in tests, one of this machine."""
+    return spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "newsloom-checkpoints")
+
+
 def settled(df: DataFrame) -> DataFrame:
-    """df computed once and kept in the shared folder of spark.checkpoint.dir, where a lost executor can't take it."""
+    """df computed once and kept in the shared folder, where a lost executor can't take it."""
     spark = df.sparkSession
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", os.path.join(tempfile.gettempdir(), "newsloom-checkpoints")))
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written as a table to the shared folder and read again."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/stages/{uuid.uuid4()}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)

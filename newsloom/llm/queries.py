@@ -5,6 +5,7 @@ from __future__ import annotations
 from newsloom.llm import exact_topk
 from newsloom.llm.decontamination import op6_decontamination
 from newsloom.llm.exact_topk import op9_exact_topk
+from newsloom.llm.html_extraction import op7_html_extraction
 from newsloom.llm.jaccard_join import op10_jaccard_join
 from newsloom.llm.packing import op5_packing
 from newsloom.llm.quality import op2_quality_classifier
@@ -20,6 +21,7 @@ QUERIES = {
     "op4_sharding": op4_sharding,
     "op5_packing": op5_packing,
     "op6_decontamination": op6_decontamination,
+    "op7_html_extraction": op7_html_extraction,
     "op8_toxicity": op8_toxicity,
     "op9_exact_topk": op9_exact_topk,
     "op10_jaccard_join": op10_jaccard_join,
