@@ -80,7 +80,7 @@ def keyword_match(pattern: Column | str, text: Column) -> Column:
 def regex_match(pattern: Column | str, text: Column) -> Column:
     """The pattern is found in the lower-cased text, case ignored. Invalid patterns are dropped when rules are loaded."""
     pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
-    return F.rlike(F.lower(text), F.concat(F.lit("(?i)"), pattern))
+    return F.rlike(F.lower(text), F.concat(F.lit("(?iU)"), pattern))
 
 
 def keyword_score(text: Column) -> Column:
@@ -210,7 +210,7 @@ def contextual_group(text: Column, keyword: str) -> Column:
 
 
 def format_bytes(size: Column) -> Column:
-    out = F.format_string("%.1f PB", size / F.lit(1024.0**5))
+    out = F.format_string("%.1f PB", F.bround(size / F.lit(1024.0**5), 1))
     for k, unit in reversed(list(enumerate(["B", "KB", "MB", "GB", "TB"]))):
-        out = F.when(size < 1024.0 ** (k + 1), F.format_string(f"%.1f {unit}", size / F.lit(1024.0**k))).otherwise(out)
+        out = F.when(size < 1024.0 ** (k + 1), F.format_string(f"%.1f {unit}", F.bround(size / F.lit(1024.0**k), 1))).otherwise(out)
     return out

@@ -31,7 +31,7 @@ MODEL = {
         "orders",
         """SELECT o_orderkey AS id, o_custkey % 10 + 1 AS channel_id, CAST(o_orderkey % 400 AS STRING) AS external_id,
         o_orderpriority || ' Auftrag ' || CAST(o_custkey AS STRING) AS title, 'Bericht zu ' || o_orderpriority || ' von ' || CAST(o_custkey % 97 AS STRING) AS content,
-        'https://www.example.org/' || CAST(o_custkey % 300 AS STRING) AS url,
+        'https://www.example.org/' || CAST(o_custkey % 307 AS STRING) AS url,
         CASE WHEN o_orderkey % 4 = 0 THEN CAST(NULL AS STRING) WHEN o_orderkey % 4 = 1 THEN '' ELSE 'Zusammenfassung ' || o_orderpriority END AS summary,
         CASE WHEN o_orderkey % 50 = 0 THEN CAST(NULL AS STRING) WHEN o_orderpriority = '1-URGENT' THEN 'high' WHEN o_orderpriority = '2-HIGH' THEN 'medium' WHEN o_orderpriority = '3-MEDIUM' THEN 'low' ELSE 'none' END AS priority,
         CAST(o_custkey % 101 AS INTEGER) AS priority_score, o_orderdate AS published_at, o_orderdate + INTERVAL '1' HOUR * (o_orderkey % 48) AS fetched_at,

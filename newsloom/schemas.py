@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import types as T
+
 
 PRIORITIES = ["high", "medium", "low", "none"]
 #: Rank of a priority, higher first; anything else ranks 0.
@@ -35,3 +37,8 @@ LABELLED = (
     "provenance struct<source_type:string,item_id:bigint,exported_at:string>"
 )
 VECTOR = "id string, title string, document string, metadata map<string,string>, embedding array<float>"
+
+
+def fields(**kinds: T.DataType) -> T.StructType:
+    """A struct type without a session, which DDL strings would need."""
+    return T.StructType([T.StructField(k, v) for k, v in kinds.items()])
