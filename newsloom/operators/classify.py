@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import IDF, CountVectorizer, IndexToString, NGram, Normalizer, RegexTokenizer, SQLTransformer, StringIndexer
+from pyspark.ml.feature import IDF, CountVectorizer, HashingTF, IndexToString, NGram, Normalizer, RegexTokenizer, SQLTransformer, StringIndexer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -99,13 +99,12 @@ def should_process(relevant: Column, confidence: Column, threshold: float) -> Co
     return F.coalesce(relevant | (confidence >= 1 - threshold), F.lit(True))
 
 
-def hashed_embedding(text: Column, size: int = 64) -> Column:
-    """A unit vector of word counts by hash, in built-in functions: the default where no model is given."""
-    words = F.split(F.lower(text), r"(?U)\W+")
-    slots = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(size)))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("double"))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(counts, lambda x: F.try_divide(x, norm))
+def hashed_embedding(rows: DataFrame, text: str, size: int = 64, output: str = "vector") -> DataFrame:
+    """rows with a unit vector of word counts by hash: the default embedder where no model is given."""
+    words = rows.withColumn("_words", F.split(F.lower(F.coalesce(text, F.lit(""))), r"(?U)\W+"))
+    counts = HashingTF(inputCol="_words", outputCol="_tf", numFeatures=size).transform(words)
+    unit = Normalizer(inputCol="_tf", outputCol="_unit").transform(counts)
+    return unit.withColumn(output, vector_to_array("_unit")).drop("_words", "_tf", "_unit")
 
 
 def with_model(rows: DataFrame, column: str, call: Callable[[list[str]], list[str]], output: str = "answer") -> DataFrame:

@@ -195,3 +195,8 @@ def briefing_groups(items: DataFrame) -> DataFrame:
 
 def ranked(rows: DataFrame, key: str, *order: Column) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+
+
+def fastest_proxies(proxies: DataFrame, keep: int, most_failures: int) -> DataFrame:
+    """The keep proxies of least latency among those that haven't failed too often."""
+    return proxies.filter(F.col("failures") < most_failures).orderBy("latency", "id").limit(keep)

@@ -194,3 +194,9 @@ def _(m):
 @add("non_blank_lines", "A29", "SELECT doc_id, CAST(len(list_filter(string_split(text, chr(10)), lambda l: trim(l) <> '')) AS INTEGER) AS lines FROM documents", model=False)
 def _(m):
     return m.table("documents").select("doc_id", F.size(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")).alias("lines"))
+
+
+@add("fastest_proxies", "T06", "SELECT p_partkey AS id FROM part WHERE p_size < 30 ORDER BY p_retailprice, p_partkey LIMIT 20", model=False)
+def _(m):
+    proxies = m.table("part").select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("latency"), F.col("p_size").alias("failures"))
+    return S.fastest_proxies(proxies, 20, 30).select("id")
