@@ -218,3 +218,26 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: fl
 
 def op10_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), grams AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(ws, i, i + 4), ' ') AS g
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM w WHERE len(ws) > 0)
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM grams GROUP BY 1
+), common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE k >= 0.8 * (x.n + y.n - k) - 1e-9
+  UNION ALL
+  SELECT a.doc_id, b.doc_id FROM w a JOIN w b ON len(a.ws) = 0 AND len(b.ws) = 0 AND a.doc_id <> b.doc_id
+), copies AS (
+  SELECT doc_id, count(*) OVER (PARTITION BY (SELECT md5(string_agg(g, chr(10) ORDER BY g)) FROM grams WHERE grams.doc_id = w.doc_id)) AS copies FROM w
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM w UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+)
+SELECT w.doc_id, (SELECT min(b) FROM reach WHERE a = w.doc_id) AS class_id, (SELECT count(*) FROM links WHERE a = w.doc_id) AS n_links, copies FROM w JOIN copies USING (doc_id)
+"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from newsloom.llm import exact_topk
+from newsloom.llm import decontamination, exact_topk, jaccard_join, substring_dedup, suffix_dedup
 from newsloom.llm.decontamination import op6_decontamination
 from newsloom.llm.exact_topk import op9_exact_topk
 from newsloom.llm.html_extraction import op7_html_extraction
@@ -27,5 +27,9 @@ QUERIES = {
     "op10_jaccard_join": op10_jaccard_join,
 }
 SQL: dict[str, str] = {
+    "op1_substring_dedup": substring_dedup.SQL,
+    "op3_suffix_dedup": suffix_dedup.SQL,
+    "op6_decontamination": decontamination.SQL,
     "op9_exact_topk": exact_topk.SQL,
+    "op10_jaccard_join": jaccard_join.SQL,
 }

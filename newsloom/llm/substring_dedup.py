@@ -202,3 +202,24 @@ def op1_substring_dedup(spark, sf_dir: str) -> DataFrame:
     """The digest of the contract, from the operator's kept texts."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return substring_dedup(docs).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+SQL = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), flat AS (
+  SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS j FROM w
+), windows AS (
+  SELECT doc_id, i, md5(array_to_string(list_slice(ws, i, i + 34), ' ')) AS h
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS i FROM w WHERE len(ws) >= 35)
+), repeated AS (
+  SELECT doc_id, i FROM windows WHERE h IN (SELECT h FROM windows GROUP BY h HAVING count(*) > 1)
+), covered AS (
+  SELECT f.doc_id, f.j, f.word, max(r.i IS NOT NULL) OVER (PARTITION BY f.doc_id ORDER BY f.j ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone
+  FROM flat f LEFT JOIN repeated r ON r.doc_id = f.doc_id AND r.i = f.j
+), kept AS (
+  SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY j) FILTER (NOT gone) AS text FROM covered GROUP BY doc_id
+)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""

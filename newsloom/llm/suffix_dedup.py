@@ -297,3 +297,29 @@ def op3_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     """The digest of the contract, from the operator's kept bytes."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return substring_dedup_bytes(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+SQL = """
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents
+), parts AS (
+  SELECT doc_id, p, substr(x, 2 * p + 1, 698) AS x, least(300, length(x) // 2 - p) AS n FROM (SELECT doc_id, x, unnest(range(0, length(x) // 2, 300)) AS p FROM d)
+), windows AS (
+  SELECT doc_id, p + i AS i, md5(substr(x, 2 * i - 1, 100)) AS h FROM (SELECT doc_id, p, x, unnest(range(1, least(n, length(x) // 2 - 49) + 1)) AS i FROM parts WHERE length(x) >= 100)
+), first AS (
+  SELECT h, min(doc_id) AS doc_id FROM windows GROUP BY h
+), later AS (
+  SELECT w.doc_id, w.i FROM windows w JOIN first f USING (h) WHERE f.doc_id < w.doc_id
+), bytes AS (
+  SELECT doc_id, p + i AS i, substr(x, 2 * i - 1, 2) AS b FROM (SELECT doc_id, p, x, unnest(range(1, n + 1)) AS i FROM parts)
+), covered AS (
+  SELECT b.doc_id, b.i, b.b, max(l.i IS NOT NULL) OVER (PARTITION BY b.doc_id ORDER BY b.i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone
+  FROM bytes b LEFT JOIN later l ON l.doc_id = b.doc_id AND l.i = b.i
+), edges AS (
+  SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS begins FROM covered
+), per AS (
+  SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (begins) AS n_spans, string_agg(b, '' ORDER BY i) FILTER (NOT gone) AS kept FROM edges GROUP BY 1
+)
+SELECT d.doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM d LEFT JOIN per USING (doc_id)
+"""
