@@ -23,8 +23,14 @@ MB = 1 << 20
 
 
 def size_of(df: DataFrame) -> int:
-    """Bytes that Spark's own statistics give for the input of df."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Bytes of df: Spark's own estimate for its input or, where that is none (local rows, or the product
+    that it assumes for a join), the length of its columns as text, measured."""
+    guess = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if guess < 1 << 48:
+        return guess
+    length = [F.octet_length(F.col(f"`{n}`")) if t in ("string", "binary") else F.size(F.col(f"`{n}`")) * 8 if t.startswith("array") else F.lit(8) for n, t in df.dtypes]
+    total = sum((F.coalesce(F.greatest(x, F.lit(0)), F.lit(0)).cast("long") for x in length), F.lit(0).cast("long"))
+    return int(df.agg(F.coalesce(F.sum(total), F.lit(0))).first()[0])
 
 
 def dealt(docs: DataFrame) -> tuple[DataFrame, int, int]:
@@ -33,7 +39,7 @@ def dealt(docs: DataFrame) -> tuple[DataFrame, int, int]:
     A chunk is 4 to 128 MB of input and a bucket answers for 4 to 256 MB of it; both grow with the
     input between these bounds, so that the rows between them stay few.
     """
-    size = min(size_of(docs), 1 << 50)
+    size = size_of(docs)
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     chunks = max(tasks, int(size / min(max(size / 300, 4 * MB), 128 * MB)) + 1)
     buckets = max(tasks // 2, int(size / min(max(size / 300, 4 * MB), 256 * MB)) + 1)
