@@ -52,7 +52,9 @@ class Hierarchy:
 
     def fit(self, rows: DataFrame) -> Hierarchy:
         """rows: features, relevant (0 or 1) and the further labels."""
-        rows = balanced(F.col("relevant"), rows)
+        # Every stage passes over the features again, so they are made once and kept until the fit is done.
+        rows = balanced(F.col("relevant"), rows.select("features", "relevant", *self.further))
+        kept = rows.persist()
         self.relevance = LogisticRegression(featuresCol="features", labelCol="relevant", weightCol="weight", maxIter=50, regParam=0.01, probabilityCol="_p", rawPredictionCol="_raw", predictionCol="_y").fit(rows)
         inner = rows.filter("relevant = 1")
         for name in self.further:
@@ -62,6 +64,7 @@ class Hierarchy:
             index = StringIndexer(inputCol=name, outputCol=f"_{name}_i", stringOrderType="alphabetAsc", handleInvalid="keep").fit(own)
             forest = RandomForestClassifier(featuresCol="features", labelCol=f"_{name}_i", numTrees=self.trees, maxDepth=8, seed=self.seed, probabilityCol=f"_{name}_p", rawPredictionCol=f"_{name}_r", predictionCol=f"_{name}_y").fit(index.transform(own))
             self.models[name] = PipelineModel([forest, IndexToString(inputCol=f"_{name}_y", outputCol=f"{name}_guess", labels=[*index.labels, ""])])
+        kept.unpersist()
         return self
 
     def predict(self, rows: DataFrame) -> DataFrame:
