@@ -15,7 +15,7 @@ from newsloom.functions.urls import domain
 from newsloom.schemas import fields
 
 # Hosts whose pages count as news.
-NEWS_DOMAINS = [
+NEWS_HOSTS = [
     "spiegel.de", "zeit.de", "faz.net", "sueddeutsche.de", "tagesschau.de", "bild.de", "welt.de", "focus.de", "taz.de", "tagesspiegel.de", "handelsblatt.com", "wiwo.de", "stern.de", "n-tv.de", "zdf.de", "phoenix.de",
     "hessenschau.de", "fr.de", "fnp.de", "op-online.de", "hna.de", "giessener-allgemeine.de", "mittelhessen.de", "fuldaerzeitung.de",
     "proasyl.de", "caritas.de", "diakonie.de", "awo.org", "drk.de", "der-paritaetische.de", "zentralwohlfahrtsstelle.de",
@@ -50,7 +50,7 @@ def article_points(html: Column) -> Column:
 
 
 def is_news_article(html: Column, url: Column) -> Column:
-    known = F.rlike(domain(url), F.lit("|".join(re.escape(d) for d in NEWS_DOMAINS)))
+    known = F.rlike(domain(url), F.lit("|".join(re.escape(d) for d in NEWS_HOSTS)))
     return known | (article_points(html) >= 2)
 
 

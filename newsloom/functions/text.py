@@ -11,20 +11,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 # Keyword weights and lists of the priority score.
-PRIORITY_KEYWORDS = {
+SCORE_WORDS = {
     40: ["kürzung", "streichung", "haushaltssperre", "finanzierungslücke", "kahlschlag", "förderentzug", "nothaushalt", "haushaltskrise", "schließung", "abbau", "existenzbedrohend", "insolvenz", "personalreduzierung", "stellenabbau", "einschnitte"],
     20: ["gesetzesänderung", "novelle", "anhörung", "regierungsentwurf", "bundesratsentscheidung", "gesetzgebung", "reform"],
     10: ["pflegenotstand", "kitaplätze", "migrationsberatung", "fachkräftemangel", "sozialfinanzierung", "eingliederungshilfe", "kinderbetreuung"],
 }
 # Keyword lists of the hand-made features.
-LIGA_KEYWORDS = ["liga", "wohlfahrt", "awo", "caritas", "diakonie", "drk", "paritätisch", "wohlfahrtsverband", "spitzenverband", "freie wohlfahrtspflege"]
-IRRELEVANT_KEYWORDS = ["fußball", "bundesliga", "champions", "sport", "tennis", "olympia", "mannschaft", "trainer", "spieler", "tor", "sieg", "niederlage", "kino", "film", "konzert", "festival", "unterhaltung"]
+WELFARE_WORDS = ["liga", "wohlfahrt", "awo", "caritas", "diakonie", "drk", "paritätisch", "wohlfahrtsverband", "spitzenverband", "freie wohlfahrtspflege"]
+LEISURE_WORDS = ["fußball", "bundesliga", "champions", "sport", "tennis", "olympia", "mannschaft", "trainer", "spieler", "tor", "sieg", "niederlage", "kino", "film", "konzert", "festival", "unterhaltung"]
 # Words of keyword pairs, and contexts that exclude.
-CONTEXTUAL_KEYWORDS = {
+WORDS_IN_CONTEXT = {
     "tagespflege": {"AK3": ["senioren", "pflege", "ältere", "alten"], "AK5": ["kita", "kinder", "eltern", "frühkindlich"]},
     "fachkräftemangel": {"AK3": ["pflege", "krankenhaus", "gesundheit", "klinik"], "AK5": ["kita", "erzieher", "betreuung"]},
 }
-EXCLUDE_CONTEXT = {"wohngruppe": {"AK4": ["geflüchtet", "asyl", "abschieb", "migration"]}}
+RULED_OUT = {"wohngruppe": {"AK4": ["geflüchtet", "asyl", "abschieb", "migration"]}}
 
 
 @F.pandas_udf(StringType())
@@ -85,7 +85,7 @@ def regex_match(pattern: Column | str, text: Column) -> Column:
 
 def keyword_score(text: Column) -> Column:
     low = F.lower(text)
-    hits = [F.when(F.contains(low, F.lit(k)), weight).otherwise(0) for weight, words in PRIORITY_KEYWORDS.items() for k in words]
+    hits = [F.when(F.contains(low, F.lit(k)), weight).otherwise(0) for weight, words in SCORE_WORDS.items() for k in words]
     return F.least(F.lit(100), sum(hits, F.lit(50)))
 
 
@@ -163,7 +163,7 @@ def hand_features(text: Column) -> list[Column]:
     low = F.lower(text)
     hits = lambda words: sum((F.contains(low, F.lit(w)).cast("int") for w in words), F.lit(0))
     return [
-        hits(LIGA_KEYWORDS).alias("liga_hits"), hits(IRRELEVANT_KEYWORDS).alias("irrelevant_hits"), F.length(text).alias("length"),
+        hits(WELFARE_WORDS).alias("liga_hits"), hits(LEISURE_WORDS).alias("irrelevant_hits"), F.length(text).alias("length"),
         F.regexp_count(low, F.lit("hessen")).alias("hessen"), F.contains(low, F.lit("liga")).cast("int").alias("has_liga"), F.contains(low, F.lit("wohlfahrt")).cast("int").alias("has_wohlfahrt"),
     ]
 
@@ -201,7 +201,7 @@ def contextual_group(text: Column, keyword: str) -> Column:
     """The first working group whose context words stand beside the keyword; null without one."""
     low = F.lower(text)
     found = F.lit(None).cast("string")
-    for group, words in reversed(list(CONTEXTUAL_KEYWORDS[keyword].items())):
+    for group, words in reversed(list(WORDS_IN_CONTEXT[keyword].items())):
         near = F.lit(False)
         for w in words:
             near = near | F.contains(low, F.lit(w))
@@ -209,6 +209,15 @@ def contextual_group(text: Column, keyword: str) -> Column:
     return F.when(F.contains(low, F.lit(keyword)), found)
 
 
+def ruled_out(text: Column, keyword: str, group: str) -> Column:
+    """Whether words beside the keyword keep it from counting for the group."""
+    low = F.lower(text)
+    found = F.lit(False)
+    for w in RULED_OUT.get(keyword, {}).get(group, []):
+        found = found | F.contains(low, F.lit(w))
+    return F.contains(low, F.lit(keyword)) & found
+
+
 def format_bytes(size: Column) -> Column:
     out = F.format_string("%.1f PB", F.bround(size / F.lit(1024.0**5), 1))
     for k, unit in reversed(list(enumerate(["B", "KB", "MB", "GB", "TB"]))):

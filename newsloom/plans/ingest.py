@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import shutil
-import tempfile
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -12,7 +9,7 @@ from pyspark.sql import functions as F
 from newsloom.functions.text import content_hash
 from newsloom.operators import classify as C
 from newsloom.operators.evaluate import relevance_figures, stratified_split
-from newsloom.plans.model import AS_OF, Catalog
+from newsloom.plans.model import AS_OF, Catalog, workspace
 from newsloom.sources import feeds
 from newsloom.sources.registry import LandedItems, get, kinds, validate
 from newsloom.streaming import ingest as I
@@ -102,13 +99,12 @@ def _(m):
 
 @add("landed_files", "S01 S15 S16 K05", "SELECT CAST(item_id AS STRING) AS external_id, text AS content FROM benchmark", model=False)
 def _(m):
-    folder = tempfile.mkdtemp(prefix="newsloom-landed-")
+    folder = workspace(m.spark, "landed")
     rows = m.table("benchmark").select(F.col("item_id").cast("string").alias("external_id"), F.col("text").alias("content"))
-    rows.coalesce(2).write.mode("overwrite").json(folder)
-    with open(os.path.join(folder, "part-broken.json"), "w", encoding="utf-8") as f:
-        f.write("\n{bad\n")
+    rows.coalesce(2).write.json(folder)
+    m.spark.range(1).select(F.lit("\n{bad\n[1]").alias("value")).write.mode("append").text(folder)
     m.spark.dataSource.register(LandedItems)
-    return m.spark.read.format("landed_items").option("path", f"{folder}/part-*.json").load().select("external_id", "content")
+    return m.spark.read.format("landed_items").option("folder", folder).load().select("external_id", "content")
 
 
 def _batch(m, where="true"):
@@ -139,25 +135,23 @@ def _(m):
 
 @add("stream_ingest_equals_batch", "R02 R04", _INGEST, model=False)
 def _(m):
-    base = tempfile.mkdtemp(prefix="newsloom-stream-")
+    base = workspace(m.spark, "stream")
+    third = m.table("documents").agg(F.max("doc_id")).first()[0] // 3 + 1
     for k in range(3):
-        _bare(m, f"doc_id % 3 = {k}").coalesce(1).write.parquet(f"{base}/in{k}")
-        os.makedirs(f"{base}/in", exist_ok=True)
-        part = next(x for x in os.listdir(f"{base}/in{k}") if x.endswith(".parquet"))
-        shutil.copy(f"{base}/in{k}/{part}", f"{base}/in/{k}.parquet")
-    source = m.spark.readStream.schema(m.spark.read.parquet(f"{base}/in").schema).parquet(f"{base}/in")
+        _bare(m, f"doc_id BETWEEN {k * third} AND {(k + 1) * third - 1}").coalesce(1).write.mode("append").parquet(f"{base}/in")
+    source = m.spark.readStream.schema(m.spark.read.parquet(f"{base}/in").schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
     I.stream_ingest(m.spark, source, f"{base}/store", f"{base}/checkpoint", AS_OF).awaitTermination()
     return m.spark.read.parquet(f"{base}/store").select("seq", "priority", "priority_score")
 
 
 @add("stream_windowed_counts", "R04", "SELECT time_bucket(INTERVAL 1 DAY, ts) AS day, event_type, count(*) AS n FROM events GROUP BY ALL", model=False)
 def _(m):
-    base = tempfile.mkdtemp(prefix="newsloom-window-")
+    base = workspace(m.spark, "window")
     events = m.table("events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
     events.coalesce(1).write.mode("overwrite").parquet(f"{base}/in")
     stream = m.spark.readStream.schema(events.schema).parquet(f"{base}/in")
     counts = I.windowed_counts(stream, "ts", "event_type", "1 day", "1 hour")
-    name = f"windowed_{os.path.basename(base).replace('-', '_')}"
+    name = base.rpartition("/")[2].replace("-", "_")
     counts.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return m.spark.table(name).select(F.col("window.start").alias("day"), "event_type", "n")
 

@@ -175,6 +175,12 @@ def _(m):
     return m.table("documents").filter(F.contains(F.lower("text"), F.lit("the"))).select("doc_id", X.contextual_group(text, "fachkräftemangel").alias("grp"))
 
 
+@add("ruled_out_groups", "Z01", "SELECT id, id % 2 = 0 AS out FROM channels")
+def _(m):
+    text = F.when(F.col("id") % 2 == 0, "Wohngruppe für Geflüchtete").otherwise("Wohngruppe mit Teilhabe")
+    return m.channels.select("id", X.ruled_out(text, "wohngruppe", "AK4").alias("out"))
+
+
 @add("mentions", "Z03", r"SELECT doc_id, handle, count(*) AS n FROM (SELECT doc_id, lower(unnest(regexp_extract_all(text, '@(\w+)', 1))) AS handle FROM documents) GROUP BY ALL", model=False)
 def _(m):
     found = m.table("documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"@(\w+)"), F.lit(1))).alias("handle"))

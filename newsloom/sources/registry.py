@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import glob
 import json
 from collections.abc import Callable, Iterator
 
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -42,7 +42,7 @@ def validate(kind: str, config: dict) -> tuple[bool, str]:
 
 
 class LandedItems(DataSource):
-    """Raw items from JSON lines files that connectors have landed: option path, a glob.
+    """Raw items from the JSON lines files of a folder where connectors land them: option folder, a path or URI.
 
     Each file is a partition; blank and broken lines are skipped.
     """
@@ -55,21 +55,28 @@ class LandedItems(DataSource):
         return "external_id string, title string, content string, url string, author string, published_at string, file string"
 
     def reader(self, schema) -> DataSourceReader:
-        return _LandedReader(self.options.get("path", ""))
+        return _LandedReader(self.options["folder"])
+
+
+def _opened(folder: str) -> tuple[pafs.FileSystem, str]:
+    return pafs.FileSystem.from_uri(folder) if ":/" in folder else (pafs.LocalFileSystem(), folder)
 
 
 class _LandedReader(DataSourceReader):
-    def __init__(self, path: str) -> None:
-        self.path = path
+    def __init__(self, folder: str) -> None:
+        self.folder = folder
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(f) for f in sorted(glob.glob(self.path))] or [InputPartition(None)]
+        files, path = _opened(self.folder)
+        found = sorted(x.path for x in files.get_file_info(pafs.FileSelector(path)) if x.type == pafs.FileType.File and not x.base_name.startswith(("_", ".")))
+        return [InputPartition(x) for x in found] or [InputPartition(None)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         if partition.value is None:
             return
-        with open(partition.value, encoding="utf-8") as lines:
-            for line in lines:
+        files, _ = _opened(self.folder)
+        with files.open_input_stream(partition.value) as stream:
+            for line in stream.read().decode("utf-8").splitlines():
                 try:
                     row = json.loads(line)
                 except ValueError:
