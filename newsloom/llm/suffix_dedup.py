@@ -30,12 +30,13 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.exchange import answered, dealt, framed, loose, pack, split
-from newsloom.llm.substring_dedup import ANSWER, REQUEST, RADIX, _keys, _repeated, member
+from newsloom.llm.exchange import answered, dealt, framed, loose, pack, pack48, split, unpack48
+from newsloom.llm.substring_dedup import ANSWER, RADIX, REQUEST, _repeated, member
 from newsloom.llm.tokens import U64, BYTE_POWERS, marked, mix, prefix_hash, runs, sliding, slices, text_buffers
 
 LAST = np.iinfo(np.int64).max
 GONE, MANY = U64(1), U64(2)
+SHORT = ~U64((1 << 18) - 1)
 
 
 class Triggers:
@@ -103,6 +104,21 @@ def _gather(table: pa.Table, name: str, kind: type = np.uint64) -> np.ndarray:
     return np.concatenate([np.frombuffer(x, kind) for x in table[name].to_pylist()] or [np.zeros(0, kind)])
 
 
+def _short_rows(chunk: int, keys: np.ndarray, buckets: int) -> pa.Table:
+    """As `_rows`, with hashes cut to 46 bits: what they hit by mistake is told apart by its phrases later."""
+    borders = split(keys, buckets)
+    full = np.flatnonzero(np.diff(borders))
+    cut = [pack48(keys[borders[b] : borders[b + 1]]) for b in full]
+    return pa.table({"chunk": pa.array(np.full(len(full), chunk, np.int32)), "bucket": pa.array(full.astype(np.int32)), "keys": pa.array(cut, pa.binary())})
+
+
+def _short_repeated(table: pa.Table) -> pa.Table:
+    """`_repeated` over hashes cut to 46 bits."""
+    wide = lambda t, f: t.set_column(t.schema.get_field_index("keys"), "keys", pa.array([f(x) for x in t["keys"].to_pylist()], pa.binary()))
+    found = _repeated(wide(table, lambda x: pack(unpack48(x))))
+    return wide(found, lambda x: pack48(np.frombuffer(x, U64)))
+
+
 def _first_seen(table: pa.Table) -> pa.Table:
     """A bucket of the dictionary: for each chunk's phrases, whether a smaller document of another chunk
     has them (GONE), or else whether their trigger begins other phrases too (MANY)."""
@@ -154,14 +170,15 @@ def substring_dedup_bytes(docs: DataFrame, width: int = 50, k: int = 16, text: s
         new = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
         last = np.append(new[1:], len(h)) - 1 if len(h) else new
         value = h[new] | GONE | np.where(doc[last] != doc[new], MANY, U64(0))
-        return _rows(table["chunk"][0].as_py(), value, buckets)
+        return _short_rows(table["chunk"][0].as_py(), value, buckets)
 
     def ask_phrases(table: pa.Table, answers: pa.Table) -> pa.Table:
-        hits, h, phrase, doc = _keys(answers), [np.zeros(0, U64)], [np.zeros(0, U64)], [np.zeros(0, np.int64)]
+        hits = np.sort(np.concatenate([unpack48(x) for x in answers["keys"].to_pylist()] or [np.zeros(0, U64)]))
+        h, phrase, doc = [np.zeros(0, U64)], [np.zeros(0, U64)], [np.zeros(0, np.int64)]
         if table.num_rows and len(hits):
             for *_, ids, found in each(table):
                 if len(found.at):
-                    i = np.flatnonzero(member(hits, found.h))
+                    i = np.flatnonzero(member(hits, found.h & SHORT))
                     h.append(found.h[i])
                     phrase.append(found.phrase[i])
                     doc.append(ids[found.doc[i]])
@@ -283,7 +300,7 @@ def substring_dedup_bytes(docs: DataFrame, width: int = 50, k: int = 16, text: s
         )
 
     chunked = docs.groupBy("chunk")
-    hits = answered(chunked.applyInArrow(ask_triggers, REQUEST), _repeated, ANSWER)
+    hits = answered(chunked.applyInArrow(ask_triggers, REQUEST), _short_repeated, ANSWER)
     asked = chunked.cogroup(hits.groupBy("chunk")).applyInArrow(ask_phrases, f"{REQUEST}, phrase binary, doc binary")
     codes = answered(asked, _first_seen, ANSWER)
     asked = chunked.cogroup(codes.groupBy("chunk")).applyInArrow(ask_suffixes, f"{REQUEST}, phrase binary, doc binary, body binary, span binary")
