@@ -11,9 +11,9 @@ apart, whatever the data.
 Each draw inverts the distribution over twelve standard deviations (and twelve values) around its
 mean; what lies outside is under 1e-30.
 
-Cases: nulls in any column are hashed like values. Equal rows are separate rows, each with a slot of its
-own. Empty tables give an empty result. Column names are the caller's; a clash with shard or slot
-is an error of the caller's, all other names are free.
+Cases: a null in any column is hashed apart from every value. Equal rows are separate rows, each with a
+slot of its own. Columns of maps are hashed as JSON. Empty tables give an empty result. Columns keep
+their names, but for one called shard or slot (in any case), which comes back with `own_` before it.
 """
 
 from __future__ import annotations
@@ -98,11 +98,22 @@ def communication_matrix(counts: DataFrame, shards: int, seed: int) -> DataFrame
     return second.select("row.part", "row.counts")
 
 
+def _free(name: str, taken: set[str]) -> str:
+    """name with as many `own_` before it as make it new."""
+    while name.lower() in taken:
+        name = f"own_{name}"
+    taken.add(name.lower())
+    return name
+
+
 def shard(df: DataFrame, shards: int = 8, seed: int = 17, part_bytes: int = 16 * MB) -> DataFrame:
     """df with shard (0 to shards - 1) and slot (gapless from 0 in each shard), a uniform shuffle by seed."""
+    taken = {c.lower() for c in df.columns} | {"shard", "slot"}
+    df = df.toDF(*(_free(c, taken) if c.lower() in ("shard", "slot") else c for c in df.columns))
     own = df.columns
     parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), size_of(df) // part_bytes + 1)
-    key = F.xxhash64(*(F.col(f"`{c}`") for c in own), F.lit(seed))
+    values = [F.to_json(F.struct(F.col(f"`{c}`"))) if "map<" in kind else F.col(f"`{c}`") for c, kind in df.dtypes]
+    key = F.xxhash64(*values, *(F.col(f"`{c}`").isNull() for c in own), F.lit(seed))
     rows = df.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("row"), key.alias("key")).withColumn("part", F.pmod(F.xxhash64("key", F.lit(1)), F.lit(parts)))
     matrix = communication_matrix(rows.groupBy("part").agg(F.count("*").alias("n")), shards, seed)
     ends = F.aggregate("counts", F.array().cast("array<bigint>"), lambda a, x: F.array_append(a, x + F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0))))
