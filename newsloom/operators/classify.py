@@ -26,9 +26,12 @@ class Tfidf:
 
     def fit(self, rows: DataFrame) -> Callable[[DataFrame], DataFrame]:
         words = self.words.fit(rows)
-        counts = self.count.fit(words.transform(rows))
+        # Counts and IDF pass over the words several times, so they are made once and kept until the fit is done.
+        kept = words.transform(rows).select("_both").persist()
+        counts = self.count.fit(kept)
         log = lambda df: df.withColumn("_log", array_to_vector(F.transform(vector_to_array("_tf"), lambda x: F.when(x > 0, 1 + F.log(x)).otherwise(0.0))))
-        idf = self.idf.fit(log(counts.transform(words.transform(rows))))
+        idf = self.idf.fit(log(counts.transform(kept)))
+        kept.unpersist()
         return lambda df: self.unit.transform(idf.transform(log(counts.transform(words.transform(df))))).drop("_one", "_two", "_both", "_tf", "_log", "_idf")
 
 

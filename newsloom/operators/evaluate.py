@@ -49,12 +49,23 @@ def multilabel_figures(rows: DataFrame, truth: str, guess: str, classes: list[st
 
 
 def stratified_split(rows: DataFrame, key: str, stratum: str, train: float = 0.7, val: float = 0.15, seed: int = 42) -> DataFrame:
-    """rows with `split`: of each stratum, in an order by seed, the first floor(train * n) and so on."""
+    """rows with `split`: of each stratum, in an order by seed, the first floor(train * n) and so on.
+
+    The order is that of a hash, so its leading bits cut each stratum into runs that are ranked apart;
+    a run's first rank comes from the counts before it, and no task holds a stratum.
+    """
+    bits = (int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4).bit_length()
+    order = F.xxhash64(F.col(key), F.lit(seed))
+    rows = rows.withColumn("_order", order).withColumn("_run", F.shiftright("_order", 64 - bits))
+    counts = rows.groupBy(stratum, "_run").agg(F.count("*").alias("_own"))
     own = Window.partitionBy(stratum)
-    place = F.row_number().over(own.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key))
-    size = F.count("*").over(own)
-    split = F.when(F.col("_place") <= F.floor(F.col("_n") * train), "train").when(F.col("_place") <= F.floor(F.col("_n") * F.lit(train + val)), "val").otherwise("test")
-    return rows.withColumn("_place", place).withColumn("_n", size).withColumn("split", split).drop("_place", "_n")
+    before = F.sum("_own").over(own.orderBy("_run").rowsBetween(Window.unboundedPreceding, -1))
+    runs = counts.select(F.col(stratum).alias("_stratum"), F.col("_run").alias("_at"), F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_own").over(own).alias("_n"))
+    place = F.row_number().over(Window.partitionBy(stratum, "_run").orderBy("_order", key))
+    placed = rows.withColumn("_place", place).join(runs, F.col(stratum).eqNullSafe(F.col("_stratum")) & (F.col("_run") == F.col("_at")))
+    rank = F.col("_place") + F.col("_before")
+    split = F.when(rank <= F.floor(F.col("_n") * train), "train").when(rank <= F.floor(F.col("_n") * F.lit(train + val)), "val").otherwise("test")
+    return placed.withColumn("split", split).drop("_order", "_run", "_place", "_stratum", "_at", "_before", "_n")
 
 
 def triage(old: DataFrame, new: DataFrame, key: str = "key", size: str = "size", grown: float = 1.2, least: int = 500) -> DataFrame:
