@@ -48,11 +48,11 @@ def multilabel_figures(rows: DataFrame, truth: str, guess: str, classes: list[st
     return rows.agg(F.round(F.avg(same), 6).alias("subset_accuracy"), F.round(F.avg(wrong / len(classes)), 6).alias("hamming_loss"), F.round(F.avg(F.arrays_overlap(t, g).cast("double")), 6).alias("any_overlap"))
 
 
-def stratified_split(rows: DataFrame, key: str, stratum: str, train: float = 0.7, val: float = 0.15, seed: int = 42) -> DataFrame:
-    """rows with `split`: of each stratum, in an order by seed, the first floor(train * n) and so on.
+def _placed(rows: DataFrame, key: str, stratum: str, seed: int) -> DataFrame:
+    """rows with `_place`, their rank in the stratum by a seeded hash of the key, and `_n`, the stratum's rows.
 
-    The order is that of a hash, so its leading bits cut each stratum into runs that are ranked apart;
-    a run's first rank comes from the counts before it, and no task holds a stratum.
+    The hash's leading bits cut each stratum into runs that are ranked apart; a run's first rank comes
+    from the counts before it, and no task holds a stratum.
     """
     bits = (int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4).bit_length()
     order = F.xxhash64(F.col(key), F.lit(seed))
@@ -61,11 +61,15 @@ def stratified_split(rows: DataFrame, key: str, stratum: str, train: float = 0.7
     own = Window.partitionBy(stratum)
     before = F.sum("_own").over(own.orderBy("_run").rowsBetween(Window.unboundedPreceding, -1))
     runs = counts.select(F.col(stratum).alias("_stratum"), F.col("_run").alias("_at"), F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_own").over(own).alias("_n"))
-    place = F.row_number().over(Window.partitionBy(stratum, "_run").orderBy("_order", key))
-    placed = rows.withColumn("_place", place).join(runs, F.col(stratum).eqNullSafe(F.col("_stratum")) & (F.col("_run") == F.col("_at")))
-    rank = F.col("_place") + F.col("_before")
-    split = F.when(rank <= F.floor(F.col("_n") * train), "train").when(rank <= F.floor(F.col("_n") * F.lit(train + val)), "val").otherwise("test")
-    return placed.withColumn("split", split).drop("_order", "_run", "_place", "_stratum", "_at", "_before", "_n")
+    within = F.row_number().over(Window.partitionBy(stratum, "_run").orderBy("_order", key))
+    placed = rows.withColumn("_within", within).join(runs, F.col(stratum).eqNullSafe(F.col("_stratum")) & (F.col("_run") == F.col("_at")))
+    return placed.withColumn("_place", F.col("_within") + F.col("_before")).drop("_order", "_run", "_within", "_stratum", "_at", "_before")
+
+
+def stratified_split(rows: DataFrame, key: str, stratum: str, train: float = 0.7, val: float = 0.15, seed: int = 42) -> DataFrame:
+    """rows with `split`: of each stratum, in an order by seed, the first floor(train * n) and so on."""
+    split = F.when(F.col("_place") <= F.floor(F.col("_n") * train), "train").when(F.col("_place") <= F.floor(F.col("_n") * F.lit(train + val)), "val").otherwise("test")
+    return _placed(rows, key, stratum, seed).withColumn("split", split).drop("_place", "_n")
 
 
 def triage(old: DataFrame, new: DataFrame, key: str = "key", size: str = "size", grown: float = 1.2, least: int = 500) -> DataFrame:
@@ -77,9 +81,11 @@ def triage(old: DataFrame, new: DataFrame, key: str = "key", size: str = "size",
 
 def long_and_some_short(rows: DataFrame, key: str, text: str, least: int = 500, short_share: float = 0.1, seed: int = 42) -> DataFrame:
     """All rows of at least so many characters and a share of the shorter, by rank in a seeded order."""
-    short = rows.filter(F.length(text) < least)
-    place = F.percent_rank().over(Window.partitionBy(F.length(text) < least).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key))
-    return rows.withColumn("_rank", place).filter((F.length(text) >= least) | (F.col("_rank") < short_share)).drop("_rank") if short_share else rows.join(short.select(key), key, "left_anti")
+    if not short_share:
+        return rows.join(rows.filter(F.length(text) < least).select(key), key, "left_anti")
+    placed = _placed(rows.withColumn("_short", F.length(text) < least), key, "_short", seed)
+    share = (F.col("_place") - 1) / F.greatest(F.col("_n") - 1, F.lit(1))
+    return placed.filter((F.length(text) >= least) | (share < short_share)).drop("_short", "_place", "_n")
 
 
 def balanced_sample(rows: DataFrame, label: str, each: int, *order: Column) -> DataFrame:
