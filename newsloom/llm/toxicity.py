@@ -1,24 +1,28 @@
 """Operator 8: toxicity by nearest labelled examples under exact TF-IDF cosine.
 
-Terms are words cut to their first `stem` bytes, lower-cased. From a bounded sample of labelled rows the
-terms that mark label 1 beyond chance are kept (see `telling_terms`); they are the vocabulary of the
-index. Document frequencies for the IDF are counted over all documents. The
-labelled sample is indexed by term in postings cut into blocks of documents, each with its largest
-weight. A query's blocks are visited by their bound, the sum of its terms' block maxima, until no
-block can still enter the best k: exact, and most blocks are never read. The k nearest examples vote
-by similarity, against the share of label 1 among examples without any term of the vocabulary.
+Terms are whole words, lower-cased. All terms of a bounded sample of labelled rows are indexed, and norms
+run over all of them; a term's weight is (1 + ln tf) * idf * factor, where the factor grows with the
+evidence that the term marks label 1 (see `factors`) and is 1 for others. Document frequencies are counted
+over all documents. A term that no example has adds nothing to a product and is counted in the norm of a
+text as a term of one document.
+
+Products with the commonest terms are one matrix product, those with the others come from postings, both in
+32 bits; all examples that may be among the best k by them are scored again in 64 bits, so the neighbours
+are exact. Examples with the same terms and counts are one row of the index. The k nearest examples vote by
+similarity, exact copies most, against the share of label 1 in the sample.
 
 Every example has a class of its own to speak for, so the evidence (its id, similarity and label) is
 returned with the score.
 
-Cases: null and empty texts, and texts without a term of the vocabulary, get the prior. Without labels
-of both kinds the vocabulary is empty and all get the share of label 1. A null doc_id counts as the empty
-text for held_out. Equal similarities rank by smaller doc_id. An empty table gives an empty result.
+Cases: null and empty texts, and texts without a term of any example, get the prior. Without labels all
+get 0.5. A null doc_id counts as the empty text for held_out. Equal similarities rank by smaller doc_id. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -27,103 +31,144 @@ from pyspark.sql import functions as F
 
 from newsloom.llm.exchange import framed, loose
 from newsloom.llm.labelled import labelled_sample, remainder
-from newsloom.llm.substring_dedup import member
 from newsloom.llm.tokens import LETTER_DIGIT, LOWER, U64, Words, slices, text_buffers
 
 
-def term_counts(column: pa.Array, stem: int, vocabulary: np.ndarray | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+def term_counts(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """For runs i to j of documents: (i, j, document from i, term, count), sorted by document and term."""
     raw, offsets = text_buffers(column)
     for i, j in slices(offsets):
-        words = Words(LOWER[raw[offsets[i] : offsets[j]]], offsets[i : j + 1] - offsets[i], LETTER_DIGIT, stem)
-        doc, h = words.doc(), words.h
-        if vocabulary is not None:
-            keep = np.flatnonzero(member(vocabulary, h))
-            doc, h = doc[keep], h[keep]
-        order = np.lexsort((h, doc))
-        doc, h = doc[order], h[order]
-        new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])])) if len(h) else np.zeros(0, np.int64)
-        yield i, j, doc[new], h[new], np.diff(np.append(new, len(h)))
-
-
-def telling_terms(terms: list[np.ndarray], label: np.ndarray, least: int = 3, mistakes: float = 0.5) -> np.ndarray:
-    """Sorted terms that mark label 1: so much more common there that of all terms tried at most `mistakes`
-    would be expected to look so by chance (a binomial tail bound), and more often there than not.
-
-    Examples with the same terms count once.
-    """
-    once = np.array(sorted({(x.tobytes(), int(y)): i for i, (x, y) in enumerate(zip(terms, label, strict=True))}.values()), np.int64)
-    terms, label = [terms[i] for i in once], label[once]
-    base = float((label == 1).mean()) if len(label) else 0.0
-    if base in (0.0, 1.0):
-        return np.zeros(0, U64)
-    owner = np.repeat(label, [len(x) for x in terms])
-    term, where = np.unique(np.concatenate(terms), return_inverse=True)
-    a = np.bincount(where[owner == 1], minlength=len(term)).astype(float)
-    n = np.bincount(where, minlength=len(term)).astype(float)
-    share = a / n
-    tried = max(1, int((n >= least).sum()))
+        words = Words(LOWER[raw[offsets[i] : offsets[j]]], offsets[i : j + 1] - offsets[i], LETTER_DIGIT)
+        term, at = np.unique(words.h, return_inverse=True)
+        key = np.sort(words.doc() * max(1, len(term)) + at)
+        new = np.flatnonzero(np.diff(key, prepend=-1))
+        doc, at = np.divmod(key[new], max(1, len(term)))
+        yield i, j, doc, term[at], np.diff(np.append(new, len(key)))
+
+
+def places(vocabulary: np.ndarray, terms: np.ndarray) -> np.ndarray:
+    """Place of each term in the sorted vocabulary, -1 for others."""
+    if not len(vocabulary):
+        return np.full(len(terms), -1)
+    at = np.minimum(np.searchsorted(vocabulary, terms), len(vocabulary) - 1)
+    return np.where(vocabulary[at] == terms, at, -1)
+
+
+def factors(a: np.ndarray, n: np.ndarray, base: float) -> np.ndarray:
+    """Weight of terms in n examples, a of them of label 1: sqrt(1 + evidence), in nats of a binomial
+    likelihood ratio, where label 1 is more common than its share `base`; 1 elsewhere."""
+    if not 0 < base < 1:
+        return np.ones(len(n))
+    share = a / np.maximum(n, 1)
     with np.errstate(divide="ignore", invalid="ignore"):
         apart = n * (share * np.log(share / base) + np.where(share < 1, (1 - share) * np.log((1 - share) / (1 - base)), 0))
-    return term[(a >= least) & (share > 0.5) & (apart >= np.log(tried / mistakes))]
+    return np.where(share > base, np.sqrt(1 + np.maximum(apart, 0)), 1.0)
 
 
 class Index:
-    """Block-max inverted index of labelled examples, given as rows of (id, label, terms, counts)."""
-
-    def __init__(self, ids: np.ndarray, labels: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]], vocabulary: np.ndarray, idf: np.ndarray, block: int = 128) -> None:
-        order = np.argsort(ids, kind="stable")
-        self.vocabulary, self.idf, self.block = vocabulary, idf, block
-        vectors = [self.vector(*rows[i]) for i in order]
-        ids, labels = ids[order], labels[order]
-        size = np.array([len(t) for t, _ in vectors], np.int64)
-        share = labels[size == 0]
-        self.prior = float((share.sum() + 1e-3) / (len(share) + 2e-3)) if len(share) else float(labels.mean()) if len(labels) else 0.5
-        # Examples without a term can't be near anything: they only make the prior.
-        full = np.flatnonzero(size)
-        self.ids, self.labels = ids[full], labels[full]
-        doc = np.repeat(np.arange(len(full)), size[full])
-        term = np.concatenate([vectors[i][0] for i in full] or [np.zeros(0, np.int64)])
-        weight = np.concatenate([vectors[i][1] for i in full] or [np.zeros(0)])
-        self.blocks = -(-len(full) // block)
-        order = np.lexsort((doc, term))
-        self.doc, self.weight, cell = doc[order], weight[order], (term * self.blocks + doc // block)[order] if self.blocks else doc
-        cells = len(vocabulary) * self.blocks
-        self.first = np.searchsorted(cell, np.arange(cells + 1))
-        self.most = np.zeros(cells)
-        np.maximum.at(self.most, cell, self.weight)
-        self.most = self.most.reshape(len(vocabulary), self.blocks)
-
-    def vector(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places in the vocabulary and unit weights (1 + ln tf) * idf."""
-        at = np.searchsorted(self.vocabulary, terms)
-        w = (1 + np.log(counts)) * self.idf[at]
-        return at, w / max(np.sqrt((w * w).sum()), 1e-12)
-
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Examples and similarities of the k nearest with any common term, nearest first."""
-        bound = weights @ self.most[terms]
-        doc, sim = np.zeros(0, np.int64), np.zeros(0)
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(sim) == k and bound[b] < sim[-1] - 1e-12:
-                break
-            total = np.zeros(self.block)
-            for t, w in zip(terms.tolist(), weights.tolist(), strict=True):
-                a, z = self.first[t * self.blocks + b], self.first[t * self.blocks + b + 1]
-                total[self.doc[a:z] - b * self.block] += w * self.weight[a:z]
-            found = np.flatnonzero(total > 0)
-            doc, sim = np.append(doc, found + b * self.block), np.append(sim, total[found])
-            order = np.lexsort((doc, -np.round(sim, 12)))[:k]
-            doc, sim = doc[order], sim[order]
-        return doc, sim
-
-    def score(self, doc: np.ndarray, sim: np.ndarray) -> float:
-        """Votes by squared similarity; half a vote of the prior keeps far neighbours from certainty."""
-        w = sim * sim
-        return float(((w * self.labels[doc]).sum() + 0.5 * self.prior) / (w.sum() + 0.5))
-
-
-def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 5, held: int = 0, bound: int = 20_000, k: int = 15, stem: int = 5, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """Labelled examples by term: all terms of all examples.
+
+    first, place, count: terms of each distinct example, by place in the vocabulary; of: the distinct example
+    of each example. What `nearest` needs beyond that is made where it is first used, not sent.
+    """
+
+    def __init__(self, ids: np.ndarray, labels: np.ndarray, of: np.ndarray, first: np.ndarray, place: np.ndarray, count: np.ndarray, vocabulary: np.ndarray) -> None:
+        order = np.lexsort((ids, of))
+        self.ids, self.labels, self.rows = ids[order], labels[order], np.searchsorted(of[order], np.arange(len(first)))
+        self.first, self.place, self.count, self.vocabulary = first, place, count, vocabulary
+        self.prior = float(labels.mean()) if len(labels) else 0.5
+        self.weight, self.unknown, self.dense = np.ones(len(vocabulary)), 1.0, None
+
+    def weigh(self, frequency: np.ndarray, number: int) -> None:
+        """Term weights from document frequencies and from the labels of distinct examples."""
+        size = np.diff(self.first)
+        # A distinct example has the label that most of its copies have.
+        share = np.add.reduceat(self.labels, self.rows[:-1]) / np.diff(self.rows) if len(size) else np.zeros(0)
+        toxic = share >= 0.5
+        n = np.bincount(self.place, minlength=len(self.vocabulary)).astype(float)
+        a = np.bincount(self.place[np.repeat(toxic, size)], minlength=len(self.vocabulary)).astype(float)
+        idf = np.log((1 + number) / (1 + frequency)) + 1
+        self.weight = idf * factors(a, n, float(toxic.mean()) if len(toxic) else 0.0)
+
+    def open(self, common: int = 512) -> None:
+        """Norms, the matrix of the commonest terms, and postings of the others."""
+        n = len(self.first) - 1
+        w = self.raw(self.place, self.count)
+        example = np.repeat(np.arange(n, dtype=np.int32), np.diff(self.first))
+        self.norm = np.sqrt(np.bincount(example, w * w, n))
+        w = (w / self.norm[example]).astype(np.float32)
+        often = np.bincount(self.place, minlength=len(self.vocabulary))
+        top = np.sort(np.argsort(-often, kind="stable")[:common])
+        self.column = np.full(len(self.vocabulary), -1, np.int32)
+        self.column[top] = np.arange(len(top))
+        at = self.column[self.place]
+        self.dense = np.zeros((len(top), n), np.float32)
+        self.dense[at[at >= 0], example[at >= 0]] = w[at >= 0]
+        rest = np.flatnonzero(at < 0)
+        rest = rest[np.argsort(self.place[rest], kind="stable")]
+        self.example, self.value = example[rest], w[rest]
+        often[top] = 0
+        self.postings = np.concatenate([[0], np.cumsum(often)])
+        self.query = np.zeros(len(self.vocabulary))
+
+    def raw(self, place: np.ndarray, count: np.ndarray) -> np.ndarray:
+        return (1 + np.log(count)) * self.weight[place]
+
+    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], norms: list[float], k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each query (places, weights): examples and similarities of the k nearest with any common term,
+        nearest first."""
+        if self.dense is None:
+            self.open()
+        n = len(self.first) - 1
+        for lo in range(0, len(queries), 64):
+            part = queries[lo : lo + 64]
+            left = np.zeros((len(part), len(self.dense)), np.float32)
+            for i, (place, w) in enumerate(part):
+                at = self.column[place]
+                left[i, at[at >= 0]] = (w / norms[lo + i])[at >= 0]
+            for (place, w), norm, about in zip(part, norms[lo : lo + 64], left @ self.dense, strict=True):
+                a, z = self.postings[place], self.postings[place + 1]
+                at = np.repeat(a - np.concatenate([[0], np.cumsum(z - a)[:-1]]), z - a) + np.arange((z - a).sum())
+                about += np.bincount(self.example[at], self.value[at] * np.repeat((w / norm).astype(np.float32), z - a), n)
+                edge = np.partition(about, n - k)[n - k] if n > k else 0.0
+                # 32 bits are off by less than the margin; products of nothing stay exactly 0.
+                near = np.flatnonzero((about > 0) & (about >= edge - 1e-4))
+                self.query[place] = w / norm
+                sim = np.array([self.query[self.place[a:z]] @ self.raw(self.place[a:z], self.count[a:z]) for a, z in zip(self.first[near].tolist(), self.first[near + 1].tolist(), strict=True)]) / self.norm[near]
+                self.query[place] = 0
+                sim = np.minimum(np.round(sim, 9), 1.0)
+                best = near[sim >= np.sort(sim)[-min(k, len(sim))]] if len(sim) else near
+                value = dict(zip(near.tolist(), sim.tolist(), strict=True))
+                rows = np.concatenate([np.arange(self.rows[x], min(self.rows[x] + k, self.rows[x + 1])) for x in best] or [np.zeros(0, np.int64)])
+                sims = np.array([value[x] for x in best.tolist() for _ in range(min(k, int(self.rows[x + 1] - self.rows[x])))])
+                order = np.lexsort((self.ids[rows], -sims))[:k]
+                yield rows[order], sims[order]
+
+    def score(self, rows: np.ndarray, sim: np.ndarray) -> float:
+        """Votes by squared similarity over distance, so that an exact copy outweighs far neighbours; half a
+        vote of the prior keeps far neighbours from certainty."""
+        w = sim * sim / (1.05 - sim)
+        return float(((w * self.labels[rows]).sum() + 0.5 * self.prior) / (w.sum() + 0.5))
+
+
+def build(rows: pa.Table) -> Index:
+    """The index of rows (doc_id, label, terms, counts)."""
+    ids, labels = rows["doc_id"].to_numpy().astype(np.int64), rows["label"].to_numpy().astype(np.int64)
+    seen: dict[bytes, int] = {}
+    of, terms, counts = np.zeros(len(ids), np.int64), [], []
+    for i, (t, c) in enumerate(zip(rows["terms"], rows["counts"], strict=True)):
+        t, c = t.as_buffer(), c.as_buffer()
+        of[i] = seen.setdefault(blake2b(bytes(t) + bytes(c), digest_size=16).digest(), len(terms) if len(t) else -1)
+        if of[i] == len(terms):
+            terms.append(np.frombuffer(t, U64))
+            counts.append(np.frombuffer(c, np.int32))
+    first = np.concatenate([[0], np.cumsum([len(t) for t in terms])]).astype(np.int64)
+    every = np.concatenate(terms or [np.zeros(0, U64)])
+    vocabulary = np.unique(every)
+    return Index(ids, labels, of, first, np.searchsorted(vocabulary, every).astype(np.int32), np.concatenate(counts or [np.zeros(0, np.int32)]), vocabulary)
+
+
+def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 5, held: int = 0, bound: int = 20_000, k: int = 15, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, held_out, score (probability of label 1), predicted, evidence (nearest examples), text and rest."""
     docs = framed(docs, text, doc_id)
     sample = labelled_sample(docs, labels, label, remainder("doc_id", modulus) != held, bound)
@@ -131,55 +176,67 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", mo
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             terms, counts = [], []
-            for i, j, doc, h, n in term_counts(batch["text"], stem):
+            for i, j, doc, h, n in term_counts(batch["text"]):
                 border = np.searchsorted(doc, np.arange(j - i + 1))
                 terms += [h[a:b].tobytes() for a, b in zip(border[:-1], border[1:], strict=True)]
                 counts += [n[a:b].astype(np.int32).tobytes() for a, b in zip(border[:-1], border[1:], strict=True)]
             yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"].cast(pa.int64()), "label": batch["label"], "terms": pa.array(terms, pa.binary()), "counts": pa.array(counts, pa.binary())})
 
-    rows = sample.mapInArrow(learn, "doc_id long, label int, terms binary, counts binary").collect()
-    ids, marks = np.array([r["doc_id"] for r in rows], np.int64), np.array([r["label"] for r in rows], np.int64)
-    terms = [np.frombuffer(r["terms"], U64) for r in rows]
-    vocabulary = telling_terms(terms, marks)
+    rows = sample.mapInArrow(learn, "doc_id long, label int, terms binary, counts binary").toArrow()
+    index = build(rows)
+    del rows
+    vocabulary = docs.sparkSession.sparkContext.broadcast(index.vocabulary)
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, number = np.zeros(len(vocabulary), np.int64), 0
+        known, number = vocabulary.value, 0
+        total = np.zeros(len(known), np.int64)
         for batch in batches:
             number += batch.num_rows
-            for _, _, _, h, _ in term_counts(batch["text"], stem, vocabulary):
-                total += np.bincount(np.searchsorted(vocabulary, h), minlength=len(vocabulary))
-        yield pa.RecordBatch.from_pydict({"term": pa.array(np.arange(-1, len(vocabulary))), "n": pa.array(np.append(number, total))})
-
-    counted = {r["term"]: r["n"] for r in docs.select("text").mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    number = counted.get(-1, 0)
-    idf = np.array([np.log((1 + number) / (1 + counted.get(t, 0))) + 1 for t in range(len(vocabulary))])
-    examples = []
-    for r, own in zip(rows, terms, strict=True):
-        keep = member(vocabulary, own)
-        examples.append((own[keep], np.frombuffer(r["counts"], np.int32)[keep]))
-    # The index holds at most `bound` examples over the vocabulary they chose: the broadcast is bounded.
-    sent = docs.sparkSession.sparkContext.broadcast(Index(ids, marks, examples, vocabulary, idf))
+            for _, _, _, h, _ in term_counts(batch["text"]):
+                at = places(known, h)
+                total += np.bincount(at[at >= 0], minlength=len(known))
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"term": pa.array(np.append(-1, some)), "n": pa.array(np.append(number, total[some]))})
+
+    counted = docs.select("text").mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    term, times = counted["term"].to_numpy(), counted["n"].to_numpy()
+    frequency = np.zeros(len(index.vocabulary), np.int64)
+    frequency[term[term >= 0]] = times[term >= 0]
+    number = int(times[term < 0].sum())
+    index.weigh(frequency, number)
+    # The index holds the terms of at most `bound` examples: the broadcast is bounded.
+    sent = docs.sparkSession.sparkContext.broadcast(index)
+    # In a norm, terms that no example has count as those of one document.
+    alone = float(np.log((1 + number) / 2) + 1)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, known = sent.value, {}
         for batch in batches:
             scores, evidence = [], []
-            for i, j, doc, h, n in term_counts(batch["text"], stem, index.vocabulary):
+            for i, j, doc, h, n in term_counts(batch["text"]):
+                at = places(index.vocabulary, h)
+                w = (1 + np.log(n)) * np.where(at >= 0, index.weight[at] if len(index.weight) else 0.0, alone)
+                norm = np.sqrt(np.bincount(doc, w * w, j - i))
                 border = np.searchsorted(doc, np.arange(j - i + 1))
-                for a, b in zip(border[:-1].tolist(), border[1:].tolist(), strict=True):
-                    if a == b:
-                        scores.append(index.prior)
-                        evidence.append([])
+                if len(known) > 50_000:
+                    known.clear()
+                keys, new, queries, norms = [], [], [], []
+                for d, (a, b) in enumerate(zip(border[:-1].tolist(), border[1:].tolist(), strict=True)):
+                    own = at[a:b] >= 0
+                    key = blake2b(h[a:b].tobytes() + n[a:b].tobytes(), digest_size=16).digest()
+                    keys.append(key)
+                    if key in known:
                         continue
-                    key = h[a:b].tobytes() + n[a:b].tobytes()
-                    if key not in known:
-                        if len(known) > 50_000:
-                            known.clear()
-                        near, sim = index.nearest(*index.vector(h[a:b], n[a:b]), k)
-                        known[key] = index.score(near, sim), [{"doc_id": int(index.ids[x]), "similarity": float(s), "label": int(index.labels[x])} for x, s in zip(near[:3], sim[:3], strict=True)]
-                    s, e = known[key]
-                    scores.append(s)
-                    evidence.append(e)
+                    known[key] = index.prior, []
+                    if own.any():
+                        new.append(key)
+                        queries.append((at[a:b][own], w[a:b][own]))
+                        norms.append(float(norm[d]))
+                for key, (near, sim) in zip(new, index.nearest(queries, norms, k), strict=True):
+                    known[key] = index.score(near, sim), [{"doc_id": int(index.ids[x]), "similarity": float(s), "label": int(index.labels[x])} for x, s in zip(near[:3], sim[:3], strict=True)]
+                for key in keys:
+                    scores.append(known[key][0])
+                    evidence.append(known[key][1])
             kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("label", pa.int32())]))
             yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "score": pa.array(scores, pa.float64()), "evidence": pa.array(evidence, kind), "text": batch["text"], "rest": loose(batch["rest"])})
 
