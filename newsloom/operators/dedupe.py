@@ -91,9 +91,13 @@ def longest_wins(rows: DataFrame, key: Column, content: str, order: str) -> Data
 
 
 def title_prefix_pairs(items: DataFrame, days: int = 7, least: float = 0.85, size: int = 20) -> DataFrame:
-    """(id, other, similarity) of titles with one beginning, published within so many days, by edit distance."""
-    a = items.select("id", "title", "published_at", F.substring(F.lower("title"), 1, size).alias("head"))
-    b = a.select(F.col("id").alias("other"), F.col("title").alias("t2"), F.col("published_at").alias("p2"), "head")
-    near = a.join(b, "head").filter((F.col("other") < F.col("id")) & (F.abs(F.unix_timestamp("published_at") - F.unix_timestamp("p2")) <= days * 86400))
+    """(id, other, similarity) of titles with one beginning, published within so many days, by edit distance.
+
+    Rows are joined by beginning and by spans of that many days, each with its own span and the two beside it.
+    """
+    moment = F.unix_timestamp("published_at")
+    a = items.select("id", "title", moment.alias("at"), F.substring(F.lower("title"), 1, size).alias("head")).withColumn("span", F.floor(F.col("at") / (days * 86400)))
+    b = a.select(F.col("id").alias("other"), F.col("title").alias("t2"), F.col("at").alias("at2"), "head", F.explode(F.array(F.col("span") - 1, F.col("span"), F.col("span") + 1)).alias("span"))
+    near = a.join(b, ["head", "span"]).filter((F.col("other") < F.col("id")) & (F.abs(F.col("at") - F.col("at2")) <= days * 86400))
     ratio = 1 - F.levenshtein("title", "t2") / F.greatest(F.length("title"), F.length("t2"), F.lit(1))
     return near.withColumn("similarity", F.round(ratio, 6)).filter(F.col("similarity") > least).select("id", "other", "similarity")

@@ -75,6 +75,11 @@ def _(m):
     return D.title_prefix_pairs(m.items.filter("id < 4000"))
 
 
+@add("title_prefix_pairs_all", "D09 Z04", """SELECT a.id, b.id AS other, round(1 - levenshtein(a.title, b.title)::DOUBLE / greatest(length(a.title), length(b.title)), 6) AS similarity FROM items a JOIN items b ON substr(lower(a.title), 1, 20) = substr(lower(b.title), 1, 20) AND b.id < a.id AND abs(epoch(a.published_at) - epoch(b.published_at)) <= 604800 WHERE round(1 - levenshtein(a.title, b.title)::DOUBLE / greatest(length(a.title), length(b.title)), 6) > 0.85""")
+def _(m):
+    return D.title_prefix_pairs(m.items)
+
+
 _SIM = "round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6)"
 _KNN = f"SELECT q.vec_id AS query_id, v.vec_id, {_SIM} AS score, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY {_SIM} DESC, v.vec_id) AS INTEGER) AS rank FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE {{w}}"
 
