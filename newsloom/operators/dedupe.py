@@ -68,7 +68,10 @@ def recheck(unchecked: DataFrame, items: DataFrame, matches: DataFrame) -> DataF
     """(id, similar_to_id, method) for backlog items: a lower id with the same address in another channel,
     else the first of five matches by score (query_id, vec_id, rank, score) that is lower and confirmed."""
     own = unchecked.select("id", "url", "channel_id")
-    stored = items.select(F.col("id").alias("other"), "url", F.col("channel_id").alias("other_channel"))
+    # The least id of an address, and the least of another channel than that one's, answer all its rows.
+    channels = items.filter("url IS NOT NULL").groupBy("url", "channel_id").agg(F.min("id").alias("id"))
+    place = F.row_number().over(Window.partitionBy("url").orderBy("id"))
+    stored = channels.withColumn("place", place).filter("place <= 2").select(F.col("id").alias("other"), "url", F.col("channel_id").alias("other_channel"))
     by_url = own.join(stored, "url").filter((F.col("other") < F.col("id")) & (F.col("other_channel") != F.col("channel_id"))).groupBy("id").agg(F.min("other").alias("similar_to_id")).withColumn("method", F.lit("url"))
     near = matches.filter((F.col("rank") <= 5) & (F.col("score") >= CONFIRMED) & (F.col("vec_id") < F.col("query_id"))).groupBy(F.col("query_id").alias("id")).agg(F.min_by("vec_id", "rank").alias("similar_to_id")).withColumn("method", F.lit("semantic"))
     return by_url.unionByName(near.join(own, "id", "left_semi").join(by_url, "id", "left_anti"))

@@ -117,10 +117,16 @@ def _(m):
 
 @add("dedupe_recheck", "D06 D07", "WITH u AS (SELECT a.id, min(b.id) AS similar_to_id FROM items a JOIN items b ON a.url = b.url AND b.id < a.id AND a.channel_id <> b.channel_id WHERE a.similar_to_id IS NULL AND a.id < 3000 GROUP BY 1), k AS (" + _KNN.format(w="true") + "), s AS (SELECT query_id AS id, arg_min(vec_id, rank) AS similar_to_id FROM k WHERE rank <= 5 AND score >= 0.75 AND vec_id < query_id GROUP BY 1) SELECT id, similar_to_id, 'url' AS method FROM u UNION ALL SELECT s.id, s.similar_to_id, 'semantic' FROM s JOIN items i ON i.id = s.id WHERE i.similar_to_id IS NULL AND s.id NOT IN (SELECT id FROM u)")
 def _(m):
-    unchecked = m.items.filter("similar_to_id IS NULL AND id < 3000")
+    # The SQL looks up addresses of ids below 3000 only, and vectors of the whole backlog.
+    unchecked = m.items.filter("similar_to_id IS NULL").withColumn("url", F.when(F.col("id") < 3000, F.col("url")))
     return D.recheck(unchecked, m.items, _knn(m, 5, "true")).select("id", "similar_to_id", "method")
 
 
+@add("dedupe_recheck_all", "D06 D07", "WITH u AS (SELECT a.id, min(b.id) AS similar_to_id FROM items a JOIN items b ON a.url = b.url AND b.id < a.id AND a.channel_id <> b.channel_id WHERE a.similar_to_id IS NULL GROUP BY 1), k AS (" + _KNN.format(w="true") + "), s AS (SELECT query_id AS id, arg_min(vec_id, rank) AS similar_to_id FROM k WHERE rank <= 5 AND score >= 0.75 AND vec_id < query_id GROUP BY 1) SELECT id, similar_to_id, 'url' AS method FROM u UNION ALL SELECT s.id, s.similar_to_id, 'semantic' FROM s JOIN items i ON i.id = s.id WHERE i.similar_to_id IS NULL AND s.id NOT IN (SELECT id FROM u)")
+def _(m):
+    return D.recheck(m.items.filter("similar_to_id IS NULL"), m.items, _knn(m, 5, "true")).select("id", "similar_to_id", "method")
+
+
 @add("confirmed_candidates", "D07", "SELECT id, CASE WHEN id % 3 = 0 THEN id + 1 ELSE similar_to_id END AS similar_to_id FROM items")
 def _(m):
     verdicts = m.items.select("id", (F.col("id") + 1).alias("candidate_id"), (F.col("id") % 3 == 0).alias("is_duplicate"))
