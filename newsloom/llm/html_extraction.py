@@ -11,7 +11,9 @@ in with the best of its children. No block is kept below a node that is left out
 in doubt.
 
 Cases: null or empty pages give the empty text. Scripts, styles, comments, head and the like never
-give text. Unclosed and stray tags are closed as browsers do for paragraphs, list items and cells;
+give text; formulas do. Unclosed and stray tags are closed as browsers do for paragraphs, list items and
+cells. A head ends at the first text or tag that can't stand in one; a muted tag that the page never closes
+ends at the next block, and any of them where an element around it closes;
 a tag cut off at the end of the page is dropped. A page whose nodes are all out has the empty
 text. Repeated rows are separate pages. Other columns
 travel in the struct column `rest`. An empty table gives an empty result.
@@ -33,10 +35,13 @@ from pyspark.sql import functions as F
 from newsloom.llm.exchange import loose
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+(?:>|\Z)|<[a-zA-Z][^>]*+\Z", re.S)
-MUTE = frozenset("script style noscript template head title svg textarea iframe canvas object audio video select math".split())
+MUTE = frozenset("script style noscript template head title svg textarea iframe canvas object audio video select".split())
+#: What may stand in a head; and blocks, which end a muted tag that the page never closes.
+HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
+BLOCKS = frozenset("address article aside blockquote caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 RAW = frozenset("script style textarea title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark meter nobr output picture q ruby rp rt s samp small source span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark meter nobr output picture q ruby rp rt s samp small source span strike strong sub sup time tt u var wbr math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mstyle mpadded mphantom mspace merror mtable mtr mtd mmultiscripts mprescripts semantics annotation annotation-xml".split())
 #: An opening tag that ends an open element of its kind, up to the nearest of the tags that bound it.
 ENDS = {
     "li": (("li",), ("ul", "ol", "menu")),
@@ -80,7 +85,10 @@ class Page:
         self.blocks: list[tuple[int, str, int]] = []  # node, text, characters in links
         stack, open_ = [("body", 0)], 0
         run: list[str] = []
-        linked, in_link, mute, at = 0, False, 0, 0
+        linked, in_link, at = 0, False, 0
+        mute: list[tuple[str, bool]] = []  # muted tags around, and whether the page closes them
+        inner: list[str] = []  # blocks opened inside of them
+        pairs: dict[str, set[int]] = {}
 
         def flush() -> None:
             nonlocal run, linked
@@ -95,10 +103,45 @@ class Page:
             del stack[size:]
             open_ = stack[-1][1]
 
+        def closed(name: str, start: int) -> bool:
+            if name not in pairs:
+                waiting, pairs[name] = [], set()
+                for t in re.finditer(rf"<(/?){name}(?=[\s/>])([^<>]*)", html, re.I):
+                    if not t[1] and not t[2].endswith("/"):
+                        waiting.append(t.start())
+                    elif t[1] and waiting:
+                        pairs[name].add(waiting.pop())
+            return start in pairs[name]
+
+        def only_head() -> bool:
+            return len(mute) == 1 and mute[0][0] == "head"
+
+        def inside(name: str, closing: bool) -> bool:
+            """Whether a tag belongs to the muted tags around; ends those that it ends."""
+            if name == "body" or name == "html" and closing:
+                mute.clear()
+            elif closing:
+                if name in inner:
+                    del inner[len(inner) - 1 - inner[::-1].index(name) :]
+                elif name not in INLINE and not any(end and x in ("object", "template") for x, end in mute) and any(x == name for x, _ in stack[1:]):
+                    mute.clear()
+            elif only_head() and name not in HEAD:
+                mute.clear()
+            else:
+                while name in BLOCKS and mute and not mute[-1][1]:
+                    mute.pop()
+                if name not in INLINE and name not in VOID:
+                    inner.append(name)
+            if not mute:
+                inner.clear()
+            return bool(mute)
+
         find, n = TOKEN.search, len(html)
         while at < n:
             m = find(html, at)
             end = m.start() if m else n
+            if only_head() and html[at:end].strip():
+                mute.clear()
             if end > at and not mute:
                 run.append(html[at:end])
                 if in_link:
@@ -112,16 +155,21 @@ class Page:
             closing, attrs = m[1] or m[4], m[3] or m[6] or ""
             if name in MUTE:
                 if closing:
-                    mute = max(0, mute - (name not in RAW))
-                elif name in RAW:
+                    names = [x for x, _ in mute]
+                    if name in names:
+                        del mute[len(names) - 1 - names[::-1].index(name) :]
+                        if not mute:
+                            inner.clear()
+                    continue
+                if only_head() and name not in HEAD:
+                    mute.clear()
+                if name in RAW:
                     m = re.compile(rf"</{name}[^>]*>", re.I).search(html, at)
                     at = m.end() if m else n
                 elif not attrs.endswith("/"):
-                    mute += 1
+                    mute.append((name, name != "head" and closed(name, m.start())))
                 continue
-            if mute:
-                if name == "body" and not closing:
-                    mute = 0
+            if mute and inside(name, bool(closing)):
                 continue
             if name in INLINE:
                 if name == "a":
