@@ -145,7 +145,7 @@ def write_jsonl(rows: DataFrame, path: str) -> None:
 
 
 def briefing_text(items: DataFrame) -> DataFrame:
-    """One text a priority, lines by score, for a briefing; the number of lines is the briefing's own limit."""
+    """One text a priority, lines by score, for the items that a briefing selects (see `listing.briefing`), at most some hundreds."""
     line = F.format_string("- %s (%d)", F.col("title"), F.col("priority_score"))
     ordered = F.sort_array(F.collect_list(F.struct((-F.col("priority_score")).alias("s"), "id", line.alias("line"))))
     return items.groupBy("priority").agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("body"), F.count("*").alias("n"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from newsloom.functions.text import content_hash, normalize_title
 from newsloom.operators import dedupe as D
 from newsloom.operators import evaluate as E
+from newsloom.operators import listing as L
 from newsloom.operators import mutate as M
 from newsloom.operators import vectors as V
 from newsloom.plans.model import AS_OF, Catalog
@@ -349,6 +350,12 @@ def _(m):
     return M.briefing_text(m.items.filter("priority IS NOT NULL AND id < 500"))
 
 
+@add("briefing_text_selected", "K19 A25", "WITH b AS (SELECT id, title, priority, priority_score FROM items WHERE fetched_at >= TIMESTAMP '1997-01-01' AND NOT is_read AND priority IN ('high', 'medium') ORDER BY priority_score DESC, fetched_at DESC, id DESC LIMIT 200) SELECT priority, string_agg('- ' || title || ' (' || CAST(priority_score AS STRING) || ')', chr(10) ORDER BY priority_score DESC, id) AS body, count(*) AS n FROM b GROUP BY 1")
+def _(m):
+    chosen = L.briefing(m.items, datetime(1997, 1, 1), "medium").orderBy(F.col("priority_score").desc(), F.col("fetched_at").desc(), F.col("id").desc()).limit(200)
+    return M.briefing_text(chosen)
+
+
 @add("labels_merged", "U03 E09 S16", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 1 - quality ELSE quality END AS quality FROM labels", model=False)
 def _(m):
     l = m.table("labels").select("doc_id", "quality")
