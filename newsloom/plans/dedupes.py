@@ -71,6 +71,14 @@ def _(m):
     return D.longest_wins(m.table("documents"), F.lower(F.substring("text", 1, 12)), "text", "doc_id").select("doc_id")
 
 
+_TITLE = rf"substr(trim(regexp_replace(regexp_replace(lower({_FIRST}), '[^\p{{L}}\p{{M}}\p{{N}}\p{{Pc}}\s]', '', 'g'), '\s+', ' ', 'g')), 1, 100)"
+
+
+@add("dedupe_longest_title", "D08 W03", f"SELECT doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY {_TITLE} ORDER BY length(text) DESC, doc_id) = 1", model=False)
+def _(m):
+    return D.longest_wins(_docs(m), normalize_title(F.col("title")), "content", "seq").select(F.col("seq").alias("doc_id"))
+
+
 @add("title_prefix_pairs", "D09 Z04", """SELECT a.id, b.id AS other, round(1 - levenshtein(a.title, b.title)::DOUBLE / greatest(length(a.title), length(b.title)), 6) AS similarity FROM items a JOIN items b ON substr(lower(a.title), 1, 20) = substr(lower(b.title), 1, 20) AND b.id < a.id AND abs(epoch(a.published_at) - epoch(b.published_at)) <= 604800 WHERE a.id < 4000 AND round(1 - levenshtein(a.title, b.title)::DOUBLE / greatest(length(a.title), length(b.title)), 6) > 0.85""")
 def _(m):
     return D.title_prefix_pairs(m.items.filter("id < 4000"))
@@ -372,3 +380,9 @@ def _(m):
     d = m.table("documents").select("doc_id", F.lower(F.substring("text", 1, 30)).alias("k"))
     counts = d.groupBy("k").agg(F.count("*").alias("n"))
     return d.filter("doc_id % 5 = 0").join(counts, "k").select("doc_id", "n")
+
+
+@add("title_lookup", "J15 E10", f"WITH d AS (SELECT doc_id, {_TITLE} AS k FROM documents) SELECT doc_id, count(*) OVER (PARTITION BY k) AS n FROM d WHERE k IS NOT NULL", model=False)
+def _(m):
+    d = _docs(m).select(F.col("seq").alias("doc_id"), normalize_title(F.col("title")).alias("k"))
+    return d.join(d.groupBy("k").agg(F.count("*").alias("n")), "k").select("doc_id", "n")

@@ -205,6 +205,12 @@ def _(m):
     return C.with_model(rows, "prompt", lambda texts: [t.upper() for t in texts]).select("item_id", "answer")
 
 
+@add("model_calls_whole", "V13 X42")
+def _(m):
+    rows = m.table("benchmark").select("item_id", F.col("text").alias("prompt"))
+    return C.with_model(rows, "prompt", lambda texts: [t.upper() for t in texts]).select("item_id", "answer")
+
+
 @add("content_hashes_differ", "X02 D01", "SELECT count(DISTINCT sha256(text)) AS n FROM documents", model=False)
 def _(m):
     return m.table("documents").select(content_hash(F.col("text")).alias("h")).agg(F.count_distinct("h").alias("n"))
