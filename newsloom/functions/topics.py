@@ -36,6 +36,15 @@ def mapped(tags: Column, table: dict[str, str]) -> Column:
     return F.try_element_at(F.array_compact(F.transform(tags, lambda t: F.try_element_at(pairs, F.lower(F.trim(t))))), F.lit(1))
 
 
+def map_tags(rows: DataFrame, tags: str, table: DataFrame, key: str = "id") -> DataFrame:
+    """(key, topic) of rows whose array of tags holds any that the table (tag, topic, place) knows: the topic of the
+    first such tag. The map is a landed table, not code: its tags count trimmed and in lower case, and of equal tags
+    the last place counts."""
+    known = table.groupBy(F.lower(F.trim("tag")).alias("_tag")).agg(F.max_by("topic", "place").alias("_topic"))
+    said = rows.select(key, F.posexplode(tags).alias("_at", "_said")).withColumn("_tag", F.lower(F.trim("_said")))
+    return said.join(known, "_tag").groupBy(key).agg(F.min_by("_topic", "_at").alias("topic"))
+
+
 # Organisations of source names that carry a platform; other names lose the platform's suffix.
 ORGANISATIONS = {
     "FAZ Aktuell": "FAZ (Frankfurter Allgemeine)", "FAZ Gesellschaft": "FAZ (Frankfurter Allgemeine)", "FAZ Rhein-Main": "FAZ (Frankfurter Allgemeine)", "FAZ (X.com)": "FAZ (Frankfurter Allgemeine)",
@@ -52,3 +61,12 @@ def organisation(name: Column) -> Column:
     for pattern in (r"\s*\(X\.com\)$", r"\s*\(Mastodon\)$", r"\s*\(Bluesky\)$", r"\s+Instagram$", r"\s+Telegram$"):
         bare = F.regexp_replace(bare, "(?i)" + pattern, "")
     return F.coalesce(F.try_element_at(pairs, name), F.trim(bare))
+
+
+# Of the names above, those whose channel keeps a name of its own.
+CHANNELS = {"FAZ Aktuell": "Aktuell", "FAZ Gesellschaft": "Gesellschaft", "FAZ Rhein-Main": "Rhein-Main", "FR Politik": "Politik"}
+
+
+def channel_of(name: Column) -> Column:
+    """The channel's own name within its organisation, where a source's name tells one, else null."""
+    return F.try_element_at(F.create_map(*(F.lit(x) for pair in CHANNELS.items() for x in pair)), name)

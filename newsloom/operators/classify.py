@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import IDF, CountVectorizer, HashingTF, IndexToString, NGram, Normalizer, RegexTokenizer, SQLTransformer, StringIndexer
+from pyspark.ml.feature import IDF, CountVectorizer, HashingTF, IndexToString, NGram, Normalizer, RegexTokenizer, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,13 +28,25 @@ class Tfidf:
         words = self.words.fit(rows)
         # Counts and IDF pass over the words several times, so they are made once and kept until the fit is done.
         kept = words.transform(rows).select("_both").persist()
+        try:
+            return self._fitted(words, kept)
+        finally:
+            kept.unpersist()
+
+    def _fitted(self, words: PipelineModel, kept: DataFrame) -> Callable[[DataFrame], DataFrame]:
         counts = self.count.fit(kept)
         log = lambda df: df.withColumn("_log", array_to_vector(F.transform(vector_to_array("_tf"), lambda x: F.when(x > 0, 1 + F.log(x)).otherwise(0.0))))
         idf = self.idf.fit(log(counts.transform(kept)))
-        kept.unpersist()
         return lambda df: self.unit.transform(idf.transform(log(counts.transform(words.transform(df))))).drop("_one", "_two", "_both", "_tf", "_log", "_idf")
 
 
+def with_features(rows: DataFrame, columns: list[Column], features: str = "features") -> DataFrame:
+    """rows whose vector ends in further numbers; a null counts as 0."""
+    names = [f"_f{i}" for i in range(len(columns))]
+    wide = rows.withColumns({n: F.coalesce(c.cast("double"), F.lit(0.0)) for n, c in zip(names, columns, strict=True)})
+    return VectorAssembler(inputCols=[features, *names], outputCol="_all").transform(wide).drop(features, *names).withColumnRenamed("_all", features)
+
+
 def vectors(rows: DataFrame, column: str) -> DataFrame:
     return rows.withColumn("features", array_to_vector(F.col(column).cast("array<double>")))
 
@@ -56,19 +68,25 @@ class Hierarchy:
     def fit(self, rows: DataFrame) -> Hierarchy:
         """rows: features, relevant (0 or 1) and the further labels."""
         # Every stage passes over the features again, so they are made once and kept until the fit is done.
-        rows = balanced(F.col("relevant"), rows.select("features", "relevant", *self.further))
-        kept = rows.persist()
+        kept = balanced(F.col("relevant"), rows.select("features", "relevant", *self.further)).persist()
+        try:
+            self._fit(kept)
+        finally:
+            kept.unpersist()
+        return self
+
+    def _fit(self, rows: DataFrame) -> None:
         self.relevance = LogisticRegression(featuresCol="features", labelCol="relevant", weightCol="weight", maxIter=50, regParam=0.01, probabilityCol="_p", rawPredictionCol="_raw", predictionCol="_y").fit(rows)
         inner = rows.filter("relevant = 1")
+        # One pass counts the rows of every further label.
+        counts = inner.agg(*(F.count(F.col(name)).alias(name) for name in self.further)).first() if self.further else {}
         for name in self.further:
-            own = inner.filter(F.col(name).isNotNull())
-            if own.count() <= LEAST_ROWS:
+            if counts[name] <= LEAST_ROWS:
                 continue
+            own = inner.filter(F.col(name).isNotNull())
             index = StringIndexer(inputCol=name, outputCol=f"_{name}_i", stringOrderType="alphabetAsc", handleInvalid="keep").fit(own)
             forest = RandomForestClassifier(featuresCol="features", labelCol=f"_{name}_i", numTrees=self.trees, maxDepth=8, seed=self.seed, probabilityCol=f"_{name}_p", rawPredictionCol=f"_{name}_r", predictionCol=f"_{name}_y").fit(index.transform(own))
             self.models[name] = PipelineModel([forest, IndexToString(inputCol=f"_{name}_y", outputCol=f"{name}_guess", labels=[*index.labels, ""])])
-        kept.unpersist()
-        return self
 
     def predict(self, rows: DataFrame) -> DataFrame:
         """rows with confidence, relevant_guess (confidence over a half) and, only where relevant, the further guesses."""

@@ -17,11 +17,17 @@ def drop_known(batch: DataFrame, history: DataFrame) -> DataFrame:
     A row that is dropped still counts as earlier for neither rule: the first of each key is kept by
     (channel_id, external_id) first and, of those left, by content_hash.
     """
-    out = batch.join(history.select("channel_id", "external_id"), ["channel_id", "external_id"], "left_anti")
-    out = out.join(history.select("content_hash"), "content_hash", "left_anti")
-    for keys in (["channel_id", "external_id"], ["content_hash"]):
-        out = out.withColumn("_place", F.row_number().over(Window.partitionBy(*keys).orderBy("seq"))).filter("_place = 1").drop("_place")
-    return out
+    out = batch.join(history.select("channel_id", "external_id").distinct(), ["channel_id", "external_id"], "left_anti")
+    out = out.join(history.select("content_hash").distinct(), "content_hash", "left_anti")
+    return _least(_least(out, [F.col("channel_id"), F.col("external_id")], F.col("seq")), [F.col("content_hash")], F.col("seq"))
+
+
+def _least(rows: DataFrame, key: list[Column], order: Column) -> DataFrame:
+    """The row of least order of each key. An aggregate, not a window: it combines before the shuffle, so a key that a
+    third of all rows share reaches its task as one row from each task before."""
+    whole = F.struct(*(F.col(f"`{c}`") for c in rows.columns))
+    best = rows.groupBy(*(k.alias(f"_key{i}") for i, k in enumerate(key))).agg(F.min_by(whole, F.struct(order)).alias("_row"))
+    return best.select("_row.*")
 
 
 def link_by_url(batch: DataFrame, history: DataFrame, normalized: bool = False) -> DataFrame:
@@ -32,8 +38,17 @@ def link_by_url(batch: DataFrame, history: DataFrame, normalized: bool = False)
     own = batch.select("seq", F.col("channel_id").alias("own_channel"), "url")
     if normalized:
         own = own.withColumn("clean", normalize_url_exact("url")).filter(F.col("clean") != F.col("url")).select("seq", "own_channel", F.col("clean").alias("url"))
-    stored = history.select("url", "channel_id", "id")
-    return own.join(stored, "url").filter(F.col("channel_id") != F.col("own_channel")).groupBy("seq").agg(F.min("id").alias("similar_to_id"))
+    linked = own.join(two_least(history), "url").filter(F.col("channel_id") != F.col("own_channel"))
+    return linked.groupBy("seq").agg(F.min("id").alias("similar_to_id"))
+
+
+def two_least(items: DataFrame) -> DataFrame:
+    """(url, channel_id, id): of each address the channel with the least id, and the least id of another channel than
+    that one. These two answer any row's question for the least id of another channel, however hot the address."""
+    first = items.filter("url IS NOT NULL AND channel_id IS NOT NULL").groupBy("url", "channel_id").agg(F.min("id").alias("id"))
+    top = first.groupBy("url").agg(F.min(F.struct("id", "channel_id")).alias("top"))
+    rest = first.join(top, "url").filter(F.col("channel_id") != F.col("top.channel_id")).groupBy("url").agg(F.min(F.struct("id", "channel_id")).alias("top"))
+    return top.unionByName(rest).select("url", "top.channel_id", "top.id")
 
 
 def title_pairs(rows: DataFrame, threshold: float = 0.7, key: str = "seq", title: str = "title", within: str | None = None) -> DataFrame:
@@ -55,9 +70,17 @@ def title_pairs(rows: DataFrame, threshold: float = 0.7, key: str = "seq", title
     return alike.select(F.least("a", "b").alias("first"), F.greatest("a", "b").alias("later")).distinct()
 
 
-def link_by_title(batch: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """(seq, first): the first earlier item of the batch with a similar title; it may itself be linked."""
-    return title_pairs(batch, threshold).groupBy(F.col("later").alias("seq")).agg(F.min("first").alias("first"))
+def link_by_title(batch: DataFrame, threshold: float = 0.7, key: str = "seq", title: str = "title") -> DataFrame:
+    """(seq, first): the first earlier item of the batch with a similar title; it may itself be linked.
+
+    Titles of the same words are one row with its least key while pairs are found, so copies make no pairs.
+    """
+    rows = batch.select(F.col(key).alias("seq"), F.array_join(F.array_sort(title_words(F.col(title))), " ").alias("words")).filter("words <> ''")
+    sets = rows.groupBy("words").agg(F.min("seq").alias("least"))
+    pairs = title_pairs(sets, threshold, "least", "words")
+    near = pairs.groupBy(F.col("later").alias("least")).agg(F.min("first").alias("_near"))
+    best = sets.join(near, "least", "left").select("words", F.coalesce("_near", "least").alias("first"))
+    return rows.join(best, "words").filter(F.col("first") < F.col("seq")).select("seq", "first")
 
 
 def semantic_class(score: Column) -> Column:
@@ -68,10 +91,7 @@ def recheck(unchecked: DataFrame, items: DataFrame, matches: DataFrame) -> DataF
     """(id, similar_to_id, method) for backlog items: a lower id with the same address in another channel,
     else the first of five matches by score (query_id, vec_id, rank, score) that is lower and confirmed."""
     own = unchecked.select("id", "url", "channel_id")
-    # The least id of an address, and the least of another channel than that one's, answer all its rows.
-    channels = items.filter("url IS NOT NULL").groupBy("url", "channel_id").agg(F.min("id").alias("id"))
-    place = F.row_number().over(Window.partitionBy("url").orderBy("id"))
-    stored = channels.withColumn("place", place).filter("place <= 2").select(F.col("id").alias("other"), "url", F.col("channel_id").alias("other_channel"))
+    stored = two_least(items).select(F.col("id").alias("other"), "url", F.col("channel_id").alias("other_channel"))
     by_url = own.join(stored, "url").filter((F.col("other") < F.col("id")) & (F.col("other_channel") != F.col("channel_id"))).groupBy("id").agg(F.min("other").alias("similar_to_id")).withColumn("method", F.lit("url"))
     near = matches.filter((F.col("rank") <= 5) & (F.col("score") >= CONFIRMED) & (F.col("vec_id") < F.col("query_id"))).groupBy(F.col("query_id").alias("id")).agg(F.min_by("vec_id", "rank").alias("similar_to_id")).withColumn("method", F.lit("semantic"))
     return by_url.unionByName(near.join(own, "id", "left_semi").join(by_url, "id", "left_anti"))
@@ -84,13 +104,12 @@ def promote(items: DataFrame, verdicts: DataFrame) -> DataFrame:
 
 
 def first_wins(rows: DataFrame, key: Column, order: str) -> DataFrame:
-    return rows.withColumn("_key", key).withColumn("_place", F.row_number().over(Window.partitionBy("_key").orderBy(order))).filter("_place = 1").drop("_key", "_place")
+    return _least(rows, [key], F.col(order))
 
 
 def longest_wins(rows: DataFrame, key: Column, content: str, order: str) -> DataFrame:
     """Of each key the longest content; the first of equally long ones."""
-    own = Window.partitionBy("_key").orderBy(F.length(content).desc(), order)
-    return rows.withColumn("_key", key).withColumn("_place", F.row_number().over(own)).filter("_place = 1").drop("_key", "_place")
+    return _least(rows, [key], F.struct(-F.coalesce(F.length(content), F.lit(-1)), F.col(order)))
 
 
 def title_prefix_pairs(items: DataFrame, days: int = 7, least: float = 0.85, size: int = 20) -> DataFrame:

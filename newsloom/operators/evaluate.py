@@ -80,12 +80,11 @@ def triage(old: DataFrame, new: DataFrame, key: str = "key", size: str = "size",
 
 
 def long_and_some_short(rows: DataFrame, key: str, text: str, least: int = 500, short_share: float = 0.1, seed: int = 42) -> DataFrame:
-    """All rows of at least so many characters and a share of the shorter, by rank in a seeded order."""
+    """All rows of at least so many characters and the whole part of a share of the shorter, by rank in a seeded order."""
     if not short_share:
         return rows.join(rows.filter(F.length(text) < least).select(key), key, "left_anti")
-    placed = _placed(rows.withColumn("_short", F.length(text) < least), key, "_short", seed)
-    share = (F.col("_place") - 1) / F.greatest(F.col("_n") - 1, F.lit(1))
-    return placed.filter((F.length(text) >= least) | (share < short_share)).drop("_short", "_place", "_n")
+    placed = _placed(rows.withColumn("_short", F.coalesce(F.length(text) < least, F.lit(True))), key, "_short", seed)
+    return placed.filter(~F.col("_short") | (F.col("_place") <= F.floor(F.col("_n") * F.lit(short_share)))).drop("_short", "_place", "_n")
 
 
 def balanced_sample(rows: DataFrame, label: str, each: int, *order: Column) -> DataFrame:
@@ -96,3 +95,15 @@ def agreement(rows: DataFrame, a: str, b: str) -> DataFrame:
     """How often two verdicts agree and in which way they don't."""
     x, y = F.col(a), F.col(b)
     return rows.agg(F.count("*").alias("n"), F.count_if(x == y).alias("agree"), F.count_if(x & ~y).alias("only_first"), F.count_if(~x & y).alias("only_second"), F.count_if(x.isNull() | y.isNull()).alias("missing"))
+
+
+def bake_off(rows: DataFrame, models: list[str]) -> DataFrame:
+    """How often each model is right and how long it takes: (model, relevant, ak, priority, seconds, relevant_rows).
+
+    rows: relevant, ak, priority and, for each model, <model>_relevant, _ak, _priority and _seconds. Groups and
+    priorities count on relevant rows only; seconds is the mean of a row.
+    """
+    same = lambda m, c: F.col(c).eqNullSafe(F.col(f"{m}_{c}"))
+    one = lambda m: F.struct(F.lit(m).alias("model"), same(m, "relevant").alias("r"), (F.col("relevant") & same(m, "ak")).alias("a"), (F.col("relevant") & same(m, "priority")).alias("p"), F.col(f"{m}_seconds").alias("s"), F.col("relevant").alias("t"))
+    each = rows.select(F.explode(F.array(*map(one, models))).alias("x")).select("x.*")
+    return each.groupBy("model").agg(F.count_if("r").alias("relevant"), F.count_if("a").alias("ak"), F.count_if("p").alias("priority"), F.round(F.avg("s"), 6).alias("seconds"), F.count_if("t").alias("relevant_rows"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from newsloom.functions.text import priority_order, priority_rank
 
@@ -195,11 +198,53 @@ def redacted(config: Column, words: list[str]) -> Column:
     return F.transform_values(config, lambda k, v: F.when(F.rlike(F.lower(k), F.lit(pattern)) & (v != ""), "<REDACTED>").otherwise(v))
 
 
+def config_problems(sources: DataFrame, channels: DataFrame, rules: DataFrame, version: str, kinds: list[str], current: str = "1.0") -> DataFrame:
+    """(path, severity, message) of what is wrong with a configuration before it is imported.
+
+    sources: place and name; channels: source, place, connector_type and config (a map); rules: place, name, rule_type
+    and pattern. Names that come again (case ignored), values left redacted and broken patterns are errors; unknown
+    connectors and another version are warnings.
+    """
+
+    def again(rows: DataFrame, what: str) -> DataFrame:
+        first = rows.groupBy(F.lower("name").alias("_name")).agg(F.min("place").alias("_first"))
+        later = rows.withColumn("_name", F.lower("name")).join(first, "_name").filter(F.col("place") > F.col("_first"))
+        return later.select(F.format_string(f"{what}s[%d].name", "place").alias("path"), F.lit("error").alias("severity"), F.format_string(f"Duplicate {what} name: '%s'", "name").alias("message"))
+
+    at = F.format_string("sources[%d].channels[%d]", "source", "place")
+    unknown = channels.filter(~F.col("connector_type").isin(*kinds)).select(F.concat(at, F.lit(".connector_type")).alias("path"), F.lit("warning").alias("severity"), F.format_string("Unknown connector type: '%s'", "connector_type").alias("message"))
+    left = channels.select(at.alias("at"), F.explode(F.map_keys(F.map_filter("config", lambda _, v: v == "<REDACTED>"))).alias("key"))
+    left = left.select(F.concat("at", F.lit(".config."), "key").alias("path"), F.lit("error").alias("severity"), F.format_string("Redacted value not replaced: '%s'", "key").alias("message"))
+    broken = rules.filter(F.col("rule_type") == "regex").withColumn("_why", regex_error("pattern")).filter("_why IS NOT NULL")
+    broken = broken.select(F.format_string("rules[%d].pattern", "place").alias("path"), F.lit("error").alias("severity"), F.concat(F.lit("Invalid regex pattern: "), "_why").alias("message"))
+    other = sources.sparkSession.range(1).filter(F.lit(version != current)).select(F.lit("version").alias("path"), F.lit("warning").alias("severity"), F.lit(f"Config version '{version}' differs from current '{current}'").alias("message"))
+    return again(sources, "source").unionByName(again(rules, "rule")).unionByName(unknown).unionByName(left).unionByName(broken).unionByName(other)
+
+
+def regex_error(pattern: Column | str) -> Column:
+    """Why a pattern doesn't compile, else null."""
+
+    def why(pattern: str | None) -> str | None:
+        try:
+            re.compile(pattern or "")
+        except re.error as e:
+            return str(e)
+        return None
+
+    @F.pandas_udf(T.StringType())
+    def each(patterns: pd.Series) -> pd.Series:
+        return patterns.map(why)
+
+    return each(pattern)
+
+
 # Words of keys whose values are never exported.
 SENSITIVE = ["api_key", "api_secret", "password", "secret", "token", "access_token", "refresh_token", "cookie", "cookies", "auth", "authorization", "credentials", "private_key"]
 
 
-def latest(rows: DataFrame, key: str | list[str], *order: Column) -> DataFrame:
-    """The first row of each key in the given order, which must end in a unique column."""
+def latest(rows: DataFrame, key: str | list[str], *newest: str) -> DataFrame:
+    """The last row of each key by the given columns, of which the last must be unique; a null is older than any value.
+    An aggregate that combines before the shuffle, so a hot key is one row a task."""
     keys = [key] if isinstance(key, str) else key
-    return rows.withColumn("_place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_place = 1").drop("_place")
+    whole = F.struct(*(F.col(f"`{c}`") for c in rows.columns))
+    return rows.groupBy(*(F.col(k).alias(f"_key{i}") for i, k in enumerate(keys))).agg(F.max_by(whole, F.struct(*newest)).alias("_row")).select("_row.*")

@@ -9,19 +9,22 @@ from pyspark.sql import functions as F
 
 from newsloom.functions.urls import identifier
 from newsloom.operators.listing import latest
+from newsloom.shared import settled
 
 
 def with_ids(new: DataFrame, old: DataFrame, order: str, key: str = "id") -> DataFrame:
     """new rows with ids that follow the largest id of old, in the given order.
 
-    Rows are numbered within ranges of the order and the ranges' sizes added up, so no task sees all.
+    Rows are numbered within ranges of the order and the ranges' sizes added up, so no task sees all. Ranges are
+    named once and kept, as Spark may cut them anew each time that they are computed.
     """
     top = old.agg(F.coalesce(F.max(key), F.lit(0)).alias("_top"))
-    parts = new.repartitionByRange(F.col(order)).withColumn("_part", F.spark_partition_id())
+    parts = settled(new.repartitionByRange(F.col(order)).withColumn("_part", F.spark_partition_id()))
     sizes = parts.groupBy("_part").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_before")
     place = F.row_number().over(Window.partitionBy("_part").orderBy(order))
-    return parts.withColumn("_place", place).join(before, "_part").crossJoin(F.broadcast(top)).withColumn(key, F.col("_top") + F.col("_before") + F.col("_place")).drop("_part", "_place", "_before", "_top")
+    # One row a range, and one row: both bounded by the number of partitions.
+    return parts.withColumn("_place", place).join(F.broadcast(before), "_part").crossJoin(F.broadcast(top)).withColumn(key, F.col("_top") + F.col("_before") + F.col("_place")).drop("_part", "_place", "_before", "_top")
 
 
 def events(rows: DataFrame, kind: str, at: datetime, item: str = "id", data: Column | None = None) -> DataFrame:
@@ -69,6 +72,35 @@ def marked(rows: DataFrame, field: str, value: Column, where: Column) -> DataFra
     return rows.withColumn(field, F.when(where, value).otherwise(F.col(field)))
 
 
+def flagged_for_model(items: DataFrame) -> DataFrame:
+    """items where those without a summary wait for the model; those with one keep their flag."""
+    return marked(items, "needs_llm_processing", F.lit(True), F.col("summary").isNull())
+
+
+def without_key(metadata: Column, key: str) -> Column:
+    """A JSON object as text without a key; other values keep their types, and what is no object stays as it is."""
+    parts = F.from_json(metadata, "map<string,variant>")
+    return F.when(F.map_contains_key(parts, key), F.to_json(F.map_filter(parts, lambda k, _: k != key))).otherwise(metadata)
+
+
+def reanalysed(items: DataFrame, answers: DataFrame) -> DataFrame:
+    """items with a model's answers (id, summary, priority, assigned_aks) written in; items without one stay.
+
+    A blank summary and an empty list of groups leave what was there. The model's scale is one step above the
+    items': critical is high, high is medium, medium is low, all else is none. What was answered waits no more.
+    """
+    said = answers.select("id", F.lit(True).alias("_said"), F.nullif("summary", F.lit("")).alias("_summary"), F.col("priority").alias("_priority"), F.when(F.size("assigned_aks") > 0, F.col("assigned_aks")).alias("_groups"))
+    step = F.when(F.col("_priority") == "critical", "high").when(F.col("_priority") == "high", "medium").when(F.col("_priority") == "medium", "low").otherwise("none")
+    both = items.join(said, "id", "left")
+    new = {
+        "summary": F.coalesce("_summary", "summary"), "priority": F.when(F.col("_said"), step).otherwise(F.col("priority")),
+        "assigned_ak": F.coalesce(F.try_element_at("_groups", F.lit(1)), "assigned_ak"), "needs_llm_processing": F.col("needs_llm_processing") & F.col("_said").isNull(),
+    }
+    if "assigned_aks" in items.columns:
+        new["assigned_aks"] = F.coalesce("_groups", "assigned_aks")
+    return both.withColumns(new).drop("_said", "_summary", "_priority", "_groups")
+
+
 def archive_group(items: DataFrame, ids: DataFrame) -> DataFrame:
     """Ids of the given items, their primaries, the primaries' other duplicates and their own: one hop, no further."""
     chosen = items.join(ids.select("id"), "id", "left_semi").select("id", "similar_to_id")
@@ -127,7 +159,7 @@ def new_message(messages: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def newest(rows: DataFrame, key: str, at: str, last: str) -> DataFrame:
-    return latest(rows, key, F.col(at).desc(), F.col(last).desc())
+    return latest(rows, key, at, last)
 
 
 def training_records(items: DataFrame, least: float = 0.0, size: int = 2000) -> DataFrame:

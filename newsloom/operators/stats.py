@@ -108,7 +108,7 @@ def duration_quantile(logs: DataFrame, q: float) -> DataFrame:
 
 def disagreements(items: DataFrame, logs: DataFrame) -> DataFrame:
     """Items whose latest classifier and model results differ in priority or group; null never differs."""
-    pick = lambda step, p: latest(logs.filter(F.col("step_type") == step), "item_id", F.col("created_at").desc(), F.col("id").desc()).select("item_id", F.col("priority_output").alias(f"{p}_priority"), F.col("ak_primary").alias(f"{p}_group"))
+    pick = lambda step, p: latest(logs.filter(F.col("step_type") == step), "item_id", "created_at", "id").select("item_id", F.col("priority_output").alias(f"{p}_priority"), F.col("ak_primary").alias(f"{p}_group"))
     both = pick("classifier", "classifier").join(pick("llm_analysis", "model"), "item_id")
     differs = (F.col("classifier_priority") != F.col("model_priority")) | (F.col("classifier_group") != F.col("model_group"))
     return both.filter(differs).join(items.select(F.col("id").alias("item_id"), "title"), "item_id")

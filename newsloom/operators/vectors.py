@@ -1,8 +1,7 @@
 """Vector search by cosine, weighted votes and pooling.
 
-A search multiplies blocks of queries with the table's Arrow batches in numpy and keeps each batch's best
-k; only those lists are shuffled and merged. Queries are sent in blocks of at most `QUERIES` rows, so
-no broadcast grows with the data.
+A search multiplies blocks of queries with shards of the table in numpy, both of bounded size, and keeps each
+tile's best k; only those lists are shuffled and merged. Neither the driver nor a broadcast holds queries.
 """
 
 from __future__ import annotations
@@ -14,52 +13,60 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-QUERIES = 2048
+#: Components (of eight bytes) in a block of queries and in a shard of the table.
+BLOCK, SHARD, STEP = 1 << 20, 1 << 22, 4096
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    flat = column.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
-    m = flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
-    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+def _unit(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Ids in order and unit vectors of rows of equal length."""
+    ids = table["id"].to_numpy()
+    m = pa.concat_arrays([c.flatten() for c in table["vec"].chunks]).to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+    order = np.argsort(ids, kind="stable")
+    return ids[order], (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12))[order]
 
 
-def _numbered(queries: DataFrame) -> Iterator[list]:
-    block: list = []
-    for row in queries.toLocalIterator():
-        block.append(row)
-        if len(block) == QUERIES:
-            yield block
-            block = []
-    if block:
-        yield block
+def _packed(table: pa.Table) -> pa.Table:
+    ids, m = _unit(table)
+    return pa.table({"dim": table["dim"][:1], "part": table["part"][:1], "ids": pa.array([ids.tobytes()], pa.binary()), "body": pa.array([m.tobytes()], pa.binary())})
+
+
+def best_of(scores: np.ndarray, k: int) -> np.ndarray:
+    """Which k of each row's scores are the highest, ties to the left."""
+    if scores.shape[1] <= k:
+        return np.ones(scores.shape, bool)
+    edge = np.partition(scores, scores.shape[1] - k, axis=1)[:, -k][:, None]
+    above, level = scores > edge, scores == edge
+    return above | (level & (level.cumsum(1) <= k - above.sum(1, keepdims=True)))
 
 
 def knn(vectors: DataFrame, queries: DataFrame, k: int, exclude_self: bool = True, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, score) of the k nearest by cosine, score rounded to six digits, ties to smaller ids."""
-    spark = vectors.sparkSession
-    table = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).alias("embedding")).filter("embedding IS NOT NULL")
-    found = None
-    for block in _numbered(queries.select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).alias("e")).filter("e IS NOT NULL")):
-        ids = np.array([r["id"] for r in block], np.int64)
-        q = np.array([r["e"] for r in block], float)
-        sent = spark.sparkContext.broadcast((ids, q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)))
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            ids, q = sent.value
-            for batch in batches:
-                own = batch["vec_id"].to_numpy()
-                scores = np.round(q @ _matrix(batch["embedding"]).T, 6)
-                if exclude_self:
-                    scores[ids[:, None] == own[None, :]] = -np.inf
-                keep = min(k, scores.shape[1])
-                edge = np.partition(scores, scores.shape[1] - keep, axis=1)[:, -keep][:, None]
-                i, j = np.nonzero((scores >= edge) & np.isfinite(scores))
-                yield pa.RecordBatch.from_pydict({"query_id": ids[i], "vec_id": own[j], "score": scores[i, j]})
-
-        part = table.mapInArrow(run, "query_id long, vec_id long, score double")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    """(query_id, rank, vec_id, score) of the k nearest by cosine, score rounded to six digits, ties to smaller ids.
+
+    Null and empty vectors and null ids take no part, nor do vectors of another length than the query's."""
+    own = lambda df: df.select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).cast("array<double>").alias("vec")).filter("id IS NOT NULL AND size(vec) > 0").withColumn("dim", F.size("vec"))
+    table, asked = own(vectors), own(queries)
+    tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = lambda df, size: int(df.agg(F.coalesce(F.sum("dim"), F.lit(0))).first()[0]) // size + 1
+    shards, blocks = max(tasks, parts(table, SHARD)), parts(asked, BLOCK)
+    deal = lambda df, n: df.withColumn("part", F.pmod(F.xxhash64("id", "vec"), F.lit(n)).cast("int")).groupBy("dim", "part").applyInArrow(_packed, "dim int, part int, ids binary, body binary")
+    # A stated set of queries against all rows: every block meets every shard.
+    asked = deal(asked, blocks).select("dim", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("part"), F.col("ids").alias("q_ids"), F.col("body").alias("q_body"))
+    tiles = deal(table, shards).join(asked, ["dim", "part"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                q_ids, ids = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["ids"], np.int64)
+                q, m = np.frombuffer(row["q_body"]).reshape(len(q_ids), -1), np.frombuffer(row["body"]).reshape(len(ids), -1)
+                for a in range(0, len(ids), STEP):
+                    scores = np.round(q @ m[a : a + STEP].T, 6)
+                    scores[np.isnan(scores)] = -np.inf
+                    if exclude_self:
+                        scores[q_ids[:, None] == ids[a : a + STEP][None, :]] = -np.inf
+                    i, j = np.nonzero(best_of(scores, k) & np.isfinite(scores))
+                    yield pa.RecordBatch.from_pydict({"query_id": q_ids[i], "vec_id": ids[a + j], "score": scores[i, j]})
+
+    found = tiles.mapInArrow(run, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -82,6 +89,30 @@ def weighted_vote(matches: DataFrame, labels: DataFrame, label: str, key: str =
     return votes.withColumn("share", F.round(F.col("weight") / total, 6)).withColumn("place", place).filter("place = 1").select("query_id", "label", "share")
 
 
+def similar_relevant(matches: DataFrame, labels: DataFrame, n: int, relevant: Column, key: str = "vec_id") -> DataFrame:
+    """The first n of over-fetched matches (three times as many) that are relevant; may be fewer."""
+    yes = labels.filter(relevant).select(F.col(key).alias("vec_id"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
+    return matches.join(yes, "vec_id", "left_semi").withColumn("place", place).filter(F.col("place") <= n).select("query_id", F.col("place").cast("int").alias("place"), "vec_id", "score")
+
+
+def hierarchical_vote(matches: DataFrame, labels: DataFrame, key: str = "vec_id", k: int = 7, n: int = 5) -> DataFrame:
+    """(query_id, relevant, relevant_share, priority, priority_share, ak, ak_share) from matches of rank 1 to 3 * n at
+    least and labels (relevant, priority, ak).
+
+    The first k vote on relevance. Where that is relevant, the first n relevant ones of 3 * n vote on priority and
+    group; without any of them these are medium and QAG, at a half.
+    """
+    first = weighted_vote(matches.filter(F.col("rank") <= k), labels, "relevant", key).select("query_id", F.col("label").alias("relevant"), F.col("share").alias("relevant_share"))
+    near = similar_relevant(matches.filter(F.col("rank") <= 3 * n), labels, n, F.col("relevant"), key).withColumnRenamed("place", "rank")
+    near = near.join(first.filter("relevant").select("query_id"), "query_id", "left_semi")
+    out = first
+    for name, other in (("priority", "medium"), ("ak", "QAG")):
+        vote = weighted_vote(near, labels, name, key).select("query_id", F.col("label").alias(name), F.col("share").alias(f"{name}_share"))
+        out = out.join(vote, "query_id", "left").withColumn(f"{name}_share", F.when(F.col("relevant"), F.coalesce(f"{name}_share", F.lit(0.5)))).withColumn(name, F.when(F.col("relevant"), F.coalesce(name, F.lit(other))))
+    return out
+
+
 def mislabelled(matches: DataFrame, labels: DataFrame, label: str, agreement: float = 0.7, key: str = "vec_id") -> DataFrame:
     """Rows whose neighbours' majority class differs from their own, with at least that share of them."""
     own = labels.select(F.col(key).alias("query_id"), F.col(label).alias("own"))

@@ -66,9 +66,9 @@ def _(m):
     return D.first_wins(_docs(m), F.lower(F.trim("title")), "seq").select(F.col("seq").alias("doc_id"))
 
 
-@add("dedupe_longest", "D08 W03", "SELECT doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY lower(substr(text, 1, 12)) ORDER BY length(text) DESC, doc_id) = 1", model=False)
+@add("dedupe_longest", "D08 W03", f"SELECT doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY lower(trim({_FIRST})) ORDER BY length(text) DESC, doc_id) = 1", model=False)
 def _(m):
-    return D.longest_wins(m.table("documents"), F.lower(F.substring("text", 1, 12)), "text", "doc_id").select("doc_id")
+    return D.longest_wins(_docs(m), F.lower(F.trim("title")), "content", "seq").select(F.col("seq").alias("doc_id"))
 
 
 _TITLE = rf"substr(trim(regexp_replace(regexp_replace(lower({_FIRST}), '[^\p{{L}}\p{{M}}\p{{N}}\p{{Pc}}\s]', '', 'g'), '\s+', ' ', 'g')), 1, 100)"
@@ -79,12 +79,11 @@ def _(m):
     return D.longest_wins(_docs(m), normalize_title(F.col("title")), "content", "seq").select(F.col("seq").alias("doc_id"))
 
 
-@add("title_prefix_pairs", "D09 Z04", """SELECT a.id, b.id AS other, round(1 - levenshtein(a.title, b.title)::DOUBLE / greatest(length(a.title), length(b.title)), 6) AS similarity FROM items a JOIN items b ON substr(lower(a.title), 1, 20) = substr(lower(b.title), 1, 20) AND b.id < a.id AND abs(epoch(a.published_at) - epoch(b.published_at)) <= 604800 WHERE a.id < 4000 AND round(1 - levenshtein(a.title, b.title)::DOUBLE / greatest(length(a.title), length(b.title)), 6) > 0.85""")
-def _(m):
-    return D.title_prefix_pairs(m.items.filter("id < 4000"))
+_PREFIX = """SELECT a.id, b.id AS other, round(1 - levenshtein(a.title, b.title)::DOUBLE / greatest(length(a.title), length(b.title)), 6) AS similarity FROM items a JOIN items b ON substr(lower(a.title), 1, 20) = substr(lower(b.title), 1, 20) AND b.id < a.id AND abs(epoch(a.published_at) - epoch(b.published_at)) <= 604800 WHERE round(1 - levenshtein(a.title, b.title)::DOUBLE / greatest(length(a.title), length(b.title)), 6) > 0.85"""
 
 
-@add("title_prefix_pairs_all", "D09 Z04", """SELECT a.id, b.id AS other, round(1 - levenshtein(a.title, b.title)::DOUBLE / greatest(length(a.title), length(b.title)), 6) AS similarity FROM items a JOIN items b ON substr(lower(a.title), 1, 20) = substr(lower(b.title), 1, 20) AND b.id < a.id AND abs(epoch(a.published_at) - epoch(b.published_at)) <= 604800 WHERE round(1 - levenshtein(a.title, b.title)::DOUBLE / greatest(length(a.title), length(b.title)), 6) > 0.85""")
+@add("title_prefix_pairs", "D09 Z04", _PREFIX)
+@add("title_prefix_pairs_all", "D09 Z04", _PREFIX)
 def _(m):
     return D.title_prefix_pairs(m.items)
 
@@ -108,30 +107,49 @@ def _(m):
     return _knn(m, 5).select("query_id", "vec_id", "score", D.semantic_class(F.col("score")).alias("kind"))
 
 
-@add("similar_elsewhere", "V02 V05", "WITH k AS (" + _KNN.format(w="q.vec_id % 25 = 0") + "), o AS (SELECT k.*, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank) AS INTEGER) AS place FROM k WHERE rank <= 15 AND vec_id % 4 <> query_id % 4) SELECT query_id, place, vec_id, score FROM o WHERE place <= 5", model=False)
+@add("similar_elsewhere", "V02", "WITH k AS (" + _KNN.format(w="q.vec_id % 25 = 0") + "), o AS (SELECT k.*, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank) AS INTEGER) AS place FROM k WHERE rank <= 15 AND vec_id % 4 <> query_id % 4) SELECT query_id, place, vec_id, score FROM o WHERE place <= 5", model=False)
 def _(m):
     items = m.table("embeddings").select("vec_id", (F.col("vec_id") % 4).alias("source"))
     return V.similar_elsewhere(_knn(m, 15), items, 5)
 
 
-@add("knn_vote", "V04 A26", "WITH k AS (" + _KNN.format(w="q.vec_id % 25 = 0") + "), v AS (SELECT query_id, e.label, sum(score) AS w, min(rank) AS met FROM k JOIN embeddings e USING (vec_id) WHERE rank <= 7 GROUP BY ALL), t AS (SELECT *, round(w / sum(w) OVER (PARTITION BY query_id), 6) AS share, row_number() OVER (PARTITION BY query_id ORDER BY round(w, 9) DESC, met) AS place FROM v) SELECT query_id, label, share FROM t WHERE place = 1", model=False)
+@add("knn_vote", "A26", "WITH k AS (" + _KNN.format(w="q.vec_id % 25 = 0") + "), v AS (SELECT query_id, e.label, sum(score) AS w, min(rank) AS met FROM k JOIN embeddings e USING (vec_id) WHERE rank <= 7 GROUP BY ALL), t AS (SELECT *, round(w / sum(w) OVER (PARTITION BY query_id), 6) AS share, row_number() OVER (PARTITION BY query_id ORDER BY round(w, 9) DESC, met) AS place FROM v) SELECT query_id, label, share FROM t WHERE place = 1", model=False)
 def _(m):
     return V.weighted_vote(_knn(m, 7), m.table("embeddings"), "label")
 
 
+_JUDGES = "j AS (SELECT vec_id, label < 5 AS relevant, CASE label % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS priority, 'AK' || CAST(label % 4 + 1 AS STRING) AS ak FROM embeddings)"
+
+
+def _judges(m):
+    n = F.col("label")
+    return m.table("embeddings").select("vec_id", (n < 5).alias("relevant"), F.when(n % 3 == 0, "high").when(n % 3 == 1, "medium").otherwise("low").alias("priority"), F.concat(F.lit("AK"), (n % 4 + 1).cast("string")).alias("ak"))
+
+
+def _vote_sql(name: str, source: str) -> str:
+    return f"(SELECT query_id, {name}, round(w / sum(w) OVER (PARTITION BY query_id), 6) AS {name}_share, row_number() OVER (PARTITION BY query_id ORDER BY round(w, 9) DESC, met) AS p FROM (SELECT query_id, {name}, sum(score) AS w, min(rank) AS met FROM {source} GROUP BY ALL))"
+
+
+@add("knn_hierarchy", "V04", "WITH " + _JUDGES + ", k AS (" + _KNN.format(w="q.vec_id % 25 = 0") + "), x AS (SELECT k.*, relevant, priority, ak FROM k JOIN j USING (vec_id)), r AS (SELECT * FROM " + _vote_sql("relevant", "(SELECT * FROM x WHERE rank <= 7)") + " WHERE p = 1), n AS (SELECT x.query_id, score, priority, ak, rank FROM x JOIN r ON r.query_id = x.query_id AND r.relevant WHERE x.rank <= 15 AND x.relevant QUALIFY row_number() OVER (PARTITION BY x.query_id ORDER BY rank) <= 5), pv AS (SELECT * FROM " + _vote_sql("priority", "n") + " WHERE p = 1), av AS (SELECT * FROM " + _vote_sql("ak", "n") + " WHERE p = 1) SELECT query_id, relevant, relevant_share, CASE WHEN relevant THEN coalesce(priority, 'medium') END AS priority, CASE WHEN relevant THEN coalesce(priority_share, 0.5) END AS priority_share, CASE WHEN relevant THEN coalesce(ak, 'QAG') END AS ak, CASE WHEN relevant THEN coalesce(ak_share, 0.5) END AS ak_share FROM r LEFT JOIN pv USING (query_id) LEFT JOIN av USING (query_id)", model=False)
+def _(m):
+    return V.hierarchical_vote(_knn(m, 15), _judges(m)).select("query_id", "relevant", "relevant_share", "priority", "priority_share", "ak", "ak_share")
+
+
+@add("similar_relevant", "V05", "WITH " + _JUDGES + ", k AS (" + _KNN.format(w="q.vec_id % 25 = 0") + ") SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank) AS INTEGER) AS place, vec_id, score FROM k JOIN j USING (vec_id) WHERE rank <= 15 AND relevant QUALIFY place <= 5", model=False)
+def _(m):
+    return V.similar_relevant(_knn(m, 15), _judges(m), 5, F.col("relevant"))
+
+
 @add("mislabel_candidates", "V06", "WITH k AS (" + _KNN.format(w="true") + "), v AS (SELECT query_id, e.label, count(*) AS n FROM k JOIN embeddings e USING (vec_id) WHERE rank <= 7 GROUP BY ALL), t AS (SELECT *, round(n / sum(n) OVER (PARTITION BY query_id), 6) AS share, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, label) AS place FROM v) SELECT query_id, o.label AS own, t.label AS suggested, share FROM t JOIN embeddings o ON o.vec_id = query_id WHERE place = 1 AND t.label <> o.label AND share >= 0.5", model=False)
 def _(m):
     return V.mislabelled(_knn(m, 7, "true"), m.table("embeddings"), "label", 0.5)
 
 
-@add("dedupe_recheck", "D06 D07", "WITH u AS (SELECT a.id, min(b.id) AS similar_to_id FROM items a JOIN items b ON a.url = b.url AND b.id < a.id AND a.channel_id <> b.channel_id WHERE a.similar_to_id IS NULL AND a.id < 3000 GROUP BY 1), k AS (" + _KNN.format(w="true") + "), s AS (SELECT query_id AS id, arg_min(vec_id, rank) AS similar_to_id FROM k WHERE rank <= 5 AND score >= 0.75 AND vec_id < query_id GROUP BY 1) SELECT id, similar_to_id, 'url' AS method FROM u UNION ALL SELECT s.id, s.similar_to_id, 'semantic' FROM s JOIN items i ON i.id = s.id WHERE i.similar_to_id IS NULL AND s.id NOT IN (SELECT id FROM u)")
-def _(m):
-    # The SQL looks up addresses of ids below 3000 only, and vectors of the whole backlog.
-    unchecked = m.items.filter("similar_to_id IS NULL").withColumn("url", F.when(F.col("id") < 3000, F.col("url")))
-    return D.recheck(unchecked, m.items, _knn(m, 5, "true")).select("id", "similar_to_id", "method")
+_RECHECK = "WITH u AS (SELECT a.id, min(b.id) AS similar_to_id FROM items a JOIN items b ON a.url = b.url AND b.id < a.id AND a.channel_id <> b.channel_id WHERE a.similar_to_id IS NULL GROUP BY 1), k AS (" + _KNN.format(w="true") + "), s AS (SELECT query_id AS id, arg_min(vec_id, rank) AS similar_to_id FROM k WHERE rank <= 5 AND score >= 0.75 AND vec_id < query_id GROUP BY 1) SELECT id, similar_to_id, 'url' AS method FROM u UNION ALL SELECT s.id, s.similar_to_id, 'semantic' FROM s JOIN items i ON i.id = s.id WHERE i.similar_to_id IS NULL AND s.id NOT IN (SELECT id FROM u)"
 
 
-@add("dedupe_recheck_all", "D06 D07", "WITH u AS (SELECT a.id, min(b.id) AS similar_to_id FROM items a JOIN items b ON a.url = b.url AND b.id < a.id AND a.channel_id <> b.channel_id WHERE a.similar_to_id IS NULL GROUP BY 1), k AS (" + _KNN.format(w="true") + "), s AS (SELECT query_id AS id, arg_min(vec_id, rank) AS similar_to_id FROM k WHERE rank <= 5 AND score >= 0.75 AND vec_id < query_id GROUP BY 1) SELECT id, similar_to_id, 'url' AS method FROM u UNION ALL SELECT s.id, s.similar_to_id, 'semantic' FROM s JOIN items i ON i.id = s.id WHERE i.similar_to_id IS NULL AND s.id NOT IN (SELECT id FROM u)")
+@add("dedupe_recheck", "D06 D07", _RECHECK)
+@add("dedupe_recheck_all", "D06 D07", _RECHECK)
 def _(m):
     return D.recheck(m.items.filter("similar_to_id IS NULL"), m.items, _knn(m, 5, "true")).select("id", "similar_to_id", "method")
 
@@ -194,7 +212,7 @@ def _(m):
     return E.class_figures(_guessed(m))
 
 
-@add("eval_macro_f1", "E02 E03 E13", _CLASS + " SELECT (SELECT round(avg(CAST(t = g AS INTEGER)), 6) FROM l) AS accuracy, (SELECT round(avg(round(coalesce(2 * tp / nullif(n + support, 0), 0), 6)), 6) FROM f) AS macro_f1")
+@add("eval_macro_f1", "E02 E03", _CLASS + " SELECT (SELECT round(avg(CAST(t = g AS INTEGER)), 6) FROM l) AS accuracy, (SELECT round(avg(round(coalesce(2 * tp / nullif(n + support, 0), 0), 6)), 6) FROM f) AS macro_f1")
 def _(m):
     return E.macro_figures(_guessed(m))
 
@@ -224,10 +242,22 @@ def _(m):
     return E.stratified_split(m.table("labels"), "doc_id", "quality").groupBy("quality", "split").agg(F.count("*").alias("n"))
 
 
-@add("sample_long_and_short", "E09", "SELECT count(*) FILTER (length(text) >= 500) AS long FROM documents", model=False)
+@add("sample_long_and_short", "E09", "SELECT count(*) FILTER (length(text) >= 500) AS long, CAST(floor(0.1 * count(*) FILTER (length(text) < 500)) AS BIGINT) AS short FROM documents", model=False)
 def _(m):
     out = E.long_and_some_short(m.table("documents"), "doc_id", "text")
-    return out.agg(F.count_if(F.length("text") >= 500).alias("long"))
+    return out.agg(F.count_if(F.length("text") >= 500).alias("long"), F.count_if(F.length("text") < 500).alias("short"))
+
+
+@add("model_bake_off", "E13", """WITH r AS (SELECT *, relevance_score > 0.4 AS rel FROM items), p AS (SELECT 'fast' AS model, rel, (id % 3 <> 0) = rel AS a, coalesce(model_ak, 'QAG') IS NOT DISTINCT FROM assigned_ak AS b, CASE WHEN is_read THEN 'high' ELSE 'none' END IS NOT DISTINCT FROM priority AS c, CAST(id % 10 AS DOUBLE) / 1000 AS s FROM r
+UNION ALL SELECT 'slow', rel, is_starred = rel, ('AK' || CAST(id % 5 + 1 AS STRING)) IS NOT DISTINCT FROM assigned_ak, 'high' IS NOT DISTINCT FROM priority, CAST(id % 7 AS DOUBLE) FROM r) SELECT model, count(*) FILTER (a) AS relevant, count(*) FILTER (rel AND b) AS ak, count(*) FILTER (rel AND c) AS priority, round(avg(s), 6) AS seconds, count(*) FILTER (rel) AS relevant_rows FROM p GROUP BY 1""")
+def _(m):
+    k = F.col("id")
+    rows = m.items.select(
+        (F.col("relevance_score") > 0.4).alias("relevant"), F.col("assigned_ak").alias("ak"), "priority",
+        (k % 3 != 0).alias("fast_relevant"), F.coalesce("model_ak", F.lit("QAG")).alias("fast_ak"), F.when(F.col("is_read"), "high").otherwise("none").alias("fast_priority"), ((k % 10).cast("double") / 1000).alias("fast_seconds"),
+        F.col("is_starred").alias("slow_relevant"), F.concat(F.lit("AK"), (k % 5 + 1).cast("string")).alias("slow_ak"), F.lit("high").alias("slow_priority"), (k % 7).cast("double").alias("slow_seconds"),
+    )
+    return E.bake_off(rows, ["fast", "slow"])
 
 
 @add("relabel_triage", "E10", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'new' WHEN n_chars > (n_chars * (CASE WHEN doc_id % 2 = 0 THEN 0.5 ELSE 0.9 END)) * 1.2 AND n_chars >= 500 THEN 'relabel' ELSE 'keep' END AS action FROM documents", model=False)
@@ -253,6 +283,27 @@ def _(m):
     return M.patched(m.items, patch, ["priority"]).select("id", "priority", "is_manually_reviewed")
 
 
+@add("items_flagged_for_model", "K16", "SELECT id, needs_llm_processing OR summary IS NULL AS flag FROM items")
+def _(m):
+    return M.flagged_for_model(m.items).select("id", F.col("needs_llm_processing").alias("flag"))
+
+
+@add("metadata_key_removed", "K20", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '{\"a\":' || CAST(event_id AS STRING) || ',\"b\":\"x' || event_type || '\"}' ELSE '{\"a\":1}' END AS metadata FROM events", model=False)
+def _(m):
+    n = F.col("event_id").cast("string")
+    body = F.concat(F.lit('{"a":'), n, F.lit(',"duplicate_checked":true,"b":"x'), F.col("event_type"), F.lit('"}'))
+    metadata = F.when(F.col("event_id") % 3 == 0, body).otherwise('{"a":1}')
+    return m.table("events").select("event_id", M.without_key(metadata, "duplicate_checked").alias("metadata"))
+
+
+@add("items_reanalysed", "K23", """SELECT id, CASE WHEN id % 3 <> 0 THEN summary WHEN id % 2 = 0 THEN 'Neu ' || CAST(id AS STRING) ELSE summary END AS summary, CASE WHEN id % 3 <> 0 THEN priority ELSE CASE id % 5 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' WHEN 2 THEN 'low' ELSE 'none' END END AS priority, CASE WHEN id % 3 = 0 AND id % 4 = 0 THEN 'AK2' ELSE assigned_ak END AS assigned_ak, needs_llm_processing AND id % 3 <> 0 AS waits FROM items""")
+def _(m):
+    k = F.col("id") % 5
+    said = F.when(k == 0, "critical").when(k == 1, "high").when(k == 2, "medium").when(k == 3, "low")
+    answers = m.items.filter("id % 3 = 0").select("id", F.when(F.col("id") % 2 == 0, F.concat(F.lit("Neu "), F.col("id").cast("string"))).otherwise("").alias("summary"), said.alias("priority"), F.when(F.col("id") % 4 == 0, F.array(F.lit("AK2"), F.lit("AK1"))).otherwise(F.array().cast("array<string>")).alias("assigned_aks"))
+    return M.reanalysed(m.items, answers).select("id", "summary", "priority", "assigned_ak", F.col("needs_llm_processing").alias("waits"))
+
+
 @add("items_marked_read", "K13", "SELECT id, is_read OR channel_id = 3 AS is_read, is_archived <> (id % 2 = 0) AS is_archived FROM items")
 def _(m):
     read = M.marked(m.items, "is_read", F.lit(True), F.col("channel_id") == 3)
@@ -272,7 +323,7 @@ def _(m):
     return kept.select("id", "similar_to_id")
 
 
-@add("settings_upserted", "K06 K20", "SELECT n_nationkey AS key, CASE WHEN n_nationkey < 5 THEN 'neu' ELSE n_name END AS value FROM nation UNION ALL SELECT 100, 'neu'", model=False)
+@add("settings_upserted", "K06", "SELECT n_nationkey AS key, CASE WHEN n_nationkey < 5 THEN 'neu' ELSE n_name END AS value FROM nation UNION ALL SELECT 100, 'neu'", model=False)
 def _(m):
     old = m.table("nation").select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("value"))
     new = m.spark.range(5).select(F.col("id").cast("int").alias("key"), F.lit("neu").alias("value")).unionByName(m.spark.range(1).select(F.lit(100).alias("key"), F.lit("neu").alias("value")))
@@ -353,12 +404,11 @@ def _(m):
     return out.select(F.col("provenance.item_id").alias("id"), "input.content", "labels.relevant", F.array_join("labels.aks", ",").alias("groups"), "input.date")
 
 
-@add("briefing_text", "K19 A25", "SELECT priority, string_agg('- ' || title || ' (' || CAST(priority_score AS STRING) || ')', chr(10) ORDER BY priority_score DESC, id) AS body, count(*) AS n FROM items WHERE priority IS NOT NULL AND id < 500 GROUP BY 1")
-def _(m):
-    return M.briefing_text(m.items.filter("priority IS NOT NULL AND id < 500"))
+_BRIEFING = "WITH b AS (SELECT id, title, priority, priority_score FROM items WHERE fetched_at >= TIMESTAMP '1997-01-01' AND NOT is_read AND priority IN ('high', 'medium') ORDER BY priority_score DESC, fetched_at DESC, id DESC LIMIT 200) SELECT priority, string_agg('- ' || title || ' (' || CAST(priority_score AS STRING) || ')', chr(10) ORDER BY priority_score DESC, id) AS body, count(*) AS n FROM b GROUP BY 1"
 
 
-@add("briefing_text_selected", "K19 A25", "WITH b AS (SELECT id, title, priority, priority_score FROM items WHERE fetched_at >= TIMESTAMP '1997-01-01' AND NOT is_read AND priority IN ('high', 'medium') ORDER BY priority_score DESC, fetched_at DESC, id DESC LIMIT 200) SELECT priority, string_agg('- ' || title || ' (' || CAST(priority_score AS STRING) || ')', chr(10) ORDER BY priority_score DESC, id) AS body, count(*) AS n FROM b GROUP BY 1")
+@add("briefing_text", "K19 A25", _BRIEFING)
+@add("briefing_text_selected", "K19 A25", _BRIEFING)
 def _(m):
     chosen = L.briefing(m.items, datetime(1997, 1, 1), "medium").orderBy(F.col("priority_score").desc(), F.col("fetched_at").desc(), F.col("id").desc()).limit(200)
     return M.briefing_text(chosen)
@@ -375,14 +425,11 @@ def _(m):
     return m.table("events").groupBy("event_type").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
 
 
-@add("title_hash_lookup", "J15 E10", "SELECT a.doc_id, count(*) AS n FROM documents a JOIN documents b ON lower(substr(a.text, 1, 30)) = lower(substr(b.text, 1, 30)) WHERE a.doc_id % 5 = 0 GROUP BY 1", model=False)
-def _(m):
-    d = m.table("documents").select("doc_id", F.lower(F.substring("text", 1, 30)).alias("k"))
-    counts = d.groupBy("k").agg(F.count("*").alias("n"))
-    return d.filter("doc_id % 5 = 0").join(counts, "k").select("doc_id", "n")
+_LOOKUP = f"WITH d AS (SELECT doc_id, {_TITLE} AS k FROM documents) SELECT doc_id, count(*) OVER (PARTITION BY k) AS n FROM d WHERE k IS NOT NULL"
 
 
-@add("title_lookup", "J15 E10", f"WITH d AS (SELECT doc_id, {_TITLE} AS k FROM documents) SELECT doc_id, count(*) OVER (PARTITION BY k) AS n FROM d WHERE k IS NOT NULL", model=False)
+@add("title_hash_lookup", "J15 E10", _LOOKUP, model=False)
+@add("title_lookup", "J15 E10", _LOOKUP, model=False)
 def _(m):
     d = _docs(m).select(F.col("seq").alias("doc_id"), normalize_title(F.col("title")).alias("k"))
     return d.join(d.groupBy("k").agg(F.count("*").alias("n")), "k").select("doc_id", "n")

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from newsloom.functions.text import content_hash
+from newsloom.functions.text import content_hash, hand_features
 from newsloom.operators import classify as C
 from newsloom.operators.evaluate import relevance_figures, stratified_split
-from newsloom.plans.model import AS_OF, Catalog, workspace
+from newsloom.operators.listing import backlog
+from newsloom.plans.model import AS_OF, Catalog
+from newsloom.shared import workspace
 from newsloom.sources import feeds
 from newsloom.sources.registry import LandedItems, get, kinds, validate
 from newsloom.streaming import ingest as I
@@ -35,6 +38,17 @@ def _(m):
     return out.select("external_id", "title", "content", "url", "published_at", F.col("metadata")["source_domain"].alias("host"), F.col("metadata")["tags"].alias("tags"))
 
 
+@add("feed_atom", "S03", """SELECT 'tag:' || n AS external_id, 'Titel ' || n AS title, CASE WHEN k % 3 = 0 THEN 'Ganz ' || n ELSE 'Kurz ' || n END AS content, CASE k % 3 WHEN 0 THEN 'https://e.org/a/' || n WHEN 1 THEN 'https://e.org/media/' || n ELSE 'https://feeds.org/b/' || n END AS url, CASE WHEN k % 2 = 0 THEN TIMESTAMP '2024-01-05 10:00:00' ELSE TIMESTAMP '2024-02-06 11:00:00' END AS published_at, 'r' || n AS author, 'x,' || n AS tags FROM (SELECT n_nationkey AS k, CAST(n_nationkey AS STRING) AS n FROM nation)""", model=False)
+def _(m):
+    k = F.col("n_nationkey")
+    links = F.when(k % 3 == 0, F.concat(F.lit('<link rel="self" href="https://e.org/s"/><link rel="alternate" href="https://e.org/a/'), _n(), F.lit('"/>'))).when(k % 3 == 1, F.concat(F.lit('<link rel="enclosure" href="https://e.org/media/'), _n(), F.lit('"/><link rel="self" href="https://e.org/s"/>'))).otherwise(F.concat(F.lit('<link href="/b/'), _n(), F.lit('"/>')))
+    full = F.when(k % 3 == 0, F.concat(F.lit("<content>Ganz "), _n(), F.lit("</content>"))).otherwise("")
+    date = F.when(k % 2 == 0, "<published>2024-01-05T10:00:00Z</published>").otherwise("<updated>2024-02-06T11:00:00Z</updated>")
+    xml = F.concat(F.lit("<feed><title>F</title><entry><id>tag:"), _n(), F.lit("</id><title>Titel "), _n(), F.lit("</title>"), links, F.lit("<summary>Kurz "), _n(), F.lit("</summary>"), full, date, F.lit("<author><name>r"), _n(), F.lit('</name></author><category term="x"/><category term="'), _n(), F.lit('"/></entry></feed>'))
+    out = get("rss")(_nation(m).select(F.lit("https://feeds.org/atom.xml").alias("url"), xml.alias("xml")), {})
+    return out.select("external_id", "title", "content", "url", "published_at", "author", F.col("metadata")["tags"].alias("tags"))
+
+
 @add("feed_pdf", "S06", "SELECT substr(md5('b' || CAST(n_nationkey AS STRING)), 1, 16) AS external_id, CASE WHEN n_nationkey % 2 = 0 THEN 'Bericht' ELSE 'Seite eins' END AS title, TIMESTAMP '2023-04-05 06:07:08' AS published_at FROM nation", model=False)
 def _(m):
     rows = _nation(m).select(F.lit("https://e.org/x.pdf").alias("url"), F.concat(F.lit("b"), _n()).cast("binary").alias("bytes"), F.array(F.lit("Seite eins\nmehr"), F.lit("zwei")).alias("pages"), F.when(F.col("n_nationkey") % 2 == 0, "Bericht").alias("title"), F.lit("D:20230405060708+01'00'").alias("created"))
@@ -49,6 +63,38 @@ def _(m):
     return out.select("external_id", "title", F.col("metadata")["favourites"].alias("favourites"))
 
 
+@add("feed_mastodon_rss", "S08", "SELECT 'g' || CAST(n_nationkey AS STRING) AS external_id, 'Text ' || n_name AS title, CASE WHEN n_nationkey % 2 = 0 THEN 'https://e.org/' || CAST(n_nationkey AS STRING) END AS linked FROM nation", model=False)
+def _(m):
+    link = F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit('&lt;a href="https://e.org/'), _n(), F.lit('"&gt;'))).otherwise("")
+    text = F.concat(F.lit('&lt;a href="https://Mastodon.social/@a"&gt;&lt;a href="https://own.example/x"&gt;'), link, F.lit("&lt;p&gt;Text "), F.col("n_name"), F.lit("&lt;/p&gt;"))
+    xml = F.concat(F.lit("<rss><channel><item><guid>g"), _n(), F.lit("</guid><link>https://own.example/1</link><description>"), text, F.lit("</description></item></channel></rss>"))
+    out = get("mastodon")(_nation(m).select(F.lit("https://own.example/@a.rss").alias("url"), xml.alias("xml")), {"rss": True, "instance": "own.example"})
+    return out.select("external_id", "title", F.col("metadata")["linked"].alias("linked"))
+
+
+@add("feed_mastodon_limit", "S08", "SELECT CAST(event_id AS STRING) AS external_id FROM events ORDER BY ts DESC, external_id DESC LIMIT 40", model=False)
+def _(m):
+    own = F.struct(F.col("event_id").cast("string").alias("id"), F.lit("<p>x</p>").alias("content"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("created_at"))
+    return get("mastodon")(m.table("events").select(F.to_json(own).alias("json")), {"limit": 40}).select("external_id")
+
+
+@add("feed_telegram_first_posts", "S09", "SELECT CAST(event_id AS STRING) AS external_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events) WHERE n <= 20 AND event_type <> 'error'", model=False)
+def _(m):
+    rows = m.table("events").select(F.col("user_id").cast("string").alias("channel"), F.col("event_id").cast("string").alias("id"), F.col("event_type").alias("text"), F.when(F.col("event_type") == "error", "x").alias("forwarded_from"), F.col("ts").alias("posted_at"), *(F.lit(False).alias(f"has_{k}") for k in ("photo", "video", "document")), F.col("event_id").alias("place"))
+    return get("telegram")(rows, {"max_posts": 20}).select("external_id")
+
+
+@add("feed_instagram_mirrors", "S12", """SELECT CASE WHEN n_nationkey % 4 = 0 THEN md5('u:Bild ' || n_name) ELSE 'c' || CAST(n_nationkey AS STRING) END AS external_id, 'Bild ' || n_name AS title, CASE WHEN n_nationkey % 4 = 0 THEN 'https://mirror.example/x' ELSE 'https://www.instagram.com/p/c' || CAST(n_nationkey AS STRING) || '/' END AS url FROM nation WHERE n_nationkey % 5 <> 0
+UNION ALL SELECT 'c' || CAST(n_nationkey AS STRING), 'Post by @u', 'https://www.instagram.com/p/c' || CAST(n_nationkey AS STRING) || '/' FROM nation WHERE n_nationkey % 4 <> 0""", model=False)
+def _(m):
+    k, seen = F.col("n_nationkey"), F.lit(datetime(2024, 1, 1)).alias("seen_at")
+    when = F.lit("2 hours ago").alias("when")
+    a = _nation(m).select(F.when(k % 4 == 0, "https://mirror.example/x").otherwise(F.concat(F.lit("https://mirror.example/media/c"), _n())).alias("href"), F.concat(F.lit("Bild "), "n_name").alias("caption"), when, seen, (k % 5 == 0).alias("is_reel"))
+    b = lambda odd: _nation(m).filter(k % 2 == odd).select(F.when(k % 4 == 0, "/other/c").otherwise(F.concat(F.lit("/p/c"), _n(), F.lit("/x"))).alias("href"), F.lit("").alias("caption"), when, seen, F.lit(False).alias("is_reel"))
+    mirror = lambda rows, layout: get("instagram")(rows, {"layout": layout, "username": "u"}).select("external_id", "title", "url")
+    return mirror(a, "picuki").unionByName(mirror(b(0), "picnob")).unionByName(mirror(b(1), "imginn"))
+
+
 @add("feed_bluesky", "S07", "SELECT CAST(n_nationkey AS STRING) AS external_id, repeat('x', 100) || '...' AS title, 'https://e.org/' || CAST(n_nationkey AS STRING) AS url FROM nation", model=False)
 def _(m):
     rows = _nation(m).select(_n().alias("uri"), F.lit("x" * 120).alias("text"), F.array(F.lit("https://bsky.app/p"), F.concat(F.lit("https://e.org/"), _n())).alias("links"), F.lit("2024-01-01 00:00:00").alias("created_at"))
@@ -92,7 +138,7 @@ def _(m):
     return feeds.with_dataset_notes(items, notes).select("id", "content")
 
 
-@add("connector_registry", "S01 S02 S17", "SELECT * FROM (VALUES ('bluesky', false), ('google_alerts', true), ('instagram', false), ('linkedin', false), ('mastodon', false), ('pdf', true), ('rss', true), ('telegram', false), ('twitter', false), ('x_scraper', false)) v(kind, valid)", model=False)
+@add("connector_registry", "S01 S02", "SELECT * FROM (VALUES ('bluesky', false), ('google_alerts', true), ('instagram', false), ('linkedin', false), ('mastodon', false), ('pdf', true), ('rss', true), ('telegram', false), ('twitter', false), ('x_scraper', false)) v(kind, valid)", model=False)
 def _(m):
     return m.spark.createDataFrame([(k, validate(k, {"url": "https://e.org"})[0]) for k in kinds()], "kind string, valid boolean")
 
@@ -107,38 +153,55 @@ def _(m):
     return m.spark.read.format("landed_items").option("folder", folder).load().select("external_id", "content")
 
 
-def _batch(m, where="true"):
-    d = m.table("documents").filter(where)
-    return d.select(F.col("doc_id").alias("seq"), F.col("source").alias("channel_id"), F.col("doc_id").cast("string").alias("external_id"), F.concat(F.lit("Meldung "), F.col("doc_id").cast("string")).alias("title"), F.col("text").alias("content"), F.concat(F.lit("https://e.org/"), F.col("doc_id").cast("string")).alias("url"), F.lit(AS_OF).alias("published_at"), (F.col("doc_id") % 10 / F.lit(10.0)).alias("confidence"))
+def _batch(m):
+    """documents as raw items; their first eight words are the title, and two of them have each address."""
+    d = m.table("documents")
+    return d.select(
+        F.col("doc_id").alias("seq"), F.col("source").alias("channel_id"), F.col("doc_id").cast("string").alias("external_id"), F.regexp_extract("text", r"^\s*\S+(\s+\S+){0,7}", 0).alias("title"), F.col("text").alias("content"),
+        F.concat(F.lit("https://e.org/"), F.floor(F.col("doc_id") / 2).cast("string")).alias("url"), F.lit(AS_OF).alias("published_at"), (F.col("doc_id") % 10 / F.lit(10.0)).alias("confidence"),
+    )
+
+
+_KEPT = r"""WITH d AS (SELECT doc_id, trim(regexp_replace(regexp_replace(text, '<[^>]+>', '', 'g'), '\s+', ' ', 'g')) AS t, trim(regexp_replace(regexp_replace(regexp_extract(text, '^\s*\S+(\s+\S+){0,7}'), '<[^>]+>', '', 'g'), '\s+', ' ', 'g')) AS title FROM documents), f AS (SELECT min(doc_id) AS seq, arg_min(title, doc_id) AS title FROM d GROUP BY t)"""
+_SCORED = "CASE WHEN seq % 10 >= 5 THEN 'medium' WHEN seq % 10 >= 3 THEN 'low' ELSE 'none' END AS priority, CASE WHEN seq % 10 >= 5 THEN 70 WHEN seq % 10 >= 3 THEN 55 ELSE 20 END AS priority_score"
+_INGEST = _KEPT + rf""", w AS (SELECT seq, list_distinct(list_filter(string_split_regex(lower(title), '\s+'), lambda x: length(x) > 2)) AS ws FROM f), x AS (SELECT seq, len(ws) AS n, unnest(ws) AS word FROM w),
+p AS (SELECT a.seq AS first, b.seq AS later FROM x a JOIN x b ON a.word = b.word AND a.seq < b.seq GROUP BY 1, 2 HAVING count(*) >= 0.7 * least(min(a.n), min(b.n))), t AS (SELECT later AS seq, min(first) AS similar_to_seq FROM p GROUP BY 1)
+SELECT f.seq, {_SCORED}, similar_to_seq FROM f LEFT JOIN t ON t.seq = f.seq"""
 
 
-_INGEST = r"""WITH d AS (SELECT doc_id, trim(regexp_replace(regexp_replace(text, '<[^>]+>', '', 'g'), '\s+', ' ', 'g')) AS t FROM documents), f AS (SELECT min(doc_id) AS seq FROM d GROUP BY t)
-SELECT seq, CASE WHEN seq % 10 >= 5 THEN 'medium' WHEN seq % 10 >= 3 THEN 'low' ELSE 'none' END AS priority, CASE WHEN seq % 10 >= 5 THEN 70 WHEN seq % 10 >= 3 THEN 55 ELSE 20 END AS priority_score FROM f"""
+def _none(m):
+    return m.spark.createDataFrame([], "channel_id string, external_id string, content_hash string, url string, seq bigint")
 
 
-def _bare(m, where="true"):
-    """Titles so short that no two are similar."""
-    return _batch(m, where).withColumn("title", F.lit("x"))
+@add("ingest_batch", "R02 R03 D01 K01 D05", _INGEST.replace("seq %", "f.seq %"), model=False)
+def _(m):
+    return I.ingest(_batch(m), _none(m), AS_OF).select("seq", "priority", "priority_score", "similar_to_seq")
 
 
-@add("ingest_batch", "R02 R03 D01 K01", _INGEST, model=False)
+@add("ingest_second_batch", "R02 D01 D02", _KEPT + f""" , h AS (SELECT doc_id, t, source FROM d JOIN documents USING (doc_id) WHERE doc_id % 2 = 0), s AS (SELECT min(doc_id) AS even, arg_min(source, doc_id) AS source FROM h GROUP BY t), g AS (SELECT min(doc_id) AS seq FROM d WHERE doc_id % 2 = 1 AND t NOT IN (SELECT t FROM h) GROUP BY t), l AS (SELECT g.seq, s.even AS linked FROM g JOIN documents o ON o.doc_id = g.seq JOIN s ON s.even = g.seq - 1 AND s.source <> o.source)
+SELECT g.seq, {_SCORED.replace("seq %", "g.seq %")}, linked FROM g LEFT JOIN l ON l.seq = g.seq""", model=False)
 def _(m):
-    none = m.spark.createDataFrame([], "channel_id string, external_id string, content_hash string, url string, seq bigint")
-    return I.ingest(_bare(m), none, AS_OF).select("seq", "priority", "priority_score")
+    """A batch of odd ids over a store of even ones: known contents go, and known addresses of other channels are linked."""
+    stored = I.ingest(_batch(m).filter("seq % 2 = 0"), _none(m), AS_OF).select("channel_id", "external_id", "content_hash", "url", "seq")
+    found = I.ingest(_batch(m).filter("seq % 2 = 1"), stored, AS_OF)
+    return found.select("seq", "priority", "priority_score", F.when(F.col("similar_to_seq") % 2 == 0, F.col("similar_to_seq")).alias("linked"))
 
 
 @add("ingest_age_cutoff", "R03", "SELECT doc_id AS seq FROM documents WHERE doc_id % 12 <= 7", model=False)
 def _(m):
-    rows = _bare(m).withColumn("published_at", F.timestamp_seconds(F.unix_timestamp(F.lit(AS_OF)) - (F.col("seq") % 12) * 86400))
+    rows = _batch(m).withColumn("published_at", F.timestamp_seconds(F.unix_timestamp(F.lit(AS_OF)) - (F.col("seq") % 12) * 86400))
     return I.fresh(rows, AS_OF).select("seq")
 
 
-@add("stream_ingest_equals_batch", "R02 R04", _INGEST, model=False)
+@add("stream_ingest_equals_batch", "R02 R04", f"{_KEPT} SELECT seq, {_SCORED} FROM f", model=False)
 def _(m):
+    """Three micro-batches, in the order of ids; a null id comes last."""
     base = workspace(m.spark, "stream")
-    third = m.table("documents").agg(F.max("doc_id")).first()[0] // 3 + 1
+    low, high = m.table("documents").agg(F.min("doc_id"), F.max("doc_id")).first()
+    third = ((high or 0) - (low or 0)) // 3 + 1
+    part = F.coalesce(F.floor((F.col("seq") - (low or 0)) / third), F.lit(2))
     for k in range(3):
-        _bare(m, f"doc_id BETWEEN {k * third} AND {(k + 1) * third - 1}").coalesce(1).write.mode("append").parquet(f"{base}/in")
+        _batch(m).filter(part == k).coalesce(1).write.mode("append").parquet(f"{base}/in")
     source = m.spark.readStream.schema(m.spark.read.parquet(f"{base}/in").schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
     I.stream_ingest(m.spark, source, f"{base}/store", f"{base}/checkpoint", AS_OF).awaitTermination()
     return m.spark.read.parquet(f"{base}/store").select("seq", "priority", "priority_score")
@@ -162,7 +225,12 @@ def _(m):
     return passes[0].unionByName(passes[1]).unionByName(passes[2])
 
 
-@add("worker_commands", "R07 R06", "SELECT event_type AS name, arg_max(event_id % 3, ts) AS action FROM events WHERE ts >= TIMESTAMP '2024-01-29' GROUP BY 1", model=False)
+@add("model_schedule", "R06", "WITH f AS (SELECT id, row_number() OVER (ORDER BY id) AS n FROM items WHERE id % 7 = 3), q AS (SELECT id, CAST((n - 1) // 10 AS INTEGER) AS run FROM f WHERE n <= 1000), b AS (SELECT id FROM items WHERE needs_llm_processing AND confidence IS NOT NULL AND coalesce(retry_priority <> 'low', true) AND id NOT IN (SELECT id FROM q) ORDER BY CASE retry_priority WHEN 'high' THEN 1 WHEN 'edge_case' THEN 2 ELSE 4 END, fetched_at DESC, id DESC LIMIT 50) SELECT id, 'fresh' AS kind, run FROM q UNION ALL SELECT id, 'backlog', (SELECT coalesce(max(run) + 1, 0) FROM q) FROM b")
+def _(m):
+    return I.model_schedule(m.items.filter("id % 7 = 3").select("id", F.col("id").alias("seq")), backlog(m.items))
+
+
+@add("worker_commands", "R07", "SELECT event_type AS name, arg_max(event_id % 3, ts) AS action FROM events WHERE ts >= TIMESTAMP '2024-01-29' GROUP BY 1", model=False)
 def _(m):
     commands = m.table("events").select(F.col("event_type").alias("name"), (F.col("event_id") % 3).alias("action"), F.col("ts").alias("at"))
     return I.live_commands(commands, datetime(2024, 1, 31), 2 * 86400)
@@ -172,8 +240,9 @@ def _(m):
 def _(m):
     rows = m.table("labels").join(m.table("documents"), "doc_id").select("doc_id", "text", F.col("quality").cast("double").alias("relevant"), F.col("lang").alias("language"))
     rows = stratified_split(rows, "doc_id", "relevant")
-    prepare = C.Tfidf(500).fit(rows.filter("split = 'train'"))
-    model = C.Hierarchy(["language"], trees=10).fit(prepare(rows.filter("split = 'train'")))
+    terms = C.Tfidf().fit(rows.filter("split = 'train'"))
+    prepare = lambda df: C.with_features(terms(df), hand_features(F.col("text")))
+    model = C.Hierarchy(["language"]).fit(prepare(rows.filter("split = 'train'")))
     out = model.predict(prepare(rows.filter("split <> 'train'"))).withColumn("truth", F.col("relevant") == 1)
     return relevance_figures(out, "truth", "relevant_guess")
 
@@ -181,7 +250,7 @@ def _(m):
 @add("embedding_classifier", "V07 V10")
 def _(m):
     rows = C.vectors(m.table("embeddings").withColumn("relevant", (F.col("label") < 5).cast("double")).withColumn("kind", F.col("label").cast("string")), "embedding")
-    model = C.Hierarchy(["kind"], trees=10).fit(rows.filter("vec_id % 5 <> 0"))
+    model = C.Hierarchy(["kind"]).fit(rows.filter("vec_id % 5 <> 0"))
     out = model.predict(rows.filter("vec_id % 5 = 0"))
     return out.select("vec_id", F.round("confidence", 6).alias("confidence"), "relevant_guess", "kind_guess", C.should_process(F.col("relevant_guess"), F.col("confidence"), 0.7).alias("process"))
 
@@ -189,20 +258,20 @@ def _(m):
 @add("multilabel_classifier", "V09 E05")
 def _(m):
     rows = C.vectors(m.table("embeddings").withColumn("groups", F.array((F.col("label") % 3).cast("string"))), "embedding")
-    models = C.multilabel(rows.filter("vec_id % 5 <> 0"), "groups", ["0", "1", "2"], trees=5)
+    models = C.multilabel(rows.filter("vec_id % 5 <> 0"), "groups", ["0", "1", "2"])
     return C.multilabel_guess(rows.filter("vec_id % 5 = 0"), models).select("vec_id", F.array_join("guess", ",").alias("guess"))
 
 
 @add("hashed_embeddings", "V11")
 def _(m):
-    out = C.hashed_embedding(m.table("documents").select("doc_id", F.substring("text", 1, 2000).alias("text")), "text", 16)
+    out = C.hashed_embedding(m.table("documents").select("doc_id", "text"), "text", 16)
     return out.select("doc_id", F.array_join(F.transform("vector", lambda x: F.round(x, 6).cast("string")), ",").alias("vector"))
 
 
-@add("model_calls", "V13 X42", "SELECT item_id, upper(substr(text, 1, 5)) AS answer FROM benchmark", model=False)
+@add("model_calls", "V13 X42", "SELECT item_id, sha256(text) AS answer FROM benchmark", model=False)
 def _(m):
-    rows = m.table("benchmark").select("item_id", F.substring("text", 1, 5).alias("prompt"))
-    return C.with_model(rows, "prompt", lambda texts: [t.upper() for t in texts]).select("item_id", "answer")
+    rows = m.table("benchmark").select("item_id", F.col("text").alias("prompt"))
+    return C.with_model(rows, "prompt", lambda texts: [hashlib.sha256(t.encode()).hexdigest() for t in texts]).select("item_id", "answer")
 
 
 @add("model_calls_whole", "V13 X42")

@@ -10,6 +10,8 @@ from newsloom.functions.text import priority_order, priority_rank
 from newsloom.functions.urls import display_name, identifier
 from newsloom.operators import listing as L
 from newsloom.plans.model import AS_OF, Catalog
+from newsloom.sources import feeds  # noqa: F401  (registers the connectors)
+from newsloom.sources.registry import kinds
 
 catalog = Catalog()
 add = catalog.add
@@ -48,7 +50,7 @@ def _(m):
     return L.page(L.list_items(m.items, m.channels), L.sorted_items(m.items, "date", False), 3, 20).select("id", "published_at")
 
 
-@add("items_page_by_source", "T01 T03 J02 J03", """SELECT i.id, s.name AS source_name, c.name AS channel_name FROM items i LEFT JOIN channels c ON i.channel_id = c.id + 2 LEFT JOIN sources s ON c.source_id = s.id
+@add("items_page_by_source", "S17 T01 T03 J02 J03", """SELECT i.id, s.name AS source_name, c.name AS channel_name FROM items i LEFT JOIN channels c ON i.channel_id = c.id + 2 LEFT JOIN sources s ON c.source_id = s.id
 ORDER BY s.name DESC NULLS FIRST, i.id DESC LIMIT 100""")
 def _(m):
     named = L.with_names(m.items, m.channels.withColumn("id", F.col("id") + 2), m.sources)
@@ -190,6 +192,24 @@ def _(m):
     return m.sources.join(c, F.col("source_id") == F.col("id"), "left").select("name", F.coalesce("channels", F.lit(0)).alias("channels"), F.coalesce(F.array_join("ids", ","), F.lit("")).alias("ids"))
 
 
+@add("config_problems", "F29", """WITH s AS (SELECT CAST(n_nationkey AS INTEGER) AS place, CASE WHEN n_nationkey % 4 = 0 THEN 'Nord' WHEN n_nationkey % 4 = 1 THEN 'NORD' ELSE n_name END AS name FROM nation), c AS (SELECT CAST(s_nationkey AS INTEGER) AS source, CAST(s_suppkey AS INTEGER) AS place, CASE WHEN s_suppkey % 3 = 0 THEN 'fax' || CAST(s_suppkey % 5 AS STRING) ELSE 'rss' END AS kind, s_suppkey % 4 = 1 AS hidden FROM supplier), r AS (SELECT CAST(p_partkey AS INTEGER) AS place, p_name AS name, p_partkey % 6 AS k FROM part)
+SELECT 'sources[' || CAST(place AS STRING) || '].name' AS path, 'error' AS severity, 'Duplicate source name: ' || chr(39) || name || chr(39) AS message FROM s QUALIFY row_number() OVER (PARTITION BY lower(name) ORDER BY place) > 1
+UNION ALL (SELECT 'rules[' || CAST(place AS STRING) || '].name', 'error', 'Duplicate rule name: ' || chr(39) || name || chr(39) FROM r QUALIFY row_number() OVER (PARTITION BY lower(name) ORDER BY place) > 1)
+UNION ALL SELECT 'sources[' || CAST(source AS STRING) || '].channels[' || CAST(place AS STRING) || '].connector_type', 'warning', 'Unknown connector type: ' || chr(39) || kind || chr(39) FROM c WHERE kind <> 'rss'
+UNION ALL SELECT 'sources[' || CAST(source AS STRING) || '].channels[' || CAST(place AS STRING) || '].config.token', 'error', 'Redacted value not replaced: ' || chr(39) || 'token' || chr(39) FROM c WHERE hidden
+UNION ALL SELECT 'rules[' || CAST(place AS STRING) || '].pattern', 'error', 'Invalid regex pattern: missing ), unterminated subpattern at position 0' FROM r WHERE k = 0
+UNION ALL SELECT 'version', 'warning', 'Config version ' || chr(39) || '0.9' || chr(39) || ' differs from current ' || chr(39) || '1.0' || chr(39)""", model=False)
+def _(m):
+    k, p = F.col("n_nationkey"), F.col("p_partkey")
+    sources = m.table("nation").select(k.cast("int").alias("place"), F.when(k % 4 == 0, "Nord").when(k % 4 == 1, "NORD").otherwise(F.col("n_name")).alias("name"))
+    n = F.col("s_suppkey")
+    kind = F.when(n % 3 == 0, F.concat(F.lit("fax"), (n % 5).cast("string"))).otherwise("rss")
+    config = F.create_map(F.lit("url"), F.lit("https://e.org"), F.lit("token"), F.when(n % 4 == 1, "<REDACTED>").otherwise("t"))
+    channels = m.table("supplier").select(F.col("s_nationkey").cast("int").alias("source"), n.cast("int").alias("place"), kind.alias("connector_type"), config.alias("config"))
+    rules = m.table("part").select(p.cast("int").alias("place"), F.col("p_name").alias("name"), F.when(p % 6 < 3, "regex").otherwise("keyword").alias("rule_type"), F.when(p % 3 == 0, "(offen").otherwise(r"\bganz\w*").alias("pattern"))
+    return L.config_problems(sources, channels, rules, "0.9", kinds())
+
+
 @add("config_duplicate_names", "F29", "SELECT lower(c_mktsegment) AS name, count(*) AS n FROM customer GROUP BY 1 HAVING count(*) > 1", model=False)
 def _(m):
     return m.table("customer").groupBy(F.lower("c_mktsegment").alias("name")).agg(F.count("*").alias("n")).filter("n > 1")

@@ -6,9 +6,6 @@ the oracle has it as a common table expression.
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -62,12 +59,6 @@ MODEL = {
 CTE = "WITH " + ", ".join(f"{name} AS ({sql.format(t=table)})" for name, (table, sql) in MODEL.items())
 
 
-def workspace(spark: SparkSession, name: str) -> str:
-    """A new folder name under the shared folder of spark.checkpoint.dir; where that is unset, as in tests, of this machine."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "newsloom")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
-
-
 class Model:
     """Tables of a folder, and the model's tables over them, read when asked for."""
 

@@ -111,7 +111,7 @@ _LATEST = "SELECT DISTINCT ON (item_id) item_id, priority_output, ak_primary FRO
 
 @add("latest_per_key", "W01", "SELECT DISTINCT ON (item_id) item_id, id, step_type FROM logs ORDER BY item_id, created_at DESC, id DESC")
 def _(m):
-    return latest(m.logs, "item_id", F.col("created_at").desc(), F.col("id").desc()).select("item_id", "id", "step_type")
+    return latest(m.logs, "item_id", "created_at", "id").select("item_id", "id", "step_type")
 
 
 @add("disagreements", "J07 W01", f"WITH a AS ({_LATEST.format(s='classifier')}), b AS ({_LATEST.format(s='llm_analysis')}) SELECT a.item_id, a.priority_output AS classifier_priority, b.priority_output AS model_priority, a.ak_primary AS classifier_group, b.ak_primary AS model_group, i.title FROM a JOIN b USING (item_id) JOIN items i ON i.id = a.item_id WHERE a.priority_output <> b.priority_output OR a.ak_primary <> b.ak_primary")

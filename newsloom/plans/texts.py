@@ -105,6 +105,13 @@ def _(m):
     return m.items.select("id", topics.mapped(tags, {"low": "Pflege", "pflege": "Gesundheit", "demenz": "Gesundheit"}).alias("topic"))
 
 
+@add("topics_from_tag_table", "X18", "WITH t AS (SELECT lower(p_brand) AS tag, arg_max(p_type, p_partkey) AS topic FROM part GROUP BY 1), d AS (SELECT doc_id, unnest(['Brand#' || CAST(doc_id % 60 AS STRING), ' BRAND#' || CAST(doc_id % 37 AS STRING) || ' ', source]) AS said, unnest([0, 1, 2]) AS pos FROM documents) SELECT doc_id AS id, arg_min(topic, pos) AS topic FROM d JOIN t ON t.tag = lower(trim(said)) GROUP BY 1", model=False)
+def _(m):
+    tags = F.array(F.concat(F.lit("Brand#"), (F.col("doc_id") % 60).cast("string")), F.concat(F.lit(" BRAND#"), (F.col("doc_id") % 37).cast("string"), F.lit(" ")), F.col("source"))
+    table = m.table("part").select(F.col("p_brand").alias("tag"), F.col("p_type").alias("topic"), F.col("p_partkey").alias("place"))
+    return topics.map_tags(m.table("documents").select(F.col("doc_id").alias("id"), tags.alias("tags")), "tags", table)
+
+
 @add("sentence_count", "X22", r"SELECT doc_id, CAST(len(list_filter(string_split_regex(regexp_replace(text, '([.!?])\s+([A-ZÄÖÜ])', '\1' || chr(1) || '\2', 'g'), '[.!?]\x01|[.!?]$'), lambda s: trim(s) <> '')) AS INTEGER) AS sentences FROM documents", model=False)
 def _(m):
     return m.table("documents").select("doc_id", X.count_sentences(F.col("text")).alias("sentences"))
@@ -293,6 +300,13 @@ def _(m):
     return m.sources.select("id", topics.organisation(name).alias("organisation"))
 
 
+@add("source_channel_names", "X36", """SELECT id, CASE id % 5 WHEN 0 THEN 'FAZ (Frankfurter Allgemeine)' WHEN 1 THEN 'Frankfurter Rundschau' WHEN 2 THEN 'PRO ASYL' ELSE name END AS organisation, CASE id % 5 WHEN 0 THEN 'Rhein-Main' WHEN 1 THEN 'Politik' END AS channel FROM sources""")
+def _(m):
+    k = F.col("id") % 5
+    name = F.when(k == 0, "FAZ Rhein-Main").when(k == 1, "FR Politik").when(k == 2, "Pro Asyl").when(k == 3, F.concat("name", F.lit(" (Bluesky)"))).otherwise(F.concat("name", F.lit(" telegram")))
+    return m.sources.select("id", topics.organisation(name).alias("organisation"), topics.channel_of(name).alias("channel"))
+
+
 @add("settings_merged", "X45", "SELECT 'high' AS k, 365 AS v UNION ALL SELECT 'low', 10 UNION ALL SELECT 'medium', 180 UNION ALL SELECT 'none', 30", model=False)
 def _(m):
     default = F.create_map(*(F.lit(x) for p in S.DEFAULT_RETENTION.items() for x in p))

@@ -6,7 +6,7 @@ external_id, title, content, url, author, published_at and metadata.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.functions.text import short_title
@@ -14,7 +14,13 @@ from newsloom.functions.times import instagram_time, linkedin_time, pdf_date
 from newsloom.functions.urls import NOT_ARTICLES, domain, redirect_target
 from newsloom.sources.registry import connector
 
-RSS = "channel struct<title:string,item:array<struct<guid:string,title:string,link:string,description:string,pubDate:string,updated:string,author:string,category:array<string>,content:string>>>"
+LINK = "array<struct<_href:string,_rel:string,_VALUE:string>>"
+RSS = (
+    f"channel struct<title:string,item:array<struct<guid:string,title:string,link:{LINK},description:string,pubDate:string,updated:string,author:string,category:array<string>,content:string>>>, "
+    f"title string, entry array<struct<id:string,title:string,link:{LINK},summary:string,published:string,updated:string,author:struct<name:string>,category:array<struct<_term:string>>,content:string>>"
+)
+# Hosts of the network itself, whose links in a post lead to no article.
+FEDIVERSE_HOSTS = ["mastodon.social", "mastodon.online", "mstdn.social", "social.hessen.de", "social.bund.de", "hessen.social"]
 
 
 def _raw(rows: DataFrame, external_id: Column, title: Column, content: Column, url: Column, published: Column, author: Column | None = None, **metadata: Column) -> DataFrame:
@@ -34,16 +40,39 @@ def _absolute(link: Column, base: Column) -> Column:
     return F.when(F.rlike(link, F.lit("^[A-Za-z][A-Za-z0-9+.-]*://")), link).when(F.startswith(link, F.lit("/")), F.concat(root, link)).otherwise(F.concat(F.regexp_replace(base, "[^/]*$", ""), link))
 
 
+def _first(rows: DataFrame, n: int | None, *by: str) -> DataFrame:
+    """The first n rows of each profile or channel in the page's order (column `place`), where a limit is set."""
+    if not n:
+        return rows
+    place = F.row_number().over(Window.partitionBy(*by).orderBy("place"))
+    return rows.withColumn("_nth", place).filter(F.col("_nth") <= n).drop("_nth")
+
+
+def entries(landed: DataFrame) -> DataFrame:
+    """One row an entry of RSS or Atom, from rows of url and xml, in one layout: feed_url, feed_title and e."""
+    feed = landed.select(F.col("url").alias("feed_url"), F.from_xml("xml", RSS).alias("x"))
+    href = lambda l: F.coalesce(_blank(l["_VALUE"]), _blank(l["_href"]))
+    # The entry's own link, else the first of its links, whatever its kind.
+    link = lambda e: F.coalesce(href(F.try_element_at(F.filter(e["link"], lambda l: F.coalesce(l["_rel"], F.lit("alternate")) == "alternate"), F.lit(1))), href(F.try_element_at(e["link"], F.lit(1))))
+    one = lambda e, key, date, summary, author, tags: F.struct(key.alias("key"), e["title"].alias("title"), link(e).alias("link"), date.alias("published"), e["updated"].alias("updated"), e["content"].alias("content"), summary.alias("summary"), author.alias("author"), tags.alias("tags"))
+    rss = F.transform("x.channel.item", lambda e: one(e, e["guid"], e["pubDate"], e["description"], e["author"], e["category"]))
+    atom = F.transform("x.entry", lambda e: one(e, e["id"], e["published"], e["summary"], e["author"]["name"], F.transform(e["category"], lambda c: c["_term"])))
+    none = F.array().cast("array<struct<key:string,title:string,link:string,published:string,updated:string,content:string,summary:string,author:string,tags:array<string>>>")
+    return feed.select("feed_url", F.coalesce("x.channel.title", "x.title").alias("feed_title"), F.explode(F.concat(F.coalesce(rss, none), F.coalesce(atom, none))).alias("e"))
+
+
+def _date(c: Column) -> Column:
+    return F.coalesce(F.try_to_timestamp(F.regexp_replace(c, "^[A-Za-z]+, *", ""), F.lit("d MMM yyyy HH:mm:ss Z")), F.try_to_timestamp(c))
+
+
 @connector("rss", "url")
 def rss(landed: DataFrame, config: dict) -> DataFrame:
-    """Rows of url and xml. Date: published, else updated; content: full, else summary, else description; redirects unwrapped."""
-    feed = landed.select(F.col("url").alias("feed_url"), F.from_xml("xml", RSS).alias("rss"))
-    e = feed.select("feed_url", F.col("rss.channel.title").alias("feed_title"), F.explode("rss.channel.item").alias("e"))
-    link = redirect_target(_absolute(F.coalesce(_blank(F.col("e.link")), F.lit("")), F.col("feed_url")))
-    date = F.coalesce(F.try_to_timestamp(F.regexp_replace("e.pubDate", "^[A-Za-z]+, *", ""), F.lit("d MMM yyyy HH:mm:ss Z")), F.try_to_timestamp("e.updated"))
+    """Rows of url and xml, RSS or Atom. Date: published, else updated; content: full, else summary; redirects unwrapped."""
+    e = entries(landed)
+    link = redirect_target(_absolute(F.coalesce("e.link", F.lit("")), F.col("feed_url")))
     return _raw(
-        e, F.coalesce(_blank(F.col("e.guid")), _blank(F.col("e.link"))), F.coalesce(_blank(F.col("e.title")), F.lit("Untitled")), F.coalesce(_blank(F.col("e.content")), _blank(F.col("e.description")), F.lit("")),
-        link, date, _blank(F.col("e.author")), source_domain=domain(link), feed_title=F.col("feed_title"), feed_url=F.col("feed_url"), tags=F.array_join("e.category", ","),
+        e, F.coalesce(_blank(F.col("e.key")), F.col("e.link")), F.coalesce(_blank(F.col("e.title")), F.lit("Untitled")), F.coalesce(_blank(F.col("e.content")), _blank(F.col("e.summary")), F.lit("")),
+        link, F.coalesce(_date(F.col("e.published")), _date(F.col("e.updated"))), _blank(F.col("e.author")), source_domain=domain(link), feed_title=F.col("feed_title"), feed_url=F.col("feed_url"), tags=F.array_join("e.tags", ","),
     )
 
 
@@ -70,19 +99,37 @@ def bluesky(landed: DataFrame, config: dict) -> DataFrame:
 STATUS = "id string, content string, url string, created_at string, in_reply_to_id string, favourites_count bigint, reblogs_count bigint, replies_count bigint"
 
 
+def _outside(text: Column, config: dict) -> Column:
+    """The first address in a post that leads out of the network."""
+    hosts = "|".join(x.replace(".", r"\.") for x in [*FEDIVERSE_HOSTS, *([config["instance"].lower()] if config.get("instance") else [])])
+    found = F.regexp_extract_all(text, F.lit(r"(https?://[^\s\"'<>]+)"), 1)
+    return F.try_element_at(F.filter(found, lambda u: ~F.rlike(F.lower(u), F.lit(hosts))), F.lit(1))
+
+
 @connector("mastodon", "handle")
 def mastodon(landed: DataFrame, config: dict) -> DataFrame:
-    """Rows of json, one status each. A boost stands for the boosted post; replies are left out."""
+    """Rows of json, one status each, or with a configuration of rss, rows of url and xml.
+
+    A boost stands for the boosted post; replies are left out. limit: the newest so many posts of the account, as its
+    interface gives. metadata.linked: the first address outside of the network, whose article stands for the post.
+    """
+    if config.get("rss"):
+        e = entries(landed)
+        text = F.trim(F.regexp_replace(F.coalesce("e.summary", F.lit("")), "<[^>]+>", ""))
+        return _raw(e, F.coalesce(_blank(F.col("e.key")), F.col("e.link")), short_title(text), text, F.col("e.link"), _date(F.col("e.published")), linked=_outside(F.col("e.summary"), config))
     s = landed.select(F.from_json("json", STATUS + f", reblog struct<{', '.join(x.strip().replace(' ', ': ', 1) for x in STATUS.split(','))}>").alias("s")).filter("s.in_reply_to_id IS NULL")
     pick = lambda f: F.coalesce(F.col(f"s.reblog.{f}"), F.col(f"s.{f}"))
     text = F.trim(F.regexp_replace(pick("content"), "<[^>]+>", ""))
-    return _raw(s, F.col("s.id"), short_title(text), text, pick("url"), F.to_timestamp(pick("created_at")), favourites=pick("favourites_count"), reblogs=pick("reblogs_count"), replies=pick("replies_count"), is_reblog=F.col("s.reblog").isNotNull())
+    out = _raw(s, F.col("s.id"), short_title(text), text, pick("url"), F.to_timestamp(pick("created_at")), favourites=pick("favourites_count"), reblogs=pick("reblogs_count"), replies=pick("replies_count"), is_reblog=F.col("s.reblog").isNotNull(), linked=_outside(pick("content"), config))
+    return out.orderBy(F.col("published_at").desc_nulls_last(), F.col("external_id").desc()).limit(config["limit"]) if config.get("limit") else out
 
 
 @connector("telegram", "channel")
 def telegram(landed: DataFrame, config: dict) -> DataFrame:
-    """Rows of channel, id, text, forwarded_from, posted_at, has_photo, has_video and has_document."""
-    rows = landed if config.get("forwards") else landed.filter("forwarded_from IS NULL")
+    """Rows of channel, id, text, forwarded_from, posted_at, has_photo, has_video, has_document and, for a limit of
+    max_posts a channel (taken before any post is left out), place."""
+    rows = _first(landed, config.get("max_posts"), "channel")
+    rows = rows if config.get("forwards") else rows.filter("forwarded_from IS NULL")
     media = F.array_compact(F.array(*(F.when(F.col(f"has_{k}"), k) for k in ("photo", "video", "document"))))
     rows = rows.withColumn("media", media).filter((F.coalesce(_blank(F.col("text")), F.lit("")) != "") | (F.size("media") > 0))
     text = F.coalesce("text", F.lit(""))
@@ -113,10 +160,25 @@ def x_posts(landed: DataFrame, config: dict) -> DataFrame:
 
 @connector("instagram", "username")
 def instagram(landed: DataFrame, config: dict) -> DataFrame:
-    """Rows of href, caption, when (relative) and seen_at; reels only if asked for."""
-    rows = landed if config.get("reels") else landed.filter(~F.contains("href", F.lit("/reel/")))
-    code = F.regexp_extract("href", "/(?:p|reel)/([^/?]+)", 1)
-    return _raw(rows, code, short_title(F.col("caption")), F.col("caption"), F.concat(F.lit("https://www.instagram.com/p/"), code, F.lit("/")), instagram_time(F.col("when"), F.col("seen_at")))
+    """Rows of href, caption, when (relative) and seen_at, as a browser or one of three mirrors shows them.
+
+    layout picuki: addresses are /media/<code>, and a post without one gets an id of its name and caption; picnob and
+    imginn: /p/<code>. Mirrors tell reels by a mark (is_reel) instead of the address. Reels only if asked for.
+    max_posts: the first so many of a page (place).
+    """
+    layout = config.get("layout")
+    rows = _first(landed, config.get("max_posts"), "username") if "username" in landed.columns else landed
+    if not config.get("reels"):
+        rows = rows.filter(~F.coalesce("is_reel", F.lit(False))) if layout else rows.filter(~F.contains("href", F.lit("/reel/")))
+    pattern = {"picuki": "/media/([^/]+)", "picnob": "/p/([^/]+)", "imginn": "/p/([^/]+)"}.get(layout, "/(?:p|reel)/([^/?]+)")
+    code = _blank(F.regexp_extract("href", pattern, 1))
+    if layout == "picuki":
+        key = F.coalesce(code, F.md5(F.concat(F.lit(f"{config['username']}:"), F.substring(F.coalesce("caption", F.lit("")), 1, 100))))
+    else:
+        rows, key = rows.filter(code.isNotNull()) if layout else rows, F.coalesce(code, F.lit(""))
+    title = F.coalesce(_blank(short_title(F.col("caption"))), F.lit(f"Post by @{config.get('username')}")) if layout else short_title(F.col("caption"))
+    url = F.when(code.isNotNull() | (F.lit(layout) != "picuki"), F.concat(F.lit("https://www.instagram.com/p/"), F.coalesce(code, F.lit("")), F.lit("/"))).otherwise(F.col("href")) if layout else F.concat(F.lit("https://www.instagram.com/p/"), key, F.lit("/"))
+    return _raw(rows, key, title, F.col("caption"), url, instagram_time(F.col("when"), F.col("seen_at")))
 
 
 @connector("linkedin", "profile_url")

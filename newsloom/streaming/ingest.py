@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -74,6 +74,20 @@ def worker_passes(items: DataFrame, as_of: datetime, batch: int = 50, days: int
     return [(name, rows.orderBy(*newest).limit(batch)) for name, rows in (("classify", unclassified(items)), ("index", unindexed(items)), ("check", unchecked_duplicates(items, as_of, days)))]
 
 
+def model_schedule(fresh: DataFrame, backlog: DataFrame, room: int = 1000, batch: int = 10, backlog_batch: int = 50) -> DataFrame:
+    """(id, kind, run): what the slow model does next. fresh: id and seq, in order of arrival; backlog: id, rank, fetched_at.
+
+    The queue of fresh items is first in, first out and has room for so many; what finds it full is left to the
+    backlog. Runs of fresh items come first, and the backlog's one run, by rank and then newest, is put off until they
+    are through. Only the queue's room is ranked, not all that arrived.
+    """
+    queue = fresh.orderBy("seq", "id").limit(room)
+    taken = queue.withColumn("run", F.floor((F.row_number().over(Window.orderBy("seq", "id")) - 1) / batch).cast("int")).select("id", F.lit("fresh").alias("kind"), "run")
+    waiting = backlog.join(queue.select("id"), "id", "left_anti").orderBy("rank", F.col("fetched_at").desc(), F.col("id").desc()).limit(backlog_batch)
+    after = taken.agg(F.coalesce(F.max("run") + 1, F.lit(0)).alias("run"))
+    return taken.unionByName(waiting.select("id", F.lit("backlog").alias("kind")).crossJoin(F.broadcast(after)))
+
+
 def backoff(errors: int, base: int = 10, most: int = 120, stop: int = 10) -> int | None:
     """Seconds to wait after so many errors in a row; None once a worker stops."""
     return None if errors >= stop else min(most, base * 2**errors)
