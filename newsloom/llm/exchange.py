@@ -9,27 +9,40 @@ the input, so no task's memory grows with the corpus.
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from newsloom.shared import removed, settled, workspace  # noqa: F401  (the operators take them from here)
 
 MB = 1 << 20
 
 
+def _length(value: Column, kind: T.DataType) -> Column:
+    """About the bytes of a value in memory."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.octet_length(value)
+    if isinstance(kind, T.StructType):
+        return sum((_known(_length(value[f.name], f.dataType)) for f in kind), F.lit(0).cast("long"))
+    if isinstance(kind, T.ArrayType) and not isinstance(kind.elementType, (T.StringType, T.BinaryType, T.StructType, T.ArrayType, T.MapType)):
+        return F.size(value) * 8
+    if isinstance(kind, (T.ArrayType, T.MapType)):
+        return F.octet_length(F.to_json(value))
+    return F.lit(8)
+
+
+def _known(length: Column) -> Column:
+    return F.coalesce(F.greatest(length, F.lit(0)), F.lit(0)).cast("long")
+
+
 def size_of(df: DataFrame) -> int:
-    """Bytes of df: Spark's own estimate for its input or, where that is none (local rows, or the product
-    that it assumes for a join), the length of its columns as text, measured."""
-    guess = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if guess < 1 << 48:
-        return guess
-    length = [F.octet_length(F.col(f"`{n}`")) if t in ("string", "binary") else F.size(F.col(f"`{n}`")) * 8 if t.startswith("array") else F.lit(8) for n, t in df.dtypes]
-    total = sum((F.coalesce(F.greatest(x, F.lit(0)), F.lit(0)).cast("long") for x in length), F.lit(0).cast("long"))
+    """Bytes of df's values, measured by one aggregate. What Spark estimates follows compressed files, which for
+    repetitive texts are thousands of times smaller, and would not bound what a task holds."""
+    total = sum((_known(_length(F.col(f"`{f.name}`"), f.dataType)) for f in df.schema), F.lit(0).cast("long"))
     return int(df.agg(F.coalesce(F.sum(total), F.lit(0))).first()[0])
 
 
@@ -101,22 +114,8 @@ def framed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     return docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), (F.struct(*rest) if rest else F.struct(F.lit(None).cast("int").alias("none"))).alias("rest"))
 
 
-def shared_folder(spark) -> str:
-    """The folder that spark.checkpoint.dir names; where it is unset, as in tests, one of this machine."""
-    return spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "newsloom-checkpoints")
-
-
-def settled(df: DataFrame) -> DataFrame:
-    """df computed once and kept in the shared folder, where a lost executor can't take it."""
-    spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint()
-
-
 def stored(df: DataFrame) -> DataFrame:
     """df written as a table to the shared folder and read again."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/stages/{uuid.uuid4()}"
+    path = workspace(df.sparkSession, "stage")
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.parquet(path)
