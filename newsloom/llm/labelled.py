@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -11,12 +11,19 @@ def remainder(doc_id: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, bound: int) -> DataFrame:
-    """doc_id, text and label (0 or 1) of at most `bound` labelled rows where train holds.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, bound: int, bound_bytes: int | None = None) -> DataFrame:
+    """doc_id, text and label (0 or 1) of at most `bound` labelled rows where train holds, and of no more than
+    `bound_bytes` of text where that is given.
 
     Rows are taken in the order of a hash of their id, so the same ids come whatever the layout. Ids with
     several labels count as 1 if any is. The sample's ids are broadcast: at most bound rows of 16 bytes.
     """
     rows = labels.filter(train & F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("label"))
-    rows = rows.withColumn("order", F.xxhash64("doc_id")).orderBy("order", "doc_id").limit(bound).select("doc_id", "label")
+    rows = rows.withColumn("order", F.xxhash64("doc_id")).orderBy("order", "doc_id").limit(bound).select("doc_id", "label", "order")
+    if bound_bytes is not None:
+        own = docs.join(F.broadcast(rows), "doc_id").groupBy("doc_id").agg(F.sum(F.octet_length(F.coalesce("text", F.lit("")))).alias("size"))
+        # Over at most `bound` rows of three numbers.
+        before = Window.orderBy("order", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        rows = rows.join(own, "doc_id").withColumn("sum", F.sum("size").over(before)).filter(F.col("sum") <= bound_bytes)
+    rows = rows.select("doc_id", "label")
     return docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id").select("doc_id", "text", F.col("label").cast("int").alias("label"))

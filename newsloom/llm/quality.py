@@ -1,10 +1,13 @@
 """Operator 2: quality classifier over random-indexing word vectors.
 
-Random indexing: each word has a sparse ternary index vector, drawn from its hash; a word's vector is the
-sum of the index vectors of its neighbours over all documents. Words live in a fixed number of hashed
-slots, so the table has one size at every corpus size and no word is left out; word shapes (case,
-digits and marks, with runs collapsed) are words of a second, smaller table. Tasks count their own part
-of the tables and a tree of sums brings them together, `FAN` at a time.
+Random indexing: each word has a sparse ternary index vector, drawn from its 64-bit hash; a word's vector is the
+sum of the index vectors of its neighbours over all documents. Every word has a vector of its own: tasks sum their
+words' vectors, and a shuffle by word adds them up. Word shapes (case, digits and marks, with runs collapsed) are
+words of a second stream.
+
+The table that documents are pooled with is bounded: it holds the words and shapes seen at least so often that at
+most `table` of them remain (the count follows from a histogram, so equal counts stand or fall together). Rarer
+words are not left out: they share one vector, the sum of all of theirs, as do rarer shapes.
 
 A document is pooled to the mean vector of its words and of their shapes, and the mean product of
 neighbours' vectors, by component and in all. A two-layer network in numpy is trained on a bounded
@@ -12,7 +15,8 @@ sample of labelled rows (`bound`); a tenth of it fits the temperature that calib
 
 Cases: null and empty texts pool to zero and get the score the network gives there. Without labels of
 both kinds every score is the share of label 1, or 0.5. A null doc_id counts as the empty text for
-held_out. Repeated rows get equal scores. An empty table gives an empty result.
+held_out. Repeated rows get equal scores. An empty table gives an empty result. Other columns, of any name, travel
+in the struct column `rest`.
 """
 
 from __future__ import annotations
@@ -24,12 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.exchange import framed, loose
+from newsloom.llm.exchange import MB, framed, loose, settled, size_of
 from newsloom.llm.labelled import labelled_sample, remainder
 from newsloom.llm.tokens import U64, Words, mix, prefix_hash, range_hash, slices, text_buffers
 
-WORDS, SHAPES, DIM, FAN = 1 << 13, 1 << 10, 32, 64
-SLOTS = WORDS + SHAPES
+DIM, SPARSE = 32, 4
+#: Most words that a task sums before it sends them on.
+HELD = 1 << 17
+PACKED = "part int, words binary, counts binary, vectors binary"
 
 _kind = np.arange(256, dtype=np.uint8)
 _kind[[*range(0x61, 0x7B), *range(0x80, 0x100)]] = 0x61
@@ -37,17 +43,14 @@ _kind[0x41:0x5B] = 0x41
 _kind[0x30:0x3A] = 0x30
 
 
-def _index_vectors() -> tuple[np.ndarray, np.ndarray]:
-    """Four places and signs of each slot's ternary index vector."""
-    h = mix(np.arange(1, SLOTS * 4 + 1, dtype=np.uint64)).reshape(SLOTS, 4)
-    return (h % U64(DIM)).astype(np.int64), np.where(h >> U64(63), 1.0, -1.0)
-
-
-PLACE, SIGN = _index_vectors()
+def index_vectors(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and signs of the ternary index vector of each word."""
+    h = mix(words[:, None] + np.arange(1, SPARSE + 1, dtype=np.uint64) * U64(0x9E3779B97F4A7C15))
+    return (h % U64(DIM)).astype(np.int64), np.where(h >> U64(63), 1, -1)
 
 
 def streams(raw: np.ndarray, offsets: np.ndarray) -> tuple[Words, np.ndarray, np.ndarray]:
-    """Words, and the slots of each word and of its shape."""
+    """Words, and the keys of each word (even) and of its shape (odd)."""
     words = Words(raw, offsets)
     kind = _kind[raw]
     new = np.zeros(len(raw) + 1, np.int64)
@@ -56,51 +59,131 @@ def streams(raw: np.ndarray, offsets: np.ndarray) -> tuple[Words, np.ndarray, np
     changed[words.start] = True
     np.cumsum(changed, out=new[1:])
     shape = range_hash(prefix_hash(kind[changed]), new[words.start], new[words.end])
-    return words, (words.h % U64(WORDS)).astype(np.int64), (shape % U64(SHAPES)).astype(np.int64) + WORDS
+    return words, words.h & ~U64(1), shape | U64(1)
+
 
+def added(words: np.ndarray, counts: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each word once, in order, with its summed count and vector."""
+    order = np.argsort(words, kind="stable")
+    words = words[order]
+    new = np.flatnonzero(np.concatenate([[True], words[1:] != words[:-1]])) if len(words) else np.zeros(0, np.int64)
+    if len(new) == len(words):
+        return words, counts[order], vectors[order]
+    return words[new], np.add.reduceat(counts[order], new), np.add.reduceat(vectors[order], new, axis=0)
 
-def _counted(batches: Iterator[pa.RecordBatch], part: int) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(SLOTS * DIM)
+
+def neighbour_sums(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words and shapes of some documents, how often they stand there, and the sums of their neighbours' index vectors."""
+    words, *both = streams(raw, offsets)
+    pair = np.flatnonzero(words.room() >= 2)
+    out = []
+    for key in both:
+        distinct, at, count = np.unique(key, return_inverse=True, return_counts=True)
+        place, sign = index_vectors(distinct)
+        total = np.zeros(len(distinct) * DIM)
+        left, right = at[pair], at[pair + 1]
+        for k in range(SPARSE):
+            total += np.bincount(left * DIM + place[right, k], sign[right, k], len(total))
+            total += np.bincount(right * DIM + place[left, k], sign[left, k], len(total))
+        out.append((distinct, count, total.reshape(-1, DIM).astype(np.int64)))
+    return added(*(np.concatenate(x) for x in zip(*out, strict=True)))
+
+
+def _rows(words: np.ndarray, counts: np.ndarray, vectors: np.ndarray, parts: int) -> pa.RecordBatch:
+    part = (mix(words) % U64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    border = np.searchsorted(part[order], np.arange(parts + 1))
+    full = np.flatnonzero(np.diff(border))
+    cut = lambda x: pa.array([x[order[border[p] : border[p + 1]]].tobytes() for p in full], pa.binary())
+    return pa.RecordBatch.from_pydict({"part": pa.array(full.astype(np.int32)), "words": cut(words), "counts": cut(counts), "vectors": cut(vectors)})
+
+
+def _counted(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for batch in batches:
         raw, offsets = text_buffers(batch["text"])
         for i, j in slices(offsets, 1 << 21):
-            words, *both = streams(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-            next_ = np.flatnonzero(words.room() >= 2)
-            for slot in both:
-                a, b = slot[next_], slot[next_ + 1]
-                own, other = np.concatenate([a, b]), np.concatenate([b, a])
-                for k in range(4):
-                    total += np.bincount(own * DIM + PLACE[other, k], SIGN[other, k], SLOTS * DIM)
-    yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "body": pa.array([total.tobytes()], pa.binary())})
-
-
-def word_vectors(docs: DataFrame) -> np.ndarray:
-    """The table of vectors of all slots, of unit length around the common mean."""
-    from pyspark import TaskContext
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _counted(batches, TaskContext.get().partitionId())
-
-    def add(table: pa.Table) -> pa.Table:
-        body = sum(np.frombuffer(x) for x in table["body"].to_pylist())
-        return pa.table({"part": table["part"][:1], "body": pa.array([body.tobytes()], pa.binary())})
-
-    sums = docs.select("text").mapInArrow(count, "part int, body binary")
-    parts = docs.rdd.getNumPartitions()
-    while parts > 16:
-        sums = sums.withColumn("part", F.floor(F.col("part") / FAN).cast("int")).groupBy("part").applyInArrow(add, "part int, body binary")
-        parts = -(-parts // FAN)
-    total = sum((np.frombuffer(r["body"]) for r in sorted(sums.collect())), np.zeros(SLOTS * DIM)).reshape(SLOTS, DIM)
-    length = np.linalg.norm(total, axis=1, keepdims=True)
-    unit = total / np.maximum(length, 1e-9)
-    seen = length[:, 0] > 0
-    for part in (slice(0, WORDS), slice(WORDS, SLOTS)):
-        if seen[part].any():
-            unit[part][seen[part]] -= unit[part][seen[part]].mean(0)
-    return (unit / np.maximum(np.linalg.norm(unit, axis=1, keepdims=True), 1e-9)).astype(np.float32)
-
-
-def pooled(raw: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> np.ndarray:
+            held.append(neighbour_sums(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]))
+            if sum(len(x[0]) for x in held) > HELD:
+                held = [added(*(np.concatenate(x) for x in zip(*held, strict=True)))]
+                if len(held[0][0]) > HELD // 2:
+                    yield _rows(*held.pop(), parts)
+    if held:
+        yield _rows(*added(*(np.concatenate(x) for x in zip(*held, strict=True))), parts)
+
+
+def unpacked(table: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    read = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in table[name].to_pylist()] or [np.zeros(0, kind)])
+    return read("words", U64), read("counts", np.int64), read("vectors", np.int64).reshape(-1, DIM)
+
+
+def _octave(counts: np.ndarray) -> np.ndarray:
+    """A step of the histogram for each count: eight to a doubling."""
+    return np.floor(np.log2(counts) * 8).astype(np.int64)
+
+
+class Table:
+    """Words in order and their unit vectors, with the vectors of rare words and of rare shapes at the end."""
+
+    def __init__(self, words: np.ndarray, vectors: np.ndarray, rare: np.ndarray) -> None:
+        self.words = words
+        whole = np.concatenate([vectors, rare]).astype(np.float64)
+        length = np.linalg.norm(whole, axis=1, keepdims=True)
+        unit, seen = whole / np.maximum(length, 1e-9), length[:, 0] > 0
+        shape = np.concatenate([(words & U64(1)).astype(bool), [False, True]])
+        for part in (~shape, shape):
+            if (part & seen).any():
+                unit[part & seen] -= unit[part & seen].mean(0)
+        self.vectors = (unit / np.maximum(np.linalg.norm(unit, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+
+    def places(self, keys: np.ndarray) -> np.ndarray:
+        rare = len(self.words) + (keys & U64(1)).astype(np.int64)
+        if not len(self.words):
+            return rare
+        at = np.minimum(np.searchsorted(self.words, keys), len(self.words) - 1)
+        return np.where(self.words[at] == keys, at, rare)
+
+
+def word_vectors(docs: DataFrame, table: int = 200_000) -> Table:
+    """The table of at most so many words and shapes, from all documents."""
+    spark = docs.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size_of(docs.select("text")) // (64 * MB) + 1)
+
+    def add(rows: pa.Table) -> pa.Table:
+        return pa.Table.from_batches([_rows(*added(*unpacked(rows)), 1)]).set_column(0, "part", rows["part"][:1])
+
+    # Every word's sum, kept in the shared folder: it grows with the vocabulary and is read twice.
+    sums = settled(docs.select("text").mapInArrow(lambda b: _counted(b, parts), PACKED).groupBy("part").applyInArrow(add, PACKED))
+
+    def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            step, n = np.unique(_octave(unpacked(batch)[1]), return_counts=True)
+            yield pa.RecordBatch.from_pydict({"step": step, "n": n})
+
+    # Some hundreds of steps at most, whatever the corpus.
+    histogram = sums.mapInArrow(steps, "step long, n long").groupBy("step").agg(F.sum("n").alias("n")).orderBy(F.col("step").desc()).collect()
+    least, room = 1 << 62, table
+    for step, n in histogram:
+        if n > room:
+            break
+        least, room = step, room - n
+
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, counts, vectors = unpacked(batch)
+            own = _octave(counts) >= least
+            rare = np.stack([vectors[~own & ((words & U64(1)) == U64(x))].sum(0) for x in (0, 1)])
+            yield pa.RecordBatch.from_pydict({"words": pa.array([words[own].tobytes()], pa.binary()), "vectors": pa.array([vectors[own].tobytes()], pa.binary()), "rare": pa.array([rare.tobytes()], pa.binary())})
+
+    rows = sums.mapInArrow(chosen, "words binary, vectors binary, rare binary").toArrow().to_pylist()
+    words = np.concatenate([np.frombuffer(r["words"], U64) for r in rows] or [np.zeros(0, U64)])
+    vectors = np.concatenate([np.frombuffer(r["vectors"], np.int64).reshape(-1, DIM) for r in rows] or [np.zeros((0, DIM), np.int64)])
+    rare = sum((np.frombuffer(r["rare"], np.int64).reshape(2, DIM) for r in rows), np.zeros((2, DIM), np.int64))
+    order = np.argsort(words)
+    return Table(words[order], vectors[order], rare)
+
+
+def pooled(raw: np.ndarray, offsets: np.ndarray, table: Table) -> np.ndarray:
     """A document's features: means of word and shape vectors and of products of neighbours."""
     words, *both = streams(raw, offsets)
     n = len(offsets) - 1
@@ -114,8 +197,8 @@ def pooled(raw: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> np.ndarra
         total = np.add.reduceat(np.concatenate([x, np.zeros((1, x.shape[1]), x.dtype)]), words.first[:-1], axis=0)
         return np.where(count > 0, total / np.maximum(number, 1), 0)
 
-    for slot in both:
-        v = table[slot]
+    for key in both:
+        v = table.vectors[table.places(key)]
         out.append(mean(v, count))
         pair = np.zeros_like(v)
         pair[:-1] = v[:-1] * v[1:]
@@ -143,14 +226,13 @@ class Network:
         d = z.shape[1]
         self.w = [rng.normal(0, np.sqrt(2 / d), (d, hidden)), np.zeros(hidden), rng.normal(0, np.sqrt(1 / hidden), hidden), np.zeros(1)]
         m, v, t = [np.zeros_like(p) for p in self.w], [np.zeros_like(p) for p in self.w], 0
-        weight = np.where(y == 1, 0.5 / y[fit].mean(), 0.5 / (1 - y[fit].mean())) ** 0.5
         for _ in range(max(epochs, min(400, 40000 // len(fit)))):
             rng.shuffle(fit)
             for a in range(0, len(fit), 256):
                 i = fit[a : a + 256]
                 h = np.maximum(z[i] @ self.w[0] + self.w[1], 0)
                 p = 1 / (1 + np.exp(-np.clip(h @ self.w[2] + self.w[3], -30, 30)))
-                g = (p - y[i]) * weight[i] / len(i)
+                g = (p - y[i]) / len(i)
                 back = np.outer(g, self.w[2]) * (h > 0)
                 t += 1
                 for k, grad in enumerate((z[i].T @ back + 1e-4 * self.w[0], back.sum(0), h.T @ g + 1e-4 * self.w[2], g.sum(keepdims=True))):
@@ -171,12 +253,12 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self.logits((x - self.mean) / self.scale) / self.temperature, -700, 700)))
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int = 3, held: int = 1, bound: int = 20_000, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int = 3, held: int = 1, bound: int = 20_000, table: int = 200_000, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, held_out, score (probability of label 1), predicted, text and rest of every document."""
     spark = docs.sparkSession
     docs = framed(docs, text, doc_id)
-    table = word_vectors(docs)
-    sent = spark.sparkContext.broadcast(table)
+    # At most `table` words of 136 bytes, and labelled rows of about a kilobyte each, pass through the driver.
+    sent = spark.sparkContext.broadcast(word_vectors(docs, table))
     sample = labelled_sample(docs, labels, label, remainder("doc_id", modulus) != held, bound)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,17 +2,19 @@
 
 Rows lie in parts (by a hash, so that a part is the same whenever it is computed again). How many
 rows of each part go to each shard is drawn exactly as a uniform shuffle would have it: a part's
-counts are multivariate hypergeometric given the seats that are left. The matrix is drawn in two
-levels, first for groups of parts, then within each group, so a fold never runs over more than
-`GROUP` parts or the groups. Each part permutes its rows and deals them out by its counts; shards
+counts are multivariate hypergeometric given the seats that are left. The matrix is drawn down a tree of
+`GROUP` children a node, first for the largest groups of parts, then within each of them, so no row or fold ever
+holds more than `GROUP` groups and the depth is the logarithm of the parts. Each part permutes its rows and deals them out by its counts; shards
 then permute again, in slices, so that no task holds a shard. Shard sizes are exact: at most one row
 apart, whatever the data.
 
-Each draw inverts the distribution over twelve standard deviations (and twelve values) around its
-mean; what lies outside is under 1e-30.
+Each draw inverts the distribution over nine standard deviations (and twelve values) on both sides of its
+mean; what lies outside is less than the 53 bits of the number that is inverted can tell. Its steps grow with the
+square root of a group's rows; a group of the top is the only one with that of all rows.
 
 Cases: a null in any column is hashed apart from every value. Equal rows are separate rows, each with a
-slot of its own. Columns of maps are hashed as JSON. Empty tables give an empty result. Columns keep
+slot of its own; which of two unlike rows comes first whose 64-bit hashes are equal is left open. Texts of any
+length are hashed whole. Columns of maps are hashed as JSON. Empty tables give an empty result. Columns keep
 their names, but for one called shard or slot (in any case), which comes back with `own_` before it.
 """
 
@@ -44,7 +46,7 @@ def hypergeometric(u: Column, total: Column, good: Column, n: Column) -> Column:
 
     def bounds(share: Column) -> Column:
         mean = n * share
-        wide = F.sqrt(mean * (1 - share) * (total - n) / F.greatest(total - 1, F.lit(1))) * 12 + 12
+        wide = F.sqrt(mean * (1 - share) * (total - n) / F.greatest(total - 1, F.lit(1))) * 9 + 12
         low = F.greatest(F.lit(0).cast("long"), n - (total - good), F.floor(mean - wide))
         high = F.least(n, good, F.ceil(mean + wide))
         return F.struct(low.alias("low"), F.greatest(low, high).alias("high"))
@@ -88,14 +90,19 @@ def _matrix(parts: Column, seats: Column, shards: int, seed: int) -> Column:
     return F.aggregate(parts, start, step)["rows"]
 
 
-def communication_matrix(counts: DataFrame, shards: int, seed: int) -> DataFrame:
-    """(part, counts): rows of each part for each shard, from (part, n)."""
-    grouped = counts.withColumn("grp", F.floor(F.col("part") / GROUP)).groupBy("grp").agg(F.sort_array(F.collect_list(F.struct("part", "n"))).alias("parts"), F.sum("n").alias("n"))
-    every = grouped.groupBy().agg(F.sort_array(F.collect_list(F.struct(F.col("grp").alias("part"), "n"))).alias("groups"), F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
-    seats = F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: F.floor(F.col("total") / shards) + F.when(s < F.col("total") % shards, 1).otherwise(0))
-    first = every.withColumn("seats", seats).select(F.explode(_matrix(F.col("groups"), F.col("seats"), shards, seed)).alias("row")).select(F.col("row.part").alias("grp"), F.col("row.counts").alias("seats"))
-    second = grouped.join(first, "grp").select(F.explode(_matrix(F.col("parts"), F.col("seats"), shards, seed + 1)).alias("row"))
-    return second.select("row.part", "row.counts")
+def communication_matrix(counts: DataFrame, shards: int, seed: int, parts: int) -> DataFrame:
+    """(part, counts): rows of each part for each shard, from (part, n) with part under `parts`."""
+    levels = [counts.select("part", "n")]
+    while GROUP ** len(levels) < parts:
+        levels.append(levels[-1].groupBy(F.floor(F.col("part") / GROUP).alias("part")).agg(F.sum("n").alias("n")))
+    total = F.col("total")
+    seats = F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: F.floor(total / shards) + F.when(s < total % shards, 1).otherwise(0))
+    above = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total")).select(F.lit(0).cast("long").alias("grp"), seats.alias("seats"))
+    for level in reversed(range(len(levels))):
+        children = levels[level].withColumn("grp", F.floor(F.col("part") / GROUP)).groupBy("grp").agg(F.sort_array(F.collect_list(F.struct("part", "n"))).alias("parts"))
+        drawn = children.join(above, "grp").select(F.explode(_matrix(F.col("parts"), F.col("seats"), shards, seed + level)).alias("row"))
+        above = drawn.select(F.col("row.part").alias("grp"), F.col("row.counts").alias("seats"))
+    return above.select(F.col("grp").alias("part"), F.col("seats").alias("counts"))
 
 
 def _free(name: str, taken: set[str]) -> str:
@@ -115,7 +122,7 @@ def shard(df: DataFrame, shards: int = 8, seed: int = 17, part_bytes: int = 16 *
     values = [F.to_json(F.struct(F.col(f"`{c}`"))) if "map<" in kind else F.col(f"`{c}`") for c, kind in df.dtypes]
     key = F.xxhash64(*values, *(F.col(f"`{c}`").isNull() for c in own), F.lit(seed))
     rows = df.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("row"), key.alias("key")).withColumn("part", F.pmod(F.xxhash64("key", F.lit(1)), F.lit(parts)))
-    matrix = communication_matrix(rows.groupBy("part").agg(F.count("*").alias("n")), shards, seed)
+    matrix = communication_matrix(rows.groupBy("part").agg(F.count("*").alias("n")), shards, seed, parts)
     ends = F.aggregate("counts", F.array().cast("array<bigint>"), lambda a, x: F.array_append(a, x + F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0))))
     place = F.row_number().over(Window.partitionBy("part").orderBy(F.xxhash64("key", F.lit(2)), "key"))
     rows = rows.withColumn("place", place).join(matrix.select("part", ends.alias("ends")), "part")

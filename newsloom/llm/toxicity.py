@@ -1,4 +1,4 @@
-"""Operator 8: toxicity by nearest labelled examples under exact TF-IDF cosine.
+"""Operator 8: toxicity by nearest labelled examples under exact TF-IDF cosine, with a block-max inverted index.
 
 Terms are whole words, lower-cased. All terms of a bounded sample of labelled rows are indexed, and norms
 run over all of them; a term's weight is (1 + ln tf) * idf * factor, where the factor grows with the
@@ -6,17 +6,23 @@ evidence that the term marks label 1 (see `factors`) and is 1 for others. Docume
 over all documents. A term that no example has adds nothing to a product and is counted in the norm of a
 text as a term of one document.
 
-Products with the commonest terms are one matrix product, those with the others come from postings, both in
-32 bits; all examples that may be among the best k by them are scored again in 64 bits, so the neighbours
-are exact. Examples with the same terms and counts are one row of the index. The k nearest examples vote by
-similarity, exact copies most, against the share of label 1 in the sample.
+The index: examples are put in an order that keeps like ones together and cut into blocks of `BLOCK`. A term's
+postings are the blocks that have it, each with the term's largest weight there, so one pass over the postings of a
+text's terms bounds its product with every example of each block. Blocks are opened from the highest bound
+downwards and their examples scored exactly in 64 bits, until the next bound is under the k-th best score: the
+neighbours are those of a full scan. Examples with the same terms and counts are one row of the index. The k
+nearest examples vote by similarity, exact copies most, against the share of label 1 in the sample.
 
-Every example has a class of its own to speak for, so the evidence (its id, similarity and label) is
-returned with the score.
+Every example has a class of its own to speak for, so the evidence (id, similarity and label of all k voters,
+nearest first) is returned with the score.
+
+The sample has at most `bound` rows and `bound_bytes` of text, in the order of a hash of the id: that bounds the
+index, which is built on the driver and broadcast.
 
 Cases: null and empty texts, and texts without a term of any example, get the prior. Without labels all
-get 0.5. A null doc_id counts as the empty text for held_out. Equal similarities rank by smaller doc_id. An
-empty table gives an empty result.
+get 0.5. A null doc_id counts as the empty text for held_out. Ids are whole numbers, or text of one; other ids of
+labelled rows raise an error. Equal similarities rank by smaller doc_id. An empty table gives an empty result.
+Other columns, of any name, travel in the struct column `rest`.
 """
 
 from __future__ import annotations
@@ -29,9 +35,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.exchange import framed, loose
+from newsloom.llm.exchange import MB, framed, loose
 from newsloom.llm.labelled import labelled_sample, remainder
-from newsloom.llm.tokens import LETTER_DIGIT, LOWER, U64, Words, slices, text_buffers
+from newsloom.llm.tokens import LETTER_DIGIT, LOWER, U64, Words, mix, slices, text_buffers
+
+#: Examples in a block of the index, and dimensions in which examples are ordered.
+BLOCK, SKETCH = 16, 64
 
 
 def term_counts(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -65,6 +74,26 @@ def factors(a: np.ndarray, n: np.ndarray, base: float) -> np.ndarray:
     return np.where(share > base, np.sqrt(1 + np.maximum(apart, 0)), 1.0)
 
 
+def alike(x: np.ndarray, size: int) -> np.ndarray:
+    """An order of the rows that keeps like ones together: halves along the main direction, down to so many rows."""
+    out, stack = [], [np.arange(len(x))]
+    while stack:
+        rows = stack.pop()
+        if len(rows) <= size:
+            out.append(rows)
+            continue
+        z = x[rows] - x[rows].mean(0)
+        direction = z[np.abs(z).sum(1).argmax()]
+        for _ in range(6):
+            direction = z.T @ (z @ direction)
+            direction = direction / max(np.linalg.norm(direction), 1e-12)
+        order = rows[np.argsort(z @ direction, kind="stable")]
+        # Halves of whole blocks, so that all blocks but the last are full.
+        middle = max(1, (len(rows) // size + 1) // 2) * size
+        stack += [order[middle:], order[:middle]]
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
 class Index:
     """Labelled examples by term: all terms of all examples.
 
@@ -77,7 +106,7 @@ class Index:
         self.ids, self.labels, self.rows = ids[order], labels[order], np.searchsorted(of[order], np.arange(len(first)))
         self.first, self.place, self.count, self.vocabulary = first, place, count, vocabulary
         self.prior = float(labels.mean()) if len(labels) else 0.5
-        self.weight, self.unknown, self.dense = np.ones(len(vocabulary)), 1.0, None
+        self.weight, self.dense = np.ones(len(vocabulary)), None
 
     def weigh(self, frequency: np.ndarray, number: int) -> None:
         """Term weights from document frequencies and from the labels of distinct examples."""
@@ -91,58 +120,140 @@ class Index:
         self.weight = idf * factors(a, n, float(toxic.mean()) if len(toxic) else 0.0)
 
     def open(self, common: int = 512) -> None:
-        """Norms, the matrix of the commonest terms, and postings of the others."""
-        n = len(self.first) - 1
+        """Unit weights by example, and block-max postings: rows of a matrix for the commonest terms, lists for others."""
+        n, terms = len(self.first) - 1, len(self.vocabulary)
         w = self.raw(self.place, self.count)
-        example = np.repeat(np.arange(n, dtype=np.int32), np.diff(self.first))
-        self.norm = np.sqrt(np.bincount(example, w * w, n))
-        w = (w / self.norm[example]).astype(np.float32)
-        often = np.bincount(self.place, minlength=len(self.vocabulary))
-        top = np.sort(np.argsort(-often, kind="stable")[:common])
-        self.column = np.full(len(self.vocabulary), -1, np.int32)
-        self.column[top] = np.arange(len(top))
-        at = self.column[self.place]
-        self.dense = np.zeros((len(top), n), np.float32)
-        self.dense[at[at >= 0], example[at >= 0]] = w[at >= 0]
-        rest = np.flatnonzero(at < 0)
-        rest = rest[np.argsort(self.place[rest], kind="stable")]
-        self.example, self.value = example[rest], w[rest]
-        often[top] = 0
-        self.postings = np.concatenate([[0], np.cumsum(often)])
-        self.query = np.zeros(len(self.vocabulary))
+        example = np.repeat(np.arange(n), np.diff(self.first))
+        self.unit = w / np.sqrt(np.bincount(example, w * w, n))[example]
+        # Like examples share a block: their order follows a projection of their vectors to a few dimensions.
+        sign = mix(self.vocabulary)
+        sketch = np.zeros((n, SKETCH))
+        np.add.at(sketch, (example, (sign % U64(SKETCH)).astype(np.int64)[self.place]), self.unit * np.where(sign >> U64(63), 1.0, -1.0)[self.place])
+        self.order = alike(sketch, BLOCK)
+        size = np.diff(self.first)[self.order]
+        take = np.repeat(self.first[:-1][self.order] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+        self.at = np.concatenate([[0], np.cumsum(size)])
+        # Numbered by frequency here, so that most of what a scan looks up lies close together.
+        self.rank = np.empty(terms, np.int32)
+        self.rank[np.argsort(-np.bincount(self.place, minlength=terms), kind="stable")] = np.arange(terms)
+        self.term, self.unit = self.rank[self.place[take]], self.unit[take]
+        self.blocks = -(-n // BLOCK)
+        self.query, self.spot = np.zeros(terms), np.full(terms, -1, np.int32)
+        # A block holds its terms once, and its examples' weights as a small matrix over them.
+        self.held, top = [], []
+        for lo in range(0, n, BLOCK):
+            hi = min(lo + BLOCK, n)
+            own = slice(self.at[lo], self.at[hi])
+            term, at = np.unique(self.term[own], return_inverse=True)
+            matrix = np.zeros((hi - lo, len(term)), np.float32)
+            matrix[np.repeat(np.arange(hi - lo), size[lo:hi]), at] = self.unit[own]
+            self.held.append((term, matrix))
+            # Rounded up, so that a bound in 32 bits stays one.
+            top.append(matrix.max(0) * np.float32(1 + 1e-6))
+        self.widest = max((len(t) for t, _ in self.held), default=0)
+        term = np.concatenate([t for t, _ in self.held] or [np.zeros(0, np.int32)])
+        holder = np.repeat(np.arange(self.blocks, dtype=np.int32), [len(t) for t, _ in self.held])
+        top = np.concatenate(top or [np.zeros(0, np.float32)])
+        # The commonest terms are the first numbers: their postings are rows of a matrix.
+        self.dense = np.zeros((min(common, terms), self.blocks), np.float32)
+        often = term < len(self.dense)
+        self.dense[term[often], holder[often]] = top[often]
+        rest = np.flatnonzero(~often)
+        rest = rest[np.argsort(term[rest], kind="stable")]
+        self.holder, self.top = holder[rest], top[rest]
+        self.postings = np.concatenate([[0], np.cumsum(np.bincount(term[rest], minlength=terms))])
 
     def raw(self, place: np.ndarray, count: np.ndarray) -> np.ndarray:
         return (1 + np.log(count)) * self.weight[place]
 
-    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], norms: list[float], k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def exact(self, near: np.ndarray) -> np.ndarray:
+        """Products of examples (by place in the index's order) with the open query, in 64 bits."""
+        lo, size = self.at[near], self.at[near + 1] - self.at[near]
+        start = np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64)
+        take = np.repeat(lo - start, size) + np.arange(size.sum())
+        return np.add.reduceat(self.query[self.term[take]] * self.unit[take], start) if len(near) else np.zeros(0)
+
+    def bounds(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """For each query (numbers of terms, unit weights) a bound of its products with any example of each block."""
+        left = np.zeros((len(queries), len(self.dense)), np.float32)
+        for i, (term, w) in enumerate(queries):
+            often = term < len(self.dense)
+            left[i, term[often]] = w[often]
+        out = left @ self.dense
+        for i, (term, w) in enumerate(queries):
+            a, size = self.postings[term], self.postings[term + 1] - self.postings[term]
+            at = np.repeat(a - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+            out[i] += np.bincount(self.holder[at], self.top[at] * np.repeat(w.astype(np.float32), size), self.blocks)
+        return out
+
+    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], norms: list[float], k: int, batch: int = 64) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each query (places, weights): examples and similarities of the k nearest with any common term,
         nearest first."""
         if self.dense is None:
             self.open()
-        n = len(self.first) - 1
-        for lo in range(0, len(queries), 64):
-            part = queries[lo : lo + 64]
-            left = np.zeros((len(part), len(self.dense)), np.float32)
-            for i, (place, w) in enumerate(part):
-                at = self.column[place]
-                left[i, at[at >= 0]] = (w / norms[lo + i])[at >= 0]
-            for (place, w), norm, about in zip(part, norms[lo : lo + 64], left @ self.dense, strict=True):
-                a, z = self.postings[place], self.postings[place + 1]
-                at = np.repeat(a - np.concatenate([[0], np.cumsum(z - a)[:-1]]), z - a) + np.arange((z - a).sum())
-                about += np.bincount(self.example[at], self.value[at] * np.repeat((w / norm).astype(np.float32), z - a), n)
-                edge = np.partition(about, n - k)[n - k] if n > k else 0.0
-                # 32 bits are off by less than the margin; products of nothing stay exactly 0.
-                near = np.flatnonzero((about > 0) & (about >= edge - 1e-4))
-                self.query[place] = w / norm
-                sim = np.array([self.query[self.place[a:z]] @ self.raw(self.place[a:z], self.count[a:z]) for a, z in zip(self.first[near].tolist(), self.first[near + 1].tolist(), strict=True)]) / self.norm[near]
-                self.query[place] = 0
-                sim = np.minimum(np.round(sim, 9), 1.0)
-                best = near[sim >= np.sort(sim)[-min(k, len(sim))]] if len(sim) else near
-                value = dict(zip(near.tolist(), sim.tolist(), strict=True))
-                rows = np.concatenate([np.arange(self.rows[x], min(self.rows[x] + k, self.rows[x + 1])) for x in best] or [np.zeros(0, np.int64)])
-                sims = np.array([value[x] for x in best.tolist() for _ in range(min(k, int(self.rows[x + 1] - self.rows[x])))])
-                order = np.lexsort((self.ids[rows], -sims))[:k]
-                yield rows[order], sims[order]
+        self.opened, out = 0, [(np.zeros(0, np.int64), np.zeros(0))] * len(queries)
+        if not queries or not self.blocks:
+            return out
+        queries = [(self.rank[place], w / norm) for (place, w), norm in zip(queries, norms, strict=True)]
+        bound = self.bounds(queries)
+        # Queries of like bounds are answered together, as they open the same blocks.
+        order = np.argsort(bound.argmax(1), kind="stable")
+        for lo in range(0, len(order), batch):
+            part = order[lo : lo + batch]
+            for i, (near, sim) in zip(part.tolist(), self._search([queries[i] for i in part], bound[part], k), strict=True):
+                best = self.order[near]
+                number = np.minimum(self.rows[best + 1] - self.rows[best], k)
+                rows = np.concatenate([np.arange(self.rows[x], self.rows[x] + n) for x, n in zip(best.tolist(), number.tolist(), strict=True)] or [np.zeros(0, np.int64)])
+                sims = np.repeat(sim, number)
+                first = np.lexsort((self.ids[rows], -sims))[:k]
+                out[i] = rows[first], sims[first]
+        return out
+
+    def _search(self, queries: list[tuple[np.ndarray, np.ndarray]], bound: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each query places and products of all examples that reach its k-th best product.
+
+        Blocks are opened in rounds, from high bounds downwards, each for those queries whose bound there reaches
+        their k-th best product so far."""
+        n, number = len(self.order), len(queries)
+        # The queries by term, over the terms that any of them has; other terms of a block add nothing.
+        union = np.unique(np.concatenate([term for term, _ in queries]))
+        self.spot[union] = np.arange(len(union), dtype=np.int32)
+        by_query = np.zeros((number, len(union)), np.float32)
+        for i, (term, w) in enumerate(queries):
+            by_query[i, self.spot[term]] = w
+        by_term, room = np.ascontiguousarray(by_query.T), np.empty((self.widest, number), np.float32)
+        about = np.full((number, n), -1, np.float32)
+        # What is computed in 32 bits is off by less than the margin; products of nothing stay exactly 0.
+        edge, margin = np.zeros(number, np.float32), 1e-4
+        order = np.argsort(-bound.max(0), kind="stable")
+        a, step = 0, max(4, -(-2 * k // BLOCK))
+        while a < len(order):
+            for b in order[a : a + step].tolist():
+                asks = np.flatnonzero((bound[:, b] > 0) & (bound[:, b] >= edge - margin))
+                if len(asks):
+                    self.opened += len(asks)
+                    term, matrix = self.held[b]
+                    spot = self.spot[term]
+                    common = np.flatnonzero(spot >= 0)
+                    spot, matrix = spot[common], matrix[:, common]
+                    if len(asks) > 8:
+                        score = (matrix @ np.take(by_term, spot, axis=0, out=room[: len(spot)], mode="clip"))[:, asks].T
+                    else:
+                        score = by_query[asks[:, None], spot] @ matrix.T
+                    about[asks, b * BLOCK : b * BLOCK + score.shape[1]] = score
+            a, step = a + step, step * 2
+            if n > k:
+                edge = np.maximum(np.partition(about, n - k, axis=1)[:, n - k], 0)
+        self.spot[union] = -1
+        for i, (term, w) in enumerate(queries):
+            near = np.flatnonzero((about[i] > 0) & (about[i] >= edge[i] - margin))
+            self.query[term] = w
+            sim = np.minimum(np.round(self.exact(near), 9), 1.0)
+            self.query[term] = 0
+            if len(sim) > k:
+                keep = sim >= np.partition(sim, len(sim) - k)[len(sim) - k]
+                near, sim = near[keep], sim[keep]
+            yield near, sim
 
     def score(self, rows: np.ndarray, sim: np.ndarray) -> float:
         """Votes by squared similarity over distance, so that an exact copy outweighs far neighbours; half a
@@ -168,10 +279,10 @@ def build(rows: pa.Table) -> Index:
     return Index(ids, labels, of, first, np.searchsorted(vocabulary, every).astype(np.int32), np.concatenate(counts or [np.zeros(0, np.int32)]), vocabulary)
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 5, held: int = 0, bound: int = 20_000, k: int = 15, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, held_out, score (probability of label 1), predicted, evidence (nearest examples), text and rest."""
+def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 5, held: int = 0, bound: int = 8_000, bound_bytes: int = 64 * MB, k: int = 15, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """doc_id, held_out, score (probability of label 1), predicted, evidence (the k nearest examples), text and rest."""
     docs = framed(docs, text, doc_id)
-    sample = labelled_sample(docs, labels, label, remainder("doc_id", modulus) != held, bound)
+    sample = labelled_sample(docs, labels, label, remainder("doc_id", modulus) != held, bound, bound_bytes)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,7 +293,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", mo
                 counts += [n[a:b].astype(np.int32).tobytes() for a, b in zip(border[:-1], border[1:], strict=True)]
             yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"].cast(pa.int64()), "label": batch["label"], "terms": pa.array(terms, pa.binary()), "counts": pa.array(counts, pa.binary())})
 
-    rows = sample.mapInArrow(learn, "doc_id long, label int, terms binary, counts binary").toArrow()
+    rows = sample.mapInArrow(learn, "doc_id long, label int, terms binary, counts binary").toArrow().sort_by("doc_id")
     index = build(rows)
     del rows
     vocabulary = docs.sparkSession.sparkContext.broadcast(index.vocabulary)
@@ -204,7 +315,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", mo
     frequency[term[term >= 0]] = times[term >= 0]
     number = int(times[term < 0].sum())
     index.weigh(frequency, number)
-    # The index holds the terms of at most `bound` examples: the broadcast is bounded.
+    # The index holds the terms of at most `bound` examples of `bound_bytes` in all: the broadcast is bounded.
     sent = docs.sparkSession.sparkContext.broadcast(index)
     # In a norm, terms that no example has count as those of one document.
     alone = float(np.log((1 + number) / 2) + 1)
@@ -233,7 +344,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", mo
                         queries.append((at[a:b][own], w[a:b][own]))
                         norms.append(float(norm[d]))
                 for key, (near, sim) in zip(new, index.nearest(queries, norms, k), strict=True):
-                    known[key] = index.score(near, sim), [{"doc_id": int(index.ids[x]), "similarity": float(s), "label": int(index.labels[x])} for x, s in zip(near[:3], sim[:3], strict=True)]
+                    known[key] = index.score(near, sim), [{"doc_id": int(index.ids[x]), "similarity": float(s), "label": int(index.labels[x])} for x, s in zip(near, sim, strict=True)]
                 for key in keys:
                     scores.append(known[key][0])
                     evidence.append(known[key][1])
