@@ -145,11 +145,11 @@ class Index:
             hi = min(lo + BLOCK, n)
             own = slice(self.at[lo], self.at[hi])
             term, at = np.unique(self.term[own], return_inverse=True)
-            matrix = np.zeros((hi - lo, len(term)), np.float32)
-            matrix[np.repeat(np.arange(hi - lo), size[lo:hi]), at] = self.unit[own]
+            matrix = np.zeros((len(term), hi - lo), np.float32)
+            matrix[at, np.repeat(np.arange(hi - lo), size[lo:hi])] = self.unit[own]
             self.held.append((term, matrix))
             # Rounded up, so that a bound in 32 bits stays one.
-            top.append(matrix.max(0) * np.float32(1 + 1e-6))
+            top.append(matrix.max(1) * np.float32(1 + 1e-6))
         self.widest = max((len(t) for t, _ in self.held), default=0)
         term = np.concatenate([t for t, _ in self.held] or [np.zeros(0, np.int32)])
         holder = np.repeat(np.arange(self.blocks, dtype=np.int32), [len(t) for t, _ in self.held])
@@ -224,7 +224,7 @@ class Index:
         by_term, room = np.ascontiguousarray(by_query.T), np.empty((self.widest, number), np.float32)
         about = np.full((number, n), -1, np.float32)
         # What is computed in 32 bits is off by less than the margin; products of nothing stay exactly 0.
-        edge, margin = np.zeros(number, np.float32), 1e-4
+        edge, margin, best = np.zeros(number, np.float32), 1e-4, np.full((number, k), -1, np.float32)
         order = np.argsort(-bound.max(0), kind="stable")
         a, step = 0, max(4, -(-2 * k // BLOCK))
         while a < len(order):
@@ -235,15 +235,17 @@ class Index:
                     term, matrix = self.held[b]
                     spot = self.spot[term]
                     common = np.flatnonzero(spot >= 0)
-                    spot, matrix = spot[common], matrix[:, common]
+                    spot, matrix = spot[common], np.take(matrix, common, axis=0)
                     if len(asks) > 8:
-                        score = (matrix @ np.take(by_term, spot, axis=0, out=room[: len(spot)], mode="clip"))[:, asks].T
+                        score = (np.take(by_term, spot, axis=0, out=room[: len(spot)], mode="clip").T @ matrix)[asks]
                     else:
-                        score = by_query[asks[:, None], spot] @ matrix.T
+                        score = by_query[asks[:, None], spot] @ matrix
                     about[asks, b * BLOCK : b * BLOCK + score.shape[1]] = score
+            column = (order[a : a + step, None] * BLOCK + np.arange(BLOCK)).ravel()
+            best = np.concatenate([best, about[:, column[column < n]]], 1)
+            best = np.partition(best, best.shape[1] - k, axis=1)[:, best.shape[1] - k :]
+            edge = np.maximum(best[:, 0], 0)
             a, step = a + step, step * 2
-            if n > k:
-                edge = np.maximum(np.partition(about, n - k, axis=1)[:, n - k], 0)
         self.spot[union] = -1
         for i, (term, w) in enumerate(queries):
             near = np.flatnonzero((about[i] > 0) & (about[i] >= edge[i] - margin))
