@@ -1,13 +1,14 @@
 """Operator 2: quality classifier over random-indexing word vectors.
 
 Random indexing: each word has a sparse ternary index vector, drawn from its 64-bit hash; a word's vector is the
-sum of the index vectors of its neighbours over all documents. Every word has a vector of its own: tasks sum their
-words' vectors, and a shuffle by word adds them up. Word shapes (case, digits and marks, with runs collapsed) are
-words of a second stream.
+sum of the index vectors of its neighbours over all documents. Word shapes (case, digits and marks, with runs
+collapsed) are words of a second stream.
 
-The table that documents are pooled with is bounded: it holds the words and shapes seen at least so often that at
-most `table` of them remain (the count follows from a histogram, so equal counts stand or fall together). Rarer
-words are not left out: they share one vector, the sum of all of theirs, as do rarer shapes.
+The table that documents are pooled with is bounded. A shuffle by word counts all words and shapes; the table holds
+those seen at least so often that at most `table` of them remain (the count follows from a histogram, so
+about equal counts stand or fall together), each with a vector of its own. Rarer words are not left out: as
+neighbours they have index vectors of their own, and they share one vector, the sum of all of theirs, as do rarer
+shapes. Tasks sum the table's vectors over their documents, and a shuffle by place adds the sums up.
 
 A document is pooled to the mean vector of its words and of their shapes, and the mean product of
 neighbours' vectors, by component and in all. A two-layer network in numpy is trained on a bounded
@@ -33,9 +34,10 @@ from newsloom.llm.labelled import labelled_sample, remainder
 from newsloom.llm.tokens import U64, Words, mix, prefix_hash, range_hash, slices, text_buffers
 
 DIM, SPARSE = 32, 4
-#: Most words that a task sums before it sends them on.
-HELD = 1 << 17
-PACKED = "part int, words binary, counts binary, vectors binary"
+#: Most words that a task counts before it sends them on.
+HELD = 1 << 18
+COUNTED = "part int, words binary, counts binary"
+SUMMED = "part int, width int, places binary, vectors binary"
 
 _kind = np.arange(256, dtype=np.uint8)
 _kind[[*range(0x61, 0x7B), *range(0x80, 0x100)]] = 0x61
@@ -62,59 +64,102 @@ def streams(raw: np.ndarray, offsets: np.ndarray) -> tuple[Words, np.ndarray, np
     return words, words.h & ~U64(1), shape | U64(1)
 
 
-def added(words: np.ndarray, counts: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each word once, in order, with its summed count and vector."""
-    order = np.argsort(words, kind="stable")
-    words = words[order]
-    new = np.flatnonzero(np.concatenate([[True], words[1:] != words[:-1]])) if len(words) else np.zeros(0, np.int64)
-    if len(new) == len(words):
-        return words, counts[order], vectors[order]
-    return words[new], np.add.reduceat(counts[order], new), np.add.reduceat(vectors[order], new, axis=0)
+def added(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each key once, in order, with the sum of its values (numbers or vectors)."""
+    order = np.argsort(keys, kind="stable")
+    keys, values = keys[order], values[order]
+    new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[new], np.add.reduceat(values, new, axis=0) if len(new) else values
 
 
-def neighbour_sums(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words and shapes of some documents, how often they stand there, and the sums of their neighbours' index vectors."""
+def _cut(keys: np.ndarray, part: np.ndarray, parts: int, **columns: np.ndarray) -> dict:
+    """Packed columns of a row for each part that has any key."""
+    order = np.argsort(part, kind="stable")
+    border = np.searchsorted(part[order], np.arange(parts + 1))
+    full = np.flatnonzero(np.diff(border))
+    return {"part": pa.array(full.astype(np.int32))} | {k: pa.array([x[order[border[p] : border[p + 1]]].tobytes() for p in full], pa.binary()) for k, x in columns.items()}
+
+
+def _counted(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    words, counts = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
+
+    def sent() -> pa.RecordBatch:
+        w, n = added(np.concatenate(words), np.concatenate(counts))
+        return pa.RecordBatch.from_pydict(_cut(w, (mix(w) % U64(parts)).astype(np.int64), parts, words=w, counts=n))
+
+    for batch in batches:
+        raw, offsets = text_buffers(batch["text"])
+        for i, j in slices(offsets, 1 << 21):
+            _, *both = streams(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            for key in both:
+                w, n = np.unique(key, return_counts=True)
+                words.append(w)
+                counts.append(n)
+            if sum(map(len, words)) > HELD:
+                w, n = added(np.concatenate(words), np.concatenate(counts))
+                words[:], counts[:] = [w], [n]
+                if len(w) > HELD // 2:
+                    yield sent()
+                    words[:], counts[:] = [w[:0]], [n[:0]]
+    yield sent()
+
+
+def neighbour_sums(raw: np.ndarray, offsets: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in the table that some documents' words and shapes have, and the sums of their neighbours' index vectors."""
     words, *both = streams(raw, offsets)
     pair = np.flatnonzero(words.room() >= 2)
     out = []
     for key in both:
-        distinct, at, count = np.unique(key, return_inverse=True, return_counts=True)
+        distinct, at = np.unique(key, return_inverse=True)
         place, sign = index_vectors(distinct)
         total = np.zeros(len(distinct) * DIM)
         left, right = at[pair], at[pair + 1]
         for k in range(SPARSE):
             total += np.bincount(left * DIM + place[right, k], sign[right, k], len(total))
             total += np.bincount(right * DIM + place[left, k], sign[left, k], len(total))
-        out.append((distinct, count, total.reshape(-1, DIM).astype(np.int64)))
+        out.append((places(known, distinct), total.reshape(-1, DIM).astype(np.int64)))
     return added(*(np.concatenate(x) for x in zip(*out, strict=True)))
 
 
-def _rows(words: np.ndarray, counts: np.ndarray, vectors: np.ndarray, parts: int) -> pa.RecordBatch:
-    part = (mix(words) % U64(parts)).astype(np.int64)
-    order = np.argsort(part, kind="stable")
-    border = np.searchsorted(part[order], np.arange(parts + 1))
-    full = np.flatnonzero(np.diff(border))
-    cut = lambda x: pa.array([x[order[border[p] : border[p + 1]]].tobytes() for p in full], pa.binary())
-    return pa.RecordBatch.from_pydict({"part": pa.array(full.astype(np.int32)), "words": cut(words), "counts": cut(counts), "vectors": cut(vectors)})
+def places(known: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """The place of each key among the sorted known ones; rare words and rare shapes have the two after them."""
+    rare = len(known) + (keys & U64(1)).astype(np.int64)
+    if not len(known):
+        return rare
+    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    return np.where(known[at] == keys, at, rare)
 
 
-def _counted(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+def _sums(place: np.ndarray, vectors: np.ndarray, parts: int) -> pa.RecordBatch:
+    """Rows of summed vectors, in 16 bits where they fit."""
+    kind = np.int16 if not len(vectors) or np.abs(vectors).max() < 2**15 else np.int64
+    out = _cut(place, place % parts, parts, places=place.astype(np.int32), vectors=vectors.astype(kind))
+    out["width"] = pa.array([np.dtype(kind).itemsize] * len(out["part"]), pa.int32())
+    return pa.RecordBatch.from_pydict({k: out[k] for k in ("part", "width", "places", "vectors")})
+
+
+def _summed(batches: Iterator[pa.RecordBatch], known: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
+    total = np.zeros((len(known) + 2, DIM), np.int64)
     for batch in batches:
         raw, offsets = text_buffers(batch["text"])
         for i, j in slices(offsets, 1 << 21):
-            held.append(neighbour_sums(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]))
-            if sum(len(x[0]) for x in held) > HELD:
-                held = [added(*(np.concatenate(x) for x in zip(*held, strict=True)))]
-                if len(held[0][0]) > HELD // 2:
-                    yield _rows(*held.pop(), parts)
-    if held:
-        yield _rows(*added(*(np.concatenate(x) for x in zip(*held, strict=True))), parts)
+            place, vectors = neighbour_sums(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], known)
+            total[place] += vectors
+    some = np.flatnonzero(total.any(1))
+    # Words of great sums apart, so that the others still fit in 16 bits.
+    wide = np.abs(total[some]).max(1) >= 2**15
+    yield _sums(some[~wide], total[some[~wide]], parts)
+    yield _sums(some[wide], total[some[wide]], parts)
+
 
+def _vectors_of(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    place = [np.frombuffer(x, np.int32).astype(np.int64) for x in rows["places"].to_pylist()]
+    body = [np.frombuffer(x, np.int16 if w == 2 else np.int64).reshape(-1, DIM).astype(np.int64) for x, w in zip(rows["vectors"].to_pylist(), rows["width"].to_pylist(), strict=True)]
+    return added(np.concatenate([np.zeros(0, np.int64), *place]), np.concatenate([np.zeros((0, DIM), np.int64), *body]))
 
-def unpacked(table: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    read = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in table[name].to_pylist()] or [np.zeros(0, kind)])
-    return read("words", U64), read("counts", np.int64), read("vectors", np.int64).reshape(-1, DIM)
+
+def _counts_of(rows: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    return added(np.concatenate([np.zeros(0, U64), *(np.frombuffer(x, U64) for x in rows["words"].to_pylist())]), np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, np.int64) for x in rows["counts"].to_pylist())]))
 
 
 def _octave(counts: np.ndarray) -> np.ndarray:
@@ -136,32 +181,28 @@ class Table:
                 unit[part & seen] -= unit[part & seen].mean(0)
         self.vectors = (unit / np.maximum(np.linalg.norm(unit, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
-    def places(self, keys: np.ndarray) -> np.ndarray:
-        rare = len(self.words) + (keys & U64(1)).astype(np.int64)
-        if not len(self.words):
-            return rare
-        at = np.minimum(np.searchsorted(self.words, keys), len(self.words) - 1)
-        return np.where(self.words[at] == keys, at, rare)
-
 
-def word_vectors(docs: DataFrame, table: int = 200_000) -> Table:
+def word_vectors(docs: DataFrame, table: int = 100_000) -> Table:
     """The table of at most so many words and shapes, from all documents."""
     spark = docs.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size_of(docs.select("text")) // (64 * MB) + 1)
+    texts = docs.select("text")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(tasks, size_of(texts) // (64 * MB) + 1)
 
-    def add(rows: pa.Table) -> pa.Table:
-        return pa.Table.from_batches([_rows(*added(*unpacked(rows)), 1)]).set_column(0, "part", rows["part"][:1])
+    def count(rows: pa.Table) -> pa.Table:
+        words, n = _counts_of(rows)
+        return pa.table({"part": rows["part"][:1], "words": pa.array([words.tobytes()], pa.binary()), "counts": pa.array([n.tobytes()], pa.binary())})
 
-    # Every word's sum, kept in the shared folder: it grows with the vocabulary and is read twice.
-    sums = settled(docs.select("text").mapInArrow(lambda b: _counted(b, parts), PACKED).groupBy("part").applyInArrow(add, PACKED))
+    # All words' counts, kept in the shared folder: they grow with the vocabulary and are read twice.
+    counts = settled(texts.mapInArrow(lambda b: _counted(b, parts), COUNTED).groupBy("part").applyInArrow(count, COUNTED))
 
     def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            step, n = np.unique(_octave(unpacked(batch)[1]), return_counts=True)
+            step, n = np.unique(_octave(_counts_of(batch)[1]), return_counts=True)
             yield pa.RecordBatch.from_pydict({"step": step, "n": n})
 
     # Some hundreds of steps at most, whatever the corpus.
-    histogram = sums.mapInArrow(steps, "step long, n long").groupBy("step").agg(F.sum("n").alias("n")).orderBy(F.col("step").desc()).collect()
+    histogram = counts.mapInArrow(steps, "step long, n long").groupBy("step").agg(F.sum("n").alias("n")).orderBy(F.col("step").desc()).collect()
     least, room = 1 << 62, table
     for step, n in histogram:
         if n > room:
@@ -170,17 +211,23 @@ def word_vectors(docs: DataFrame, table: int = 200_000) -> Table:
 
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words, counts, vectors = unpacked(batch)
-            own = _octave(counts) >= least
-            rare = np.stack([vectors[~own & ((words & U64(1)) == U64(x))].sum(0) for x in (0, 1)])
-            yield pa.RecordBatch.from_pydict({"words": pa.array([words[own].tobytes()], pa.binary()), "vectors": pa.array([vectors[own].tobytes()], pa.binary()), "rare": pa.array([rare.tobytes()], pa.binary())})
+            words, n = _counts_of(batch)
+            yield pa.RecordBatch.from_pydict({"words": pa.array([words[_octave(n) >= least].tobytes()], pa.binary())})
+
+    # At most `table` words of eight bytes.
+    rows = counts.mapInArrow(chosen, "words binary").toArrow()["words"].to_pylist()
+    known = np.sort(np.concatenate([np.zeros(0, U64), *(np.frombuffer(x, U64) for x in rows)]))
+    sent = spark.sparkContext.broadcast(known)
+
+    def add(rows: pa.Table) -> pa.Table:
+        place, vectors = _vectors_of(rows)
+        return pa.Table.from_batches([_sums(place, vectors, 1)]).set_column(0, "part", rows["part"][:1])
 
-    rows = sums.mapInArrow(chosen, "words binary, vectors binary, rare binary").toArrow().to_pylist()
-    words = np.concatenate([np.frombuffer(r["words"], U64) for r in rows] or [np.zeros(0, U64)])
-    vectors = np.concatenate([np.frombuffer(r["vectors"], np.int64).reshape(-1, DIM) for r in rows] or [np.zeros((0, DIM), np.int64)])
-    rare = sum((np.frombuffer(r["rare"], np.int64).reshape(2, DIM) for r in rows), np.zeros((2, DIM), np.int64))
-    order = np.argsort(words)
-    return Table(words[order], vectors[order], rare)
+    sums = texts.mapInArrow(lambda b: _summed(b, sent.value, tasks), SUMMED).groupBy("part").applyInArrow(add, SUMMED).toArrow()
+    total = np.zeros((len(known) + 2, DIM), np.int64)
+    place, vectors = _vectors_of(sums)
+    total[place] = vectors
+    return Table(known, total[:-2], total[-2:])
 
 
 def pooled(raw: np.ndarray, offsets: np.ndarray, table: Table) -> np.ndarray:
@@ -198,7 +245,7 @@ def pooled(raw: np.ndarray, offsets: np.ndarray, table: Table) -> np.ndarray:
         return np.where(count > 0, total / np.maximum(number, 1), 0)
 
     for key in both:
-        v = table.vectors[table.places(key)]
+        v = table.vectors[places(table.words, key)]
         out.append(mean(v, count))
         pair = np.zeros_like(v)
         pair[:-1] = v[:-1] * v[1:]
@@ -253,11 +300,11 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self.logits((x - self.mean) / self.scale) / self.temperature, -700, 700)))
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int = 3, held: int = 1, bound: int = 20_000, table: int = 200_000, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int = 3, held: int = 1, bound: int = 20_000, table: int = 100_000, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, held_out, score (probability of label 1), predicted, text and rest of every document."""
     spark = docs.sparkSession
     docs = framed(docs, text, doc_id)
-    # At most `table` words of 136 bytes, and labelled rows of about a kilobyte each, pass through the driver.
+    # At most `table` words of 264 bytes, and labelled rows of about a kilobyte each, pass through the driver.
     sent = spark.sparkContext.broadcast(word_vectors(docs, table))
     sample = labelled_sample(docs, labels, label, remainder("doc_id", modulus) != held, bound)
 
