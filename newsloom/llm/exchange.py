@@ -88,6 +88,24 @@ def split(keys: np.ndarray, buckets: int) -> np.ndarray:
     return np.searchsorted(ids, np.arange(buckets + 1))
 
 
+def packed_rows(chunk: int, by: np.ndarray, buckets: int, /, **columns: np.ndarray) -> pa.Table:
+    """Packed rows for the buckets of sorted hashes; these travel only if they are among the columns."""
+    borders = split(by, buckets)
+    full = np.flatnonzero(np.diff(borders))
+    cut = lambda x: pa.array([pack(x[borders[b] : borders[b + 1]]) for b in full], pa.binary())
+    return pa.table({"chunk": pa.array(np.full(len(full), chunk, np.int32)), "bucket": pa.array(full.astype(np.int32))} | {k: cut(v) for k, v in columns.items()})
+
+
+def gathered(table: pa.Table, name: str, kind: type = np.uint64) -> np.ndarray:
+    """The values of a packed column, one row after another."""
+    return np.concatenate([np.frombuffer(x, kind) for x in table[name].to_pylist()] or [np.zeros(0, kind)])
+
+
+def ids_of(table: pa.Table) -> np.ndarray:
+    """Ids as whole numbers; a null comes after all others."""
+    return table["doc_id"].cast(pa.int64()).fill_null(np.iinfo(np.int64).max).to_numpy()
+
+
 def answered(requests: DataFrame, answer: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
     """Every bucket's answers; `answer` gets the rows of one bucket."""
     return requests.groupBy("bucket").applyInArrow(answer, schema)

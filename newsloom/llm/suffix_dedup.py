@@ -1,25 +1,30 @@
 """Operator 3: byte-level substring dedup by prefix-free parsing.
 
-Texts are cut into phrases at content-defined triggers, and suffixes are ordered by the phrases they
-begin with rather than one by one:
-
-* Triggers. A `k`-byte rolling hash is a trigger where it is the least of some `width - k + 1`
-  consecutive ones. Every string of `width` bytes holds one, namely its own least (leftmost on ties),
-  which depends on the string alone: its trigger. Strings of one trigger start in one stretch.
-* Dictionary. A phrase is a trigger with all bytes that any string of that trigger can reach. It is
-  written once for each distinct content, with the least document that holds it. A phrase met again
-  in a larger document goes whole, whatever the number of its copies: highly repetitive text costs
-  no more than its dictionary.
-* Parse. What is left are distinct phrases of one trigger, first seen in some document. Their
-  suffixes of `width` bytes are sorted beside each other (the dictionary's suffix array, cut at
-  `width`, in corpus order by trigger), and equal neighbours take the least document of their run.
-
-So three exchanges (see `exchange`) of hashes, phrases' hashes and few phrases replace a sort of all
-suffixes of the corpus.
-
-Cases: null or empty text: no bytes, nothing removed. A null doc_id ranks after all others. Rows with
-the same doc_id are the same age: neither takes from the other. Texts shorter than `width` stay. An
-empty table gives an empty result. Other columns, of any name, travel in the struct column `rest`.
+A `k`-byte rolling hash is a trigger where it is the least of some `width - k + 1` consecutive ones. Every string of
+`width` bytes holds one that depends on the string alone, its own least (leftmost on ties): the trigger of the
+string. Triggers cut a text into phrases that overlap by the trigger only, and a string is a part of phrases before
+its trigger and a part of the parse from its trigger on. So strings are ordered by two short arrays in place of
+one of all suffixes of the corpus:
+
+* Dictionary: the distinct stretches of phrases that end at a trigger, as far back as a string of it can begin,
+  sorted from the trigger backwards, with the common lengths of neighbours.
+* Parse: the distinct stretches of phrases that begin with a trigger, as far as a string of it can end, sorted
+  forwards, with the common lengths of neighbours. A string's depth is `width` bytes, some three phrases, so the
+  parse's suffix array is cut there and sorted on its bytes; doubling ranks would take an exchange a step.
+* Corpus order: strings that begin `o` bytes before their trigger are ordered by (rank in the dictionary at depth o,
+  rank in the parse at depth width - o), where ranks of one depth come from the common lengths. Equal pairs are equal
+  bytes, and take the least document of their run.
+
+Two filters keep the arrays small, so that highly repetitive text costs no more than its distinct phrases: triggers
+that stand in one document only are dropped, and of each distinct context of a trigger (all that its strings reach)
+one copy is kept, with the least document that holds it. Contexts that a smaller document holds go whole, whatever
+the number of their copies; they are told apart by the trigger's and the context's hashes, 124 bits together. All
+else is decided on bytes. Work is three exchanges (see `exchange`): triggers, contexts' hashes, and contexts.
+
+Cases: null or empty text: no bytes, nothing removed. A null doc_id ranks after all others; ids are whole numbers, or
+text of one, and others raise an error. Rows with the same doc_id are the same age: neither takes from the other.
+Texts shorter than `width` stay. An empty table gives an empty result. Other columns, of any name, travel in the
+struct column `rest`.
 """
 
 from __future__ import annotations
@@ -30,15 +35,39 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.exchange import answered, dealt, framed, loose, pack, pack48, split, unpack48
+from newsloom.llm.exchange import answered, dealt, framed, gathered, ids_of, loose, pack, pack48, packed_rows, split, unpack48
 from newsloom.llm.substring_dedup import ANSWER, RADIX, REQUEST, _repeated, member
 from newsloom.llm.tokens import U64, BYTE_POWERS, marked, mix, prefix_hash, runs, sliding, slices, text_buffers
 
-LAST = np.iinfo(np.int64).max
 GONE, MANY = U64(1), U64(2)
 SHORT = ~U64((1 << 18) - 1)
 
 
+class Sorted:
+    """Rows of bytes in order, and how far each agrees with the one before."""
+
+    def __init__(self, rows: np.ndarray) -> None:
+        n, width = rows.shape
+        wide = np.zeros((n, -(-width // 8) * 8), np.uint8)
+        wide[:, :width] = rows
+        self.order = np.lexsort(wide.view(">u8").T[::-1]) if width else np.arange(n)
+        rows = rows[self.order]
+        self.common = np.zeros(n, np.int64)
+        for a in range(1, n, 1 << 16):
+            z = min(n, a + (1 << 16))
+            apart = rows[a:z] != rows[a - 1 : z - 1]
+            self.common[a:z] = np.where(apart.any(1), apart.argmax(1), width) if width else 0
+
+    def ranks(self, depth: int) -> np.ndarray:
+        """A number for each row, in order, equal for rows whose first `depth` bytes are equal."""
+        new = self.common < depth
+        if len(new):
+            new[0] = True
+        out = np.empty(len(new), np.int64)
+        out[self.order] = np.cumsum(new)
+        return out
+
+
 class Triggers:
     """Triggers of some documents: place, hash, document, and the strings [lo, hi] that start at them."""
 
@@ -80,10 +109,6 @@ class Triggers:
         self.phrase = mix(phrase + (self.left * 256 + self.right).astype(U64) * U64(0x9E3779B97F4A7C15)) & ~RADIX
 
 
-def _ids(table: pa.Table) -> np.ndarray:
-    return table["doc_id"].cast(pa.int64()).fill_null(LAST).to_numpy()
-
-
 def _distinct(columns: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
     """Order by the columns (the last is the first key), and where new values of all but the first column begin."""
     order = np.lexsort(columns)
@@ -93,19 +118,8 @@ def _distinct(columns: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(changed)
 
 
-def _rows(chunk: int, keys: np.ndarray, buckets: int, **columns: np.ndarray) -> pa.Table:
-    borders = split(keys, buckets)
-    full = np.flatnonzero(np.diff(borders))
-    cut = lambda x: pa.array([pack(x[borders[b] : borders[b + 1]]) for b in full], pa.binary())
-    return pa.table({"chunk": pa.array(np.full(len(full), chunk, np.int32)), "bucket": pa.array(full.astype(np.int32)), "keys": cut(keys)} | {k: cut(v) for k, v in columns.items()})
-
-
-def _gather(table: pa.Table, name: str, kind: type = np.uint64) -> np.ndarray:
-    return np.concatenate([np.frombuffer(x, kind) for x in table[name].to_pylist()] or [np.zeros(0, kind)])
-
-
 def _short_rows(chunk: int, keys: np.ndarray, buckets: int) -> pa.Table:
-    """As `_rows`, with hashes cut to 46 bits: what they hit by mistake is told apart by its phrases later."""
+    """As `packed_rows`, with hashes cut to 46 bits: what they hit by mistake is told apart by its phrases later."""
     borders = split(keys, buckets)
     full = np.flatnonzero(np.diff(borders))
     cut = [pack48(keys[borders[b] : borders[b + 1]]) for b in full]
@@ -122,7 +136,7 @@ def _short_repeated(table: pa.Table) -> pa.Table:
 def _first_seen(table: pa.Table) -> pa.Table:
     """A bucket of the dictionary: for each chunk's phrases, whether a smaller document of another chunk
     has them (GONE), or else whether their trigger begins other phrases too (MANY)."""
-    h, phrase, doc = _gather(table, "keys"), _gather(table, "phrase"), _gather(table, "doc", np.int64)
+    h, phrase, doc = gathered(table, "keys"), gathered(table, "phrase"), gathered(table, "doc", np.int64)
     row = np.repeat(np.arange(table.num_rows), [len(x) // 8 for x in table["keys"].to_pylist()])
     order, new = _distinct((doc, phrase, h))
     h, phrase, doc, row = h[order], phrase[order], doc[order], row[order]
@@ -153,7 +167,7 @@ def substring_dedup_bytes(docs: DataFrame, width: int = 50, k: int = 16, text: s
 
     def each(table: pa.Table):
         raw, offsets = text_buffers(table["text"])
-        ids = _ids(table)
+        ids = ids_of(table)
         for i, j in slices(offsets, 1 << 17):
             part, own = raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
             yield i, j, part, own, ids[i:j], Triggers(part, own, width, k)
@@ -185,7 +199,7 @@ def substring_dedup_bytes(docs: DataFrame, width: int = 50, k: int = 16, text: s
         h, phrase, doc = np.concatenate(h), np.concatenate(phrase), np.concatenate(doc)
         order, new = _distinct((doc, phrase, h))
         i = order[new]
-        return _rows(table["chunk"][0].as_py() if table.num_rows else 0, h[i], buckets, phrase=phrase[i], doc=doc[i])
+        return packed_rows(table["chunk"][0].as_py() if table.num_rows else 0, h[i], buckets, keys=h[i], phrase=phrase[i], doc=doc[i])
 
     def coded(table: pa.Table, codes: np.ndarray):
         """Of each run of documents, the triggers whose phrases have a code, with it and the least document here."""
@@ -211,7 +225,7 @@ def substring_dedup_bytes(docs: DataFrame, width: int = 50, k: int = 16, text: s
     def ask_suffixes(table: pa.Table, answers: pa.Table) -> pa.Table:
         rows: list[tuple] = []
         if table.num_rows:
-            for (_, _, raw, _, _, found), i, code, doc, least in coded(table, _gather(answers, "keys")):
+            for (_, _, raw, _, _, found), i, code, doc, least in coded(table, gathered(answers, "keys")):
                 i, doc = i[own := np.flatnonzero((code == MANY) & (doc == least))], doc[own]
                 i, doc = i[own := np.unique(found.phrase[i], return_index=True)[1]], doc[own]
                 if not len(i):
@@ -226,27 +240,27 @@ def substring_dedup_bytes(docs: DataFrame, width: int = 50, k: int = 16, text: s
         h, phrase, doc, body, span = (np.concatenate(x) for x in zip(*rows, strict=True))
         order, new = _distinct((doc, phrase, h))
         i = order[new]
-        return _rows(table["chunk"][0].as_py() if table.num_rows else 0, h[i], buckets, phrase=phrase[i], doc=doc[i], body=body[i], span=span[i])
+        return packed_rows(table["chunk"][0].as_py() if table.num_rows else 0, h[i], buckets, phrase=phrase[i], doc=doc[i], body=body[i], span=span[i])
 
     def sorted_suffixes(table: pa.Table) -> pa.Table:
-        """Which strings of each phrase stand in a phrase of a smaller document, as bits by place."""
-        phrase, doc = _gather(table, "phrase"), _gather(table, "doc", np.int64)
-        body, span = _gather(table, "body", np.uint8).reshape(-1, reach), _gather(table, "span", np.int8).reshape(-1, 2)
-        picked = [np.flatnonzero((span[:, 0] <= o) & (o <= span[:, 1])) for o in range(t)]
-        item, place = np.concatenate(picked), np.repeat(np.arange(t, dtype=np.uint8), [len(x) for x in picked])
-        string = np.zeros((len(item), -(-width // 8) * 8), np.uint8)
-        begin = 0
-        for o, x in enumerate(picked):
-            string[begin : begin + len(x), :width] = body[x, o : o + width]
-            begin += len(x)
-        columns = [c.astype(np.uint64) for c in string.view(">u8").T]
-        del string, picked
-        order, new = _distinct((doc[item], *columns[::-1]))
-        del columns
-        size = np.diff(np.append(new, len(item)))
-        gone = doc[item][order] > np.repeat(doc[item][order][new], size)
+        """Which strings of each context stand in a context of a smaller document, as bits by place."""
+        phrase, doc = gathered(table, "phrase"), gathered(table, "doc", np.int64)
+        body, span = gathered(table, "body", np.uint8).reshape(-1, reach), gathered(table, "span", np.int8).reshape(-1, 2)
         bits = np.zeros(len(phrase), U64)
-        np.bitwise_or.at(bits, item[order][gone], U64(1) << place[order][gone].astype(np.uint64))
+        # Contexts by age, so that the first of equal ones is the oldest.
+        age = np.argsort(doc, kind="stable")
+        dictionary = Sorted(body[age, : t - 1][:, ::-1])
+        parse = Sorted(body[age, t - 1 :])
+        for before in range(t):
+            place = t - 1 - before
+            own = np.flatnonzero((span[age, 0] <= place) & (place <= span[age, 1]))
+            if len(own) < 2:
+                continue
+            order = dictionary.ranks(before)[own] * (len(age) + 1) + parse.ranks(width - before)[own]
+            _, first, at = np.unique(order, return_index=True, return_inverse=True)
+            own = age[own]
+            gone = own[doc[own] > doc[own[first]][at]]
+            bits[gone] |= U64(1) << U64(place)
         ends = np.cumsum([len(x) // 8 for x in table["phrase"].to_pylist()])
         cut = lambda x: pa.array([pack(p) for p in np.split(x, ends[:-1])], pa.binary())
         return pa.table({"chunk": table["chunk"], "keys": cut(phrase), "bits": cut(bits)})
@@ -254,11 +268,11 @@ def substring_dedup_bytes(docs: DataFrame, width: int = 50, k: int = 16, text: s
     def remove(table: pa.Table, answers: pa.Table) -> pa.Table:
         whole_codes = answers.filter(pa.compute.is_null(answers["bits"]))
         part_codes = answers.filter(pa.compute.is_valid(answers["bits"]))
-        keys, bits = _gather(part_codes, "keys"), _gather(part_codes, "bits")
+        keys, bits = gathered(part_codes, "keys"), gathered(part_codes, "bits")
         order = np.argsort(keys)
         keys, bits = keys[order], bits[order]
         n_bytes, n_removed, kept, spans = [], [], [], []
-        for (_, _, raw, offsets, _, found), i, code, doc, least in coded(table, _gather(whole_codes, "keys")):
+        for (_, _, raw, offsets, _, found), i, code, doc, least in coded(table, gathered(whole_codes, "keys")):
             gone = np.zeros(len(raw), bool)
             if len(i):
                 all_of = (code == GONE) | (doc > least)
@@ -303,7 +317,7 @@ def substring_dedup_bytes(docs: DataFrame, width: int = 50, k: int = 16, text: s
     hits = answered(chunked.applyInArrow(ask_triggers, REQUEST), _short_repeated, ANSWER)
     asked = chunked.cogroup(hits.groupBy("chunk")).applyInArrow(ask_phrases, f"{REQUEST}, phrase binary, doc binary")
     codes = answered(asked, _first_seen, ANSWER)
-    asked = chunked.cogroup(codes.groupBy("chunk")).applyInArrow(ask_suffixes, f"{REQUEST}, phrase binary, doc binary, body binary, span binary")
+    asked = chunked.cogroup(codes.groupBy("chunk")).applyInArrow(ask_suffixes, "chunk int, bucket int, phrase binary, doc binary, body binary, span binary")
     bits = answered(asked, sorted_suffixes, f"{ANSWER}, bits binary")
     answers = codes.withColumn("bits", F.lit(None).cast("binary")).unionByName(bits)
     out = f"doc_id {whole['doc_id'].dataType.simpleString()}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary, spans array<struct<start:bigint,end:bigint>>, rest {whole['rest'].dataType.simpleString()}"
