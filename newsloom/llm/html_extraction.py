@@ -2,8 +2,8 @@
 
 Each block element of a page is a node with features of its own (tag, attribute tokens), of its subtree
 (text, links, marks, paragraphs and their densities), and of its place (depth, siblings, parent,
-position). Boosted trees give the probability that a node holds main text; they are trained here, on
-pages made by `sample_page`, whose layouts vary and whose main blocks are known.
+position). Boosted trees give the probability that a node holds main text; they are trained here, once a process and
+in seconds, on pages that `Sample` makes up, whose main blocks are known: no page of any table is learned from.
 
 Hierarchical decoding picks the most likely consistent labelling: a node can only be in if its parent
 is, so from the leaves up each node is worth the better of leaving out its whole subtree and of being
@@ -15,8 +15,8 @@ give text; formulas do. Unclosed and stray tags are closed as browsers do for pa
 cells. A head ends at the first text or tag that can't stand in one; a muted tag that the page never closes
 ends at the next block, and any of them where an element around it closes;
 a tag cut off at the end of the page is dropped. A page whose nodes are all out has the empty
-text. Repeated rows are separate pages. Other columns
-travel in the struct column `rest`. An empty table gives an empty result.
+text; a node for which leaving it out and keeping it are equally likely is left out. Repeated rows are separate pages
+and give equal texts. Other columns, of any name, travel in the struct column `rest`. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -340,80 +340,157 @@ def decode(margin: np.ndarray, parent: np.ndarray, depth: np.ndarray) -> np.ndar
     return kept
 
 
-def sample_page(rng: random.Random) -> str:
-    """A page of a random layout; its main blocks begin with MAIN."""
+class Sample:
+    """A page of a random layout; its main blocks begin with MAIN.
 
-    def words(n: int) -> str:
-        w = ["".join(rng.choice("abcdefghilmnoprstuvé") for _ in range(rng.randint(2, 9))) for _ in range(n)]
-        for i in range(rng.randint(5, 14), n, rng.randint(6, 15)):
-            w[i] += rng.choice(".,.?,")
-        return " ".join(w).capitalize() + rng.choice([".", ".", "", "!"])
+    Layouts are drawn, not taken from any table: prose, recipes, glossaries, data tables and documentation, in an
+    article, main, section, div or cell of a layout table, with boilerplate around and between, under names that are
+    usual on the web, or under none.
+    """
 
-    def named(*names: str) -> str:
-        style = rng.random()
-        if style < 0.35:
-            return ""
-        name = rng.choice(names) + rng.choice(["", "", "-box", "-wrap", "_inner", "-1"])
-        return f' {"class" if style < 0.8 else "id"}="{name}"'
+    LETTERS = "aeiounrstlmdkgbphfvzcé"
+
+    def __init__(self, rng: random.Random) -> None:
+        self.rng = rng
+
+    def some(self, *options):
+        return self.rng.choice(options)
+
+    def chance(self, p: float) -> bool:
+        return self.rng.random() < p
 
-    def links(n: int) -> str:
-        return "<ul>" + "".join(f'<li><a href="/{i}">{words(rng.randint(1, 4))}</a></li>' for i in range(n)) + "</ul>"
+    def words(self, n: int, end: bool = True) -> str:
+        w = ["".join(self.rng.choice(self.LETTERS) for _ in range(self.rng.randint(2, 10))) for _ in range(n)]
+        for i in range(self.rng.randint(5, 14), n, self.rng.randint(6, 16)):
+            w[i] += self.some(".", ",", ",", "?", ";")
+        return " ".join(w).capitalize() + (self.some(".", ".", ".", "!", "?") if end else "")
 
-    def boiler(kind: str) -> str:
+    def named(self, *names: str, often: float = 0.65) -> str:
+        if not self.chance(often):
+            return ""
+        name = self.some("", "", "page-", "site-", "c-", "js-") + self.some(*names) + self.some("", "", "-inner", "-wrap", "__body", "_1", " clearfix")
+        return f' {self.some("class", "class", "id")}="{name}"'
+
+    def inline(self, n: int) -> str:
+        """Text of n words, at times with markup inside."""
+        parts = self.words(n).split(" ")
+        for _ in range(self.some(0, 0, 1, 2)):
+            i = self.rng.randrange(len(parts))
+            tag = self.some("em", "strong", "i", "b", "span", "code", "a href='/x'", "sup")
+            parts[i] = f"<{tag}>{parts[i]}" + ("" if self.chance(0.05) else f"</{tag.split()[0]}>")
+        if self.chance(0.08):
+            parts.insert(self.rng.randrange(len(parts)), "<br>")
+        return " ".join(parts)
+
+    def anchors(self, n: int, between: str = " ") -> str:
+        return between.join(f'<a href="/{i}">{self.words(self.rng.randint(1, 4), False)}</a>' for i in range(n))
+
+    def links(self, n: int) -> str:
+        form = self.rng.random()
+        if form < 0.6:
+            close = self.some("</li>", "</li>", "")
+            return "<ul>" + "".join(f"<li>{self.anchors(1)}{close}" for _ in range(n)) + "</ul>"
+        if form < 0.8:
+            return self.anchors(n, self.some(" ", " | ", " · ", " / "))
+        return "".join(f"<div>{self.anchors(1)}</div>" for _ in range(n))
+
+    def boiler(self, kind: str) -> str:
+        n = self.rng.randint
         if kind == "nav":
-            return rng.choice([f"<nav>{links(rng.randint(3, 9))}</nav>", f"<div{named('nav', 'menu', 'navbar')}>{links(rng.randint(3, 9))}</div>"])
+            return self.some(f"<nav{self.named('nav', 'menu', often=0.3)}>{self.links(n(3, 10))}</nav>", f"<div{self.named('nav', 'menu', 'navbar', 'topnav', 'tabs', often=0.85)}>{self.links(n(3, 10))}</div>", f"<p{self.named('breadcrumb', 'crumbs')}>{self.anchors(n(2, 4), ' &raquo; ')}</p>")
         if kind == "header":
-            return f"<header{named('header', 'masthead', 'top')}><div>{words(rng.randint(1, 5))}</div>{rng.choice(['', links(4), '<p>' + words(6) + '</p>'])}</header>"
+            inside = f"<{(t := self.some('div', 'p', 'span'))}>{self.words(n(1, 6), False)}</{t}>" + self.some("", self.links(4), f"<p>{self.words(n(3, 9))}</p>")
+            return self.some(f"<header{self.named('header', 'masthead', 'top', often=0.4)}>{inside}</header>", f"<div{self.named('header', 'masthead', 'logo', 'branding', often=0.9)}>{inside}</div>")
         if kind == "ad":
-            return rng.choice([f"<div{named('ad', 'advert', 'ads', 'sponsor', 'promo', 'banner')}>{words(rng.randint(3, 30))}</div>", f'<aside class="ad"><p>{words(rng.randint(5, 30))}</p><a href="/x">{words(2)}</a></aside>', f'<div class="ad">{words(rng.randint(3, 20))}</div>'])
+            inside = self.some(self.words(n(2, 30)), f"<p>{self.words(n(3, 30))}</p>", f"<p>{self.words(n(3, 30))}</p>{self.anchors(1)}")
+            names = "ad", "ads", "advert", "advertisement", "sponsored", "promo", "promoted", "banner"
+            return f"<{(t := self.some('div', 'div', 'aside', 'section'))}{self.named(*names, often=0.95)}>{inside}</{t}>"
         if kind == "side":
-            inner = "".join(f"<div><a href='#'>{words(rng.randint(3, 9))}</a><p>{words(rng.randint(5, 25))}</p></div>" for _ in range(rng.randint(1, 5)))
-            return rng.choice([f"<aside{named('sidebar', 'related')}><h3>{words(2)}</h3>{inner}</aside>", f"<div{named('sidebar', 'related', 'widget', 'recommended', 'side')}><h3>{words(2)}</h3>{inner}{links(3)}</div>"])
+            head = self.some("", f"<h3>{self.words(2, False)}</h3>", f"<h4>{self.words(n(1, 3), False)}</h4>", f"<strong>{self.words(2, False)}</strong>")
+            inside = "".join(self.some(f"<div>{self.anchors(1)}<p>{self.words(n(4, 25))}</p></div>", f"<p>{self.anchors(1)}</p>") for _ in range(n(1, 5))) + self.some("", self.links(n(2, 6)))
+            return self.some(f"<aside{self.named('sidebar', 'related', often=0.5)}>{head}{inside}</aside>", f"<div{self.named('sidebar', 'related', 'widget', 'recommended', 'teaser', 'most-read', 'trending', often=0.95)}>{head}{inside}</div>")
         if kind == "form":
-            return f"<form{named('login', 'search', 'newsletter', 'subscribe')}><label>{words(3)}</label><input name='q'><p>{words(rng.randint(4, 20))}</p><button>{words(1)}</button></form>"
+            fields = "".join(f"<label>{self.words(n(1, 3), False)}</label><input name='q{i}'>" for i in range(n(1, 3)))
+            return f"<form{self.named('login', 'search', 'newsletter', 'subscribe', 'contact')}>{self.some('', '<p>' + self.words(n(4, 20)) + '</p>')}{fields}<button>{self.words(1, False)}</button></form>"
         if kind == "notice":
-            return f"<div{named('cookie', 'notice', 'consent', 'alert', 'gdpr')}><p>{words(rng.randint(8, 40))}</p><button>{words(1)}</button></div>"
+            return f"<div{self.named('cookie', 'notice', 'consent', 'alert', 'gdpr', 'overlay', 'paywall', often=0.95)}>{self.some('<p>' + self.words(n(8, 40)) + '</p>', self.words(n(8, 30)))}<button>{self.words(1, False)}</button></div>"
         if kind == "comments":
-            each = "".join(f"<{t}{named('comment', 'reply')}><b>{words(2)}</b><p>{words(rng.randint(4, 50))}</p></{t}>" for t in [rng.choice(["div", "li", "article"])] for _ in range(rng.randint(1, 6)))
-            wrap = rng.choice([' class="comments"', ' id="comments"', ' class="comment-list"', ' class="discussion"', ' id="disqus"'])
-            return rng.choice([f"<section{wrap}><h2>{words(1)}</h2>{each}</section>", f"<div{wrap}><h3>{words(2)}</h3>{each}</div>"])
+            tag = self.some("div", "li", "article")
+            each = "".join(f"<{tag}{self.named('comment', 'reply', 'comment-item')}>{self.some('<b>' + self.words(2, False) + '</b>', '<p>' + self.words(2, False) + '</p>', '')}<p>{self.words(n(3, 50))}</p></{tag}>" for _ in range(n(1, 6)))
+            each = f"<{self.some('ol', 'ul')}>{each}" if tag == "li" else each
+            return f"<{(t := self.some('section', 'div'))}{self.named('comments', 'comment-list', 'discussion', 'disqus', 'responses', often=1)}>{self.some('', '<h2>' + self.words(n(1, 2), False) + '</h2>', '<h3>' + self.words(2, False) + '</h3>')}{each}</{t}>"
         if kind == "share":
-            return f"<div{named('share', 'social', 'tags')}><a href='#'>{words(1)}</a> <a href='#'>{words(1)}</a> {words(2)}</div>"
-        return rng.choice([f"<footer{named('footer', 'legal')}>&copy; {words(rng.randint(2, 12))}{rng.choice(['', links(4), '<p>' + words(20) + '</p>'])}</footer>", f"<div{named('footer', 'copyright')}><p>&copy; {words(rng.randint(4, 20))}</p>{links(3)}</div>"])
-
-    def main() -> list[str]:
-        out = [f"<h1>{MAIN}{words(rng.randint(2, 12))}</h1>"]
-        for _ in range(rng.choice([1, 2, 3, 5, 8, 13, 20])):
-            r = rng.random()
-            text = MAIN + words(rng.choice([1, 3, 8, 20, 40, 60, 120, 200]))
-            if r < 0.72:
-                out.append(rng.choice([f"<p>{text}</p>", f"<p>{text}", f"<p><b>{text}<br>", f"<p>{text} <a href='#'>{words(2)}</a> {words(5)}</p>"]))
-            elif r < 0.8:
-                out.append(f"<h2>{MAIN}{words(rng.randint(1, 6))}</h2>")
-            elif r < 0.86:
-                out.append("<ul>" + "".join(f"<li>{MAIN}{words(rng.randint(3, 20))}</li>" for _ in range(rng.randint(2, 5))) + "</ul>")
-            elif r < 0.9:
-                out.append(f"<blockquote><p>{text}</p></blockquote>")
-            elif r < 0.94:
-                out.append(f"<div>{text}</div>")
-            elif r < 0.97:
-                out.append("<table>" + "".join(f"<tr><td>{MAIN}{words(2)}</td><td>{MAIN}{words(3)}</td></tr>" for _ in range(3)) + "</table>")
-            else:
-                out.append(boiler(rng.choice(["ad", "share", "side", "form"])))
-        return out
+            return f"<{(t := self.some('div', 'p', 'ul'))}{self.named('share', 'social', 'tags', 'byline', 'meta', 'author-links', often=0.95)}>{self.anchors(n(2, 5))} {self.some('', self.words(n(1, 3), False))}</{t}>"
+        if kind == "pager":
+            return f"<div{self.named('pager', 'pagination', 'prev-next', often=0.9)}>{self.anchors(n(2, 4))}</div>"
+        mark = self.some("&copy; 2019", "© 2021", "(c)", "Copyright", "Imprint", "")
+        inside = f"{mark} {self.words(n(2, 15))}"
+        inside = self.some(inside, f"<p>{inside}</p>", f"<p>{inside}</p>{self.links(n(2, 6))}", f"{self.links(n(2, 6))}<div>{inside}</div>")
+        return self.some(f"<footer{self.named('footer', often=0.3)}>{inside}</footer>", f"<div{self.named('footer', 'copyright', 'legal', 'imprint', 'colophon', often=0.95)}>{inside}</div>")
+
+    def block(self, kind: str) -> str:
+        """A main block, or several."""
+        n = self.rng.randint
+        long = lambda: MAIN + self.inline(self.some(1, 3, 8, 20, 40, 60, 120, 200))
+        short = lambda: MAIN + self.inline(n(1, 12))
+        if kind == "p":
+            return f"<p{self.some('', '', '', self.named('lead', 'intro', 'text'))}>{long()}" + ("" if self.chance(0.15) else "</p>")
+        if kind == "head":
+            tag = self.some("h2", "h2", "h3", "h4")
+            return f"<{tag}>{MAIN}{self.words(n(1, 7), False)}</{tag}>"
+        if kind == "list":
+            tag, close = self.some("ul", "ol"), self.some("</li>", "</li>", "")
+            return f"<{tag}>" + "".join(f"<li>{short()}{close}" for _ in range(n(2, 8))) + f"</{tag}>"
+        if kind == "quote":
+            return self.some(f"<blockquote><p>{long()}</p></blockquote>", f"<blockquote>{long()}</blockquote>")
+        if kind == "pre":
+            return f"<pre>{MAIN}{self.words(n(3, 30))}</pre>"
+        if kind == "div":
+            return f"<div>{long()}</div>"
+        if kind == "figure":
+            return f"<figure><img src='/i.png'><figcaption>{short()}</figcaption></figure>"
+        if kind == "terms":
+            return "<dl>" + "".join(f"<dt>{MAIN}{self.words(n(1, 3), False)}<dd>{short()}" + self.some("", "</dd>") for _ in range(n(2, 8))) + "</dl>"
+        width, close = n(2, 4), self.some("</td>", "</td>", "")
+        return f"<table{self.some('', self.named('data', 'prices'))}>" + "".join("<tr>" + "".join(f"<td>{MAIN}{self.words(n(1, 4), False)}{close}" for _ in range(width)) + "</tr>" for _ in range(n(2, 6))) + "</table>"
+
+    def main(self) -> str:
+        kinds = self.some(["p"] * 8 + ["head", "list", "quote", "div", "figure"], ["p"] * 8 + ["head", "quote"], ["p", "list", "list", "head"], ["terms", "terms", "p", "head"], ["table", "p", "head"], ["pre", "p", "p", "head", "list", "table"])
+        title = f"<{(t := self.some('h1', 'h1', 'h1', 'h2'))}>{MAIN}{self.words(self.rng.randint(2, 12), False)}</{t}>" if self.chance(0.92) else ""
+        if self.chance(0.2):
+            title += self.boiler("share")
+        out = []
+        for _ in range(self.some(1, 2, 3, 5, 8, 13, 20)):
+            out.append(self.block(self.rng.choice(kinds)))
+            if self.chance(0.05):
+                out.append(self.boiler(self.some("ad", "ad", "side", "form", "share")))
+        if self.chance(0.25):
+            out.append(self.boiler(self.some("share", "pager")))
+        # The title stands beside the text, or the text in an element of its own.
+        if self.chance(0.35):
+            out = [f"<{(t := self.some('div', 'div', 'section'))}{self.named('body', 'text', 'content', 'entry-content', 'article-body', 'post-content')}>", *out, f"</{t}>"]
+            title = f"<header>{title}</header>" if self.chance(0.3) else title
+        return title + "".join(out)
+
+    def page(self) -> str:
+        wrap = self.some("article", "article", "article", "main", "div", "section")
+        names = self.named("article", "content", "post", "story", "entry", "main", "text", often=0.4 if wrap in ("article", "main") else 0.85)
+        body = f"<{wrap}{names}>{self.main()}{self.boiler('comments') if self.chance(0.2) else ''}</{wrap}>"
+        for _ in range(self.some(0, 0, 1, 2)):
+            left, right = ("", self.boiler("side")) if self.chance(0.7) else (self.boiler(self.some("side", "nav")), "")
+            body = f"<div{self.named('container', 'wrapper', 'row', 'columns', 'page')}>{left if self.chance(0.4) else ''}{body}{right if self.chance(0.4) else ''}</div>"
+        if self.chance(0.08):
+            side = f"<td{self.named('menu', 'nav', 'left')}>{self.links(self.rng.randint(3, 8))}</td>"
+            body = f"<table><tr>{side}<td>{body}</td></tr></table>"
+        before = "".join(self.boiler(k) for k in ("notice", "header", "nav", "ad", "form") if self.chance({"nav": 0.75, "ad": 0.5}.get(k, 0.35)))
+        after = "".join(self.boiler(k) for k in ("comments", "side", "ad", "form", "pager", "notice", "footer") if self.chance({"footer": 0.8, "ad": 0.15}.get(k, 0.25)))
+        head = f"<title>{self.words(3, False)}</title>" + self.some("", "<style>p{margin:0}</style>", "<script>let n=1<2;</script>", "<meta charset=utf-8>")
+        whole = f"{self.some('<!DOCTYPE html>', '')}<html><head>{head}</head><body{self.named('home', 'single', often=0.2)}>{before}{body}{after}</body></html>"
+        return whole[: self.rng.randint(len(whole) // 2, len(whole))] if self.chance(0.08) else whole
 
-    body = "".join(main())
-    if rng.random() < 0.25:
-        body += boiler("share")
-    wrap = rng.choice(["article", "article", "article", "main", "div", "section"])
-    body = f"<{wrap}{named('article', 'content', 'post', 'story', 'entry') if wrap != 'article' or rng.random() < 0.5 else ''}>{body}" + rng.choice(["", boiler("comments")]) * (rng.random() < 0.3) + f"</{wrap}>"
-    for _ in range(rng.choice([0, 0, 1, 2])):
-        body = f"<div{named('container', 'wrapper', 'row', 'page')}>{body}{boiler('side') if rng.random() < 0.3 else ''}</div>"
-    before = "".join(boiler(k) for k in ("notice", "header", "nav", "ad", "form") if rng.random() < (0.75 if k in ("nav", "ad") else 0.35))
-    after = "".join(boiler(k) for k in ("comments", "side", "form", "notice", "footer") if rng.random() < (0.8 if k == "footer" else 0.3))
-    cut = rng.random() < 0.08
-    whole = f"<!DOCTYPE html><html><head><title>x</title><script>var t='</p>';</script></head><body>{before}{body}{after}</body></html>"
-    return whole[: rng.randint(len(whole) // 2, len(whole))] if cut else whole
+
+def sample_page(rng: random.Random) -> str:
+    return Sample(rng).page()
 
 
 _trained: list[BoostedTrees] = []

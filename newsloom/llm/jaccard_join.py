@@ -7,8 +7,9 @@ candidates are verified on their full n-gram sets, together in a block:
 
 * a block is a connected part of the candidates (found over (hash, least member) stars, never over
   pairs), so each set travels once;
-* a part of more than `limit` classes is verified band by band instead, and a band hash with more
-  than `limit` classes in tiles of two slices each; a pair counts in its first common band only.
+* a part of more than `limit` classes, or more than `grams` n-grams, is verified band by band instead, and a band
+  hash beyond these in tiles of two slices each; a pair counts in its first common band only. So a task holds at most
+  twice that of a block, but for a text that is longer alone.
 
 Within a block, common n-grams are counted by inverted lists or, in larger blocks, matrix products.
 A task returns counts and one link to a root per class, never pairs.
@@ -16,7 +17,7 @@ A task returns counts and one link to a root per class, never pairs.
 Cases: null and empty texts have no words and equal each other. Texts of fewer than n words have one
 n-gram, all their words. Null ids stay null and are never the id of a class that has another.
 Repeated rows are documents of one class. Other columns are left out; join them by doc_id. An empty
-table gives an empty result.
+table gives an empty result. Ids are whole numbers, or text of one; others raise an error.
 """
 
 from __future__ import annotations
@@ -66,7 +67,7 @@ def shingles(raw: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray,
 
 
 def sketches(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, row (hash of the row), node (hash of its n-gram set) and its band hashes."""
+    """doc_id, row (hash of the row), node (hash of its n-gram set), grams (their number) and its band hashes."""
     rng = np.random.default_rng(5)
     factor = rng.integers(1, 2**63, (bands * rows, 1), dtype=np.uint64) * U64(2) + U64(1)
     salt = mix(np.arange(1, bands + 1, dtype=np.uint64))[:, None]
@@ -75,10 +76,11 @@ def sketches(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = text_buffers(batch["text"])
-            node, keys = [], []
+            node, keys, size = [], [], []
             for i, j in slices(offsets):
                 h, doc = shingles(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], n)
                 first = np.searchsorted(doc, np.arange(j - i + 1))
+                size.append(np.diff(first))
                 sums = np.concatenate([np.zeros(1, U64), np.cumsum(mix(h ^ U64(0x5851F42D4C957F2D)))])
                 node.append(mix(sums[first[1:]] - sums[first[:-1]] + np.diff(first).astype(U64)))
                 for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
@@ -90,9 +92,9 @@ def sketches(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                         least = np.minimum(least, (factor * h[c : min(b, c + 4096)]).min(1))
                     keys.append(mix((mix(least).reshape(bands, rows) * place).sum(1, dtype=np.uint64)[:, None] + salt)[:, 0].view(np.int64))
             node = np.concatenate(node) if node else np.zeros(0, U64)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "row": batch["row"], "node": pa.array(node.view(np.int64)), "keys": pa.array(keys, pa.list_(pa.int64()))})
+            yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "row": batch["row"], "node": pa.array(node.view(np.int64)), "grams": pa.array(np.concatenate(size) if size else np.zeros(0, np.int64)), "keys": pa.array(keys, pa.list_(pa.int64()))})
 
-    return docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row")).mapInArrow(run, "doc_id long, row long, node long, keys array<bigint>")
+    return docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row")).mapInArrow(run, "doc_id long, row long, node long, grams long, keys array<bigint>")
 
 
 def _common(block: np.ndarray, owner: np.ndarray, h: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -133,33 +135,37 @@ def _common(block: np.ndarray, owner: np.ndarray, h: np.ndarray) -> Iterator[tup
         yield mine[i], mine[j], total[i, j].astype(np.int64)
 
 
-def jaccard_join(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.9999, limit: int = 2048, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def jaccard_join(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.9999, limit: int = 2048, grams: int = 4_000_000, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row a document: doc_id, class_id (least doc_id of all that are linked to it over any way),
     n_links (other documents of similarity >= threshold), copies (documents of the same n-gram set)."""
     bands, rows = banding(threshold, recall)
     docs = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     _, groups, _ = dealt(docs)
     sketch = settled(sketches(docs, n, bands, rows))
-    nodes = sketch.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("rep"), F.count("*").alias("copies"), F.first("keys", True).alias("keys"))
-    nodes = nodes.select("node", F.col("rep.doc_id").alias("rep"), F.col("rep.row").alias("row"), "copies", "keys")
-    every = nodes.select("node", F.posexplode("keys").alias("band", "key"))
-    hashes = every.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least")).filter("n > 1")
-    shared = settled(every.join(hashes, "key").select("node", "band", "key", "n", "least"))
+    nodes = sketch.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("rep"), F.count("*").alias("copies"), F.max("grams").alias("grams"), F.first("keys", True).alias("keys"))
+    nodes = nodes.select("node", F.col("rep.doc_id").alias("rep"), F.col("rep.row").alias("row"), "copies", "grams", "keys")
+    every = nodes.select("node", "grams", F.posexplode("keys").alias("band", "key"))
+    hashes = every.groupBy("key").agg(F.count("*").alias("n"), F.sum("grams").alias("sum"), F.min("node").alias("least")).filter("n > 1")
+    tiles = F.greatest(F.ceil(F.col("n") / limit), F.ceil(F.col("sum") / grams)).cast("int").alias("tiles")
+    shared = settled(every.join(hashes, "key").select("node", "band", "key", tiles, "least"))
     parts = components(shared.select(F.col("node").alias("u"), F.col("least").alias("v")))
-    sizes = parts.groupBy("root").agg(F.count("*").alias("size"))
-    parts = settled(parts.join(sizes, "root").select("node", "root", "size"))
-    wide = parts.filter(F.col("size") > limit)
+    parts = parts.join(nodes.select("node", "grams"), "node")
+    sizes = parts.groupBy("root").agg(((F.count("*") > limit) | (F.sum("grams") > grams)).alias("wide"))
+    parts = settled(parts.join(sizes, "root").select("node", "root", "wide"))
+    wide = parts.filter("wide")
     none = F.lit(None).cast("int")
-    blocks = parts.filter(F.col("size") <= limit).select("node", F.col("root").alias("block"), none.alias("band"), none.alias("tile"), F.lit(False).alias("cross"))
+    blocks = parts.filter("not wide").select("node", F.col("root").alias("block"), none.alias("band"), none.alias("tile"), F.lit(False).alias("cross"))
     many = bool(wide.limit(1).count())
     if many:
-        tiles = F.ceil(F.col("n") / limit).cast("int")
-        tile = F.pmod(F.xxhash64("node", F.lit(9)), tiles).cast("int")
-        by_band = shared.join(wide.select("node"), "node", "left_semi").select("node", "band", "key", tile.alias("tile"), F.explode(F.sequence(F.lit(0), tiles - 1)).alias("other"))
+        tile = F.pmod(F.xxhash64("node", F.lit(9)), F.col("tiles")).cast("int")
+        by_band = shared.join(wide.select("node"), "node", "left_semi").select("node", "band", "key", tile.alias("tile"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
         pair = F.xxhash64("key", F.least("tile", "other"), F.greatest("tile", "other"))
         blocks = blocks.unionByName(by_band.select("node", pair.alias("block"), "band", "tile", (F.col("tile") != F.col("other")).alias("cross")))
     held = nodes.join(blocks, "node").select("node", "rep", "row", "copies", F.when(F.col("band").isNotNull(), F.col("keys")).alias("keys"), "block", "band", "tile", "cross")
     held = held.join(docs.select(F.xxhash64("doc_id", "text").alias("row"), "text"), "row").drop("row")
+    if many:
+        # Slices of wide parts travel once a tile, so the tasks follow what is sent, not what came in.
+        groups = max(groups, int(blocks.join(nodes.select("node", "grams"), "node").agg(F.coalesce(F.sum("grams"), F.lit(0))).first()[0]) // grams + 1)
     held = held.withColumn("grp", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int"))
 
     def verify(table: pa.Table) -> pa.Table:

@@ -11,6 +11,10 @@ of its repeated windows).
 Both comparisons use `exchange`: a chunk sends each hash once, so copies and hot passages cost a
 bucket one value a chunk and no pair of documents is ever made.
 
+With `keep_first` the first occurrence of every repeated window (least doc_id, then least place) stays whole, and
+with it each word that it covers; by itself the operator removes all occurrences. Ids must be whole numbers then,
+or text of one; a null id comes after all others, and of rows with one id any may count as the first.
+
 Cases: null or empty text: no words, nothing removed. Null doc_id: a document like any other.
 Repeated rows are separate documents, so their windows count as repeated. Documents shorter than
 `width` words lose nothing. An empty table gives an empty result. Other columns of the input, of any
@@ -26,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.exchange import answered, dealt, framed, loose, pack, split
+from newsloom.llm.exchange import answered, dealt, framed, gathered, ids_of, loose, pack, packed_rows, split
 from newsloom.llm.tokens import U64, Words, marked, slices, text_buffers
 
 ANSWER = "chunk int, keys binary"
@@ -106,11 +110,36 @@ def _repeated(table: pa.Table) -> pa.Table:
     return pa.table({"chunk": table["chunk"].take(pa.array(full)).combine_chunks(), "keys": pa.array([pack(h[borders[r] : borders[r + 1]]) for r in full], pa.binary())})
 
 
+def _first_of(keys: np.ndarray, doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each key, in order, the index of its first place by document, and whether it stands at others too."""
+    order = np.lexsort((place, doc, keys))
+    new = np.flatnonzero(np.concatenate([[True], keys[order][1:] != keys[order][:-1]])) if len(order) else order
+    return order[new], np.diff(np.append(new, len(order))) > 1
+
+
 def _keys(answers: pa.Table) -> np.ndarray:
     found = [np.frombuffer(x, U64) for x in answers["keys"].to_pylist()]
     return np.sort(np.concatenate(found)) if found else np.zeros(0, U64)
 
 
+def _firsts(table: pa.Table) -> pa.Table:
+    """As `_repeated`, where each hash comes with its first place in a chunk: bit 0 of an answer is set for the chunk
+    that holds the first place of all."""
+    value, doc, place = gathered(table, "keys"), gathered(table, "doc", np.int64), gathered(table, "place", np.int64)
+    row = np.repeat(np.arange(table.num_rows), [len(x) // 8 for x in table["keys"].to_pylist()])
+    chunk, h = table["chunk"].to_numpy()[row], value & ~RADIX
+    order = np.lexsort((chunk, place, doc, h))
+    h, often, row = h[order], ((value >> ONE) & ONE)[order], row[order]
+    new = np.concatenate([[True], h[1:] != h[:-1]])
+    start = np.flatnonzero(new)
+    hit = np.repeat(np.add.reduceat(ONE + often, start) >= TWO, np.diff(np.append(start, len(h))))
+    answer, row = (h | new.astype(U64))[hit], row[hit]
+    order = np.argsort(row, kind="stable")
+    borders = np.searchsorted(row[order], np.arange(table.num_rows + 1))
+    full = np.flatnonzero(np.diff(borders))
+    return pa.table({"chunk": table["chunk"].take(pa.array(full)).combine_chunks(), "keys": pa.array([pack(answer[order][borders[r] : borders[r + 1]]) for r in full], pa.binary())})
+
+
 def _parts(docs: pa.Table) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, Words]]:
     raw, offsets = text_buffers(docs["text"])
     for i, j in slices(offsets):
@@ -118,8 +147,9 @@ def _parts(docs: pa.Table) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, W
         yield i, j, part, offsets[i : j + 1] - offsets[i], Words(part, offsets[i : j + 1] - offsets[i])
 
 
-def substring_dedup(docs: DataFrame, width: int = 35, block: int = 5, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Remove every word covered by a window of `width` words that starts anywhere else too.
+def substring_dedup(docs: DataFrame, width: int = 35, block: int = 5, keep_first: bool = False, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """Remove every word covered by a window of `width` words that starts anywhere else too, or, with keep_first,
+    somewhere before, unless the first occurrence of a window covers it.
 
     Returns doc_id, n_words, n_removed, kept_text (kept words joined by one space), removed
     (array of the maximal removed runs as struct start, end, in words), text as it came, and rest.
@@ -140,29 +170,56 @@ def substring_dedup(docs: DataFrame, width: int = 35, block: int = 5, text: str
             flags.append(index.astype(np.uint8))
         return _requests(table["chunk"][0].as_py(), np.concatenate(keys), np.concatenate(flags), buckets)
 
-    def ask_windows(table: pa.Table, answers: pa.Table) -> pa.Table:
-        hits, keys = _keys(answers), [np.zeros(0, U64)]
-        if not table.num_rows or not len(hits):
-            return _requests(0, keys[0], keys[0].astype(np.uint8), buckets)
-        for *_, words in _parts(table):
+    def windows(table: pa.Table, hits: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Hashes of the windows around hits, with the document and place of each."""
+        for i, _, _, _, words in _parts(table):
             at, h, _ = _anchors(words, block, group)
             at = at[member(hits, h)]
-            if not len(at):
-                continue
-            near = marked(np.maximum(0, at + block - width), at + 1, len(words.h))
-            near &= words.room() >= width
-            keys.append(words.grams(width)[near] & ~RADIX)
-        keys = np.concatenate(keys)
-        return _requests(table["chunk"][0].as_py(), keys, np.ones(len(keys), np.uint8), buckets)
+            if len(at):
+                near = np.flatnonzero(marked(np.maximum(0, at + block - width), at + 1, len(words.h)) & (words.room() >= width))
+                doc = np.searchsorted(words.first, near, "right") - 1
+                yield words.grams(width)[near] & ~RADIX, i + doc, near - words.first[doc]
+
+    def ask_windows(table: pa.Table, answers: pa.Table) -> pa.Table:
+        hits = _keys(answers)
+        found = list(windows(table, hits)) if table.num_rows and len(hits) else []
+        keys = np.concatenate([h for h, _, _ in found] or [np.zeros(0, U64)])
+        chunk = table["chunk"][0].as_py() if table.num_rows else 0
+        if not keep_first:
+            return _requests(chunk, keys, np.ones(len(keys), np.uint8), buckets)
+        place = np.concatenate([p for _, _, p in found] or [np.zeros(0, np.int64)])
+        doc = ids_of(table)[np.concatenate([d for _, d, _ in found])] if found else place
+        new, often = _first_of(keys, doc, place)
+        return packed_rows(chunk, keys[new], buckets, keys=keys[new] | (often.astype(U64) << ONE), doc=doc[new], place=place[new])
+
+    def kept_places(table: pa.Table, hits: np.ndarray) -> np.ndarray:
+        """Of the chunk's windows whose first occurrence lies here, document and place of that, as sorted numbers."""
+        own = hits[(hits & ONE) == ONE] & ~RADIX
+        h, doc, place = [np.zeros(0, U64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i, _, _, _, words in _parts(table) if len(own) else ():
+            at = np.flatnonzero(member(own, words.grams(width) & ~RADIX) & (words.room() >= width))
+            d = np.searchsorted(words.first, at, "right") - 1
+            h.append(words.grams(width)[at] & ~RADIX)
+            doc.append(i + d)
+            place.append(at - words.first[d])
+        h, doc, place = np.concatenate(h), np.concatenate(doc), np.concatenate(place)
+        new, _ = _first_of(h, ids_of(table)[doc] if len(doc) else doc, place)
+        return np.sort(doc[new] << 32 | place[new])
 
     def remove(table: pa.Table, answers: pa.Table) -> pa.Table:
         hits = _keys(answers)
+        stay = kept_places(table, hits) if keep_first else None
+        hits = np.unique(hits & ~RADIX)
         n_words, n_removed, kept, spans = [], [], [], []
         for i, j, raw, offsets, words in _parts(table):
             per = np.diff(words.first)
             if len(hits):
                 start = np.flatnonzero(member(hits, words.grams(width) & ~RADIX) & (words.room() >= width))
                 gone = marked(start, start + width, len(words.h))
+                if keep_first and len(start):
+                    doc = np.searchsorted(words.first, start, "right") - 1
+                    own = start[np.isin((i + doc) << 32 | (start - words.first[doc]), stay)]
+                    gone &= ~marked(own, own + width, len(words.h))
             else:
                 gone = np.zeros(len(words.h), bool)
             lost = np.add.reduceat(np.append(gone, False).astype(np.int64), words.first[:-1]) if len(per) else per
@@ -193,7 +250,8 @@ def substring_dedup(docs: DataFrame, width: int = 35, block: int = 5, text: str
 
     chunked = docs.groupBy("chunk")
     found = answered(chunked.applyInArrow(ask_blocks, REQUEST), _repeated, ANSWER)
-    found = answered(chunked.cogroup(found.groupBy("chunk")).applyInArrow(ask_windows, REQUEST), _repeated, ANSWER)
+    asked = chunked.cogroup(found.groupBy("chunk")).applyInArrow(ask_windows, f"{REQUEST}, doc binary, place binary" if keep_first else REQUEST)
+    found = answered(asked, _firsts if keep_first else _repeated, ANSWER)
     out = f"doc_id {id_type}, n_words bigint, n_removed bigint, kept_text string, removed array<struct<start:bigint,end:bigint>>, text string, rest {whole['rest'].dataType.simpleString()}"
     return chunked.cogroup(found.groupBy("chunk")).applyInArrow(remove, out)
 
