@@ -6,13 +6,16 @@ documents. Stages may be run one by one, each result written and read again as t
 
 1. quality: documents that the quality classifier rejects (score under 0.5) go.
 2. near_duplicates: of each group of documents linked by five-word n-gram similarity of 0.8 or more,
-   the one with the least doc_id stays. Rows without an id stay, but for exact repeats.
-3. repeated_passages: words of passages of 35 words or more that stand anywhere else go; a document
-   that has lost words is its kept words joined by one space, and goes if none are left.
+   the one with the least doc_id stays. Rows of one doc_id stay or go together, whatever their texts, but exact
+   repeats of a row's id and text are one row. Rows without an id stay if their group has no id.
+3. repeated_passages: of passages of 35 words or more that stand at several places, the first occurrence (least
+   doc_id, then place) stays and the others go; a document that has lost words is its kept words joined by one
+   space, and goes if none are left.
 4. benchmark: documents that hold a window of ten benchmark words go.
 5. packing: the rest is cut and packed into sequences of at most 2048 tokens.
 
-Nulls, empty texts, repeated rows and empty tables are handled as each operator's module states.
+Nulls, empty texts, repeated rows and empty tables are handled as each operator's module states. doc_id is a whole
+number. Columns beyond those of documents, of any name, travel along.
 """
 
 from __future__ import annotations
@@ -21,11 +24,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.llm.decontamination import decontaminate
-from newsloom.llm.exchange import stored
 from newsloom.llm.jaccard_join import jaccard_join
 from newsloom.llm.packing import pack, tokenizer_path
 from newsloom.llm.quality import quality_scores
 from newsloom.llm.substring_dedup import substring_dedup
+from newsloom.shared import removed, workspace
 
 
 def _columns(found: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
@@ -47,7 +50,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = substring_dedup(docs).filter("n_words = 0 OR n_removed < n_words")
+    found = substring_dedup(docs, keep_first=True).filter("n_words = 0 OR n_removed < n_words")
     found = found.withColumn("new_text", F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text")))
     return _columns(found, docs, "new_text")
 
@@ -74,7 +77,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs if k == 0 else stored(docs), sf_dir)
-    return docs
+    """All stages over documents. A stage's table is deleted once the next one's is written; the last one's stays, as
+    the result may be read from it again."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for name, stage in STAGES[:-1]:
+        path = workspace(spark, f"pipeline-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if before:
+            removed(spark, before)
+        before = path
+    return STAGES[-1][1](spark, docs, sf_dir)
