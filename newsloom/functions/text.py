@@ -50,9 +50,14 @@ def content_hash(text: Column) -> Column:
     return F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
 
 
+# What stands around articles that were followed from a feed, and where a sentence ends.
+SUMMARY_MARK = r"(?i)^RSS-Zusammenfassung:\s*"
+ARTICLE_MARK = r"(?i)\n\n--- Vollständiger Artikel von [^\n]+ ---\n\n"
+SENTENCE_END = r"[.!?]\s+(?=[A-ZÄÖÜ])|[.!?]$"
+
+
 def strip_boilerplate(text: Column) -> Column:
-    text = F.regexp_replace(text, r"(?i)^RSS-Zusammenfassung:\s*", "")
-    text = F.regexp_replace(text, r"(?i)\n\n--- Vollständiger Artikel von [^\n]+ ---\n\n", "")
+    text = F.regexp_replace(F.regexp_replace(text, SUMMARY_MARK, ""), ARTICLE_MARK, "")
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
@@ -141,7 +146,7 @@ def priority_order(priority: Column) -> Column:
 
 
 def count_sentences(text: Column) -> Column:
-    parts = F.split(F.coalesce(text, F.lit("")), r"[.!?]\s+(?=[A-ZÄÖÜ])|[.!?]$", -1)
+    parts = F.split(F.coalesce(text, F.lit("")), SENTENCE_END, -1)
     return F.size(F.filter(parts, lambda s: F.trim(s) != ""))
 
 

@@ -55,10 +55,14 @@ ORGANISATIONS = {
 }
 
 
+# What names of channels end in, by platform.
+PLATFORM_SUFFIXES = [r"\s*\(X\.com\)$", r"\s*\(Mastodon\)$", r"\s*\(Bluesky\)$", r"\s+Instagram$", r"\s+Telegram$"]
+
+
 def organisation(name: Column) -> Column:
     pairs = F.create_map(*(F.lit(x) for pair in ORGANISATIONS.items() for x in pair))
     bare = name
-    for pattern in (r"\s*\(X\.com\)$", r"\s*\(Mastodon\)$", r"\s*\(Bluesky\)$", r"\s+Instagram$", r"\s+Telegram$"):
+    for pattern in PLATFORM_SUFFIXES:
         bare = F.regexp_replace(bare, "(?i)" + pattern, "")
     return F.coalesce(F.try_element_at(pairs, name), F.trim(bare))
 

@@ -80,12 +80,15 @@ def _any(url: Column, patterns: list[str]) -> Column:
     return F.rlike(url, F.lit("(?i)" + "|".join(f"(?:{p})" for p in patterns)))
 
 
+# Breaks inside of addresses that are closed, what an address is in a text, and marks that end it.
+BROKEN_SCHEME, BROKEN_PATH = r"(?U)https?://\s+", r"(?U)([/\w.-])\s+([/\w.-])"
+ADDRESS, END_MARKS = r"""(?U)(https?://[^\s<>"'{}|\\^`\[\]]+)""", r"""[.,;:!?)"'\]]+$"""
+
+
 def extract_urls(text: Column) -> Column:
     """Addresses in a text, spaces inside them repaired, marks at their end cut, own hosts and non-articles dropped."""
-    text = F.regexp_replace(text, r"(?U)https?://\s+", "https://")
-    text = F.regexp_replace(text, r"(?U)([/\w.-])\s+([/\w.-])", "$1$2")
-    found = F.regexp_extract_all(text, F.lit(r"""(?U)(https?://[^\s<>"'{}|\\^`\[\]]+)"""), F.lit(1))
-    found = F.transform(found, lambda u: F.regexp_replace(u, r"""[.,;:!?)"'\]]+$""", ""))
+    text = F.regexp_replace(F.regexp_replace(text, BROKEN_SCHEME, "https://"), BROKEN_PATH, "$1$2")
+    found = F.transform(F.regexp_extract_all(text, F.lit(ADDRESS), F.lit(1)), lambda u: F.regexp_replace(u, END_MARKS, ""))
     host = lambda u: F.lower(F.regexp_extract(u, "^https?://([^/?#]*)", 1))
     return F.filter(found, lambda u: ~host(u).isin(OWN_HOSTS) & ~_any(u, NOT_ARTICLES))
 

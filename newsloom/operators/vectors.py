@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 #: Components (of eight bytes) in a block of queries and in a shard of the table.
 BLOCK, SHARD, STEP = 1 << 20, 1 << 22, 4096
+DEFINITIONS = 10_000
 
 
 def _unit(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -136,6 +137,9 @@ def mean_pooled(vectors: DataFrame, key: str, embedding: str) -> DataFrame:
 
 
 def nearest_definition(vectors: DataFrame, definitions: DataFrame, key: str, embedding: str) -> DataFrame:
-    """The definition (name, vector) of highest cosine for each row; definitions are a short list and broadcast."""
+    """The definition (name, vector) of highest cosine for each row. Definitions are a short list that is broadcast;
+    for more than `DEFINITIONS` of them use `knn`."""
+    if definitions.limit(DEFINITIONS + 1).count() > DEFINITIONS:
+        raise ValueError(f"more than {DEFINITIONS} definitions; search them with knn")
     scored = vectors.select(F.col(key).alias("key"), F.col(embedding).alias("e")).crossJoin(F.broadcast(definitions)).withColumn("score", F.round(cosine(F.col("e"), F.col("vector")), 6))
     return scored.groupBy("key").agg(F.max_by("name", F.struct(F.col("score"), F.col("name"))).alias("name"), F.max("score").alias("score"))

@@ -14,7 +14,8 @@ from newsloom.operators.listing import backlog
 from newsloom.plans.model import AS_OF, Catalog
 from newsloom.shared import workspace
 from newsloom.sources import feeds
-from newsloom.sources.registry import LandedItems, get, kinds, validate
+from newsloom.sources.pdf import landed_pdfs
+from newsloom.sources.registry import LandedItems, get, kinds, opened, validate
 from newsloom.streaming import ingest as I
 
 catalog = Catalog()
@@ -55,6 +56,29 @@ def _(m):
     return get("pdf")(rows, {}).select("external_id", "title", "published_at")
 
 
+def _pdf(lines: list[str], title: str | None) -> bytes:
+    """A small PDF of one page a line, deflated."""
+    import zlib
+
+    parts = [b"1 0 obj <</Type /Catalog>> endobj"]
+    for i, line in enumerate(lines):
+        data = zlib.compress(f"BT /F1 12 Tf ({line}) Tj 0 -14 Td (mehr) Tj ET".encode("latin-1"))
+        parts += [f"{10 + 2 * i} 0 obj <</Type /Page /Contents {11 + 2 * i} 0 R>> endobj".encode(), f"{11 + 2 * i} 0 obj <</Length {len(data)} /Filter /FlateDecode>> stream\n".encode() + data + b"\nendstream endobj"]
+    named = f"/Title ({title}) " if title else ""
+    return b"%PDF-1.4\n" + b"\n".join([*parts, f"99 0 obj <<{named}/CreationDate (D:20230405060708+01'00')>> endobj".encode("latin-1")]) + b"\n%%EOF"
+
+
+@add("feed_pdf_files", "S06", "SELECT CASE WHEN n_nationkey % 2 = 0 THEN 'Bericht ' || n_name ELSE n_name END AS title, n_name || chr(10) || 'mehr' || chr(10) || 'Seite ' || CAST(n_nationkey AS STRING) || chr(10) || 'mehr' AS content, TIMESTAMP '2023-04-05 06:07:08' AS published_at FROM nation", model=False)
+def _(m):
+    folder = workspace(m.spark, "pdf")
+    fs, path = opened(folder)
+    fs.create_dir(path)
+    for r in _nation(m).select("n_nationkey", "n_name").collect():  # the 25 files that the query is about
+        with fs.open_output_stream(f"{path}/{r[0]}.pdf") as out:
+            out.write(_pdf([r[1], f"Seite {r[0]}"], f"Bericht {r[1]}" if r[0] % 2 == 0 else None))
+    return get("pdf")(landed_pdfs(m.spark, folder), {}).select("title", "content", "published_at")
+
+
 @add("feed_mastodon", "S07 S08 X48", "SELECT CAST(n_nationkey AS STRING) AS external_id, CASE WHEN n_nationkey % 2 = 0 THEN 'Geteilt' ELSE 'Eigen' END AS title, CAST(n_nationkey AS STRING) AS favourites FROM nation WHERE n_nationkey % 5 <> 0", model=False)
 def _(m):
     k = F.col("n_nationkey")

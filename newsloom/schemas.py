@@ -1,10 +1,9 @@
-"""Schemas of the news model, and the orders of its enumerations."""
+"""The enumerations of the news model and their orders."""
 
 from __future__ import annotations
 
 from pyspark.sql import types as T
 
-
 PRIORITIES = ["high", "medium", "low", "none"]
 #: Rank of a priority, higher first; anything else ranks 0.
 PRIORITY_RANK = {"high": 3, "medium": 2, "low": 1, "none": 0}
@@ -12,33 +11,6 @@ WORKING_GROUPS = ["AK1", "AK2", "AK3", "AK4", "AK5", "QAG"]
 
 
 
-
-SOURCE = "id bigint, name string, description string, is_stakeholder boolean, enabled boolean, created_at timestamp_ntz, updated_at timestamp_ntz"
-CHANNEL = (
-    "id bigint, source_id bigint, name string, connector_type string, config map<string,string>, source_identifier string, "
-    "enabled boolean, fetch_interval_minutes int, last_fetch_at timestamp_ntz, last_error string, created_at timestamp_ntz, updated_at timestamp_ntz"
-)
-RAW_ITEM = "seq bigint, channel_id bigint, external_id string, title string, content string, url string, author string, published_at timestamp, metadata map<string,string>"
-ITEM = (
-    "id bigint, channel_id bigint, external_id string, title string, content string, summary string, detailed_analysis string, url string, author string, "
-    "published_at timestamp, fetched_at timestamp, content_hash string, priority string, priority_score int, is_read boolean, is_starred boolean, "
-    "is_archived boolean, is_manually_reviewed boolean, assigned_ak string, assigned_aks array<string>, metadata string, needs_llm_processing boolean, similar_to_id bigint"
-)
-RULE = "id bigint, name string, description string, rule_type string, pattern string, priority_boost int, target_priority string, enabled boolean, `order` int"
-EVENT = "id bigint, item_id bigint, event_type string, timestamp timestamp, ip_address string, session_id string, data string"
-PROCESSING_LOG = (
-    "id bigint, item_id bigint, processing_run_id string, step_type string, step_order int, started_at timestamp, completed_at timestamp, duration_ms int, "
-    "model_name string, model_version string, model_provider string, confidence_score double, priority_input string, priority_output string, priority_changed boolean, "
-    "ak_suggestions array<string>, ak_primary string, ak_confidence double, relevant boolean, relevance_score double, success boolean, skipped boolean, "
-    "skip_reason string, error_message string, input_data string, output_data string, created_at timestamp"
-)
-LABELLED = (
-    "input struct<title:string,content:string,source:string,date:string>, labels struct<relevant:boolean,priority:string,ak:string,aks:array<string>,reaction_type:string>, "
-    "provenance struct<source_type:string,item_id:bigint,exported_at:string>"
-)
-VECTOR = "id string, title string, document string, metadata map<string,string>, embedding array<float>"
-
-
 def fields(**kinds: T.DataType) -> T.StructType:
     """A struct type without a session, which DDL strings would need."""
     return T.StructType([T.StructField(k, v) for k, v in kinds.items()])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import json
 from collections.abc import Callable, Iterator
 
@@ -44,7 +45,7 @@ def validate(kind: str, config: dict) -> tuple[bool, str]:
 class LandedItems(DataSource):
     """Raw items from the JSON lines files of a folder where connectors land them: option folder, a path or URI.
 
-    Each file is a partition; blank and broken lines are skipped.
+    Each file is a partition and is read line by line; blank and broken lines are skipped.
     """
 
     @classmethod
@@ -58,7 +59,7 @@ class LandedItems(DataSource):
         return _LandedReader(self.options["folder"])
 
 
-def _opened(folder: str) -> tuple[pafs.FileSystem, str]:
+def opened(folder: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(folder) if ":/" in folder else (pafs.LocalFileSystem(), folder)
 
 
@@ -67,16 +68,16 @@ class _LandedReader(DataSourceReader):
         self.folder = folder
 
     def partitions(self) -> list[InputPartition]:
-        files, path = _opened(self.folder)
+        files, path = opened(self.folder)
         found = sorted(x.path for x in files.get_file_info(pafs.FileSelector(path)) if x.type == pafs.FileType.File and not x.base_name.startswith(("_", ".")))
         return [InputPartition(x) for x in found] or [InputPartition(None)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         if partition.value is None:
             return
-        files, _ = _opened(self.folder)
+        files, _ = opened(self.folder)
         with files.open_input_stream(partition.value) as stream:
-            for line in stream.read().decode("utf-8").splitlines():
+            for line in io.TextIOWrapper(stream, "utf-8"):
                 try:
                     row = json.loads(line)
                 except ValueError:
