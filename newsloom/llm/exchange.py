@@ -63,20 +63,6 @@ def pack(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x).tobytes()
 
 
-def pack48(x: np.ndarray) -> bytes:
-    """Hashes with two flags in their low bits, in six bytes each: the top 46 bits and the flags."""
-    short = ((x >> np.uint64(18)) << np.uint64(2)) | (x & np.uint64(3))
-    return np.ascontiguousarray(short.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
-
-
-def unpack48(data: bytes) -> np.ndarray:
-    """The values again, with the bits that pack48 dropped as zeros."""
-    wide = np.zeros((len(data) // 6, 8), np.uint8)
-    wide[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    short = wide.view("<u8")[:, 0].astype(np.uint64)
-    return ((short >> np.uint64(2)) << np.uint64(18)) | (short & np.uint64(3))
-
-
 def by_bucket(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Bucket of each hash (from high bits), as ids; keys must be sorted, then the buckets are too."""
     return ((keys >> np.uint64(32)).astype(np.uint64) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64), keys

@@ -18,8 +18,9 @@ one of all suffixes of the corpus:
 Two filters keep the arrays small, so that highly repetitive text costs no more than its distinct phrases: triggers
 that stand in one document only are dropped, and of each distinct context of a trigger (all that its strings reach)
 one copy is kept, with the least document that holds it. Contexts that a smaller document holds go whole, whatever
-the number of their copies; they are told apart by the trigger's and the context's hashes, 124 bits together. All
-else is decided on bytes. Work is three exchanges (see `exchange`): triggers, contexts' hashes, and contexts.
+the number of their copies; they are told apart by the context's hash of 62 bits within the half hash and the
+bucket of its trigger. All else is decided on bytes. Work is three exchanges (see `exchange`): triggers, contexts'
+hashes, and contexts.
 
 Cases: null or empty text: no bytes, nothing removed. A null doc_id ranks after all others; ids are whole numbers, or
 text of one, and others raise an error. Rows with the same doc_id are the same age: neither takes from the other.
@@ -35,12 +36,13 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.exchange import answered, dealt, framed, gathered, ids_of, loose, pack, pack48, packed_rows, split, unpack48
+from newsloom.llm.exchange import answered, by_bucket, dealt, framed, gathered, ids_of, loose, pack, packed_rows
 from newsloom.llm.substring_dedup import ANSWER, RADIX, REQUEST, _repeated, member
 from newsloom.llm.tokens import U64, BYTE_POWERS, marked, mix, prefix_hash, runs, sliding, slices, text_buffers
 
 GONE, MANY = U64(1), U64(2)
-SHORT = ~U64((1 << 18) - 1)
+LOW = U64(0xFFFFFFFF)
+LAST, LAST32 = np.iinfo(np.int64).max, np.iinfo(np.int32).max
 
 
 class Sorted:
@@ -118,26 +120,45 @@ def _distinct(columns: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(changed)
 
 
-def _short_rows(chunk: int, keys: np.ndarray, buckets: int) -> pa.Table:
-    """As `packed_rows`, with hashes cut to 46 bits: what they hit by mistake is told apart by its phrases later."""
-    borders = split(keys, buckets)
-    full = np.flatnonzero(np.diff(borders))
-    cut = [pack48(keys[borders[b] : borders[b + 1]]) for b in full]
-    return pa.table({"chunk": pa.array(np.full(len(full), chunk, np.int32)), "bucket": pa.array(full.astype(np.int32)), "keys": pa.array(cut, pa.binary())})
+def spread(bucket: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """One number for a bucket and the low half of a hash, which tell a hash within all but a few."""
+    return ((bucket.astype(np.uint64) << U64(32)) | (low & LOW & ~RADIX)) * U64(0x9E3779B97F4A7C15)
+
+
+def halves(keys: np.ndarray) -> np.ndarray:
+    """The low halves of hashes, flags included: their bucket tells most of the rest."""
+    return (keys & LOW).astype(np.uint32)
 
 
 def _short_repeated(table: pa.Table) -> pa.Table:
-    """`_repeated` over hashes cut to 46 bits."""
-    wide = lambda t, f: t.set_column(t.schema.get_field_index("keys"), "keys", pa.array([f(x) for x in t["keys"].to_pylist()], pa.binary()))
-    found = _repeated(wide(table, lambda x: pack(unpack48(x))))
-    return wide(found, lambda x: pack48(np.frombuffer(x, U64)))
+    """`_repeated` over the low halves of a bucket's hashes. What they hit by mistake is told apart later."""
+    wide = lambda t, a, b: t.set_column(t.schema.get_field_index("keys"), "keys", pa.array([pack(np.frombuffer(x, a).astype(b)) for x in t["keys"].to_pylist()], pa.binary()))
+    found = wide(_repeated(wide(table, np.uint32, np.uint64)), np.uint64, np.uint32)
+    return found.add_column(1, "bucket", pa.array(np.full(found.num_rows, table["bucket"][0].as_py(), np.int32)))
+
+
+def packed_ids(ids: np.ndarray) -> np.ndarray:
+    """Ids in four bytes where all fit, the last of all kept apart."""
+    own = ids[ids != LAST]
+    if len(own) and (own.min() < -LAST32 or own.max() >= LAST32):
+        return ids
+    return np.where(ids == LAST, LAST32, ids).astype(np.int32)
+
+
+def gathered_ids(table: pa.Table) -> np.ndarray:
+    """The ids of packed rows, whose phrases take eight bytes each."""
+    out = [np.zeros(0, np.int64)]
+    for doc, phrase in zip(table["doc"].to_pylist(), table["phrase"].to_pylist(), strict=True):
+        ids = np.frombuffer(doc, np.int32 if 2 * len(doc) == len(phrase) else np.int64).astype(np.int64)
+        out.append(np.where(ids == LAST32, LAST, ids) if 2 * len(doc) == len(phrase) else ids)
+    return np.concatenate(out)
 
 
 def _first_seen(table: pa.Table) -> pa.Table:
     """A bucket of the dictionary: for each chunk's phrases, whether a smaller document of another chunk
     has them (GONE), or else whether their trigger begins other phrases too (MANY)."""
-    h, phrase, doc = gathered(table, "keys"), gathered(table, "phrase"), gathered(table, "doc", np.int64)
-    row = np.repeat(np.arange(table.num_rows), [len(x) // 8 for x in table["keys"].to_pylist()])
+    h, phrase, doc = gathered(table, "keys", np.uint32), gathered(table, "phrase"), gathered_ids(table)
+    row = np.repeat(np.arange(table.num_rows), [len(x) // 8 for x in table["phrase"].to_pylist()])
     order, new = _distinct((doc, phrase, h))
     h, phrase, doc, row = h[order], phrase[order], doc[order], row[order]
     size = np.diff(np.append(new, len(h)))
@@ -184,22 +205,23 @@ def substring_dedup_bytes(docs: DataFrame, width: int = 50, k: int = 16, text: s
         new = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
         last = np.append(new[1:], len(h)) - 1 if len(h) else new
         value = h[new] | GONE | np.where(doc[last] != doc[new], MANY, U64(0))
-        return _short_rows(table["chunk"][0].as_py(), value, buckets)
+        return packed_rows(table["chunk"][0].as_py(), value, buckets, keys=halves(value))
 
     def ask_phrases(table: pa.Table, answers: pa.Table) -> pa.Table:
-        hits = np.sort(np.concatenate([unpack48(x) for x in answers["keys"].to_pylist()] or [np.zeros(0, U64)]))
+        at = np.repeat(answers["bucket"].to_numpy(), [len(x) // 4 for x in answers["keys"].to_pylist()])
+        hits = np.sort(spread(at, gathered(answers, "keys", np.uint32).astype(np.uint64)))
         h, phrase, doc = [np.zeros(0, U64)], [np.zeros(0, U64)], [np.zeros(0, np.int64)]
         if table.num_rows and len(hits):
             for *_, ids, found in each(table):
                 if len(found.at):
-                    i = np.flatnonzero(member(hits, found.h & SHORT))
+                    i = np.flatnonzero(member(hits, spread(by_bucket(found.h, buckets)[0], found.h)))
                     h.append(found.h[i])
                     phrase.append(found.phrase[i])
                     doc.append(ids[found.doc[i]])
         h, phrase, doc = np.concatenate(h), np.concatenate(phrase), np.concatenate(doc)
         order, new = _distinct((doc, phrase, h))
         i = order[new]
-        return packed_rows(table["chunk"][0].as_py() if table.num_rows else 0, h[i], buckets, keys=h[i], phrase=phrase[i], doc=doc[i])
+        return packed_rows(table["chunk"][0].as_py() if table.num_rows else 0, h[i], buckets, keys=halves(h[i]), phrase=phrase[i], doc=packed_ids(doc[i]))
 
     def coded(table: pa.Table, codes: np.ndarray):
         """Of each run of documents, the triggers whose phrases have a code, with it and the least document here."""
@@ -240,11 +262,11 @@ def substring_dedup_bytes(docs: DataFrame, width: int = 50, k: int = 16, text: s
         h, phrase, doc, body, span = (np.concatenate(x) for x in zip(*rows, strict=True))
         order, new = _distinct((doc, phrase, h))
         i = order[new]
-        return packed_rows(table["chunk"][0].as_py() if table.num_rows else 0, h[i], buckets, phrase=phrase[i], doc=doc[i], body=body[i], span=span[i])
+        return packed_rows(table["chunk"][0].as_py() if table.num_rows else 0, h[i], buckets, phrase=phrase[i], doc=packed_ids(doc[i]), body=body[i], span=span[i])
 
     def sorted_suffixes(table: pa.Table) -> pa.Table:
         """Which strings of each context stand in a context of a smaller document, as bits by place."""
-        phrase, doc = gathered(table, "phrase"), gathered(table, "doc", np.int64)
+        phrase, doc = gathered(table, "phrase"), gathered_ids(table)
         body, span = gathered(table, "body", np.uint8).reshape(-1, reach), gathered(table, "span", np.int8).reshape(-1, 2)
         bits = np.zeros(len(phrase), U64)
         # Contexts by age, so that the first of equal ones is the oldest.
@@ -314,11 +336,12 @@ def substring_dedup_bytes(docs: DataFrame, width: int = 50, k: int = 16, text: s
         )
 
     chunked = docs.groupBy("chunk")
-    hits = answered(chunked.applyInArrow(ask_triggers, REQUEST), _short_repeated, ANSWER)
+    hits = answered(chunked.applyInArrow(ask_triggers, REQUEST), _short_repeated, "chunk int, bucket int, keys binary")
     asked = chunked.cogroup(hits.groupBy("chunk")).applyInArrow(ask_phrases, f"{REQUEST}, phrase binary, doc binary")
-    codes = answered(asked, _first_seen, ANSWER)
+    # Dealt by chunk once, for the two steps that read them.
+    codes = answered(asked, _first_seen, ANSWER).repartition("chunk")
     asked = chunked.cogroup(codes.groupBy("chunk")).applyInArrow(ask_suffixes, "chunk int, bucket int, phrase binary, doc binary, body binary, span binary")
-    bits = answered(asked, sorted_suffixes, f"{ANSWER}, bits binary")
+    bits = answered(asked, sorted_suffixes, f"{ANSWER}, bits binary").repartition("chunk")
     answers = codes.withColumn("bits", F.lit(None).cast("binary")).unionByName(bits)
     out = f"doc_id {whole['doc_id'].dataType.simpleString()}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary, spans array<struct<start:bigint,end:bigint>>, rest {whole['rest'].dataType.simpleString()}"
     return chunked.cogroup(answers.groupBy("chunk")).applyInArrow(remove, out)
