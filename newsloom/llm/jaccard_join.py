@@ -137,7 +137,8 @@ def _common(block: np.ndarray, owner: np.ndarray, h: np.ndarray) -> Iterator[tup
 
 def jaccard_join(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.9999, limit: int = 2048, grams: int = 4_000_000, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row a document: doc_id, class_id (least doc_id of all that are linked to it over any way),
-    n_links (other documents of similarity >= threshold), copies (documents of the same n-gram set)."""
+    n_links (other documents of similarity >= threshold), copies (documents of the same n-gram set), row (the hash
+    xxhash64 of id and text, which tells rows of one id apart)."""
     bands, rows = banding(threshold, recall)
     docs = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     _, groups, _ = dealt(docs)
@@ -219,11 +220,11 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: fl
         found = found.filter("alone").select("node", "links", "first").unionByName(counts)
     table = nodes.select("node", "rep", "copies").join(found.select("node", "links", "first"), "node", "left")
     table = table.select("node", "copies", F.coalesce("first", "rep").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
-    return sketch.select("doc_id", "node").join(table, "node").select("doc_id", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"), "copies")
+    return sketch.select("doc_id", "row", "node").join(table, "node").select("doc_id", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"), "copies", "row")
 
 
 def op10_jaccard_join(spark, sf_dir: str) -> DataFrame:
-    return jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).drop("row")
 
 
 SQL = r"""
