@@ -6,8 +6,9 @@ documents. Stages may be run one by one, each result written and read again as t
 
 1. quality: documents that the quality classifier rejects (score under 0.5) go.
 2. near_duplicates: of each group of documents linked by five-word n-gram similarity of 0.8 or more,
-   the one with the least doc_id stays. Rows of one doc_id stay or go together, whatever their texts, but exact
-   repeats of a row's id and text are one row. Rows without an id stay if their group has no id.
+   the one with the least doc_id stays. Rows are told apart by id and text: exact repeats of both are one row, and
+   near copies under one doc_id that is the least of their group all stay. Rows without an id stay if their group has
+   no id.
 3. repeated_passages: of passages of 35 words or more that stand at several places, the first occurrence (least
    doc_id, then place) stays and the others go; a document that has lost words is its kept words joined by one
    space, and goes if none are left.
@@ -38,15 +39,19 @@ def _columns(found: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame
     return found.select(*((own[c] if c in own else F.col(f"rest.`{c}`")).alias(c) for c in docs.columns))
 
 
+#: A column name that no input has.
+_ROW = "pipeline row hash"
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = quality_scores(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return _columns(found.filter("predicted = 1"), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = jaccard_join(docs).filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    kept = docs.join(found, docs["doc_id"].eqNullSafe(found["kept_id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "text"])
+    found = jaccard_join(docs).filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select("row").distinct()
+    kept = docs.withColumn(_ROW, F.xxhash64("doc_id", "text")).join(found.withColumnRenamed("row", _ROW), _ROW, "left_semi")
+    return kept.drop(_ROW).dropDuplicates(["doc_id", "text"])
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
