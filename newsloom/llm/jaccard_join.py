@@ -35,6 +35,10 @@ from newsloom.llm.exchange import dealt, settled
 from newsloom.llm.tokens import U64, Words, mix, slices, text_buffers
 
 
+#: Rows of a block's product whose pairs are looked at together.
+SLAB = 256
+
+
 def banding(threshold: float, recall: float, hashes: int = 192) -> tuple[int, int]:
     """Bands and rows a band: the most rows whose bands for that recall at the threshold fit in so many hashes."""
     best = (hashes, 1)
@@ -131,8 +135,24 @@ def _common(block: np.ndarray, owner: np.ndarray, h: np.ndarray) -> Iterator[tup
             m = np.zeros((len(mine), min(step, wide - c)), np.float32)
             m[row[a:z], column[a:z] - c] = 1
             total += m @ m.T
-        i, j = np.nonzero(np.triu(total, 1))
-        yield mine[i], mine[j], total[i, j].astype(np.int64)
+        # Pairs come in slabs of rows, so that a block whose rows all share something makes no list of all its pairs.
+        for a in range(0, len(mine), SLAB):
+            slab = np.triu(total[a : a + SLAB], a + 1)
+            i, j = np.nonzero(slab)
+            yield mine[a + i], mine[j], slab[i, j].astype(np.int64)
+
+
+def _roots(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
+    """The least of the n rows that each is linked to over any way along the pairs."""
+    label = np.arange(n)
+    while True:
+        new = label.copy()
+        np.minimum.at(new, i, label[j])
+        np.minimum.at(new, j, label[i])
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
 
 
 def jaccard_join(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.9999, limit: int = 2048, grams: int = 4_000_000, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -180,30 +200,23 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: fl
         parts = [(h, d + i) for i, j in slices(offsets) for h, d in [shingles(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], n)]]
         h, owner = np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts])
         size = np.bincount(owner, minlength=len(node))
-        links, label = np.zeros(len(node), np.int64), np.arange(len(node))
-        keys = table["keys"].to_pylist() if (band >= 0).any() else None
+        links = np.zeros(len(node), np.int64)
+        own = np.array([x or [0] * bands for x in table["keys"].to_pylist()], np.int64) if (band >= 0).any() else None
         us, vs = [], []
         for i, j, common in _common(block, owner, h):
             ok = common >= threshold * (size[i] + size[j] - common) - 1e-9
             ok &= ~cross[i] | (tile[i] != tile[j])
             i, j = i[ok], j[ok]
-            us.append(i)
-            vs.append(j)
-            if keys and len(i) and (band[i] >= 0).any():
-                own = np.array([keys[x] or [0] * bands for x in range(len(keys))], np.int64)
+            # Of the pairs only a link to a root stays for each row.
+            label = _roots(i, j, len(node))
+            us.append(np.flatnonzero(label != np.arange(len(node))))
+            vs.append(label[us[-1]])
+            if own is not None and len(i) and (band[i] >= 0).any():
                 first = np.concatenate([(own[i[a : a + 65536]] == own[j[a : a + 65536]]).argmax(1) for a in range(0, len(i), 65536)])
                 counted = (band[i] < 0) | (first == band[i])
                 i, j = i[counted], j[counted]
             links += np.bincount(i, copies[j], len(node)).astype(np.int64) + np.bincount(j, copies[i], len(node)).astype(np.int64)
-        u, v = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (us, vs))
-        while True:
-            new = label.copy()
-            np.minimum.at(new, u, label[v])
-            np.minimum.at(new, v, label[u])
-            new = new[new]
-            if (new == label).all():
-                break
-            label = new
+        label = _roots(*(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (us, vs)), len(node))
         first = np.full(len(node), np.iinfo(np.int64).max)
         np.minimum.at(first, label, rep)
         first = first[label]
