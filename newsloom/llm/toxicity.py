@@ -41,6 +41,7 @@ from newsloom.llm.tokens import LETTER_DIGIT, LOWER, U64, Words, mix, slices, te
 
 #: Examples in a block of the index, and dimensions in which examples are ordered.
 BLOCK, SKETCH = 16, 64
+CHANCE = 2.0
 
 
 def term_counts(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -65,13 +66,14 @@ def places(vocabulary: np.ndarray, terms: np.ndarray) -> np.ndarray:
 
 def factors(a: np.ndarray, n: np.ndarray, base: float) -> np.ndarray:
     """Weight of terms in n examples, a of them of label 1: sqrt(1 + evidence), in nats of a binomial
-    likelihood ratio, where label 1 is more common than its share `base`; 1 elsewhere."""
+    likelihood ratio beyond the `CHANCE` that a rare term has without meaning anything, where label 1 is more common
+    than its share `base`; 1 elsewhere."""
     if not 0 < base < 1:
         return np.ones(len(n))
     share = a / np.maximum(n, 1)
     with np.errstate(divide="ignore", invalid="ignore"):
         apart = n * (share * np.log(share / base) + np.where(share < 1, (1 - share) * np.log((1 - share) / (1 - base)), 0))
-    return np.where(share > base, np.sqrt(1 + np.maximum(apart, 0)), 1.0)
+    return np.where(share > base, np.sqrt(1 + np.maximum(apart - CHANCE, 0)), 1.0)
 
 
 def alike(x: np.ndarray, size: int) -> np.ndarray:
