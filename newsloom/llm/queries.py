@@ -15,6 +15,7 @@ from newsloom.llm.html_extraction import op7_html_extraction
 from newsloom.llm.jaccard_join import op10_jaccard_join
 from newsloom.llm.packing import op5_packing
 from newsloom.llm.quality import op2_quality_classifier
+from newsloom.llm.sentencepieces import op13_sentencepiece
 from newsloom.llm.sharding import op4_sharding
 from newsloom.llm.substring_dedup import op1_substring_dedup
 from newsloom.llm.suffix_dedup import op3_suffix_dedup
@@ -57,6 +58,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_exact_topk": op9_exact_topk,
     "op10_jaccard_join": op10_jaccard_join,
+    "op13_sentencepiece": op13_sentencepiece,
     "sharding_laws": sharding_laws,
     "sharded_rows": sharded_rows,
     "packing_laws": packing_laws,
