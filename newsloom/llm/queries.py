@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsloom.llm import decontamination, exact_topk, hard_negatives, jaccard_join, substring_dedup, suffix_dedup
+from newsloom.llm import collocations, decontamination, exact_topk, hard_negatives, jaccard_join, substring_dedup, suffix_dedup
+from newsloom.llm.collocations import op11_collocations
 from newsloom.llm.decontamination import op6_decontamination
 from newsloom.llm.exact_topk import op9_exact_topk
 from newsloom.llm.hard_negatives import op12_hard_negatives
@@ -59,6 +60,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_exact_topk": op9_exact_topk,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_collocations": op11_collocations,
     "op12_hard_negatives": op12_hard_negatives,
     "op13_sentencepiece": op13_sentencepiece,
     "sharding_laws": sharding_laws,
@@ -71,6 +73,7 @@ SQL: dict[str, str] = {
     "op6_decontamination": decontamination.SQL,
     "op9_exact_topk": exact_topk.SQL,
     "op10_jaccard_join": jaccard_join.SQL,
+    "op11_collocations": collocations.SQL,
     "op12_hard_negatives": hard_negatives.SQL,
     "sharding_laws": "SELECT CAST(s AS BIGINT) AS shard, CAST(n // 8 + CASE WHEN s < n % 8 THEN 1 ELSE 0 END AS BIGINT) AS rows, CAST(0 AS BIGINT) AS first, rows - 1 AS last, rows AS slots FROM (SELECT count(*) AS n FROM documents), range(8) r(s) WHERE n // 8 + CASE WHEN s < n % 8 THEN 1 ELSE 0 END > 0",
     "sharded_rows": "SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) + 1 AS BIGINT) AS size FROM documents",
