@@ -16,7 +16,8 @@ sample of labelled rows (`bound`); a tenth of it fits the temperature that calib
 
 Cases: null and empty texts pool to zero and get the score the network gives there. Without labels of
 both kinds every score is the share of label 1, or 0.5. A null doc_id counts as the empty text for
-held_out. Repeated rows get equal scores. An empty table gives an empty result. Other columns, of any name, travel
+held_out. Repeated rows get equal scores; copies under one id are one example, and an id with many different texts
+gives a few of them (`labelled_sample`). An empty table gives an empty result. Other columns, of any name, travel
 in the struct column `rest`.
 """
 

@@ -17,7 +17,8 @@ Every example has a class of its own to speak for, so the evidence (id, similari
 nearest first) is returned with the score.
 
 The sample has at most `bound` rows and `bound_bytes` of text, in the order of a hash of the id: that bounds the
-index, which is built on the driver and broadcast.
+index, which is built on the driver and broadcast. What it leaves out are ids beyond the bound, more than a few
+different texts of one id, and texts that don't fit into what is left of the bytes (`labelled_sample`).
 
 Cases: null and empty texts, and texts without a term of any example, get the prior. Without labels all
 get 0.5. A null doc_id counts as the empty text for held_out. Ids are whole numbers, or text of one; other ids of
