@@ -4,13 +4,15 @@
    its words in order as places in that list, in a table of the shared folder.
 2. Words are counted by language; those with at least `min_count` occurrences get dense ids, since no phrase with a rarer word can
    reach that count. Chunks get the ids of their words by a join on the word.
-3. Each place of a chunk makes one window: the ids of the word and of up to `longest - 1` words behind it, up to the end of the
-   piece or the next rare word, packed into a binary key of fixed width, zeros behind. A chunk's equal windows become one with
+3. Pairs of neighbouring words are counted by a hash of 32 bits: a chunk sends each hash once, with its count, to the bucket of the
+   hash, and gets back one bit, whether the sum reaches min_count. Hashes may share a sum, so this rules out only pairs that are rare indeed.
+4. Each place of a chunk makes one window: the ids of the word and of up to `longest - 1` words behind it, up to the end of the
+   piece, a rare word or a rare pair, packed into a binary key of fixed width, zeros behind. A chunk's equal windows become one with
    a count. Keys go to ranges, whose borders come from a sample of keys, and a range sorts them by radix.
-4. In sorted order, all windows that begin with the same phrase are one run, so the runs of each prefix length give
+5. In sorted order, all windows that begin with the same phrase are one run, so the runs of each prefix length give
    the counts of all phrases of that length. Runs that touch a range's border are added up with those of its neighbours, so a phrase that a third
    of all places begin is spread over many ranges.
-5. Counts of the parts of each cut are joined, scores are whole-number divisions of decimals of 38 digits, which are exact, and
+6. Counts of the parts of each cut are joined, scores are whole-number divisions of decimals of 38 digits, which are exact, and
    phrases inside a longer one of (nearly) the same count go. It is enough to look at those longer by one word: what holds
    for a longer one holds for each phrase between.
 
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 
 from newsloom.llm.distinct import distinct, spread
 from newsloom.llm.exchange import MB, removed, workspace
-from newsloom.llm.tokens import LOWER, U64, slices, text_buffers
+from newsloom.llm.tokens import LOWER, U64, mix, slices, text_buffers
 
 SAMPLE = 1 << 17
 SEPARATOR = np.zeros(256, bool)
@@ -106,6 +108,13 @@ class Keys:
         out[:, : self.width] = rows
         return out.view(">u8").astype(U64).T.copy()
 
+    def to_planes(self, keys: np.ndarray) -> bytes:
+        """Keys by places of their bytes: sorted ones share their first bytes, so these compress to almost nothing."""
+        return np.frombuffer(self.to_bytes(keys), np.uint8).reshape(-1, self.width).T.tobytes()
+
+    def from_planes(self, value: bytes) -> np.ndarray:
+        return self.from_bytes(np.frombuffer(value, np.uint8).reshape(self.width, -1).T.tobytes())
+
     def order(self, keys: np.ndarray) -> np.ndarray:
         """Radix sort: stable passes over 16 bits each, from the last that holds a field; digits that all keys share are left out."""
         out = np.arange(keys.shape[1])
@@ -130,20 +139,40 @@ def changes(keys: np.ndarray) -> np.ndarray:
     return new
 
 
-def windows(ids: np.ndarray, new: np.ndarray, longest: int) -> list[np.ndarray]:
-    """Fields of the window at each place that has at least two words: ids of the words, and 0 from the piece's end or the first rare word on."""
-    linked = np.zeros(len(ids), bool)
-    linked[:-1] = (ids[:-1] > 0) & (ids[1:] > 0) & ~new[1:]
-    at = np.flatnonzero(linked)
+def linked(ids: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """Places where a frequent word has a frequent word behind it in its piece."""
+    out = np.zeros(len(ids), bool)
+    out[:-1] = (ids[:-1] > 0) & (ids[1:] > 0) & ~new[1:]
+    return out
+
+
+def windows(ids: np.ndarray, link: np.ndarray, longest: int) -> list[np.ndarray]:
+    """Fields of the window at each linked place: ids of the words as far as links go, and 0 from there on."""
+    at = np.flatnonzero(link)
     fields, on = [ids[at]], np.ones(len(at), bool)
     for j in range(1, longest):
-        on = on & linked[np.minimum(at + j - 1, len(ids) - 1)]
+        on = on & link[np.minimum(at + j - 1, len(ids) - 1)]
         fields.append(np.where(on, ids[np.minimum(at + j, len(ids) - 1)], 0))
     return fields
 
 
+def pair_hashes(ids: np.ndarray, link: np.ndarray) -> np.ndarray:
+    """32-bit hashes of the pairs at linked places."""
+    at = np.flatnonzero(link)
+    return (mix(ids[at].astype(U64) << U64(32) | ids[at + 1].astype(U64)) >> U64(32)).astype(np.uint32)
+
+
+def planes(x: np.ndarray) -> bytes:
+    """32-bit numbers by places of their bytes, which compresses better than one number after another."""
+    return np.ascontiguousarray(x.astype("<u4")).view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def numbers(value: bytes) -> np.ndarray:
+    return np.frombuffer(value, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
+
+
 def _chunks(docs: DataFrame, chunk_bytes: int) -> DataFrame:
-    """Chunks of words: their distinct words with counts, and all words in order (a place in that list, inverted where a piece begins)."""
+    """Chunks of words: their distinct words with counts, and all words in order (twice the place in that list, and one more where a piece begins)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
@@ -162,10 +191,15 @@ def _chunks(docs: DataFrame, chunk_bytes: int) -> DataFrame:
                     size = (end - start)[first]
                     flat = part[spread(start[first], size)]
                     words = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.py_buffer(flat)]).cast(pa.string())
-                    code = np.where(new, ~inverse, inverse).astype("<i4")
+                    # Frequent words first: small numbers compress.
+                    n = np.bincount(inverse, minlength=len(first))
+                    order = np.argsort(-n, kind="stable")
+                    place = np.empty(len(order), np.int64)
+                    place[order] = np.arange(len(order))
+                    words, code = words.take(pa.array(order)), place[inverse] << 1 | new
                     whole = pa.array([0, len(first)], pa.int32())
                     yield pa.RecordBatch.from_pydict(
-                        {"chunk": pa.array([number], pa.int64()), "lang": pa.array([name]), "words": pa.ListArray.from_arrays(whole, words), "counts": pa.ListArray.from_arrays(whole, pa.array(np.bincount(inverse, minlength=len(first)), pa.int64())), "codes": pa.array([code.tobytes()], pa.binary())}
+                        {"chunk": pa.array([number], pa.int64()), "lang": pa.array([name]), "words": pa.ListArray.from_arrays(whole, words), "counts": pa.ListArray.from_arrays(whole, pa.array(n[order], pa.int64())), "codes": pa.array([planes(code)], pa.binary())}
                     )
                     number += 1
 
@@ -187,35 +221,60 @@ def _numbered(words: DataFrame, home: str) -> tuple[DataFrame, int]:
     return spark.read.parquet(f"{home}/words"), total
 
 
-def phrase_counts(chunks: DataFrame, words: DataFrame, total: int, places: int, min_count: int, longest: int, range_bytes: int) -> DataFrame:
+def phrase_counts(chunks: DataFrame, words: DataFrame, total: int, places: int, min_count: int, longest: int, range_bytes: int, home: str) -> DataFrame:
     """ids (array<int>) and f of all phrases of 2 to `longest` frequent words with at least min_count occurrences."""
     spark, keys = chunks.sparkSession, Keys(total, longest)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     asked = chunks.select("chunk", "lang", F.posexplode("words").alias("code", "word"))
     answers = asked.join(words.select("lang", "word", "id"), ["lang", "word"]).select("chunk", "code", "id")
-    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), places * (keys.width + 4) // range_bytes + 1)
-
-    def fields(table: pa.Table, answer: pa.Table) -> list[np.ndarray]:
-        code = np.frombuffer(table["codes"][0].as_py(), "<i4").astype(np.int64)
-        new = code < 0
-        code = np.where(new, ~code, code)
-        ids = np.zeros(code.max() + 1, np.int64)
-        ids[answer["code"].to_numpy()] = answer["id"].to_numpy()
-        return windows(ids[code], new, longest)
-
+    ranges, buckets = max(tasks, places * (keys.width + 4) // range_bytes + 1), max(tasks // 2, places * 4 // range_bytes + 1)
     count = chunks.count()
     every = max(1, count // 64)
     per = SAMPLE // max(1, min(count, 128))
+    kinds = {"kind": pa.string(), "chunk": pa.int64(), "bucket": pa.int32(), "keys": pa.binary(), "n": pa.binary()}
 
-    def sample(key, table: pa.Table, answer: pa.Table) -> pa.Table:
-        """Windows at even distances, among those of the chunk."""
-        found = fields(table, answer) if table.num_rows and answer.num_rows else [np.zeros(0, np.int64)] * longest
-        at = np.arange(0, len(found[0]), len(found[0]) // per + 1)
-        return pa.table({"keys": pa.array([keys.to_bytes(keys.packed([x[at] for x in found]))], pa.binary())})
-
-    some = F.pmod(F.xxhash64("chunk"), F.lit(every)) == 0
+    def encode(key, table: pa.Table, answer: pa.Table) -> pa.Table:
+        """A chunk's ids, its pairs with counts by bucket, and for every so many chunks some windows as a sample."""
+        if not table.num_rows or not answer.num_rows:
+            return pa.table({k: pa.array([], t) for k, t in kinds.items()})
+        code = numbers(table["codes"][0].as_py()).astype(np.int64)
+        new, code, chunk = (code & 1) > 0, code >> 1, table["own"][0].as_py()
+        ids = np.zeros(code.max() + 1, np.int64)
+        ids[answer["code"].to_numpy()] = answer["id"].to_numpy()
+        ids = ids[code]
+        link = linked(ids, new)
+        h, at, n = np.unique(pair_hashes(ids, link), return_inverse=True, return_counts=True)
+        rows = [("ids", chunk, -1, planes(ids << 1 | new), b"")]
+        edges = np.searchsorted((h.astype(np.int64) * buckets) >> 32, np.arange(buckets + 1))
+        for k in np.flatnonzero(np.diff(edges)).tolist():
+            a, b = edges[k], edges[k + 1]
+            rows.append(("pairs", chunk, k, planes(np.diff(h[a:b], prepend=np.uint32(0))), planes(n[a:b])))
+        if chunk % every == 0:
+            link[np.flatnonzero(link)] = n[at] > 1  # pairs seen once here are rarely frequent
+            found = windows(ids, link, longest)
+            some = np.arange(0, len(found[0]), len(found[0]) // per + 1)
+            rows.append(("sample", chunk, -1, keys.to_bytes(keys.packed([x[some] for x in found])), b""))
+        return pa.table({k: pa.array(v, t) for (k, t), v in zip(kinds.items(), zip(*rows, strict=True), strict=True)})
+
+    if total >= 1 << 31:
+        raise ValueError("more than 2**31 frequent words")
     codes = chunks.select(F.col("chunk").alias("own"), "codes")
-    picked = codes.filter(F.pmod(F.xxhash64("own"), F.lit(every)) == 0).groupBy("own").cogroup(answers.filter(some).groupBy("chunk")).applyInArrow(sample, "keys binary")
-    seen = keys.from_bytes(b"".join(r["keys"] for r in picked.limit(512).collect()))
+    codes.groupBy("own").cogroup(answers.groupBy("chunk")).applyInArrow(encode, "kind string, chunk long, bucket int, keys binary, n binary").write.partitionBy("kind").parquet(f"{home}/encoded")
+    encoded = spark.read.schema("chunk long, bucket int, keys binary, n binary, kind string").parquet(f"{home}/encoded")
+
+    def frequent(table: pa.Table) -> pa.Table:
+        """For each chunk's pairs of a bucket one bit: whether all chunks' counts together reach min_count."""
+        own = [np.cumsum(numbers(x), dtype=np.uint32) for x in table["keys"].to_pylist()]
+        _, at = np.unique(np.concatenate(own), return_inverse=True)
+        n = np.concatenate([numbers(x) for x in table["n"].to_pylist()])
+        often = (np.bincount(at, n.astype(np.float64)) >= min_count)[at]
+        edges = np.cumsum([0, *map(len, own)])
+        bits = [np.packbits(often[a:b]).tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        return pa.table({"chunk": table["chunk"], "bucket": table["bucket"], "bits": pa.array(bits, pa.binary())})
+
+    bits = encoded.filter("kind = 'pairs'").select("chunk", "bucket", "keys", "n").groupBy("bucket").applyInArrow(frequent, "chunk long, bucket int, bits binary")
+    bits = bits.withColumnRenamed("chunk", "of")
+    seen = keys.from_bytes(b"".join(r["keys"] for r in encoded.filter("kind = 'sample'").select("keys").limit(512).collect()))
     seen = seen[:, keys.order(seen)]
     borders = seen[:, np.unique(np.linspace(0, seen.shape[1] - 1, ranges + 1).astype(int)[1:-1])] if seen.shape[1] else seen
     borders = keys.to_bytes(borders[:, changes(borders)])
@@ -225,18 +284,26 @@ def phrase_counts(chunks: DataFrame, words: DataFrame, total: int, places: int,
         schema = {"range": pa.int32(), "keys": pa.binary(), "n": pa.binary()}
         if not table.num_rows or not answer.num_rows:
             return pa.table({k: pa.array([], t) for k, t in schema.items()})
-        own = keys.packed(fields(table, answer))
+        ids = numbers(table["keys"][0].as_py()).astype(np.int64)
+        new, ids = (ids & 1) > 0, ids >> 1
+        link = linked(ids, new)
+        h, at = np.unique(pair_hashes(ids, link), return_inverse=True)
+        sizes = np.bincount((h.astype(np.int64) * buckets) >> 32, minlength=buckets)
+        given = {k: v for k, v in zip(answer["bucket"].to_pylist(), answer["bits"].to_pylist(), strict=True)}
+        often = np.concatenate([np.unpackbits(np.frombuffer(given[k], np.uint8), count=sizes[k]) for k in np.flatnonzero(sizes).tolist()]) > 0
+        link[np.flatnonzero(link)] = often[at]
+        own = keys.packed(windows(ids, link, longest))
         own, n = keys.counted(own, np.ones(own.shape[1], np.uint32))
         edges, text = np.frombuffer(borders, f"S{keys.width}"), keys.texts(own)
         at = np.concatenate([[0], np.searchsorted(text, edges, "left"), [len(text)]])
         full = np.flatnonzero(np.diff(at))
         cut = [(int(at[r]), int(at[r + 1])) for r in full]
-        return pa.table({"range": pa.array(full, pa.int32()), "keys": pa.array([keys.to_bytes(own[:, a:b]) for a, b in cut], pa.binary()), "n": pa.array([n[a:b].astype("<u4").tobytes() for a, b in cut], pa.binary())})
+        return pa.table({"range": pa.array(full, pa.int32()), "keys": pa.array([keys.to_planes(own[:, a:b]) for a, b in cut], pa.binary()), "n": pa.array([planes(n[a:b]) for a, b in cut], pa.binary())})
 
     def runs(table: pa.Table) -> pa.Table:
         """Counts of the phrases that begin a range's windows: frequent ones, and those at its borders."""
-        own = keys.from_bytes(b"".join(table["keys"].to_pylist()))
-        n = np.frombuffer(b"".join(table["n"].to_pylist()), "<u4").astype(np.int64)
+        own = np.concatenate([keys.from_planes(x) for x in table["keys"].to_pylist()], 1)
+        n = np.concatenate([numbers(x) for x in table["n"].to_pylist()]).astype(np.int64)
         own, n = keys.counted(own, n)
         found, f = [], []
         for m in range(2, longest + 1):
@@ -251,7 +318,8 @@ def phrase_counts(chunks: DataFrame, words: DataFrame, total: int, places: int,
             found += [[int(v) for v in row] for row in np.stack([keys.field(part[:, keep], j) for j in range(m)], 1)]
         return pa.table({"ids": pa.array(found, pa.list_(pa.int32())), "f": pa.array(np.concatenate(f), pa.int64())})
 
-    dealt = codes.groupBy("own").cogroup(answers.groupBy("chunk")).applyInArrow(deal, "range int, keys binary, n binary")
+    ids = encoded.filter("kind = 'ids'").select("chunk", "keys")
+    dealt = ids.groupBy("chunk").cogroup(bits.groupBy("of")).applyInArrow(deal, "range int, keys binary, n binary")
     found = dealt.groupBy("range").applyInArrow(runs, "ids array<int>, f long")
     return found.groupBy("ids").agg(F.sum("f").alias("f")).filter(F.col("f") >= min_count)
 
@@ -272,7 +340,7 @@ def collocations(docs: DataFrame, min_count: int = 100, longest: int = 5, top: i
     sizes.write.parquet(f"{home}/sizes")
     sizes = spark.read.parquet(f"{home}/sizes")
     places = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    phrase_counts(chunks, words, total, places, min_count, longest, range_bytes).write.parquet(f"{home}/phrases")
+    phrase_counts(chunks, words, total, places, min_count, longest, range_bytes, home).write.parquet(f"{home}/phrases")
     found = spark.read.parquet(f"{home}/phrases")
 
     # Phrases inside a longer one of the same count go.
