@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
-from newsloom.llm.tokens import prefix_hash, range_hash
+from newsloom.llm.tokens import U64, mix
 
 LOW = np.array([0, *((1 << 8 * k) - 1 for k in range(1, 9))], np.uint64)
 
 
-def words8(raw: np.ndarray) -> np.ndarray:
-    """For each place the eight bytes from there on, as a number; zeros follow the end."""
+def _blocks(raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
+    """Ranges with bytes at offset k, k, and eight bytes of each from there on as a number, cut at its end."""
     padded = np.concatenate([raw, np.zeros(8, np.uint8)])
-    return np.lib.stride_tricks.as_strided(padded.view(), (len(raw) + 1, 8), (1, 1)).copy().view("<u8").ravel()
+    eight = np.ndarray((len(raw) + 1,), "<u8", padded.data, strides=(1,))  # a view: only what is asked for is copied
+    at, k = np.arange(len(start)), 0
+    while len(at):
+        yield at, k, eight[start[at] + k] & LOW[np.minimum(size[at] - k, 8)]
+        k += 8
+        at = at[size[at] > k]
 
 
 def distinct(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -24,17 +31,17 @@ def distinct(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nd
     """
     if not len(start):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    _, first, inverse = np.unique(range_hash(prefix_hash(raw), start, end), return_index=True, return_inverse=True)
-    size, other = end - start, first[inverse]
+    size = end - start
+    h = size.astype(np.uint64)
+    for at, _, block in _blocks(raw, start, size):
+        h[at] = mix(h[at] * U64(0x9E3779B97F4A7C15) + block)
+    _, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+    other = first[inverse]
     same = size == size[other]
-    eight = words8(raw)
-    at, k = np.flatnonzero(same), 0
-    while len(at):
-        mask = LOW[np.minimum(size[at] - k, 8)]
-        bad = ((eight[start[at] + k] ^ eight[start[other[at]] + k]) & mask) != 0
-        same[at[bad]] = False
-        k += 8
-        at = at[~bad & (size[at] > k)]
+    check = np.flatnonzero(same & (other != np.arange(len(start))))
+    ours, theirs = _blocks(raw, start[check], size[check]), _blocks(raw, start[other[check]], size[check])
+    for (at, _, a), (_, _, b) in zip(ours, theirs, strict=True):
+        same[check[at[a != b]]] = False
     odd = np.flatnonzero(~same)
     inverse[odd] = len(first) + np.arange(len(odd))
     return np.concatenate([first, odd]), inverse
