@@ -1,9 +1,10 @@
 """Operator 11: phrase collocation mining by sorted runs of packed word ids.
 
-1. Texts are cut into words where they are read. A chunk (some megabytes of one language) keeps its distinct words with their counts, and
-   its words in order as places in that list, in a table of the shared folder.
-2. Words are counted by language; those with at least `min_count` occurrences get dense ids, since no phrase with a rarer word can
-   reach that count. Chunks get the ids of their words by a join on the word.
+1. Texts are cut into words where they are read. A chunk (some megabytes of one language) keeps its words in order, as places in the
+   list of its distinct words, in a table of the shared folder.
+2. A chunk sends each word once, with its count, to the bucket of the word's hash. The bucket adds up the counts by language and
+   answers with ids of the words of at least `min_count` occurrences; no phrase with a rarer word can reach that count. Ids
+   are dense: each bucket's begin where those before it end.
 3. Pairs of neighbouring words are counted by a hash of 32 bits: a chunk sends each hash once, with its count, to the bucket of the
    hash, and gets back one bit, whether the sum reaches min_count. Hashes may share a sum, so this rules out only pairs that are rare indeed.
 4. Each place of a chunk makes one window: the ids of the word and of up to `longest - 1` words behind it, up to the end of the
@@ -30,12 +31,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (as pa.compute)
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsloom.llm.distinct import distinct, spread
-from newsloom.llm.exchange import MB, removed, workspace
+from newsloom.llm.distinct import distinct, hashes, spread
+from newsloom.llm.exchange import MB, removed, size_of, workspace
 from newsloom.llm.tokens import LOWER, U64, mix, slices, text_buffers
 
 SAMPLE = 1 << 17
@@ -171,8 +173,9 @@ def numbers(value: bytes) -> np.ndarray:
     return np.frombuffer(value, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
 
 
-def _chunks(docs: DataFrame, chunk_bytes: int) -> DataFrame:
-    """Chunks of words: their distinct words with counts, and all words in order (twice the place in that list, and one more where a piece begins)."""
+def _chunks(docs: DataFrame, chunk_bytes: int, buckets: int) -> DataFrame:
+    """Chunks of words: `codes` has all words of a chunk in order (twice the place in its list of distinct words, and one more where a
+    piece begins), `words` what it asks a bucket of words: the words of its list that belong there, their counts and places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
@@ -187,47 +190,61 @@ def _chunks(docs: DataFrame, chunk_bytes: int) -> DataFrame:
                     if not len(start):
                         continue
                     first, inverse = distinct(part, start, end)
-                    size = (end - start)[first]
-                    flat = part[spread(start[first], size)]
-                    words = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.py_buffer(flat)]).cast(pa.string())
                     # Frequent words first: small numbers compress.
                     n = np.bincount(inverse, minlength=len(first))
                     order = np.argsort(-n, kind="stable")
                     place = np.empty(len(order), np.int64)
                     place[order] = np.arange(len(order))
-                    words, code = words.take(pa.array(order)), place[inverse] << 1 | new
-                    whole = pa.array([0, len(first)], pa.int32())
-                    yield pa.RecordBatch.from_pydict(
-                        {"chunk": pa.array([number], pa.int64()), "lang": pa.array([name]), "words": pa.ListArray.from_arrays(whole, words), "counts": pa.ListArray.from_arrays(whole, pa.array(n[order], pa.int64())), "codes": pa.array([planes(code)], pa.binary())}
-                    )
+                    rows = [("codes", number, name, -1, len(start), planes(place[inverse] << 1 | new), b"", b"", b"")]
+                    h = hashes(part, start[first], end[first])
+                    bucket = ((h >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int64)
+                    order = np.argsort(bucket, kind="stable")
+                    edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+                    for k in np.flatnonzero(np.diff(edges)).tolist():
+                        own = order[edges[k] : edges[k + 1]]
+                        size = (end - start)[first[own]]
+                        rows.append(("words", number, name, k, 0, part[spread(start[first[own]], size)].tobytes(), planes(size), planes(n[own]), planes(place[own])))
+                    yield pa.RecordBatch.from_pydict({k: pa.array(v, t) for (k, t), v in zip(_CHUNK.items(), zip(*rows, strict=True), strict=True)})
                     number += 1
 
-    return docs.mapInArrow(run, "chunk long, lang string, words array<string>, counts array<long>, codes binary")
-
-
-def _numbered(words: DataFrame, home: str) -> tuple[DataFrame, int]:
-    """words with dense ids from 1, and their number. Ids count up within buckets of bounded size."""
-    spark = words.sparkSession
-    words.write.parquet(f"{home}/frequent")
-    words = spark.read.parquet(f"{home}/frequent")
-    total = words.count()
-    words = words.withColumn("bucket", F.pmod(F.xxhash64("lang", "word"), F.lit(total // 50_000 + 1)))
-    sizes = words.groupBy("bucket").agg(F.count("*").alias("size"))
-    before = F.coalesce(F.sum("size").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select("bucket", before.alias("before"))
-    place = F.row_number().over(Window.partitionBy("bucket").orderBy("lang", "word"))
-    words.withColumn("place", place).join(starts, "bucket").select("lang", "word", "f", (F.col("before") + F.col("place")).alias("id")).write.parquet(f"{home}/words")
-    return spark.read.parquet(f"{home}/words"), total
-
-
-def phrase_counts(chunks: DataFrame, words: DataFrame, total: int, places: int, min_count: int, longest: int, range_bytes: int, home: str) -> DataFrame:
+    return docs.mapInArrow(run, CHUNK)
+
+
+_CHUNK = {"kind": pa.string(), "chunk": pa.int64(), "lang": pa.string(), "bucket": pa.int32(), "n": pa.int64(), "data": pa.binary(), "sizes": pa.binary(), "counts": pa.binary(), "places": pa.binary()}
+CHUNK = "kind string, chunk long, lang string, bucket int, n long, data binary, sizes binary, counts binary, places binary"
+ANSWER = "kind string, chunk long, bucket int, places binary, ids binary, lang string, word string, f long, id long"
+_ANSWER = {"kind": pa.string(), "chunk": pa.int64(), "bucket": pa.int32(), "places": pa.binary(), "ids": pa.binary(), "lang": pa.string(), "word": pa.string(), "f": pa.int64(), "id": pa.int64()}
+
+
+def _answers(table: pa.Table, min_count: int) -> pa.Table:
+    """A bucket's frequent words of each language, numbered from 0, and for each chunk the places and numbers of those that it has."""
+    rows, number, bucket = [], 0, table["bucket"][0].as_py()
+    for lang in dict.fromkeys(table["lang"].to_pylist()):
+        own = table.filter(pa.compute.equal(table["lang"], lang))
+        size = [numbers(x).astype(np.int64) for x in own["sizes"].to_pylist()]
+        per, size = np.array([len(x) for x in size]), np.concatenate(size)
+        raw = np.frombuffer(b"".join(own["data"].to_pylist()), np.uint8)
+        end = np.cumsum(size)
+        first, inverse = distinct(raw, end - size, end)
+        f = np.bincount(inverse, np.concatenate([numbers(x) for x in own["counts"].to_pylist()]).astype(np.float64)).astype(np.int64)
+        ids = np.full(len(first), -1)
+        often = np.flatnonzero(f >= min_count)
+        ids[often] = number + np.arange(len(often))
+        number += len(often)
+        rows += [("word", None, bucket, None, None, lang, raw[end[i] - size[i] : end[i]].tobytes().decode(), n, k) for i, n, k in zip(first[often].tolist(), f[often].tolist(), ids[often].tolist(), strict=True)]
+        got, edges = ids[inverse], np.cumsum(np.append(0, per))
+        for chunk, places, a, b in zip(own["chunk"].to_pylist(), own["places"].to_pylist(), edges[:-1], edges[1:], strict=True):
+            hit = got[a:b] >= 0
+            rows.append(("answer", chunk, bucket, planes(numbers(places)[hit]), planes(got[a:b][hit]), None, None, None, None))
+    return pa.table({k: pa.array(v, t) for (k, t), v in zip(_ANSWER.items(), zip(*rows, strict=True), strict=True)})
+
+
+def phrase_counts(codes: DataFrame, answers: DataFrame, bases: dict[int, int], total: int, places: int, min_count: int, longest: int, range_bytes: int, home: str) -> DataFrame:
     """ids (array<int>) and f of all phrases of 2 to `longest` frequent words with at least min_count occurrences."""
-    spark, keys = chunks.sparkSession, Keys(total, longest)
+    spark, keys = codes.sparkSession, Keys(total, longest)
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    asked = chunks.select("chunk", "lang", F.posexplode("words").alias("code", "word"))
-    answers = asked.join(words.select("lang", "word", "id"), ["lang", "word"]).select("chunk", "code", "id")
     ranges, buckets = max(tasks, places * (keys.width + 4) // range_bytes + 1), max(tasks // 2, places * 4 // range_bytes + 1)
-    count = chunks.count()
+    count = codes.count()
     every = max(1, count // 64)
     per = SAMPLE // max(1, min(count, 128))
     kinds = {"kind": pa.string(), "chunk": pa.int64(), "bucket": pa.int32(), "keys": pa.binary(), "n": pa.binary()}
@@ -236,10 +253,11 @@ def phrase_counts(chunks: DataFrame, words: DataFrame, total: int, places: int,
         """A chunk's ids, its pairs with counts by bucket, and for every so many chunks some windows as a sample."""
         if not table.num_rows or not answer.num_rows:
             return pa.table({k: pa.array([], t) for k, t in kinds.items()})
-        code = numbers(table["codes"][0].as_py()).astype(np.int64)
+        code = numbers(table["data"][0].as_py()).astype(np.int64)
         new, code, chunk = (code & 1) > 0, code >> 1, table["own"][0].as_py()
         ids = np.zeros(code.max() + 1, np.int64)
-        ids[answer["code"].to_numpy()] = answer["id"].to_numpy()
+        for bucket, at, own in zip(*(answer[k].to_pylist() for k in ("bucket", "places", "ids")), strict=True):
+            ids[numbers(at)] = numbers(own).astype(np.int64) + bases.get(bucket, 0) + 1
         ids = ids[code]
         link = linked(ids, new)
         h, at, n = np.unique(pair_hashes(ids, link), return_inverse=True, return_counts=True)
@@ -257,8 +275,8 @@ def phrase_counts(chunks: DataFrame, words: DataFrame, total: int, places: int,
 
     if total >= 1 << 31:
         raise ValueError("more than 2**31 frequent words")
-    codes = chunks.select(F.col("chunk").alias("own"), "codes")
-    codes.groupBy("own").cogroup(answers.groupBy("chunk")).applyInArrow(encode, "kind string, chunk long, bucket int, keys binary, n binary").write.partitionBy("kind").parquet(f"{home}/encoded")
+    asked = codes.select(F.col("chunk").alias("own"), "data")
+    asked.groupBy("own").cogroup(answers.groupBy("chunk")).applyInArrow(encode, "kind string, chunk long, bucket int, keys binary, n binary").write.partitionBy("kind").parquet(f"{home}/encoded")
     encoded = spark.read.schema("chunk long, bucket int, keys binary, n binary, kind string").parquet(f"{home}/encoded")
 
     def frequent(table: pa.Table) -> pa.Table:
@@ -331,15 +349,25 @@ def collocations(docs: DataFrame, min_count: int = 100, longest: int = 5, top: i
     """
     spark, home = docs.sparkSession, workspace(docs.sparkSession, "collocations")
     source = docs.select(F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit("und")).alias("lang"), F.make_valid_utf8(f"`{text}`").alias("text"))
-    _chunks(source, chunk_bytes).write.parquet(f"{home}/chunks")
-    chunks = spark.read.parquet(f"{home}/chunks")
-    counted = chunks.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("x")).groupBy("lang", F.col("x.words").alias("word")).agg(F.sum("x.counts").alias("f"))
-    words, total = _numbered(counted.filter(F.col("f") >= min_count), home)
-    sizes = chunks.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n"))
-    sizes.write.parquet(f"{home}/sizes")
-    sizes = spark.read.parquet(f"{home}/sizes")
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size_of(source.select("text")) // range_bytes + 1)
+    _chunks(source, chunk_bytes, buckets).write.partitionBy("kind").parquet(f"{home}/chunks")
+    chunks = spark.read.schema(CHUNK).parquet(f"{home}/chunks")
+    codes = chunks.filter("kind = 'codes'").select("chunk", "lang", "n", "data")
+    asked = chunks.filter("kind = 'words'").drop("kind", "n")
+    asked.groupBy("bucket").applyInArrow(lambda table: _answers(table, min_count), ANSWER).write.partitionBy("kind").parquet(f"{home}/answers")
+    answers = spark.read.schema(ANSWER).parquet(f"{home}/answers")
+    words = answers.filter("kind = 'word'").select("bucket", "lang", "word", "f", "id")
+    # A number for each bucket, which holds some megabytes of text: where its words' ids begin.
+    sizes = {r["bucket"]: r["n"] for r in words.groupBy("bucket").agg(F.count("*").alias("n")).collect()}
+    bases = dict(zip(sorted(sizes), np.cumsum([0, *(sizes[b] for b in sorted(sizes))]).tolist(), strict=False))
+    total = sum(sizes.values())
+    begin = spark.createDataFrame(list(bases.items()), "bucket int, base long")
+    words.join(begin, "bucket").select("lang", "word", "f", (F.col("id") + F.col("base") + 1).alias("id")).write.parquet(f"{home}/words")
+    words = spark.read.parquet(f"{home}/words")
+    sizes = codes.groupBy("lang").agg(F.sum("n").alias("n"))
     places = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    phrase_counts(chunks, words, total, places, min_count, longest, range_bytes, home).write.parquet(f"{home}/phrases")
+    given = answers.filter("kind = 'answer'").select("chunk", "bucket", "places", "ids")
+    phrase_counts(codes, given, bases, total, places, min_count, longest, range_bytes, home).write.parquet(f"{home}/phrases")
     found = spark.read.parquet(f"{home}/phrases")
 
     # Phrases inside a longer one of the same count go.

@@ -22,29 +22,37 @@ def _blocks(raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> Iterator[tu
         at = at[size[at] > k]
 
 
+def hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each range, equal for equal content."""
+    size = end - start
+    h = size.astype(np.uint64)
+    for at, _, block in _blocks(raw, start, size):
+        h[at] = mix(h[at] * U64(0x9E3779B97F4A7C15) + block)
+    return h
+
+
 def distinct(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(first, inverse): a place among the ranges for each distinct content, and each range's index into them.
 
-    Ranges are grouped by hash and then compared byte by byte with the first of their group; a range that differs,
-    as two of one hash may, becomes an entry of its own. Equal contents may so have two entries, different ones
-    never share one.
+    Ranges are grouped by hash and then compared byte by byte with the first of their group; those that differ,
+    as two of one hash may, are told apart by their bytes.
     """
     if not len(start):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     size = end - start
-    h = size.astype(np.uint64)
-    for at, _, block in _blocks(raw, start, size):
-        h[at] = mix(h[at] * U64(0x9E3779B97F4A7C15) + block)
-    _, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+    _, first, inverse = np.unique(hashes(raw, start, end), return_index=True, return_inverse=True)
     other = first[inverse]
     same = size == size[other]
     check = np.flatnonzero(same & (other != np.arange(len(start))))
     ours, theirs = _blocks(raw, start[check], size[check]), _blocks(raw, start[other[check]], size[check])
     for (at, _, a), (_, _, b) in zip(ours, theirs, strict=True):
         same[check[at[a != b]]] = False
+    own: dict[bytes, int] = {}
     odd = np.flatnonzero(~same)
-    inverse[odd] = len(first) + np.arange(len(odd))
-    return np.concatenate([first, odd]), inverse
+    for i in odd.tolist():
+        inverse[i] = own.setdefault(raw[start[i] : end[i]].tobytes(), len(first) + len(own))
+    _, more = np.unique(inverse[odd], return_index=True)
+    return np.concatenate([first, odd[more]]), inverse
 
 
 def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
