@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from newsloom.functions.text import content_hash, normalize_title
+from newsloom.operators.neighbours import search
 from newsloom.operators import dedupe as D
 from newsloom.operators import evaluate as E
 from newsloom.operators import listing as L
@@ -142,7 +143,8 @@ def _(m):
 
 @add("mislabel_candidates", "V06", "WITH k AS (" + _KNN.format(w="true") + "), v AS (SELECT query_id, e.label, count(*) AS n FROM k JOIN embeddings e USING (vec_id) WHERE rank <= 7 GROUP BY ALL), t AS (SELECT *, round(n / sum(n) OVER (PARTITION BY query_id), 6) AS share, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, label) AS place FROM v) SELECT query_id, o.label AS own, t.label AS suggested, share FROM t JOIN embeddings o ON o.vec_id = query_id WHERE place = 1 AND t.label <> o.label AND share >= 0.5", model=False)
 def _(m):
-    return V.mislabelled(_knn(m, 7, "true"), m.table("embeddings"), "label", 0.5)
+    v = m.table("embeddings")
+    return V.mislabelled(search(v, v, 7).matches(), v, "label", 0.5)
 
 
 _RECHECK = "WITH u AS (SELECT a.id, min(b.id) AS similar_to_id FROM items a JOIN items b ON a.url = b.url AND b.id < a.id AND a.channel_id <> b.channel_id WHERE a.similar_to_id IS NULL GROUP BY 1), k AS (" + _KNN.format(w="true") + "), s AS (SELECT query_id AS id, arg_min(vec_id, rank) AS similar_to_id FROM k WHERE rank <= 5 AND score >= 0.75 AND vec_id < query_id GROUP BY 1) SELECT id, similar_to_id, 'url' AS method FROM u UNION ALL SELECT s.id, s.similar_to_id, 'semantic' FROM s JOIN items i ON i.id = s.id WHERE i.similar_to_id IS NULL AND s.id NOT IN (SELECT id FROM u)"
@@ -151,7 +153,8 @@ _RECHECK = "WITH u AS (SELECT a.id, min(b.id) AS similar_to_id FROM items a JOIN
 @add("dedupe_recheck", "D06 D07", _RECHECK)
 @add("dedupe_recheck_all", "D06 D07", _RECHECK)
 def _(m):
-    return D.recheck(m.items.filter("similar_to_id IS NULL"), m.items, _knn(m, 5, "true")).select("id", "similar_to_id", "method")
+    v = m.table("embeddings")
+    return D.recheck(m.items.filter("similar_to_id IS NULL"), m.items, search(v, v, 5, least=D.CONFIRMED).matches()).select("id", "similar_to_id", "method")
 
 
 @add("confirmed_candidates", "D07", "SELECT id, CASE WHEN id % 3 = 0 THEN id + 1 ELSE similar_to_id END AS similar_to_id FROM items")

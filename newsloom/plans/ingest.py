@@ -7,16 +7,18 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from newsloom.functions.text import content_hash, hand_features
+from newsloom.functions.text import SCORE_WORDS, content_hash, hand_features
 from newsloom.operators import classify as C
 from newsloom.operators.evaluate import relevance_figures, stratified_split
 from newsloom.operators.listing import backlog
 from newsloom.plans.model import AS_OF, Catalog
-from newsloom.shared import workspace
+from newsloom.shared import settled, workspace
 from newsloom.sources import feeds
+from newsloom.sources.channels import LandedChannels
 from newsloom.sources.pdf import landed_pdfs
 from newsloom.sources.registry import LandedItems, get, kinds, opened, validate
 from newsloom.streaming import ingest as I
+from newsloom.streaming.state import first_rows, model_queue, state_session
 
 catalog = Catalog()
 add = catalog.add
@@ -211,6 +213,107 @@ def _(m):
     return found.select("seq", "priority", "priority_score", F.when(F.col("similar_to_seq") % 2 == 0, F.col("similar_to_seq")).alias("linked"))
 
 
+# Rules of the query below, by words that some of the texts have.
+RULES = [
+    {"id": 1, "rule_type": "keyword", "pattern": "lor, ane", "priority_boost": 15, "target_priority": None, "order": 1},
+    {"id": 2, "rule_type": "regex", "pattern": "[0-9]{2}", "priority_boost": 30, "target_priority": None, "order": 2},
+    {"id": 3, "rule_type": "keyword", "pattern": "http", "priority_boost": -10, "target_priority": "high", "order": 3},
+    {"id": 4, "rule_type": "keyword", "pattern": "a", "priority_boost": 50, "enabled": False, "order": 4},
+]
+_HEAD = r"regexp_extract(body, '^\s*\S+(\s+\S+){0,7}')"
+_CLEAN = r"trim(regexp_replace(regexp_replace({x}, '<[^>]+>', '', 'g'), '\s+', ' ', 'g'))"
+_ORDERED = rf"""WITH raw AS (
+  SELECT doc_id AS seq, source AS ch, CAST(doc_id % 611 AS VARCHAR) AS ext, coalesce(text, '') AS body, CASE WHEN doc_id % 8 < 4 THEN 0 ELSE 1 END AS batch, CASE WHEN doc_id % 6 <> 5 THEN doc_id % 10 / 10.0 END AS conf,
+    CASE WHEN doc_id % 4 = 0 THEN 'https://e.org/a/' || CAST(doc_id // 8 AS VARCHAR) WHEN doc_id % 4 = 1 THEN 'https://www.e.org/a/' || CAST(doc_id // 8 AS VARCHAR) || '/?utm_source=x' ELSE 'https://e.org/b/' || CAST(doc_id AS VARCHAR) END AS url
+  FROM documents WHERE doc_id IS NOT NULL
+), d AS (
+  SELECT *, {_CLEAN.format(x="body")} AS t, {_CLEAN.format(x=_HEAD)} AS bare FROM raw
+), e0 AS (
+  SELECT * FROM d WHERE batch = 0 QUALIFY row_number() OVER (PARTITION BY ch, ext ORDER BY seq) = 1
+), b0 AS (
+  SELECT * FROM e0 QUALIFY row_number() OVER (PARTITION BY t ORDER BY seq) = 1
+), stored AS (
+  SELECT * FROM b0 WHERE seq % 23 <> 0
+), e1 AS (
+  SELECT d.* FROM d WHERE batch = 1 AND NOT EXISTS (SELECT 1 FROM stored s WHERE s.ch = d.ch AND s.ext = d.ext) AND d.t NOT IN (SELECT t FROM stored) QUALIFY row_number() OVER (PARTITION BY ch, ext ORDER BY seq) = 1
+), b1 AS (
+  SELECT * FROM e1 QUALIFY row_number() OVER (PARTITION BY t ORDER BY seq) = 1
+), address AS (
+  SELECT b1.seq, min(CASE WHEN s.url = b1.url THEN s.seq END) AS exact, min(CASE WHEN s.url = 'https://e.org/a/' || CAST(b1.seq // 8 AS VARCHAR) AND b1.seq % 4 = 1 THEN s.seq END) AS clean
+  FROM b1 JOIN stored s ON s.ch <> b1.ch GROUP BY 1
+), v AS (
+  SELECT doc_id AS seq, list_transform(range(1, 65), lambda i: CAST(x.embedding[i] AS DOUBLE) + (0.2 + doc_id % 9 * 0.1) * CAST(y.embedding[i] AS DOUBLE)) AS vec
+  FROM documents JOIN embeddings x ON x.vec_id = doc_id % 60 JOIN embeddings y ON y.vec_id = 70 + doc_id % 29 WHERE doc_id % 7 <> 6
+), near AS (
+  SELECT b1.seq, i.seq AS other, round(list_cosine_similarity(q.vec, w.vec), 6) AS score
+  FROM b1 JOIN address a ON a.seq = b1.seq AND a.exact IS NULL AND a.clean IS NULL JOIN v q ON q.seq = b1.seq JOIN b0 i ON true JOIN v w ON w.seq = i.seq
+  QUALIFY row_number() OVER (PARTITION BY b1.seq ORDER BY score DESC, i.seq) = 1
+), meaning AS (
+  SELECT near.* FROM near JOIN stored s ON s.seq = near.other WHERE score >= 0.6
+), fresh AS (
+  SELECT * FROM b0 UNION ALL SELECT * FROM b1
+), w AS (
+  SELECT seq, batch, list_distinct(list_filter(string_split_regex(lower(bare), '\s+'), lambda x: length(x) > 2)) AS ws FROM fresh
+), x AS (
+  SELECT seq, batch, len(ws) AS n, unnest(ws) AS word FROM w
+), p AS (
+  SELECT a.seq AS first, b.seq AS later FROM x a JOIN x b ON a.word = b.word AND a.batch = b.batch AND a.seq < b.seq GROUP BY 1, 2 HAVING count(*) >= 0.7 * least(min(a.n), min(b.n))
+), titles AS (
+  SELECT later AS seq, min(first) AS first FROM p GROUP BY 1
+), judged AS (
+  SELECT f.seq, f.batch, f.conf, lower(CASE WHEN f.seq % 5 = 0 THEN 'rss-zusammenfassung: ' ELSE '' END || f.bare || ' ' || f.t) AS low, a.exact, a.clean, m.other, m.score, titles.first
+  FROM fresh f LEFT JOIN address a ON a.seq = f.seq LEFT JOIN meaning m ON m.seq = f.seq LEFT JOIN titles ON titles.seq = f.seq
+), ruled AS (
+  SELECT *, contains(low, 'lor') OR contains(low, 'ane') AS r1, regexp_matches(low, '[0-9]{{2}}') AS r2, contains(low, 'http') AS r3, {{keywords}} AS words FROM judged
+), marked AS (
+  SELECT *, greatest(0, least(100, (CASE WHEN r1 THEN 15 ELSE 0 END) + (CASE WHEN r2 THEN 30 ELSE 0 END) - (CASE WHEN r3 THEN 10 ELSE 0 END) + words)) AS s FROM ruled
+), done AS (
+  SELECT seq, batch, coalesce(exact, clean, CASE WHEN score >= 0.75 THEN other END, first) AS similar_to_seq,
+    CASE WHEN exact IS NOT NULL THEN 'url' WHEN clean IS NOT NULL THEN 'url_normalized' WHEN score >= 0.75 THEN 'semantic' WHEN first IS NOT NULL THEN 'title' END AS link_method,
+    CASE WHEN score < 0.75 THEN other END AS candidate_seq, score AS similarity,
+    CASE WHEN conf >= 0.5 THEN 'medium' WHEN conf >= 0.25 THEN 'low' WHEN conf IS NOT NULL THEN 'none' WHEN r3 THEN 'high' WHEN s >= 90 THEN 'high' WHEN s >= 70 THEN 'medium' WHEN s > 50 THEN 'low' ELSE 'none' END AS priority,
+    CASE WHEN conf >= 0.5 THEN 70 WHEN conf >= 0.25 THEN 55 WHEN conf IS NOT NULL THEN 20 ELSE s END AS priority_score,
+    conf IS NULL OR conf >= 0.25 OR coalesce(score < 0.75, false) AS needs_llm_processing
+  FROM marked
+)"""
+_ORDERED = _ORDERED.replace("{keywords}", "least(100, 50" + "".join(f" + CASE WHEN contains(low, '{k}') THEN {weight} ELSE 0 END" for weight, words in SCORE_WORDS.items() for k in words) + ")")
+
+
+def _ordered(m):
+    """Two batches over one store, in the order of the pipeline; between them some items go from the store but not from the index."""
+    d, e = m.table("documents").filter("doc_id IS NOT NULL"), m.table("embeddings")
+    n = F.col("doc_id")
+    path = F.floor(n / 8).cast("string")
+    title = F.concat(F.when(n % 5 == 0, "RSS-Zusammenfassung: ").otherwise(""), F.regexp_extract(F.coalesce("text", F.lit("")), r"^\s*\S+(\s+\S+){0,7}", 0))
+    rows = d.select(
+        n.alias("seq"), F.col("source").alias("channel_id"), (n % 611).cast("string").alias("external_id"), title.alias("title"), F.coalesce("text", F.lit("")).alias("content"),
+        F.when(n % 4 == 0, F.concat(F.lit("https://e.org/a/"), path)).when(n % 4 == 1, F.concat(F.lit("https://www.e.org/a/"), path, F.lit("/?utm_source=x"))).otherwise(F.concat(F.lit("https://e.org/b/"), n.cast("string"))).alias("url"),
+        F.lit(AS_OF).alias("published_at"), F.when(n % 6 != 5, n % 10 / F.lit(10.0)).alias("confidence"),
+    )
+    x, y = e.select(F.col("vec_id").alias("xi"), F.col("embedding").alias("xe")), e.select(F.col("vec_id").alias("yi"), F.col("embedding").alias("ye"))
+    mixed = F.zip_with("xe", "ye", lambda a, b: a.cast("double") + (F.lit(0.2) + F.col("seq") % 9 * F.lit(0.1)) * b.cast("double"))
+    rows = rows.join(x, (F.col("seq") % 7 != 6) & (F.col("xi") == F.col("seq") % 60), "left").join(y, F.col("yi") == 70 + F.col("seq") % 29, "left").withColumn("vector", mixed).drop("xi", "xe", "yi", "ye")
+    into = I.Ingest(m.spark, workspace(m.spark, "ordered"), AS_OF, rules=RULES)
+    into.step(rows.filter("seq % 8 < 4"), 0)
+    into.remove(into.items().filter("seq % 23 = 0"))
+    into.step(rows.filter("seq % 8 >= 4"), 1)
+    return into
+
+
+@add("ingest_in_order", "R02 D01 D02 D03 D04 D05 K25 X04 J16", _ORDERED + " SELECT seq, batch, similar_to_seq, link_method, candidate_seq, similarity, priority, priority_score, needs_llm_processing FROM done WHERE batch = 1 OR seq % 23 <> 0", model=False)
+def _(m):
+    """Each stage decides some rows: copies go, addresses, cleaned addresses, meanings and titles link, rules and confidences score."""
+    into = _ordered(m)
+    return into.items().select("seq", "batch", "similar_to_seq", "link_method", "candidate_seq", "similarity", "priority", "priority_score", "needs_llm_processing")
+
+
+@add("ingest_events", "K10 R02 D04", _ORDERED + " SELECT seq AS item_seq, 'created' AS event_type, CAST(NULL AS BIGINT) AS other_seq, priority AS method FROM done UNION ALL SELECT similar_to_seq, 'duplicate_detected', seq, link_method FROM done WHERE link_method <> 'title'", model=False)
+def _(m):
+    """What the two batches record: each new item, and each stored item that one was linked to."""
+    into = _ordered(m)
+    return into.events().select("item_seq", "event_type", "other_seq", "method")
+
+
 @add("ingest_age_cutoff", "R03", "SELECT doc_id AS seq FROM documents WHERE doc_id % 12 <= 7", model=False)
 def _(m):
     rows = _batch(m).withColumn("published_at", F.timestamp_seconds(F.unix_timestamp(F.lit(AS_OF)) - (F.col("seq") % 12) * 86400))
@@ -228,7 +331,7 @@ def _(m):
         _batch(m).filter(part == k).coalesce(1).write.mode("append").parquet(f"{base}/in")
     source = m.spark.readStream.schema(m.spark.read.parquet(f"{base}/in").schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
     I.stream_ingest(m.spark, source, f"{base}/store", f"{base}/checkpoint", AS_OF).awaitTermination()
-    return m.spark.read.parquet(f"{base}/store").select("seq", "priority", "priority_score")
+    return m.spark.read.parquet(f"{base}/store/items").select("seq", "priority", "priority_score")
 
 
 @add("stream_windowed_counts", "R04", "SELECT time_bucket(INTERVAL 1 DAY, ts) AS day, event_type, count(*) AS n FROM events GROUP BY ALL", model=False)
@@ -243,6 +346,84 @@ def _(m):
     return m.spark.table(name).select(F.col("window.start").alias("day"), "event_type", "n")
 
 
+_SPAN, _LATE, _DAY = 36 * 3_600_000, 6 * 86_400_000, 86_400_000
+
+
+def _late_events(m, base: str, *columns):
+    """events as a stream of four micro-batches by week; a fifth of the rows comes one to three batches too late."""
+    first = m.table("events").agg(F.min(F.col("ts").cast("timestamp"))).first()[0]
+    events = m.table("events").filter("ts IS NOT NULL").withColumn("ts", F.col("ts").cast("timestamp"))
+    week = F.floor((F.unix_millis("ts") - F.unix_millis(F.lit(first))) / (8 * _DAY))
+    number = F.least(F.lit(3), week + F.when(F.col("event_id") % 5 == 0, 1 + F.col("event_id") % 3).otherwise(0))
+    rows = settled(events.select(*columns, "ts", number.alias("batch")))
+    for k in range(4):
+        rows.filter(F.col("batch") == k).drop("batch").coalesce(1).write.mode("append").parquet(f"{base}/in")
+    return state_session(m.spark).readStream.schema(rows.drop("batch").schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+
+
+def _outcome(m, stream, base: str):
+    stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return m.spark.read.schema(stream.schema).parquet(f"{base}/out")
+
+
+_FIRST = f"""WITH RECURSIVE f AS (SELECT min(ts) AS first FROM events), e AS (
+  SELECT event_id, user_id, event_type, epoch_ms(ts) AS ms, least(3, (epoch_ms(ts) - epoch_ms(first)) // {8 * _DAY} + CASE WHEN event_id % 5 = 0 THEN 1 + event_id % 3 ELSE 0 END) AS batch FROM events, f WHERE ts IS NOT NULL
+), marks AS (
+  SELECT b, coalesce((SELECT max(ms) FROM e WHERE batch < b) - {_LATE}, 0) AS mark FROM range(4) t(b)
+), live AS (
+  SELECT e.*, row_number() OVER (PARTITION BY user_id, event_type ORDER BY batch, ms, event_id) AS n FROM e JOIN marks ON b = batch WHERE ms > mark
+), r AS (
+  SELECT user_id, event_type, n, event_id, [ms] AS passed, true AS ok FROM live WHERE n = 1
+  UNION ALL
+  SELECT l.user_id, l.event_type, l.n, l.event_id, CASE WHEN len(list_filter(r.passed, lambda x: abs(x - l.ms) <= {_SPAN})) = 0 THEN list_append(r.passed, l.ms) ELSE r.passed END, len(list_filter(r.passed, lambda x: abs(x - l.ms) <= {_SPAN})) = 0
+  FROM r JOIN live l ON l.user_id IS NOT DISTINCT FROM r.user_id AND l.event_type IS NOT DISTINCT FROM r.event_type AND l.n = r.n + 1
+) SELECT event_id, user_id, event_type FROM r WHERE ok"""
+
+
+@add("stream_first_rows", "R04 D01", _FIRST, model=False)
+def _(m):
+    """The first event of each user and type within 36 hours, where rows come late on both sides of a watermark of six days."""
+    base = workspace(m.spark, "first")
+    stream = _late_events(m, base, "event_id", "user_id", "event_type")
+    return _outcome(m, first_rows(stream, ["user_id", "event_type"], "ts", "event_id", "36 hours", "6 days"), base).select("event_id", "user_id", "event_type")
+
+
+@add("stream_deduplicated", "R04", "SELECT DISTINCT user_id, event_type FROM events WHERE ts IS NOT NULL", model=False)
+def _(m):
+    """One row of each key, by the built-in operator; its watermark leaves no row behind."""
+    base = workspace(m.spark, "deduplicated")
+    stream = _late_events(m, base, "user_id", "event_type")
+    return _outcome(m, I.deduplicated(stream, ["user_id", "event_type"], "ts", "400 days"), base).select("user_id", "event_type")
+
+
+@add("stream_model_queue", "R06")
+def _(m):
+    """What the slow model of each event type takes, an hour a tick: fresh events first, and a backlog that they put off."""
+    base = workspace(m.spark, "queue")
+    kind = F.when(F.col("event_id") % 3 == 0, "backlog").otherwise("fresh")
+    stream = _late_events(m, base, F.col("event_type").alias("lane"), F.col("event_id").alias("id"), kind.alias("kind"), (F.col("event_id") % 4 + 1).cast("int").alias("rank"))
+    return _outcome(m, model_queue(stream, "ts", "1 day", "1 hour", 4, 100), base)
+
+
+@add("stream_channels", "R01 S01", "SELECT event_type AS kind, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids, CAST(least(2, count(DISTINCT user_id % 6)) AS BIGINT) AS most FROM events GROUP BY 1", model=False)
+def _(m):
+    """Channels of events, read as a stream of at most two channels of a type in a trigger: all rows once, and the most channels of a batch."""
+    base = workspace(m.spark, "channels")
+    rows = m.table("events").select(F.col("event_id").cast("string").alias("external_id"), "event_type", (F.col("user_id") % 6).alias("channel"), (F.col("event_id") % 2).alias("part"))
+    for k in range(2):
+        rows.filter(F.col("part") == k).drop("part").withColumnRenamed("event_type", "kind").repartition(1).write.mode("append").partitionBy("kind", "channel").json(f"{base}/in")
+    m.spark.dataSource.register(LandedChannels)
+    stream = m.spark.readStream.format("landed_channels").option("folder", f"{base}/in").option("progress", f"{base}/progress").option("cap", 2).load()
+    query = stream.writeStream.foreachBatch(lambda batch, number: batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(f"{base}/out")).option("checkpointLocation", f"{base}/checkpoint").start()
+    seen = None
+    while query.isActive and seen != (seen := query.lastProgress and query.lastProgress["batchId"]) or seen is None:
+        query.processAllAvailable()
+    query.stop()
+    out = m.spark.read.parquet(f"{base}/out")
+    most = out.groupBy("kind", "batch").agg(F.count_distinct("channel").alias("most")).groupBy("kind").agg(F.max("most").alias("most"))
+    return out.groupBy("kind").agg(F.count("*").alias("n"), F.sum(F.col("external_id").cast("long")).alias("ids")).join(most, "kind").select("kind", "n", "ids", "most")
+
+
 @add("worker_passes", "R05 F11 F12 F13", "SELECT 'classify' AS pass, id FROM (SELECT id FROM items WHERE confidence IS NULL ORDER BY fetched_at DESC, id DESC LIMIT 50) UNION ALL SELECT 'index', id FROM (SELECT id FROM items WHERE NOT indexed ORDER BY fetched_at DESC, id DESC LIMIT 50) UNION ALL SELECT 'check', id FROM (SELECT id FROM items WHERE similar_to_id IS NULL AND NOT duplicate_checked AND fetched_at >= TIMESTAMP '1998-08-02 15:30:00' - INTERVAL 7 DAY ORDER BY fetched_at DESC, id DESC LIMIT 50)")
 def _(m):
     passes = [rows.select(F.lit(name).alias("pass"), "id") for name, rows in I.worker_passes(m.items, AS_OF)]

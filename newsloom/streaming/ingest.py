@@ -1,7 +1,9 @@
 """Ingest as a function of a batch and the store, and the same as a stream by foreachBatch.
 
-The store is a folder of snapshots in Parquet; a batch that comes again changes nothing, since what it
-holds is known by then.
+The order of a batch: rows too old go, titles and texts are cleaned, exact copies go; then links to what is stored, first by
+address, then by cleaned address, then by meaning, and within the batch by title; then rules and keywords score, and a
+classifier's confidence, where there is one, overrules them. Items, events and vectors of a batch are written under its number, so a
+batch that comes again replaces what its first try wrote.
 """
 
 from __future__ import annotations
@@ -12,10 +14,17 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from newsloom.functions.text import confidence_bucket, content_hash, keyword_priority, keyword_score, normalize_content, retry_priority
-from newsloom.operators.dedupe import drop_known, link_by_title, link_by_url
+from newsloom.functions.text import confidence_bucket, content_hash, normalize_content, retry_priority, strip_boilerplate
+from newsloom.operators.dedupe import CONFIRMED, MAYBE, drop_known, link_by_title, link_by_url
+from newsloom.operators.neighbours import VectorIndex
+from newsloom.operators.rules import apply_rules
+from newsloom.shared import removed, workspace
 
-STORED = ["channel_id", "external_id", "content_hash", "title", "content", "url", "published_at", "priority", "priority_score", "retry_priority", "needs_llm_processing", "similar_to_seq", "seq"]
+STORED = [
+    "channel_id", "external_id", "content_hash", "title", "content", "url", "published_at", "priority", "priority_score", "rule_ids", "retry_priority", "needs_llm_processing",
+    "similar_to_seq", "link_method", "similarity", "candidate_seq", "seq",
+]
+KNOWN = "channel_id string, external_id string, content_hash string, url string, seq bigint"
 
 
 def fresh(batch: DataFrame, as_of: datetime, days: int = 7) -> DataFrame:
@@ -23,33 +32,135 @@ def fresh(batch: DataFrame, as_of: datetime, days: int = 7) -> DataFrame:
     return batch.withColumn("published_at", F.coalesce("published_at", F.lit(as_of))).filter(F.col("published_at") >= F.lit(as_of) - F.expr(f"INTERVAL '{days}' DAY"))
 
 
-def ingest(batch: DataFrame, store: DataFrame, as_of: datetime, days: int | None = 7) -> DataFrame:
-    """New items of a batch (seq, channel_id, external_id, title, content, url, published_at, confidence).
-
-    Cleaned, hashed, exact copies dropped, scored, and linked to the first earlier item of the batch with a
-    similar title or to a stored item of the same address (similar_to_seq, by the store's seq).
-    """
+def unknown(batch: DataFrame, store: DataFrame, as_of: datetime, days: int | None = 7) -> DataFrame:
+    """Rows of the batch that are new: recent, cleaned and hashed, without exact copies."""
     rows = batch if days is None else fresh(batch, as_of, days)
     rows = rows.withColumn("title", normalize_content(F.col("title"))).withColumn("content", normalize_content(F.col("content"))).withColumn("content_hash", content_hash(F.col("content")))
-    rows = drop_known(rows, store)
-    text = F.concat_ws(" ", "title", "content")
-    bucket, score = confidence_bucket(F.col("confidence")), keyword_score(text)
-    known = F.col("confidence").isNotNull()
-    rows = rows.withColumn("priority", F.when(known, bucket["priority"]).otherwise(keyword_priority(score))).withColumn("priority_score", F.when(known, bucket["score"]).otherwise(score))
-    rows = rows.withColumn("retry_priority", retry_priority(F.col("confidence"))).withColumn("needs_llm_processing", ~F.coalesce(bucket["skip"], F.lit(False)) | ~known)
-    url = link_by_url(rows, store.withColumn("id", F.col("seq"))).withColumnRenamed("similar_to_id", "_url")
-    titles = link_by_title(rows).withColumnRenamed("first", "_title")
-    return rows.join(url, "seq", "left").join(titles, "seq", "left").withColumn("similar_to_seq", F.coalesce("_url", "_title")).select(*STORED)
+    return drop_known(rows, store)
+
+
+def with_address_links(rows: DataFrame, store: DataFrame) -> DataFrame:
+    """rows with similar_to_seq and link_method where a stored item of another channel has the address, or the cleaned address."""
+    known = store.withColumn("id", F.col("seq"))
+    exact = link_by_url(rows, known).withColumnRenamed("similar_to_id", "_exact")
+    clean = link_by_url(rows, known, normalized=True).withColumnRenamed("similar_to_id", "_clean")
+    rows = rows.join(exact, "seq", "left").join(clean, "seq", "left")
+    method = F.when(F.col("_exact").isNotNull(), "url").when(F.col("_clean").isNotNull(), "url_normalized")
+    return rows.withColumn("similar_to_seq", F.coalesce("_exact", "_clean")).withColumn("link_method", method).drop("_exact", "_clean")
+
+
+def with_meaning_links(rows: DataFrame, matches: DataFrame, store: DataFrame) -> DataFrame:
+    """rows with the stored item of the nearest vector (matches: query_id, rank, vec_id, score), for those without a link.
+
+    A score of 0.75 and more links; one of 0.60 and more makes a candidate_seq that a slow model is to judge. Only the best match counts, and if its
+    item has gone from the store there is none.
+    """
+    best = matches.filter(F.col("rank") == 1).select(F.col("query_id").alias("seq"), F.col("vec_id").alias("_near"), F.col("score").alias("similarity"))
+    best = best.join(store.select(F.col("seq").alias("_near")), "_near", "left_semi").filter(F.col("similarity") >= MAYBE)
+    free = F.col("similar_to_seq").isNull()
+    near, score = F.when(free, F.col("_near")), F.when(free, F.col("similarity"))
+    rows = rows.join(best, "seq", "left").withColumn("_near", near).withColumn("similarity", score)
+    sure = F.col("similarity") >= CONFIRMED
+    method = F.coalesce("link_method", F.when(sure, "semantic"))
+    return rows.withColumn("link_method", method).withColumn("similar_to_seq", F.coalesce("similar_to_seq", F.when(sure, F.col("_near")))).withColumn("candidate_seq", F.when(~sure, F.col("_near"))).drop("_near")
+
+
+def with_title_links(rows: DataFrame) -> DataFrame:
+    """rows linked to the first earlier item of the batch with a similar title, where nothing stored was found."""
+    titles = link_by_title(rows.select("seq", strip_boilerplate(F.col("title")).alias("title"))).withColumnRenamed("first", "_title")
+    rows = rows.join(titles, "seq", "left")
+    found = F.col("similar_to_seq").isNull() & F.col("_title").isNotNull()
+    return rows.withColumn("link_method", F.when(found, "title").otherwise(F.col("link_method"))).withColumn("similar_to_seq", F.coalesce("similar_to_seq", "_title")).drop("_title")
+
+
+def scored(rows: DataFrame, rules: list[dict]) -> DataFrame:
+    """rows with rules' and keywords' score and priority, or the classifier's, and what the slow model is to see."""
+    bucket, known = confidence_bucket(F.col("confidence")), F.col("confidence").isNotNull()
+    rows = apply_rules(rows, rules)
+    rows = rows.withColumn("priority", F.when(known, bucket["priority"]).otherwise(F.col("priority"))).withColumn("priority_score", F.when(known, bucket["score"]).otherwise(F.col("priority_score")))
+    skip = known & bucket["skip"] & F.col("candidate_seq").isNull()
+    return rows.withColumn("retry_priority", retry_priority(F.col("confidence"))).withColumn("needs_llm_processing", ~skip)
+
+
+def ingest(batch: DataFrame, store: DataFrame, as_of: datetime, days: int | None = 7, rules: list[dict] = (), matches: DataFrame | None = None) -> DataFrame:
+    """New items of a batch (seq, channel_id, external_id, title, content, url, published_at, confidence) over a store of items.
+
+    matches: the nearest stored vectors of the batch's rows; without them no row is linked by meaning. Links are
+    the other item's seq.
+    """
+    rows = with_address_links(unknown(batch, store, as_of, days), store)
+    return _finished(rows, store, rules, matches)
+
+
+def _finished(rows: DataFrame, store: DataFrame, rules: list[dict], matches: DataFrame | None) -> DataFrame:
+    none = rows.withColumn("similarity", F.lit(None).cast("double")).withColumn("candidate_seq", F.lit(None).cast("long"))
+    rows = none if matches is None else with_meaning_links(rows, matches, store)
+    return scored(with_title_links(rows), list(rules)).select(*STORED)
 
 
-def stream_ingest(spark: SparkSession, source: DataFrame, store: str, checkpoint: str, as_of: datetime, days: int | None = 7) -> StreamingQuery:
-    """Run `ingest` on every micro-batch of a streaming DataFrame, appending to the store; ends when input does."""
+def ingest_events(items: DataFrame) -> DataFrame:
+    """(item_seq, event_type, other_seq, method, score): one `created` for each new item, and one `duplicate_detected` for the stored
+    item that a new one was linked to by address or meaning."""
+    made = items.select(F.col("seq").alias("item_seq"), F.lit("created").alias("event_type"), F.lit(None).cast("long").alias("other_seq"), F.col("priority").alias("method"), F.lit(None).cast("double").alias("score"))
+    linked = items.filter(F.col("link_method").isin("url", "url_normalized", "semantic"))
+    return made.unionByName(linked.select(F.col("similar_to_seq").alias("item_seq"), F.lit("duplicate_detected").alias("event_type"), F.col("seq").alias("other_seq"), F.col("link_method").alias("method"), F.col("similarity").alias("score")))
 
-    def step(batch: DataFrame, number: int) -> None:
-        have = spark.read.schema("channel_id string, external_id string, content_hash string, url string, seq bigint").parquet(store) if _exists(spark, store) else spark.createDataFrame([], "channel_id string, external_id string, content_hash string, url string, seq bigint")
-        ingest(batch, have, as_of, days).withColumn("batch", F.lit(number)).write.mode("append").parquet(store)
 
-    return source.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+class Ingest:
+    """A store of items, events and vectors that grows by numbered batches: path/items, path/events, path/vectors.
+
+    A batch has the columns of `ingest` and, where meaning counts, `vector`. It sees the items of earlier numbers only, so
+    running it again gives the same and replaces what was written.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, as_of: datetime, days: int | None = 7, rules: list[dict] = ()) -> None:
+        self.spark, self.path, self.as_of, self.days, self.rules = spark, path, as_of, days, list(rules)
+        self.index = VectorIndex(spark, f"{path}/vectors")
+
+    def items(self, before: int | None = None) -> DataFrame:
+        if not _exists(self.spark, f"{self.path}/items"):
+            return self.spark.createDataFrame([], KNOWN)
+        rows = self.spark.read.parquet(f"{self.path}/items")
+        return rows if before is None else rows.filter(F.col("batch") < before)
+
+    def events(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/events")
+
+    def step(self, batch: DataFrame, number: int) -> None:
+        last = self.index.manifest()["last"] if "vector" in batch.columns else None
+        if last is not None and number <= last:
+            return  # the index comes last, so all of the batch is there
+        known = self.items(number)
+        stage = workspace(self.spark, "ingest")
+        rows = with_address_links(unknown(batch, known, self.as_of, self.days), known)
+        rows.write.parquet(stage)
+        rows, matches = self.spark.read.parquet(stage), None
+        asks = "vector" in rows.columns
+        if asks:
+            asked = rows.filter("similar_to_seq IS NULL").select(F.col("seq").alias("vec_id"), F.col("vector").alias("embedding"))
+            matches = self.index.search(asked, 5, least=MAYBE).matches()
+        new = _finished(rows, known, self.rules, matches)
+        new.write.mode("overwrite").parquet(f"{self.path}/items/batch={number}")
+        new = self.spark.read.parquet(f"{self.path}/items/batch={number}")
+        ingest_events(new).write.mode("overwrite").parquet(f"{self.path}/events/batch={number}")
+        if asks:
+            # Last: a further try of the batch must not find its own vectors.
+            self.index.append(number, rows.select(F.col("seq").alias("vec_id"), F.col("vector").alias("embedding")))
+        removed(self.spark, stage)
+
+    def remove(self, gone: DataFrame) -> None:
+        """Take items (seq) out of the store; their vectors stay in the index, as the check of a match allows for."""
+        for r in self.items().select("batch").distinct().collect():
+            place, kept = f"{self.path}/items/batch={r['batch']}", workspace(self.spark, "kept")
+            self.spark.read.parquet(place).join(gone.select("seq"), "seq", "left_anti").write.parquet(kept)
+            self.spark.read.parquet(kept).write.mode("overwrite").parquet(place)
+            removed(self.spark, kept)
+
+
+def stream_ingest(spark: SparkSession, source: DataFrame, store: str, checkpoint: str, as_of: datetime, days: int | None = 7, rules: list[dict] = ()) -> StreamingQuery:
+    """Run `Ingest.step` on every micro-batch of a streaming DataFrame; ends when input does."""
+    into = Ingest(spark, store, as_of, days, rules)
+    return source.writeStream.foreachBatch(into.step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
