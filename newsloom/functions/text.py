@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from newsloom.functions.automaton import keyword_hits
+
 # Keyword weights and lists of the priority score.
 SCORE_WORDS = {
     40: ["kürzung", "streichung", "haushaltssperre", "finanzierungslücke", "kahlschlag", "förderentzug", "nothaushalt", "haushaltskrise", "schließung", "abbau", "existenzbedrohend", "insolvenz", "personalreduzierung", "stellenabbau", "einschnitte"],
@@ -89,9 +91,10 @@ def regex_match(pattern: Column | str, text: Column) -> Column:
 
 
 def keyword_score(text: Column) -> Column:
-    low = F.lower(text)
-    hits = [F.when(F.contains(low, F.lit(k)), weight).otherwise(0) for weight, words in SCORE_WORDS.items() for k in words]
-    return F.least(F.lit(100), sum(hits, F.lit(50)))
+    """50 and the weight of each keyword that lies in the lower-cased text, at most 100; keywords are looked for in one pass."""
+    weights = [(k, w) for w, words in SCORE_WORDS.items() for k in words]
+    worth = F.array(*(F.lit(w) for _, w in weights))
+    return F.least(F.lit(100), F.aggregate(F.coalesce(keyword_hits(F.lower(text), [k for k, _ in weights]), F.array().cast("array<int>")), F.lit(50), lambda a, i: a + F.get(worth, i)))
 
 
 def keyword_priority(score: Column) -> Column:

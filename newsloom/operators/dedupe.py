@@ -97,6 +97,36 @@ def recheck(unchecked: DataFrame, items: DataFrame, matches: DataFrame) -> DataF
     return by_url.unionByName(near.join(own, "id", "left_semi").join(by_url, "id", "left_anti"))
 
 
+def rechecked(unchecked: DataFrame, items: DataFrame, matches: DataFrame) -> DataFrame:
+    """The backlog with what a check of it writes: similar_to_id, duplicate_method, duplicate_score and duplicate_checked.
+
+    Links are those of `recheck`. A link by meaning to an item that has gone (its vector is still indexed) is cleared, not replaced by the next
+    match; what a row was linked to before is overwritten in any case.
+    """
+    links = recheck(unchecked, items, matches).withColumnRenamed("similar_to_id", "_to").withColumnRenamed("method", "_method")
+    links = links.join(items.select(F.col("id").alias("_to"), F.lit(True).alias("_there")), "_to", "left")
+    score = matches.select(F.col("query_id").alias("id"), F.col("vec_id").alias("_to"), F.col("score").alias("_score"))
+    links = links.join(score, ["id", "_to"], "left")
+    out = unchecked.drop("similar_to_id", "duplicate_checked").join(links, "id", "left")
+    there, meant = F.col("_there").isNotNull(), F.col("_method") == "semantic"
+    return out.select(
+        *(c for c in unchecked.columns if c not in ("similar_to_id", "duplicate_checked")), F.when(there, F.col("_to")).alias("similar_to_id"), F.when(there, F.col("_method")).alias("duplicate_method"),
+        F.when(there & meant, F.col("_score")).alias("duplicate_score"), F.lit(True).alias("duplicate_checked"),
+    )
+
+
+def confirmations(items: DataFrame, candidates: DataFrame, verdicts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What the slow model's verdicts (id, is_duplicate, reasoning) on candidates (id, candidate_id, similarity_score) change.
+
+    First the judged items (id, similar_to_id, confirmed, candidate_id): a confirmed one is linked to its candidate, another keeps what it had.
+    Then the events, one for each verdict: `duplicate_detected` or `duplicate_rejected`. Candidates that have gone are not judged.
+    """
+    judged = candidates.join(verdicts, "id").join(items.select(F.col("id").alias("candidate_id")), "candidate_id", "left_semi")
+    changed = judged.join(items.select("id", "similar_to_id"), "id").select("id", F.when(F.col("is_duplicate"), F.col("candidate_id")).otherwise(F.col("similar_to_id")).alias("similar_to_id"), F.col("is_duplicate").alias("confirmed"), "candidate_id")
+    kind = F.when(F.col("is_duplicate"), "duplicate_detected").otherwise("duplicate_rejected")
+    return changed, judged.select(F.col("id").alias("item_id"), kind.alias("event_type"), "candidate_id", "similarity_score", F.col("is_duplicate").alias("llm_confirmed"), "reasoning")
+
+
 def promote(items: DataFrame, verdicts: DataFrame) -> DataFrame:
     """items whose candidate a verdict (id, candidate_id, is_duplicate) confirmed become its duplicates."""
     yes = verdicts.filter("is_duplicate").select("id", F.col("candidate_id").alias("_confirmed"))

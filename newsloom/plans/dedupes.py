@@ -157,6 +157,46 @@ def _(m):
     return D.recheck(m.items.filter("similar_to_id IS NULL"), m.items, search(v, v, 5, least=D.CONFIRMED).matches()).select("id", "similar_to_id", "method")
 
 
+_MIXED = "v AS (SELECT o.id, list_transform(range(1, 65), lambda i: CAST(x.embedding[i] AS DOUBLE) + (0.2 + o.id % 9 * 0.1) * CAST(y.embedding[i] AS DOUBLE)) AS vec FROM (SELECT id FROM items WHERE id % 16 = 3) o JOIN embeddings x ON x.vec_id = o.id % 60 JOIN embeddings y ON y.vec_id = 70 + o.id % 29)"
+
+
+@add("dedupe_recheck_written", "D06", "WITH " + _MIXED + """, t AS (SELECT * FROM items WHERE id % 23 <> 0), b AS (SELECT * FROM t WHERE id % 8 = 3 AND NOT duplicate_checked), u AS (SELECT a.id, min(c.id) AS other FROM b a JOIN t c ON a.url = c.url AND c.id < a.id AND a.channel_id <> c.channel_id WHERE a.id % 3 = 0 GROUP BY 1),
+k AS (SELECT q.id, w.id AS other, round(list_cosine_similarity(q.vec, w.vec), 6) AS score FROM v q JOIN b ON b.id = q.id JOIN v w ON w.id <> q.id QUALIFY row_number() OVER (PARTITION BY q.id ORDER BY score DESC, w.id) <= 5),
+s AS (SELECT id, arg_min(other, (-score, other)) AS other, max(score) AS score FROM k WHERE score >= 0.75 AND other < id AND id NOT IN (SELECT id FROM u) GROUP BY 1)
+SELECT b.id, coalesce(u.other, t.id) AS similar_to_id, CASE WHEN u.other IS NOT NULL THEN 'url' WHEN t.id IS NOT NULL THEN 'semantic' END AS duplicate_method, CASE WHEN t.id IS NOT NULL THEN s.score END AS duplicate_score, true AS duplicate_checked
+FROM b LEFT JOIN u ON u.id = b.id LEFT JOIN s ON s.id = b.id LEFT JOIN t ON t.id = s.other""")
+def _(m):
+    """A backlog by address and by meaning, with links to items that have gone cleared; a third of it has an address."""
+    e, n = m.table("embeddings"), F.col("id")
+    x, y = e.select(F.col("vec_id").alias("xi"), F.col("embedding").alias("xe")), e.select(F.col("vec_id").alias("yi"), F.col("embedding").alias("ye"))
+    mixed = F.zip_with("xe", "ye", lambda a, b: a.cast("double") + (F.lit(0.2) + n % 9 * F.lit(0.1)) * b.cast("double"))
+    v = m.items.filter("id % 16 = 3").select("id").join(x, F.col("xi") == n % 60).join(y, F.col("yi") == 70 + n % 29).select(n.alias("vec_id"), mixed.alias("embedding"))
+    items = m.items.filter("id % 23 <> 0")
+    backlog = items.filter("id % 8 = 3 AND NOT duplicate_checked").withColumn("url", F.when(n % 3 == 0, F.col("url")))
+    near = search(v, v.join(backlog.select(n.alias("vec_id")), "vec_id", "left_semi"), 5, least=D.CONFIRMED).matches()
+    return D.rechecked(backlog, items, near).select("id", "similar_to_id", "duplicate_method", "duplicate_score", "duplicate_checked")
+
+
+_CANDIDATES = "c AS (SELECT id, id + 1 + id % 5 AS candidate_id, id % 100 / 100.0 AS similarity_score FROM items WHERE id % 4 = 2), j AS (SELECT c.*, c.id % 3 = 0 AS yes, i.similar_to_id FROM c JOIN items i ON i.id = c.id WHERE candidate_id IN (SELECT id FROM items) AND c.id % 7 <> 0)"
+
+
+def _confirmed(m):
+    n = F.col("id")
+    candidates = m.items.filter("id % 4 = 2").select("id", (n + 1 + n % 5).alias("candidate_id"), (n % 100 / F.lit(100.0)).alias("similarity_score"))
+    verdicts = m.items.filter("id % 7 <> 0").select("id", (n % 3 == 0).alias("is_duplicate"), F.concat(F.lit("weil "), n.cast("string")).alias("reasoning"))
+    return D.confirmations(m.items, candidates, verdicts)
+
+
+@add("candidates_judged", "D07", "WITH " + _CANDIDATES + " SELECT id, CASE WHEN yes THEN candidate_id ELSE similar_to_id END AS similar_to_id, yes AS confirmed, candidate_id FROM j")
+def _(m):
+    return _confirmed(m)[0]
+
+
+@add("confirmation_events", "D07 K10", "WITH " + _CANDIDATES + " SELECT id AS item_id, CASE WHEN yes THEN 'duplicate_detected' ELSE 'duplicate_rejected' END AS event_type, candidate_id, CAST(similarity_score AS DOUBLE) AS similarity_score, yes AS llm_confirmed, 'weil ' || CAST(id AS VARCHAR) AS reasoning FROM j")
+def _(m):
+    return _confirmed(m)[1]
+
+
 @add("confirmed_candidates", "D07", "SELECT id, CASE WHEN id % 3 = 0 THEN id + 1 ELSE similar_to_id END AS similar_to_id FROM items")
 def _(m):
     verdicts = m.items.select("id", (F.col("id") + 1).alias("candidate_id"), (F.col("id") % 3 == 0).alias("is_duplicate"))
