@@ -13,6 +13,19 @@ from newsloom.schemas import PRIORITIES
 DEFAULT_RETENTION = {"high": 365, "medium": 180, "low": 90, "none": 30}
 
 
+def merged_settings(value: Column, default: dict[str, int]) -> Column:
+    """map of whole-number settings: those of a stored JSON object over the defaults, by key. Text that is no JSON counts as none stored."""
+    known = F.create_map(*(F.lit(x) for pair in default.items() for x in pair))
+    stored = F.when(F.try_parse_json(value).isNotNull(), F.transform_values(F.from_json(value, "map<string,string>"), lambda _, v: v.try_cast("int")))
+    own = F.coalesce(stored, F.create_map().cast("map<string,int>"))
+    return F.map_concat(F.map_filter(known, lambda k, _: ~F.map_contains_key(own, k)), own)
+
+
+def flag_setting(value: Column) -> Column:
+    """Whether a setting's text says yes."""
+    return F.coalesce(F.lower(value).isin("true", "1", "yes"), F.lit(False))
+
+
 def unread() -> Column:
     return F.coalesce(F.sum(F.when(~F.col("is_read"), 1).otherwise(0)), F.lit(0))
 

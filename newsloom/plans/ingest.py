@@ -16,7 +16,7 @@ from newsloom.shared import settled, workspace
 from newsloom.sources import feeds
 from newsloom.sources.channels import LandedChannels
 from newsloom.sources.pdf import landed_pdfs
-from newsloom.sources.registry import LandedItems, get, kinds, opened, validate
+from newsloom.sources.registry import LandedItems, checked, get, kinds, opened, validate
 from newsloom.streaming import ingest as I
 from newsloom.streaming.state import first_rows, model_queue, state_session
 
@@ -169,6 +169,16 @@ def _(m):
     return m.spark.createDataFrame([(k, validate(k, {"url": "https://e.org"})[0]) for k in kinds()], "kind string, valid boolean")
 
 
+@add("channel_configs", "S02 S01", """SELECT s_suppkey AS id, kind, kind <> 'fax' AS registered, CASE WHEN kind = 'fax' THEN 'unknown connector fax' WHEN s_suppkey % 3 = 0 THEN 'missing ' || need ELSE '' END AS problem FROM (SELECT s_suppkey, kinds[1 + s_suppkey % 11] AS kind, needs[1 + s_suppkey % 11] AS need
+FROM supplier, (SELECT ['bluesky', 'fax', 'google_alerts', 'instagram', 'linkedin', 'mastodon', 'pdf', 'rss', 'telegram', 'twitter', 'x_scraper'] AS kinds, ['handle', '', 'url', 'username', 'profile_url', 'handle', 'url', 'url', 'channel', 'username', 'username'] AS needs))""", model=False)
+def _(m):
+    """Suppliers as channels, each with a type and a configuration, checked against the registry; one type is unknown, some lack what they need."""
+    names = sorted([*kinds(), "fax"])
+    kind = F.element_at(F.array(*map(F.lit, names)), (1 + F.col("s_suppkey") % len(names)).cast("int"))
+    config = F.create_map(*(x for k in ("url", "handle", "username", "channel", "profile_url") for x in (F.lit(k), F.when(F.col("s_suppkey") % 3 != 0, F.col("s_name")).otherwise(""))))
+    return checked(m.table("supplier").select(F.col("s_suppkey").alias("id"), kind.alias("kind"), config.alias("config"))).select("id", "kind", "registered", "problem")
+
+
 @add("landed_files", "S01 S15 S16 K05", "SELECT CAST(item_id AS STRING) AS external_id, text AS content FROM benchmark", model=False)
 def _(m):
     folder = workspace(m.spark, "landed")

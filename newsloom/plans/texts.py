@@ -12,6 +12,7 @@ from newsloom.functions import text as X
 from newsloom.functions import urls as U
 from newsloom.operators import rules as R
 from newsloom.operators import stats as S
+from newsloom.operators.mentions import mentions
 from newsloom.plans.model import Catalog
 from newsloom.schemas import WORKING_GROUPS
 
@@ -194,6 +195,22 @@ def _(m):
     return found.groupBy("doc_id", F.lower("handle").alias("handle")).agg(F.count("*").alias("n"))
 
 
+_PEOPLE = """p AS (SELECT s_suppkey AS id, CASE s_suppkey % 4 WHEN 0 THEN 'liga' WHEN 1 THEN 'liga_mitglied' WHEN 2 THEN 'politik' ELSE 'presse' END AS category, CASE WHEN s_suppkey % 3 > 0 THEN 'user' || CAST(s_suppkey % 70 AS STRING) END AS twitter_handle,
+CASE WHEN s_suppkey % 2 = 0 THEN '@Mast' || CAST(s_suppkey AS STRING) || '@social.org' END AS mastodon_handle, CASE WHEN s_suppkey % 5 = 0 THEN 'insta' || CAST(s_suppkey AS STRING) END AS instagram_handle FROM supplier),
+i AS (SELECT doc_id AS id, text || CASE WHEN doc_id % 3 > 0 THEN ' @user' || CAST(doc_id % 90 AS STRING) ELSE '' END || CASE WHEN doc_id % 4 = 1 THEN ' @MAST' || CAST(doc_id % 50 AS STRING) || ' @insta' || CAST(doc_id % 60 AS STRING) ELSE '' END || CASE WHEN doc_id % 5 = 0 THEN ' wann?' ELSE '' END AS content, 'user' || CAST(doc_id % 100 AS STRING) AS author_handle FROM documents)"""
+
+
+@add("mentions_of_persons", "Z03", "WITH " + _PEOPLE + r""", h AS (SELECT id, unnest(regexp_extract_all(content, '@([\p{L}\p{M}\p{N}_]+)', 1)) AS handle FROM i), n AS (SELECT h.id, h.handle, min(p.id) AS person FROM (SELECT DISTINCT * FROM h) h JOIN p ON p.twitter_handle = h.handle OR p.instagram_handle = h.handle OR contains(lower(p.mastodon_handle), lower(h.handle)) GROUP BY ALL),
+g AS (SELECT n.id, array_to_string(list_sort(list(DISTINCT person)), ',') AS persons, bool_or(category = 'liga') AS mentions_direct, bool_or(category = 'liga_mitglied') AS mentions_member FROM n JOIN p ON p.id = person GROUP BY 1)
+SELECT i.id, (SELECT count(*) FROM h WHERE h.id = i.id) AS n_handles, coalesce(persons, '') AS persons, coalesce(mentions_direct, false) AS mentions_direct, coalesce(mentions_member, false) AS mentions_member, persons IS NOT NULL AS mentions_any, s.sender_id, s.sender_category, coalesce(contains(content, '?'), false) AND persons IS NOT NULL AS is_direct_question
+FROM i LEFT JOIN g ON g.id = i.id LEFT JOIN (SELECT twitter_handle, min(id) AS sender_id, arg_min(category, id) AS sender_category FROM p GROUP BY 1) s ON s.twitter_handle = i.author_handle""", model=False)
+def _(m):
+    """Suppliers as persons with handles of three networks, mentioned at the end of documents."""
+    of = lambda name: m.spark.sql(f"WITH {_PEOPLE.replace('supplier)', '{s})').replace('documents)', '{d})')} SELECT * FROM {name}", s=m.table("supplier"), d=m.table("documents"))
+    out = mentions(of("i"), of("p"))
+    return out.withColumn("persons", F.array_join("person_ids", ",")).select("id", "n_handles", "persons", "mentions_direct", "mentions_member", "mentions_any", "sender_id", "sender_category", "is_direct_question")
+
+
 _URL = r"regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), 'www\.', '', 'g')"
 
 
@@ -314,6 +331,20 @@ def _(m):
     return m.spark.range(1).select(F.explode(F.map_concat(F.map_filter(default, lambda k, _: ~F.map_contains_key(own, k)), own)).alias("k", "v"))
 
 
+@add("settings_by_nation", "X45", r"""WITH s AS (SELECT n_nationkey AS nation, '{"low": ' || CAST(10 + n_nationkey AS VARCHAR) || CASE WHEN n_nationkey % 3 = 0 THEN ', "high": "700"' ELSE '' END || CASE WHEN n_nationkey % 4 = 1 THEN ', "extra": 5' ELSE '' END || CASE WHEN n_nationkey % 7 = 2 THEN '' ELSE '}' END AS value,
+CASE n_nationkey % 5 WHEN 0 THEN 'TRUE' WHEN 1 THEN '1' WHEN 2 THEN 'off' WHEN 3 THEN 'yes' ELSE 'false' END AS flag FROM nation), d AS (SELECT * FROM (VALUES ('high', 365), ('medium', 180), ('low', 90), ('none', 30)) v(k, v)), t AS (SELECT nation, lower(flag) IN ('true', '1', 'yes') AS enabled, CASE WHEN json_valid(value) THEN value ELSE '{}' END AS value FROM s),
+o AS (SELECT nation, unnest(json_keys(value)) AS k, value FROM t), own AS (SELECT nation, k, CAST(json_extract_string(value, '$.' || k) AS INTEGER) AS v FROM o)
+SELECT t.nation, enabled, k, v FROM (SELECT nation, k, v FROM own UNION ALL SELECT nation, k, v FROM t, d WHERE NOT EXISTS (SELECT 1 FROM own WHERE own.nation = t.nation AND own.k = d.k)) x JOIN t USING (nation)""", model=False)
+def _(m):
+    """Each nation's stored settings, as JSON text and flags, over the defaults; broken JSON counts as none."""
+    n = F.col("n_nationkey")
+    part = lambda when, text: F.when(when, text).otherwise("")
+    value = F.concat(F.lit('{"low": '), (n + 10).cast("string"), part(n % 3 == 0, ', "high": "700"'), part(n % 4 == 1, ', "extra": 5'), part(n % 7 != 2, "}"))
+    flag = F.when(n % 5 == 0, "TRUE").when(n % 5 == 1, "1").when(n % 5 == 2, "off").when(n % 5 == 3, "yes").otherwise("false")
+    rows = m.table("nation").select(n.alias("nation"), S.flag_setting(flag).alias("enabled"), S.merged_settings(value, S.DEFAULT_RETENTION).alias("settings"))
+    return rows.select("nation", "enabled", F.explode("settings").alias("k", "v"))
+
+
 @add("quick_json", "F03 X20", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS STRING) AS k, false AS yes FROM events", model=False)
 def _(m):
     return m.table("events").select("event_id", salvage.quick_field(F.col("props"), "$.k").alias("k"), salvage.yes_or_no(F.col("props")).alias("yes"))

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 _connectors: dict[str, Callable[[DataFrame, dict], DataFrame]] = {}
@@ -42,6 +43,15 @@ def validate(kind: str, config: dict) -> tuple[bool, str]:
     return (not missing, "" if not missing else f"missing {', '.join(missing)}")
 
 
+def checked(channels: DataFrame) -> DataFrame:
+    """channels (kind, config as map<string,string>) with registered and problem: what `validate` says of each; an empty problem means none."""
+    kind, problem = F.col("kind"), F.concat(F.lit("unknown connector "), F.coalesce("kind", F.lit("")))
+    for k, needs in _required.items():
+        missing = F.array_compact(F.array(*(F.when(F.coalesce(F.col("config")[n], F.lit("")) == "", F.lit(n)) for n in needs)))
+        problem = F.when(kind == k, F.when(F.size(missing) > 0, F.concat(F.lit("missing "), F.array_join(missing, ", "))).otherwise("")).otherwise(problem)
+    return channels.withColumn("registered", F.coalesce(kind.isin(kinds()), F.lit(False))).withColumn("problem", problem)
+
+
 class LandedItems(DataSource):
     """Raw items from the JSON lines files of a folder where connectors land them: option folder, a path or URI.
 
