@@ -305,7 +305,7 @@ def _ordered(m):
     rows = rows.join(x, (F.col("seq") % 7 != 6) & (F.col("xi") == F.col("seq") % 60), "left").join(y, F.col("yi") == 70 + F.col("seq") % 29, "left").withColumn("vector", mixed).drop("xi", "xe", "yi", "ye")
     into = I.Ingest(m.spark, workspace(m.spark, "ordered"), AS_OF, rules=RULES)
     into.step(rows.filter("seq % 8 < 4"), 0)
-    into.remove(into.items().filter("seq % 23 = 0"))
+    into.remove(settled(into.items().filter("seq % 23 = 0").select("seq")))
     into.step(rows.filter("seq % 8 >= 4"), 1)
     return into
 

@@ -16,6 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from newsloom.functions.text import confidence_bucket, content_hash, normalize_content, retry_priority, strip_boilerplate
 from newsloom.operators.dedupe import CONFIRMED, MAYBE, drop_known, link_by_title, link_by_url
+from newsloom.operators.history import History
 from newsloom.operators.neighbours import VectorIndex
 from newsloom.operators.rules import apply_rules
 from newsloom.shared import removed, workspace
@@ -32,11 +33,10 @@ def fresh(batch: DataFrame, as_of: datetime, days: int = 7) -> DataFrame:
     return batch.withColumn("published_at", F.coalesce("published_at", F.lit(as_of))).filter(F.col("published_at") >= F.lit(as_of) - F.expr(f"INTERVAL '{days}' DAY"))
 
 
-def unknown(batch: DataFrame, store: DataFrame, as_of: datetime, days: int | None = 7) -> DataFrame:
-    """Rows of the batch that are new: recent, cleaned and hashed, without exact copies."""
+def cleaned(batch: DataFrame, as_of: datetime, days: int | None = 7) -> DataFrame:
+    """Recent rows of the batch, cleaned and hashed."""
     rows = batch if days is None else fresh(batch, as_of, days)
-    rows = rows.withColumn("title", normalize_content(F.col("title"))).withColumn("content", normalize_content(F.col("content"))).withColumn("content_hash", content_hash(F.col("content")))
-    return drop_known(rows, store)
+    return rows.withColumn("title", normalize_content(F.col("title"))).withColumn("content", normalize_content(F.col("content"))).withColumn("content_hash", content_hash(F.col("content")))
 
 
 def with_address_links(rows: DataFrame, store: DataFrame) -> DataFrame:
@@ -88,7 +88,7 @@ def ingest(batch: DataFrame, store: DataFrame, as_of: datetime, days: int | None
     matches: the nearest stored vectors of the batch's rows; without them no row is linked by meaning. Links are
     the other item's seq.
     """
-    rows = with_address_links(unknown(batch, store, as_of, days), store)
+    rows = with_address_links(drop_known(cleaned(batch, as_of, days), store), store)
     return _finished(rows, store, rules, matches)
 
 
@@ -107,21 +107,23 @@ def ingest_events(items: DataFrame) -> DataFrame:
 
 
 class Ingest:
-    """A store of items, events and vectors that grows by numbered batches: path/items, path/events, path/vectors.
+    """A store of items, events, keys and vectors that grows by numbered batches: path/items, path/events, path/history, path/vectors.
 
     A batch has the columns of `ingest` and, where meaning counts, `vector`. It sees the items of earlier numbers only, so
-    running it again gives the same and replaces what was written.
+    running it again gives the same and replaces what was written. Stored items are looked up by key (`History`) and by vector (`VectorIndex`);
+    the items themselves are written and not read, so a batch costs about the same however many there are.
     """
 
     def __init__(self, spark: SparkSession, path: str, as_of: datetime, days: int | None = 7, rules: list[dict] = ()) -> None:
         self.spark, self.path, self.as_of, self.days, self.rules = spark, path, as_of, days, list(rules)
-        self.index = VectorIndex(spark, f"{path}/vectors")
+        self.index, self.history = VectorIndex(spark, f"{path}/vectors"), History(spark, f"{path}/history")
 
-    def items(self, before: int | None = None) -> DataFrame:
-        if not _exists(self.spark, f"{self.path}/items"):
-            return self.spark.createDataFrame([], KNOWN)
-        rows = self.spark.read.parquet(f"{self.path}/items")
-        return rows if before is None else rows.filter(F.col("batch") < before)
+    def items(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/items") if _exists(self.spark, f"{self.path}/items") else self.spark.createDataFrame([], KNOWN)
+
+    def _gone(self) -> DataFrame:
+        """seq of items that were taken out: their keys and vectors are still known."""
+        return self.spark.read.parquet(f"{self.path}/gone") if _exists(self.spark, f"{self.path}/gone") else self.spark.createDataFrame([], "seq bigint")
 
     def events(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/events")
@@ -130,26 +132,33 @@ class Ingest:
         last = self.index.manifest()["last"] if "vector" in batch.columns else None
         if last is not None and number <= last:
             return  # the index comes last, so all of the batch is there
-        known = self.items(number)
-        stage = workspace(self.spark, "ingest")
-        rows = with_address_links(unknown(batch, known, self.as_of, self.days), known)
-        rows.write.parquet(stage)
-        rows, matches = self.spark.read.parquet(stage), None
+        stage, place = workspace(self.spark, "ingest"), f"{self.path}/items/batch={number}"
+        cleaned(batch, self.as_of, self.days).write.parquet(f"{stage}/cleaned")
+        rows, gone = self.spark.read.parquet(f"{stage}/cleaned"), self._gone()
+        known = self.history.lookup(rows).join(gone, "seq", "left_anti")
+        if _exists(self.spark, place):  # a try before this one got that far; its items may be in the history
+            known = known.join(self.spark.read.parquet(place).select("seq"), "seq", "left_anti")
+        known.write.parquet(f"{stage}/known")
+        known = self.spark.read.parquet(f"{stage}/known")
+        with_address_links(drop_known(rows, known), known).write.parquet(f"{stage}/rows")
+        rows, there, matches = self.spark.read.parquet(f"{stage}/rows"), known, None
         asks = "vector" in rows.columns
         if asks:
             asked = rows.filter("similar_to_seq IS NULL").select(F.col("seq").alias("vec_id"), F.col("vector").alias("embedding"))
             matches = self.index.search(asked, 5, least=MAYBE).matches()
-        new = _finished(rows, known, self.rules, matches)
-        new.write.mode("overwrite").parquet(f"{self.path}/items/batch={number}")
-        new = self.spark.read.parquet(f"{self.path}/items/batch={number}")
+            there = matches.select(F.col("vec_id").alias("seq")).distinct().join(gone, "seq", "left_anti")
+        _finished(rows, there, self.rules, matches).write.mode("overwrite").parquet(place)
+        new = self.spark.read.parquet(place)
         ingest_events(new).write.mode("overwrite").parquet(f"{self.path}/events/batch={number}")
+        self.history.append(number, new)
         if asks:
             # Last: a further try of the batch must not find its own vectors.
             self.index.append(number, rows.select(F.col("seq").alias("vec_id"), F.col("vector").alias("embedding")))
         removed(self.spark, stage)
 
     def remove(self, gone: DataFrame) -> None:
-        """Take items (seq) out of the store; their vectors stay in the index, as the check of a match allows for."""
+        """Take items (seq) out of the store; their keys and vectors stay where they are, and lookups leave them out."""
+        gone.select("seq").write.mode("append").parquet(f"{self.path}/gone")
         for r in self.items().select("batch").distinct().collect():
             place, kept = f"{self.path}/items/batch={r['batch']}", workspace(self.spark, "kept")
             self.spark.read.parquet(place).join(gone.select("seq"), "seq", "left_anti").write.parquet(kept)
