@@ -3,7 +3,7 @@
 Each block element of a page is a node with features of its own (tag, attribute tokens), of its subtree
 (text, links, marks, paragraphs and their densities), and of its place (depth, siblings, parent,
 position). Boosted trees give the probability that a node holds main text; they are trained here, once a process and
-in seconds, on pages that `Sample` makes up, whose main blocks are known: no page of any table is learned from.
+in some ten seconds, on pages that `Sample` makes up, whose main blocks are known: no page of any table is learned from.
 
 Hierarchical decoding picks the most likely consistent labelling: a node can only be in if its parent
 is, so from the leaves up each node is worth the better of leaving out its whole subtree and of being
@@ -14,7 +14,8 @@ Cases: null or empty pages give the empty text. Scripts, styles, comments, head
 give text; formulas do. Unclosed and stray tags are closed as browsers do for paragraphs, list items and
 cells. A head ends at the first text or tag that can't stand in one; a muted tag that the page never closes
 ends at the next block, and any of them where an element around it closes;
-a tag cut off at the end of the page is dropped. A page whose nodes are all out has the empty
+a tag cut off at the end of the page is dropped. Pages of any length and depth are read once, in time that grows with their
+tags; a page is held by one task. A page whose nodes are all out has the empty
 text; a node for which leaving it out and keeping it are equally likely is left out. Repeated rows are separate pages
 and give equal texts. Other columns, of any name, travel in the struct column `rest`. An empty table gives an empty result.
 """
@@ -77,17 +78,45 @@ def _attributes(text: str) -> tuple[float, ...]:
     return (*(float(bool(h.search(names))) for h in _hints), float(bool(_hidden.search(text))))
 
 
+class Opened:
+    """Open elements, outermost first, each with a value; the innermost of a name is found without a search."""
+
+    def __init__(self) -> None:
+        self.names: list[str] = []
+        self.values: list = []
+        self.places: dict[str, list[int]] = {}
+
+    def __len__(self) -> int:
+        return len(self.names)
+
+    def push(self, name: str, value=None) -> None:
+        self.places.setdefault(name, []).append(len(self.names))
+        self.names.append(name)
+        self.values.append(value)
+
+    def last(self, *names: str) -> int:
+        """Place of the innermost of these names, -1 if none is open."""
+        return max((p[-1] for p in map(self.places.get, names) if p), default=-1)
+
+    def cut(self, size: int) -> None:
+        for name in reversed(self.names[size:]):
+            self.places[name].pop()
+        del self.names[size:], self.values[size:]
+
+
 class Page:
     """Nodes of a page in document order (parents first) and its text blocks."""
 
     def __init__(self, html: str) -> None:
         self.tag, self.parent, self.depth, self.attrs = ["body"], [-1], [0], [""]
         self.blocks: list[tuple[int, str, int]] = []  # node, text, characters in links
-        stack, open_ = [("body", 0)], 0
+        stack, open_ = Opened(), 0
+        stack.push("body", 0)
         run: list[str] = []
         linked, in_link, at = 0, False, 0
-        mute: list[tuple[str, bool]] = []  # muted tags around, and whether the page closes them
-        inner: list[str] = []  # blocks opened inside of them
+        mute = Opened()  # muted tags around, and whether the page closes them
+        closes = 0  # how many objects and templates around the page closes
+        inner = Opened()  # blocks opened inside of them
         pairs: dict[str, set[int]] = {}
 
         def flush() -> None:
@@ -100,8 +129,15 @@ class Page:
 
         def pop(size: int) -> None:
             nonlocal open_
-            del stack[size:]
-            open_ = stack[-1][1]
+            stack.cut(size)
+            open_ = stack.values[-1]
+
+        def unmute(size: int = 0) -> None:
+            nonlocal closes
+            closes -= sum(end and name in ("object", "template") for name, end in zip(mute.names[size:], mute.values[size:], strict=True))
+            mute.cut(size)
+            if not size:
+                inner.cut(0)
 
         def closed(name: str, start: int) -> bool:
             if name not in pairs:
@@ -114,26 +150,24 @@ class Page:
             return start in pairs[name]
 
         def only_head() -> bool:
-            return len(mute) == 1 and mute[0][0] == "head"
+            return len(mute) == 1 and mute.names[0] == "head"
 
         def inside(name: str, closing: bool) -> bool:
             """Whether a tag belongs to the muted tags around; ends those that it ends."""
             if name == "body" or name == "html" and closing:
-                mute.clear()
+                unmute()
             elif closing:
-                if name in inner:
-                    del inner[len(inner) - 1 - inner[::-1].index(name) :]
-                elif name not in INLINE and not any(end and x in ("object", "template") for x, end in mute) and any(x == name for x, _ in stack[1:]):
-                    mute.clear()
+                if (place := inner.last(name)) >= 0:
+                    inner.cut(place)
+                elif name not in INLINE and not closes and stack.last(name) > 0:
+                    unmute()
             elif only_head() and name not in HEAD:
-                mute.clear()
+                unmute()
             else:
-                while name in BLOCKS and mute and not mute[-1][1]:
-                    mute.pop()
-                if name not in INLINE and name not in VOID:
-                    inner.append(name)
-            if not mute:
-                inner.clear()
+                while name in BLOCKS and mute and not mute.values[-1]:
+                    unmute(len(mute) - 1)
+                if mute and name not in INLINE and name not in VOID:
+                    inner.push(name)
             return bool(mute)
 
         find, n = TOKEN.search, len(html)
@@ -141,7 +175,7 @@ class Page:
             m = find(html, at)
             end = m.start() if m else n
             if only_head() and html[at:end].strip():
-                mute.clear()
+                unmute()
             if end > at and not mute:
                 run.append(html[at:end])
                 if in_link:
@@ -155,19 +189,19 @@ class Page:
             closing, attrs = m[1] or m[4], m[3] or m[6] or ""
             if name in MUTE:
                 if closing:
-                    names = [x for x, _ in mute]
-                    if name in names:
-                        del mute[len(names) - 1 - names[::-1].index(name) :]
-                        if not mute:
-                            inner.clear()
+                    if (place := mute.last(name)) >= 0:
+                        unmute(place)
                     continue
                 if only_head() and name not in HEAD:
-                    mute.clear()
+                    unmute()
                 if name in RAW:
-                    m = re.compile(rf"</{name}[^>]*>", re.I).search(html, at)
-                    at = m.end() if m else n
+                    m = re.compile(rf"</{name}", re.I).search(html, at)
+                    at = html.find(">", m.end()) + 1 if m else 0
+                    at = at or n
                 elif not attrs.endswith("/"):
-                    mute.append((name, name != "head" and closed(name, m.start())))
+                    ends = name != "head" and closed(name, m.start())
+                    closes += ends and name in ("object", "template")
+                    mute.push(name, ends)
                 continue
             if mute and inside(name, bool(closing)):
                 continue
@@ -180,25 +214,19 @@ class Page:
             flush()
             in_link = False
             if closing:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == name:
-                        pop(k)
-                        break
+                if (place := stack.last(name)) > 0:
+                    pop(place)
                 continue
             if name in ("html", "body"):
                 if name == "body":
                     self.attrs[0] = attrs
                 continue
-            if stack[-1][0] == "p":
+            if stack.names[-1] == "p":
                 pop(len(stack) - 1)
             if name in ENDS:
                 same, stop = ENDS[name]
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] in stop:
-                        break
-                    if stack[k][0] in same:
-                        pop(k)
-                        break
+                if (place := stack.last(*same)) > stack.last(*stop):
+                    pop(place)
             if name in VOID:
                 continue
             self.tag.append(name)
@@ -207,7 +235,7 @@ class Page:
             self.attrs.append(attrs)
             if not attrs.endswith("/") or name not in ("embed", "param"):
                 open_ = len(self.tag) - 1
-                stack.append((name, open_))
+                stack.push(name, open_)
         flush()
 
 
@@ -248,22 +276,17 @@ def features(pages: list[Page]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     children = np.bincount(up[parent >= 0], minlength=n)
     blocks = np.maximum(total[:, 0], 1)
     size = np.maximum(total[:, 1], 1)
-    above = hint.copy()  # hints of any ancestor
+    names = [("nav", "header", "footer", "aside", "form"), ("article", "main"), ("ul", "table")]
+    # Hints and kinds of the node or of any ancestor.
+    above = np.concatenate([hint, *(np.isin(kind, [kinds[x] for x in group])[:, None] for group in names)], 1)
     order = np.argsort(depth, kind="stable")
     border = np.searchsorted(depth[order], np.arange(depth.max() + 2 if n else 1))
     for d in range(1, len(border) - 1):
         at = order[border[d] : border[d + 1]]
         above[at] = np.maximum(above[at], above[parent[at]])
-    within = np.zeros((n, 5))
-    names = [("nav", "header", "footer", "aside", "form"), ("article", "main"), ("ul", "table")]
-    for c, group in enumerate(names):
-        within[:, c] = np.isin(kind, [kinds[x] for x in group])
-    for d in range(1, len(border) - 1):
-        at = order[border[d] : border[d + 1]]
-        within[at] = np.maximum(within[at], within[parent[at]])
     x = np.concatenate(
         [
-            kind[:, None], kind[up][:, None], hint, above, within[:, :3],
+            kind[:, None], kind[up][:, None], hint, above,
             np.log1p(total[:, :2]), (total[:, 2] / size)[:, None], (total[:, 3] / size)[:, None], (total[:, 4] / blocks)[:, None], np.log1p(total[:, 1] / blocks)[:, None],
             np.log1p(total[:, 6:7]), (total[:, 7] / total[:, 6])[:, None], (total[:, 8] / total[:, 6])[:, None], (total[:, 9] / total[:, 6])[:, None],
             (size / np.maximum(total[up, 1], 1))[:, None], (size / np.maximum(total[page, 1], 1))[:, None], (total[:, 4] / np.maximum(total[page, 4], 1))[:, None],
@@ -345,7 +368,7 @@ class Sample:
 
     Layouts are drawn, not taken from any table: prose, recipes, glossaries, data tables and documentation, in an
     article, main, section, div or cell of a layout table, with boilerplate around and between, under names that are
-    usual on the web, or under none.
+    usual on the web, or under none; one page in five has its paragraphs in the body or in one plain element.
     """
 
     LETTERS = "aeiounrstlmdkgbphfvzcé"
@@ -472,7 +495,25 @@ class Sample:
             title = f"<header>{title}</header>" if self.chance(0.3) else title
         return title + "".join(out)
 
+    def sentences(self, n: int) -> str:
+        return " ".join(self.inline(self.rng.randint(3, 16)) for _ in range(n))
+
+    def plain(self) -> str:
+        """A page whose paragraphs stand in the body or in one element, mostly without a name, with little or nothing around."""
+        n = self.rng.randint
+        text = "".join(f"<p>{MAIN}{self.some('', '', 'a &amp; b ')}{self.sentences(n(1, 4))}{self.some('</p>', '</p>', '</p>', '')}" for _ in range(self.some(1, 2, 2, 3, 5, 8, 12)))
+        title = f"<h1>{MAIN}{self.words(n(1, 8), False)}</h1>" if self.chance(0.6) else ""
+        wrap = self.some("", "", "", "div", "div", "section", "article", "main")
+        body = f"<{wrap}>{title}{text}</{wrap}>" if wrap and self.chance(0.5) else title + (f"<{wrap}>{text}</{wrap}>" if wrap else text)
+        kinds = [k for k in ("nav", "header", "side", "ad", "notice", "form") if self.chance(0.12)]
+        before = "".join(map(self.boiler, kinds)) + (self.links(n(3, 8)) if self.chance(0.2) else "")
+        after = (self.links(n(3, 8)) if self.chance(0.2) else "") + "".join(self.boiler(k) for k in ("comments", "side", "pager", "share", "footer") if self.chance(0.12))
+        head = self.some("", f"<head><title>{self.words(3, False)}</title></head>")
+        return self.some(f"{before}{body}{after}", f"<html>{head}<body>{before}{body}{after}</body></html>", f"<!DOCTYPE html><html>{head}<body>{before}{body}{after}</body></html>")
+
     def page(self) -> str:
+        if self.chance(0.2):
+            return self.plain()
         wrap = self.some("article", "article", "article", "main", "div", "section")
         names = self.named("article", "content", "post", "story", "entry", "main", "text", often=0.4 if wrap in ("article", "main") else 0.85)
         body = f"<{wrap}{names}>{self.main()}{self.boiler('comments') if self.chance(0.2) else ''}</{wrap}>"
