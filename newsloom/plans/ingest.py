@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions.text import SCORE_WORDS, content_hash, hand_features
 from newsloom.operators import classify as C
+from newsloom.operators.embed import Refused, best_meaning, embedded, meanings
 from newsloom.operators.evaluate import relevance_figures, stratified_split
 from newsloom.operators.listing import backlog
 from newsloom.plans.model import AS_OF, Catalog
@@ -481,6 +482,51 @@ def _(m):
     return out.select("doc_id", F.array_join(F.transform("vector", lambda x: F.round(x, 6).cast("string")), ",").alias("vector"))
 
 
+_V = "[CAST(length(c) AS DOUBLE), " + ", ".join(f"CAST(length(c) - length(replace(c, '{x}', '')) AS DOUBLE)" for x in "en ") + "]"
+
+
+def letters(texts: list[str]) -> list[list[float]]:
+    """A stand-in for a model: length and three counts; texts of more than 200 characters are refused."""
+    if any(len(t) > 200 for t in texts):
+        raise Refused
+    return [[float(len(t)), *(float(t.count(c)) for c in "en ")] for t in texts]
+
+
+_LONG = f"""WITH p AS (SELECT doc_id, text, unnest(range(0, greatest(length(text) - 50, 1), 250)) AS place FROM documents WHERE length(text) > 0),
+q AS (SELECT doc_id, substr(text, place + 1, 300) AS c FROM p), h AS (SELECT doc_id, unnest(CASE WHEN length(c) > 200 THEN [substr(c, 1, length(c) // 2), substr(c, length(c) // 2 + 1)] ELSE [c] END) AS c FROM q),
+v AS (SELECT doc_id, {_V} AS v FROM h), m AS (SELECT doc_id, avg(v[1]) AS a, avg(v[2]) AS b, avg(v[3]) AS c, avg(v[4]) AS d FROM v GROUP BY 1), u AS (SELECT *, sqrt(a * a + b * b + c * c + d * d) AS n FROM m)
+SELECT doc_id, round(coalesce(a / n, 0), 6) AS a, round(coalesce(b / n, 0), 6) AS b, round(coalesce(c / n, 0), 6) AS c, round(coalesce(d / n, 0), 6) AS d FROM (SELECT DISTINCT doc_id FROM documents) LEFT JOIN u USING (doc_id)"""
+
+
+@add("long_text_embeddings", "V11", _LONG, model=False)
+def _(m):
+    out = embedded(m.table("documents"), "doc_id", "text", letters, 4, size=300, overlap=50)
+    return out.select("doc_id", *(F.round(F.col("vector")[i], 6).alias(c) for i, c in enumerate("abcd")))
+
+
+_TERMS = ["data", "value", "haus", "les "]
+_HITS = f"""WITH w AS (SELECT unnest({_TERMS}) AS word), p AS (SELECT doc_id, text, lower(text) AS low, word FROM documents, w WHERE contains(lower(text), word)),
+s AS (SELECT *, unnest(range(0, length(low))) AS start FROM p), h AS (SELECT doc_id, word, start, substr(text, CAST(greatest(start - 40, 0) + 1 AS BIGINT), CAST(start + length(word) + 40 - greatest(start - 40, 0) AS BIGINT)) AS c FROM s WHERE substr(low, start + 1, length(word)) = word),
+d AS (SELECT CAST(vec_id AS VARCHAR) AS name, list_transform(range(1, 5), lambda i: abs(CAST(embedding[i] AS DOUBLE))) AS x FROM embeddings WHERE vec_id < 12),
+r AS (SELECT doc_id, word, start, name, round(list_cosine_similarity({_V}, x), 6) AS score FROM h, d),
+b AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY doc_id, word, start ORDER BY score DESC, name DESC) = 1)"""
+
+
+def _meanings(m):
+    definitions = m.table("embeddings").filter("vec_id < 12").select(F.col("vec_id").cast("string").alias("name"), F.transform(F.slice("embedding", 1, 4), lambda x: F.abs(x.cast("double"))).alias("vector"))
+    return meanings(m.table("documents"), "doc_id", "text", _TERMS, definitions, letters, 4, window=40)
+
+
+@add("keyword_meanings", "Z02 V11", _HITS + " SELECT word, name, count(*) AS hits, count(DISTINCT doc_id) AS texts, round(max(score), 6) AS best FROM b GROUP BY 1, 2", model=False)
+def _(m):
+    return _meanings(m).groupBy("word", "name").agg(F.count("*").alias("hits"), F.count_distinct("doc_id").alias("texts"), F.max("score").alias("best"))
+
+
+@add("text_meanings", "Z02", _HITS + " SELECT doc_id, arg_max(name, struct_pack(s := score, n := name)) AS name, max(score) AS score, count(*) AS hits FROM b GROUP BY 1", model=False)
+def _(m):
+    return best_meaning(_meanings(m), "doc_id")
+
+
 @add("model_calls", "V13 X42", "SELECT item_id, sha256(text) AS answer FROM benchmark", model=False)
 def _(m):
     rows = m.table("benchmark").select("item_id", F.col("text").alias("prompt"))
