@@ -6,12 +6,13 @@ evidence that the term marks label 1 (see `factors`) and is 1 for others. Docume
 over all documents. A term that no example has adds nothing to a product and is counted in the norm of a
 text as a term of one document.
 
-The index: examples are put in an order that keeps like ones together and cut into blocks of `BLOCK`. A term's
-postings are the blocks that have it, each with the term's largest weight there, so one pass over the postings of a
-text's terms bounds its product with every example of each block. Blocks are opened from the highest bound
-downwards and their examples scored exactly in 64 bits, until the next bound is under the k-th best score: the
-neighbours are those of a full scan. Examples with the same terms and counts are one row of the index. The k
-nearest examples vote by similarity, exact copies most, against the share of label 1 in the sample.
+The index: examples are put in an order that keeps like ones together and cut into blocks of `BLOCK`. Terms that
+few examples have are lists of examples, and what they add to a product is summed exactly. Of a common term the
+index holds each block's largest weight: that sum's largest value in a block and the maxima of a text's common terms
+bound its product with every example of the block. Blocks are opened from the highest bound downwards and the common
+terms of their examples added, until the next bound is under the k-th best score; what may be among the best is
+scored in 64 bits, so the neighbours are those of a full scan. Examples with the same terms and counts are one row of
+the index. The k nearest examples vote by similarity, exact copies most, against the share of label 1 in the sample.
 
 Every example has a class of its own to speak for, so the evidence (id, similarity and label of all k voters,
 nearest first) is returned with the score.
@@ -30,6 +31,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from hashlib import blake2b
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +44,8 @@ from newsloom.llm.tokens import LETTER_DIGIT, LOWER, U64, Words, mix, slices, te
 
 #: Examples in a block of the index, and dimensions in which examples are ordered.
 BLOCK, SKETCH = 16, 64
+#: Terms that at least one in so many examples has are common: a matrix serves them faster than lists do.
+OFTEN = 16
 CHANCE = 2.0
 
 
@@ -122,8 +126,9 @@ class Index:
         idf = np.log((1 + number) / (1 + frequency)) + 1
         self.weight = idf * factors(a, n, float(toxic.mean()) if len(toxic) else 0.0)
 
-    def open(self, common: int = 512) -> None:
-        """Unit weights by example, and block-max postings: rows of a matrix for the commonest terms, lists for others."""
+    def open(self, common: int | None = None) -> None:
+        """Unit weights by example: a matrix with block maxima for the commonest terms (those in one of `OFTEN` examples, at
+        least 512 and at most 2,048 of them, as far as there are), lists of examples for others."""
         n, terms = len(self.first) - 1, len(self.vocabulary)
         w = self.raw(self.place, self.count)
         example = np.repeat(np.arange(n), np.diff(self.first))
@@ -135,61 +140,46 @@ class Index:
         self.order = alike(sketch, BLOCK)
         size = np.diff(self.first)[self.order]
         take = np.repeat(self.first[:-1][self.order] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-        self.at = np.concatenate([[0], np.cumsum(size)])
-        # Numbered by frequency here, so that most of what a scan looks up lies close together.
+        # Numbered by frequency here, so that the commonest terms are the first numbers.
         self.rank = np.empty(terms, np.int32)
-        self.rank[np.argsort(-np.bincount(self.place, minlength=terms), kind="stable")] = np.arange(terms)
-        self.term, self.unit = self.rank[self.place[take]], self.unit[take]
-        self.blocks = -(-n // BLOCK)
-        self.query, self.spot = np.zeros(terms), np.full(terms, -1, np.int32)
-        # A block holds its terms once, and its examples' weights as a small matrix over them.
-        self.held, top = [], []
-        for lo in range(0, n, BLOCK):
-            hi = min(lo + BLOCK, n)
-            own = slice(self.at[lo], self.at[hi])
-            term, at = np.unique(self.term[own], return_inverse=True)
-            matrix = np.zeros((len(term), hi - lo), np.float32)
-            matrix[at, np.repeat(np.arange(hi - lo), size[lo:hi])] = self.unit[own]
-            self.held.append((term, matrix))
-            # Rounded up, so that a bound in 32 bits stays one.
-            top.append(matrix.max(1) * np.float32(1 + 1e-6))
-        self.widest = max((len(t) for t, _ in self.held), default=0)
-        term = np.concatenate([t for t, _ in self.held] or [np.zeros(0, np.int32)])
-        holder = np.repeat(np.arange(self.blocks, dtype=np.int32), [len(t) for t, _ in self.held])
-        top = np.concatenate(top or [np.zeros(0, np.float32)])
-        # The commonest terms are the first numbers: their postings are rows of a matrix.
-        self.dense = np.zeros((min(common, terms), self.blocks), np.float32)
-        often = term < len(self.dense)
-        self.dense[term[often], holder[often]] = top[often]
+        times = np.bincount(self.place, minlength=terms)
+        self.rank[np.argsort(-times, kind="stable")] = np.arange(terms)
+        term, unit, row = self.rank[self.place[take]], self.unit[take], np.repeat(np.arange(n, dtype=np.int32), size)
+        if common is None:
+            common = min(max(512, int((times * OFTEN >= n).sum())), 2048)
+        self.blocks, common = -(-n // BLOCK), min(common, terms)
+        often = term < common
+        # Common terms by example, with the largest weight of each block rounded up, so that a bound in 32 bits stays one.
+        self.at = np.concatenate([[0], np.cumsum(np.bincount(row[often], minlength=n))])
+        self.term, self.unit = term[often], unit[often]
+        self.dense = np.zeros((self.blocks * BLOCK, common), np.float32)
+        self.dense[row[often], self.term] = self.unit
+        self.top = self.dense.reshape(self.blocks, BLOCK, common).max(1) * np.float32(1 + 1e-6)
+        # Other terms have lists of examples.
         rest = np.flatnonzero(~often)
         rest = rest[np.argsort(term[rest], kind="stable")]
-        self.holder, self.top = holder[rest], top[rest]
+        self.holder, self.part = row[rest], unit[rest]
         self.postings = np.concatenate([[0], np.cumsum(np.bincount(term[rest], minlength=terms))])
 
     def raw(self, place: np.ndarray, count: np.ndarray) -> np.ndarray:
         return (1 + np.log(count)) * self.weight[place]
 
-    def exact(self, near: np.ndarray) -> np.ndarray:
-        """Products of examples (by place in the index's order) with the open query, in 64 bits."""
+    def exact(self, near: np.ndarray, often: np.ndarray) -> np.ndarray:
+        """Products of examples (by place in the index's order) with a query's weights of common terms, in 64 bits."""
         lo, size = self.at[near], self.at[near + 1] - self.at[near]
-        start = np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64)
-        take = np.repeat(lo - start, size) + np.arange(size.sum())
-        return np.add.reduceat(self.query[self.term[take]] * self.unit[take], start) if len(near) else np.zeros(0)
-
-    def bounds(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """For each query (numbers of terms, unit weights) a bound of its products with any example of each block."""
-        left = np.zeros((len(queries), len(self.dense)), np.float32)
-        for i, (term, w) in enumerate(queries):
-            often = term < len(self.dense)
-            left[i, term[often]] = w[often]
-        out = left @ self.dense
-        for i, (term, w) in enumerate(queries):
-            a, size = self.postings[term], self.postings[term + 1] - self.postings[term]
-            at = np.repeat(a - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-            out[i] += np.bincount(self.holder[at], self.top[at] * np.repeat(w.astype(np.float32), size), self.blocks)
+        take = np.repeat(lo - np.cumsum(size) + size, size) + np.arange(size.sum())
+        return np.bincount(np.repeat(np.arange(len(near)), size), often[self.term[take]] * self.unit[take], len(near))
+
+    def others(self, term: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Products of every example with a query over the terms that aren't common, in 64 bits."""
+        lo, size, out = self.postings[term], self.postings[term + 1] - self.postings[term], np.zeros(len(self.dense))
+        for i, j in slices(np.concatenate([[0], np.cumsum(size)])):
+            own = size[i:j]
+            take = np.repeat(lo[i:j] - np.cumsum(own) + own, own) + np.arange(own.sum())
+            out += np.bincount(self.holder[take], self.part[take] * np.repeat(w[i:j], own), len(out))
         return out
 
-    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], norms: list[float], k: int, batch: int = 64) -> list[tuple[np.ndarray, np.ndarray]]:
+    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], norms: list[float], k: int, batch: int = 128) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each query (places, weights): examples and similarities of the k nearest with any common term,
         nearest first."""
         if self.dense is None:
@@ -198,63 +188,69 @@ class Index:
         if not queries or not self.blocks:
             return out
         queries = [(self.rank[place], w / norm) for (place, w), norm in zip(queries, norms, strict=True)]
-        bound = self.bounds(queries)
-        # Queries of like bounds are answered together, as they open the same blocks.
-        order = np.argsort(bound.argmax(1), kind="stable")
-        for lo in range(0, len(order), batch):
-            part = order[lo : lo + batch]
-            for i, (near, sim) in zip(part.tolist(), self._search([queries[i] for i in part], bound[part], k), strict=True):
-                best = self.order[near]
-                number = np.minimum(self.rows[best + 1] - self.rows[best], k)
-                rows = np.concatenate([np.arange(self.rows[x], self.rows[x] + n) for x, n in zip(best.tolist(), number.tolist(), strict=True)] or [np.zeros(0, np.int64)])
-                sims = np.repeat(sim, number)
-                first = np.lexsort((self.ids[rows], -sims))[:k]
-                out[i] = rows[first], sims[first]
+        for a in range(0, len(queries), 16 * batch):
+            some = queries[a : a + 16 * batch]
+            often = np.zeros((len(some), self.dense.shape[1]), np.float32)
+            for i, (term, w) in enumerate(some):
+                own = term < often.shape[1]
+                often[i, term[own]] = w[own]
+            # Queries of like bounds are answered together, as they open the same blocks.
+            bound = often @ self.top.T
+            order = np.argsort(bound.argmax(1), kind="stable")
+            for lo in range(0, len(order), batch):
+                part = order[lo : lo + batch]
+                for i, (near, sim) in zip(part.tolist(), self._search([some[i] for i in part], often[part], bound[part], k), strict=True):
+                    best = self.order[near]
+                    number = np.minimum(self.rows[best + 1] - self.rows[best], k)
+                    rows = np.concatenate([np.arange(self.rows[x], self.rows[x] + n) for x, n in zip(best.tolist(), number.tolist(), strict=True)] or [np.zeros(0, np.int64)])
+                    sims = np.repeat(sim, number)
+                    first = np.lexsort((self.ids[rows], -sims))[:k]
+                    out[a + i] = rows[first], sims[first]
         return out
 
-    def _search(self, queries: list[tuple[np.ndarray, np.ndarray]], bound: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """For each query places and products of all examples that reach its k-th best product.
+    def _search(self, queries: list[tuple[np.ndarray, np.ndarray]], often: np.ndarray, bound: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each query (numbers of terms, unit weights; often: those of common terms; bound: of their products by
+        block) places and products of all examples that reach its k-th best product.
 
-        Blocks are opened in rounds, from high bounds downwards, each for those queries whose bound there reaches
-        their k-th best product so far."""
-        n, number = len(self.order), len(queries)
-        # The queries by term, over the terms that any of them has; other terms of a block add nothing.
-        union = np.unique(np.concatenate([term for term, _ in queries]))
-        self.spot[union] = np.arange(len(union), dtype=np.int32)
-        by_query = np.zeros((number, len(union)), np.float32)
+        What the other terms add is exact and known first, so a block's bound is its largest such sum and the bound
+        of its common terms. Each query opens its blocks from high bounds downwards, in rounds, while they reach its
+        k-th best product so far; queries that open the same block do so together."""
+        number, each = len(queries), np.arange(len(queries))[:, None]
+        rest = np.zeros((number, len(self.dense)))
         for i, (term, w) in enumerate(queries):
-            by_query[i, self.spot[term]] = w
-        by_term, room = np.ascontiguousarray(by_query.T), np.empty((self.widest, number), np.float32)
-        about = np.full((number, n), -1, np.float32)
+            own = term >= often.shape[1]
+            rest[i] = self.others(term[own], w[own])
+        bound = bound + rest.reshape(number, self.blocks, BLOCK).max(2).astype(np.float32)
+        about = np.full((number, self.blocks, BLOCK), -1, np.float32)
         # What is computed in 32 bits is off by less than the margin; products of nothing stay exactly 0.
         edge, margin, best = np.zeros(number, np.float32), 1e-4, np.full((number, k), -1, np.float32)
-        order = np.argsort(-bound.max(0), kind="stable")
-        a, step = 0, max(4, -(-2 * k // BLOCK))
-        while a < len(order):
-            for b in order[a : a + step].tolist():
-                asks = np.flatnonzero((bound[:, b] > 0) & (bound[:, b] >= edge - margin))
-                if len(asks):
-                    self.opened += len(asks)
-                    term, matrix = self.held[b]
-                    spot = self.spot[term]
-                    common = np.flatnonzero(spot >= 0)
-                    spot, matrix = spot[common], np.take(matrix, common, axis=0)
-                    if len(asks) > 8:
-                        score = (np.take(by_term, spot, axis=0, out=room[: len(spot)], mode="clip").T @ matrix)[asks]
-                    else:
-                        score = by_query[asks[:, None], spot] @ matrix
-                    about[asks, b * BLOCK : b * BLOCK + score.shape[1]] = score
-            column = (order[a : a + step, None] * BLOCK + np.arange(BLOCK)).ravel()
-            best = np.concatenate([best, about[:, column[column < n]]], 1)
+        order = np.argsort(-bound, axis=1)
+        a, step = 0, max(2, -(-2 * k // BLOCK))
+        while a < self.blocks:
+            # The third round is the last.
+            mine = order[:, a : a + step if a < 8 * step else self.blocks]
+            value = bound[each, mine]
+            who, at = np.nonzero((value > 0) & (value >= (edge - margin)[:, None]))
+            self.opened += len(who)
+            block = mine[who, at]
+            by = np.argsort(block, kind="stable")
+            who, block = who[by], block[by]
+            border = np.append(np.flatnonzero(np.diff(block, prepend=-1)), len(block)).tolist()
+            for lo, hi in pairwise(border):
+                asks, b = who[lo:hi], int(block[lo])
+                about[asks, b] = often[asks] @ self.dense[b * BLOCK : (b + 1) * BLOCK].T + rest[asks, b * BLOCK : (b + 1) * BLOCK]
+            best = np.concatenate([best, about[each, mine].reshape(number, -1)], 1)
             best = np.partition(best, best.shape[1] - k, axis=1)[:, best.shape[1] - k :]
             edge = np.maximum(best[:, 0], 0)
-            a, step = a + step, step * 2
-        self.spot[union] = -1
-        for i, (term, w) in enumerate(queries):
+            a, step = a + mine.shape[1], step * 8
+        about = about.reshape(number, -1)
+        for i in range(number):
             near = np.flatnonzero((about[i] > 0) & (about[i] >= edge[i] - margin))
-            self.query[term] = w
-            sim = np.minimum(np.round(self.exact(near), 9), 1.0)
-            self.query[term] = 0
+            weight = np.zeros(often.shape[1])
+            term, w = queries[i]
+            own = term < len(weight)
+            weight[term[own]] = w[own]
+            sim = np.minimum(np.round(self.exact(near, weight) + rest[i, near], 9), 1.0)
             if len(sim) > k:
                 keep = sim >= np.partition(sim, len(sim) - k)[len(sim) - k]
                 near, sim = near[keep], sim[keep]
