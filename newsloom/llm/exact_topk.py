@@ -30,11 +30,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.functions.best import FIRST, LAST, ROWS, TILE, merge_hits
 from newsloom.llm.exchange import MB
 
-LAST = np.iinfo(np.int64).max
-#: Rows of a tile at first and at most, and queries that are multiplied with it.
-FIRST, TILE, ROWS = 256, 4096, 1024
 LISTS = "dim int, block int, shard int, query binary, self binary, ids binary, scores binary"
 _LISTS = pa.schema([("dim", pa.int32()), ("block", pa.int32()), ("shard", pa.int32()), ("query", pa.binary()), ("self", pa.binary()), ("ids", pa.binary()), ("scores", pa.binary())])
 _BIG = np.finfo(np.float64).max
@@ -94,16 +92,6 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return np.take_along_axis(np.broadcast_to(ids, scores.shape), order, 1), np.take_along_axis(scores, order, 1)
 
 
-def merge_hits(best: np.ndarray, score: np.ndarray, row: np.ndarray, ids: np.ndarray, value: np.ndarray) -> None:
-    """Put hits (row, id, value) into full lists of best ids and scores, in place; ties to the smaller id."""
-    rows, k = np.unique(row), best.shape[1]
-    of = np.concatenate([np.repeat(rows, k), row])
-    ids, value = np.concatenate([best[rows].ravel(), ids]), np.concatenate([score[rows].ravel(), value])
-    order = np.lexsort((ids, -value, of))
-    chosen = order[np.searchsorted(of[order], rows)[:, None] + np.arange(k)]
-    best[rows], score[rows] = ids[chosen], value[chosen]
-
-
 def best_products(q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids (which ascend) and scores of the k rows of x of highest inner product with each query, ties to smaller ids."""
     bound = q.shape[1] * float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0))

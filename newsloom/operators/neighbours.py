@@ -8,7 +8,8 @@ A search first visits the `probes` cells nearest to each block's centre, which g
 is the approximate answer. The exact one then visits each further cell that may hold something better: no vector of a
 cell is nearer to a query than the angle between query and centre less the cell's reach (the triangle inequality on
 the sphere), and a query takes part in a tile only if that angle allows its k-th best score. With `least`, scores below it are not asked for and
-bound the visits from the start. Visits go block by cell, so what is shuffled is packed blocks and lists of the best k, and
+bound the visits from the start. Cells are dealt to groups of bounded bytes, and a task holds one group while blocks pass by; a block goes once to
+each group that holds cells to visit. So what is shuffled is packed blocks, times the groups, and a group's lists of the best k, and
 neither driver nor task holds a table. On vectors without any clusters no bound rules anything out, and the exact search
 multiplies all pairs, as it must.
 
@@ -28,16 +29,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from newsloom.operators.vectors import best_of
+from newsloom.functions.best import best_cosines, empty_lists
 from newsloom.shared import removed, workspace
 
 #: Most centres, rows of the sample that they are fitted on, and components (of eight bytes) in a shard and in a block.
-CENTRES, SAMPLE, SHARD, BLOCK, STEP = 1024, 16_384, 1 << 21, 1 << 18, 4096
+CENTRES, SAMPLE, SHARD, BLOCK = 1024, 16_384, 1 << 21, 1 << 18
+#: Bytes of shards in a group, and products that make a task of their own worth it.
+GROUP, PRODUCTS = 64 << 20, 200_000_000
 #: Scores are rounded to six digits: a bound must miss by more than that.
 SLACK = 2e-6
+KEYS = ["dim", "cell", "part"]
 SHARDS = "dim int, cell int, part int, ids binary, body binary, reach double"
 BLOCKS = SHARDS + ", kth binary"
 _FOUND = pa.schema([("dim", pa.int32()), ("cell", pa.int32()), ("part", pa.int32()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64()), ("products", pa.int64())])
+_VISITS = pa.list_(pa.struct([("group", pa.int32()), ("cells", pa.list_(pa.int32()))]))
 FOUND = "dim int, cell int, part int, query_id long, vec_id long, score double, products long"
 
 
@@ -143,69 +148,118 @@ class Search:
     def __init__(self, shards: DataFrame, centres: dict[int, np.ndarray], queries: DataFrame, k: int, least: float = -2.0, probes: int = 4, exact: bool = True, exclude_self: bool = True) -> None:
         self.spark, self.shards, self.centres, self.k, self.least, self.exclude_self = shards.sparkSession, shards, centres, k, least, exclude_self
         self.home = workspace(self.spark, "neighbours")
-        reach = shards.groupBy("dim", "cell").agg(F.max("reach").alias("reach")).collect()  # at most CENTRES rows a vector length
         self.reach: dict[int, dict[int, float]] = {}
-        for r in reach:
-            self.reach.setdefault(r["dim"], {})[r["cell"]] = r["reach"]
+        self.held: list[tuple[int, int, int, int]] = []
+        # At most CENTRES rows a vector length, and one for each 16 MB.
+        for r in shards.groupBy("dim", "cell", "part").agg(F.max("reach").alias("reach"), F.sum(F.length("body")).alias("bytes")).collect():
+            own = self.reach.setdefault(r["dim"], {})
+            own[r["cell"]] = max(own.get(r["cell"], 0.0), r["reach"])
+            self.held.append((r["dim"], r["cell"], r["part"], r["bytes"]))
         start = partial(_started, least=least)
         blocks = packed(queries, centres, BLOCK).mapInArrow(start, BLOCKS)
         blocks.write.parquet(f"{self.home}/blocks")
         self.blocks = self.spark.read.parquet(f"{self.home}/blocks")
         self._visit(self.blocks, "first", 0, probes)
         if exact:
-            keys = ["dim", "cell", "part"]
-            first = self.spark.read.parquet(f"{self.home}/first").filter("query_id IS NOT NULL").select(*keys, "query_id", "score")
-            raised = self.blocks.groupBy(*keys).cogroup(first.groupBy(*keys)).applyInArrow(partial(_raised, k=k), BLOCKS)
+            first = self.spark.read.parquet(f"{self.home}/first").filter("query_id IS NOT NULL").select(*KEYS, "query_id", "score")
+            raised = self.blocks.groupBy(*KEYS).cogroup(first.groupBy(*KEYS)).applyInArrow(partial(_raised, k=k), BLOCKS)
             self._visit(raised, "rest", probes, None)
 
     def _visit(self, blocks: DataFrame, name: str, start: int, stop: int | None) -> None:
         """Multiply blocks with the cells from place start to stop in the order of nearness to the block's centre, where
         bounds don't rule that out."""
-        held = self.spark.sparkContext.broadcast((self.centres, self.reach))
+        groups, sets = self._groups(stop is not None)
+        of: dict[tuple[int, int], list[int]] = {}
+        for (dim, cell, _), group in groups.items():
+            if group not in of.setdefault((dim, cell), []):
+                of[dim, cell].append(group)
+        held = self.spark.sparkContext.broadcast((self.centres, self.reach, of))
         k, exclude_self = self.k, self.exclude_self
 
         def plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            centres, reach = held.value
+            centres, reach, of = held.value
             for batch in batches:
                 visits = []
                 for row in batch.to_pylist():
                     known = np.array(sorted(reach.get(row["dim"], {})), np.int64)
                     if row["dim"] not in centres or not len(known):
-                        visits.append(known.tolist() if start == 0 else [])
-                        continue
-                    centre = centres[row["dim"]]
-                    own = np.frombuffer(row["body"]).reshape(-1, row["dim"])
-                    near = known[np.argsort(-(centre[known] @ centre[row["cell"]]), kind="stable")][start:stop]
-                    bound = angle(own @ centre[near].T) - np.array([reach[row["dim"]][c] for c in near.tolist()])
-                    may = np.cos(np.maximum(bound, 0.0)) + SLACK >= np.frombuffer(row["kth"])[:, None]
-                    visits.append(near[may.any(0)].tolist())
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(visits, pa.list_(pa.int32()))], names=[*batch.schema.names, "visits"])
+                        near = known if start == 0 else known[:0]
+                    else:
+                        centre = centres[row["dim"]]
+                        own = np.frombuffer(row["body"]).reshape(-1, row["dim"])
+                        near = known[np.argsort(-(centre[known] @ centre[row["cell"]]), kind="stable")][start:stop]
+                        bound = angle(own @ centre[near].T) - np.array([reach[row["dim"]][c] for c in near.tolist()])
+                        may = np.cos(np.maximum(bound, 0.0)) + SLACK >= np.frombuffer(row["kth"])[:, None]
+                        near = near[may.any(0)]
+                    cells: dict[int, list[int]] = {}
+                    for c in near.tolist():
+                        for group in of[row["dim"], c]:
+                            cells.setdefault(group, []).append(c)
+                    visits.append([{"group": g, "cells": c} for g, c in cells.items()])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(visits, _VISITS)], names=[*batch.schema.names, "visits"])
 
         def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            centres, _ = held.value
+            """Of each group its shards, then the blocks, one at a time."""
+            centres, at, cells, stacked = held.value[0], None, {}, (None,)
             for batch in batches:
-                for row in batch.to_pylist():
-                    q_ids, ids, kth = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["ids"], np.int64), np.frombuffer(row["kth"])
-                    q, m = np.frombuffer(row["q_body"]).reshape(len(q_ids), -1), np.frombuffer(row["body"]).reshape(len(ids), -1)
-                    if row["dim"] in centres:
-                        may = np.cos(np.maximum(angle(q @ centres[row["dim"]][row["visit"]]) - row["reach"], 0.0)) + SLACK >= kth
-                        q_ids, q, kth = q_ids[may], q[may], kth[may]
-                    made = 0
-                    for a in range(0, len(ids) if len(q) else 0, STEP):
-                        score = np.round(q @ m[a : a + STEP].T, 6)
-                        made += score.size
-                        if exclude_self:
-                            score[q_ids[:, None] == ids[a : a + STEP][None, :]] = -np.inf
-                        score[score < kth[:, None]] = -np.inf
-                        i, j = np.nonzero(best_of(score, k) & np.isfinite(score))
-                        yield _found(row, q_ids[i], ids[a + j], score[i, j], 0)
-                    none = np.zeros(0, np.int64)
-                    yield _found(row, none, none, np.zeros(0), made)
-
-        blocks = blocks.mapInArrow(plan, BLOCKS + ", visits array<int>")
-        blocks = blocks.select("dim", F.col("cell").alias("q_cell"), F.col("part").alias("q_part"), F.col("ids").alias("q_ids"), F.col("body").alias("q_body"), "kth", F.explode("visits").alias("visit"))
-        shards = self.shards.select("dim", F.col("cell").alias("visit"), "ids", "body", "reach")
-        blocks.join(shards, ["dim", "visit"]).mapInArrow(multiply, FOUND).write.parquet(f"{self.home}/{name}")
+                for r in range(batch.num_rows):
+                    row = {name: batch[name][r].as_py() for name in batch.schema.names}
+                    if (row["group"], row["set"]) != at:
+                        at, cells, stacked = (row["group"], row["set"]), {}, (None,)
+                    ids, body = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["body"]).reshape(-1, row["dim"])
+                    if row["cells"] is None:
+                        cells.setdefault((row["dim"], row["cell"]), []).append((ids, body, row["reach"]))
+                        continue
+                    kth, made = np.frombuffer(row["kth"]), 0
+                    best, score = empty_lists(len(ids), k)
+                    seen = [(cell, *shard) for cell in row["cells"] for shard in cells.get((row["dim"], cell), [])]
+                    bound = np.full((len(ids), len(seen)), np.inf)
+                    if row["dim"] in centres and seen:
+                        bound = np.cos(np.maximum(angle(body @ centres[row["dim"]][[x[0] for x in seen]].T) - np.array([x[3] for x in seen]), 0.0)) + SLACK
+                    # Shards that all queries take part in are multiplied as one.
+                    every = (bound >= kth[:, None]).all(0)
+                    for x in np.flatnonzero(~every).tolist():
+                        _, own, m, _ = seen[x]
+                        may = np.flatnonzero(bound[:, x] >= np.maximum(kth, score[:, -1]))
+                        if len(may):
+                            lists, values = best[may], score[may]
+                            best_cosines(lists, values, ids[may], body[may], own, m, kth[may], exclude_self)
+                            best[may], score[may] = lists, values
+                            made += len(may) * len(own)
+                    if every.any():
+                        of_all = (row["dim"], *np.flatnonzero(every).tolist(), *(x[0] for x in seen))
+                        if of_all != stacked[0]:
+                            chosen = [seen[x] for x in np.flatnonzero(every).tolist()]
+                            stacked = (of_all, np.concatenate([x[1] for x in chosen]), np.concatenate([x[2] for x in chosen]))
+                        best_cosines(best, score, ids, body, stacked[1], stacked[2], kth, exclude_self)
+                        made += len(ids) * len(stacked[1])
+                    i, j = np.nonzero(np.isfinite(score))
+                    yield _found(row, ids[i], best[i, j], score[i, j], made)
+
+        blocks = blocks.mapInArrow(plan, BLOCKS + ", visits array<struct<group: int, cells: array<int>>>").withColumn("visit", F.explode("visits"))
+        blocks = blocks.select(F.col("visit.group").alias("group"), F.pmod(F.hash("dim", "cell", "part"), F.lit(sets)).alias("set"), *KEYS, "ids", "body", "reach", "kth", F.col("visit.cells").alias("cells"))
+        places = self.spark.createDataFrame([(*key, group) for key, group in groups.items()] or [(-1, -1, -1, -1)], "dim int, cell int, part int, group int")
+        shards = self.shards.join(F.broadcast(places), KEYS).select("group", F.explode(F.sequence(F.lit(0), F.lit(sets - 1))).alias("set"), *KEYS, "ids", "body", "reach", F.lit(None).cast("binary").alias("kth"), F.lit(None).cast("array<int>").alias("cells"))
+        number = max(1, sets * len(set(groups.values())))
+        # Shards come first, as they have no cells to visit.
+        dealt = shards.unionByName(blocks).repartition(number, "group", "set").withColumn("asks", F.col("cells").isNotNull()).sortWithinPartitions("group", "set", "asks")
+        dealt.mapInArrow(multiply, FOUND).write.parquet(f"{self.home}/{name}")
+
+    def _groups(self, few: bool) -> tuple[dict[tuple[int, int, int], int], int]:
+        """The group of each shard's key, and the number of sets that blocks are dealt to: both so that tasks are enough. few: each block
+        visits few cells, and one set will do."""
+        total = sum(x[3] for x in self.held)
+        asked = 0 if few else int(self.blocks.agg(F.coalesce(F.sum(F.length("body")), F.lit(0))).first()[0])
+        dim = max((x[0] for x in self.held), default=1)
+        tasks = max(1, min(2 * self.spark.sparkContext.defaultParallelism, (total // (8 * dim)) * ((total if few else asked) // (8 * dim)) // PRODUCTS))
+        groups = max(-(-total // GROUP), tasks if few else round((tasks * total / max(1, asked)) ** 0.5), 1)
+        # Cells in the order of their number, filled up to a group's share.
+        out, group, filled = {}, 0, 0
+        for d, cell, part, size in sorted(self.held):
+            if filled and filled + size > max(1, total / groups):
+                group, filled = group + 1, 0
+            out[d, cell, part], filled = group, filled + size
+        return out, 1 if few else max(1, -(-tasks // (group + 1)))
 
     def _lists(self) -> DataFrame:
         found = [self.spark.read.parquet(f"{self.home}/{x}") for x in ("first", "rest") if _there(self.spark, f"{self.home}/{x}")]
@@ -224,7 +278,7 @@ class Search:
 def _found(row: dict, q: np.ndarray, ids: np.ndarray, score: np.ndarray, products: int) -> pa.RecordBatch:
     """Rows of a list; what a tile multiplied is a row of its own, without a query."""
     n = len(q)
-    head = [pa.array(np.full(n + (products > 0), row[k]), pa.int32()) for k in ("dim", "q_cell", "q_part")]
+    head = [pa.array(np.full(n + (products > 0), row[k]), pa.int32()) for k in KEYS]
     empty = [None] * (products > 0)
     body = [pa.concat_arrays([pa.array(x, t), pa.array(empty, t)]) for x, t in ((q, pa.int64()), (ids, pa.int64()), (score, pa.float64()))]
     return pa.RecordBatch.from_arrays([*head, *body, pa.array([0] * n + [products] * (products > 0), pa.int64())], schema=_FOUND)
